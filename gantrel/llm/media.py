@@ -190,6 +190,26 @@ def _payload(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield pa.StructArray.from_arrays([pa.array(list(c), k) for c, k in zip(cols, (pa.int64(), pa.string(), pa.int64()))], names=["payload_bytes", "payload_sha256", "tail_crc32"])
 
 
+def _round_trip(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    names = ["media_bytes", "media_sha256", "payload_bytes", "payload_sha256", "tail_crc32", "feature"]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string()]
+    for batch in batches:
+        rows = []
+        for content in as_bytes(batch):
+            data = mux_bytes(pad(content))
+            track = probe_bytes(data)[0]
+            body = payload_of(data, track)
+            rows.append((len(data), hashlib.sha256(data).hexdigest(), len(body), hashlib.sha256(body).hexdigest(), zlib.crc32(body[-FRAME:]), describe(track)))
+        yield pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [[]] * 6, kinds)], names=names)
+
+
+def describe(track: dict) -> str:
+    """Codec, frame size, duration, samples, number of key frames and the bytes they span, as one string."""
+    at, size = track["key_offsets"], track["key_sizes"]
+    span = f"{at[0]}-{at[-1] + size[-1]}" if len(at) else "none"
+    return f"codec={track['codec'].strip()};size={track['width']}x{track['height']};ms={track['duration_ms']};samples={track['samples']};keys={len(at)};span={span}"
+
+
 def mux(content: Column) -> Column:
     """Store text (as UTF-8) or binary content in a container. Null and empty content become one frame of zeros."""
     return F.arrow_udf(_mux, "binary")(content)
@@ -206,8 +226,10 @@ def payload_digest(media: Column) -> Column:
     return F.arrow_udf(_payload, PAYLOAD)(media)
 
 
-def feature(probed: Column) -> Column:
-    """A short description of what ``probe`` found."""
-    keys = probed["keyframes"]
-    ends = F.when(F.size(keys) > 0, F.concat_ws("-", F.element_at(keys, 1)["offset"], F.element_at(keys, -1)["offset"] + F.element_at(keys, -1)["size"])).otherwise(F.lit("none"))
-    return F.concat_ws(";", F.concat(F.lit("codec="), F.trim(probed["codec"])), F.concat(F.lit("size="), probed["width"], F.lit("x"), probed["height"]), F.concat(F.lit("ms="), probed["duration_ms"]), F.concat(F.lit("samples="), probed["samples"]), F.concat(F.lit("keys="), F.size(keys)), F.concat(F.lit("span="), ends))
+ROUND_TRIP = "struct<media_bytes:bigint,media_sha256:string,payload_bytes:bigint,payload_sha256:string,tail_crc32:bigint,feature:string>"
+
+
+def round_trip(content: Column) -> Column:
+    """``mux``, then what ``payload_digest`` and ``probe`` find in the stored bytes, in one pass, so that containers do
+    not travel between processes. Null and empty content as in ``mux``."""
+    return F.arrow_udf(_round_trip, ROUND_TRIP)(content)

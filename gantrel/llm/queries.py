@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, url_filter
-from .common import table
+from . import langid, media, packing, topk, toxicity, url_filter
+from .common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -23,16 +24,8 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text stored in an ISO media container, and what is read back from it."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("content"))
-    stored = docs.select("doc_id", F.length("content").cast("long").alias("n_bytes"), media.mux(F.col("content")).alias("media"))
-    read = stored.select(
-        "doc_id",
-        "n_bytes",
-        F.length("media").cast("long").alias("media_bytes"),
-        F.sha2("media", 256).alias("media_sha256"),
-        media.payload_digest(F.col("media")).alias("payload"),
-        media.probe(F.col("media")).alias("probed"),
-    )
-    return read.select("doc_id", "n_bytes", "payload.payload_bytes", "payload.payload_sha256", "payload.tail_crc32", "media_bytes", "media_sha256", media.feature(F.col("probed")).alias("feature"))
+    stored = docs.select("doc_id", F.length("content").cast("long").alias("n_bytes"), media.round_trip(F.col("content")).alias("read"))
+    return stored.select("doc_id", "n_bytes", "read.*")
 
 
 URL_RULES = [
@@ -69,3 +62,49 @@ WITH cut AS (
 SELECT p.page_id, p.host, p.path, h.rule, coalesce(h.verdict, 'allow') AS verdict
 FROM parts p LEFT JOIN hits h ON h.page_id = p.page_id AND h.n = 1
 """
+
+
+@query
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids packed into sequences of at most 2,048."""
+    return packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json")).plan
+
+
+@query
+def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 vectors of highest inner product for every vector whose id is divisible by 20."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.floor(F.lit(64) * x.cast("double")).cast("double")).alias("vector"))
+    return topk.exact_topk(vectors, F.col("vec_id") % 20 == 0)
+
+
+SQL["op4_exact_topk"] = """
+WITH vectors AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM vectors q JOIN vectors c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+
+@query
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score for every whole text, learned from labels of four fifths of the ids."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = crc_mod("doc_id", 5) == 0
+    model = toxicity.train(docs.filter(~held_out), table(spark, sf_dir, "labels").filter(~held_out).select("doc_id", "toxic"))
+    scored = docs.select("doc_id", held_out.alias("held_out"), toxicity.score(model, F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+@query
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text, learned from two thirds of the ids."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = crc_mod("doc_id", 3) == 1
+    model = langid.train(docs.filter(~held_out))
+    return docs.select("doc_id", held_out.alias("held_out"), langid.identify(model, F.col("text")).alias("r")).select("doc_id", "held_out", "r.lang_pred", "r.score")
