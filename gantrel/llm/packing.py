@@ -27,7 +27,7 @@ UNIT = 4
 CLASSES = CAPACITY // UNIT
 END_ID = 1
 #: Column generation ends once the bound of the duals proves the plan this close to the optimum, or after so many pivots.
-TOLERANCE, MAX_PIVOTS = 1e-5, 6000
+TOLERANCE, MAX_PIVOTS = 5e-4, 4000
 
 
 # --- tokens ---------------------------------------------------------------------------------------------------------
@@ -129,16 +129,35 @@ def _unpack(last: np.ndarray, sizes: np.ndarray, capacity: int, n: int) -> np.nd
     return counts
 
 
+def start_basis(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> np.ndarray:
+    """A pattern for each size, largest first: as many of it as fit, then the largest others that last as long. No
+    pattern holds a size larger than its own, so the patterns form a basis, and a feasible one."""
+    left, basis = demand.astype(float).copy(), np.zeros((len(sizes), len(sizes)))
+    for i in range(len(sizes) - 1, -1, -1):
+        copies = capacity // sizes[i]
+        basis[i, i] = copies
+        room, times = capacity - copies * sizes[i], left[i] / copies
+        j = min(i, int(np.searchsorted(sizes, room, side="right"))) - 1
+        while j >= 0 and times > 0 and room >= sizes[0]:
+            n = min(room // sizes[j], left[j] // times)
+            if n >= 1:
+                basis[j, i] = n
+                left[j] -= n * times
+                room -= n * sizes[j]
+            j = min(j, int(np.searchsorted(sizes, room, side="right"))) - 1
+    return basis
+
+
 def solve_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int = CLASSES) -> tuple[np.ndarray, np.ndarray]:
     """Patterns (columns) and how often to use each so that they cover the demand with fewest sequences: the linear
     program's optimum, before rounding."""
     m = len(sizes)
     if not m:
         return np.zeros((0, 0)), np.zeros(0)
-    basis = np.diag((capacity // sizes).astype(float))
+    basis = start_basis(sizes, demand, capacity)
     cost = np.ones(m)
-    inverse = np.diag(1.0 / np.diag(basis))
-    use = inverse @ demand
+    inverse = np.linalg.inv(basis)
+    use = np.maximum(inverse @ demand, 0)
     pivots = 0
 
     def enter(column: np.ndarray, price: float) -> bool:
