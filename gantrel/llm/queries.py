@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, media, packing, topk, toxicity, url_filter
+from . import langid, media, packing, passages, piece_fst, simhash, token_counts, topk, toxicity, url_filter
 from .common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +108,41 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = crc_mod("doc_id", 3) == 1
     model = langid.train(docs.filter(~held_out))
     return docs.select("doc_id", held_out.alias("held_out"), langid.identify(model, F.col("text")).alias("r")).select("doc_id", "held_out", "r.lang_pred", "r.score")
+
+
+@query
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pre-tokens and unigram tokens of every whole text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return docs.select("doc_id", token_counts.token_counts(F.col("text"), public_tokenizers.path("piece_bpe_32k.model")).alias("r")).select("doc_id", "r.*")
+
+
+@query
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every whole text."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), words=3, radius=2)
+    return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@query
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text encoded to pieces and decoded again."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return docs.select("doc_id", piece_fst.encode_and_decode(F.col("text"), public_tokenizers.path("piece_bpe_32k.model")).alias("r")).select("doc_id", "r.*")
+
+
+@query
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the passages of 50 words or more that repeat an earlier one, and what is left of its text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = passages.merged_spans(passages.repeated_passages(docs, min_words=50, similarity=0.8))
+    joined = docs.join(found, "doc_id", "left")
+    left = passages.without_spans(F.coalesce(F.col("text"), F.lit("")), F.col("spans"))
+    return joined.select(
+        "doc_id",
+        F.coalesce(F.size("spans"), F.lit(0)).alias("n_passages"),
+        F.coalesce(F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]), F.lit(0)).alias("removed_words"),
+        F.coalesce(F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start"], s["end"])), ","), F.lit("")).alias("spans"),
+        F.coalesce(F.col("sources"), F.array().cast("array<bigint>")).alias("sources"),
+        F.sha2(left.cast("binary"), 256).alias("kept_sha256"),
+    )
