@@ -310,23 +310,22 @@ def _sketches(words: int):
                 prints.append(int(lanes[0].view(np.int64)))
                 keys.append(band_keys(lanes) if parts else [])
                 small = np.unique(np.array(shingle_hashes(t, words), np.uint64))
-                sketches.append((len(small), small[:SKETCH].astype("<u8").tobytes()))
-            sizes, bottoms = zip(*sketches) if sketches else ([], [])
-            yield pa.StructArray.from_arrays([pa.array(prints, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.int64()), pa.array(bottoms, pa.binary())], names=["fp", "keys", "size", "bottom"])
+                sketches.append((small[:SKETCH] >> np.uint64(32)).astype("<u4").tobytes())
+            yield pa.StructArray.from_arrays([pa.array(prints, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["fp", "keys", "bottom"])
 
     return run
 
 
 def similarity(a: bytes, b: bytes) -> float:
-    """Jaccard similarity of two shingle sets from their smallest hashes: the share of the union's smallest that both
-    have. Exact where neither set was cut."""
-    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+    """Jaccard similarity of two shingle sets from the upper halves of their smallest hashes: the share of the union's
+    smallest that both have. Exact, but for colliding halves, where neither set was cut."""
+    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
     if not len(x) or not len(y):
         return float(len(x) == len(y))
     union = np.union1d(x, y)
     if len(x) == SKETCH or len(y) == SKETCH:
         union = union[:SKETCH]
-    both = np.intersect1d(x, y, assume_unique=True)
+    both = np.intersect1d(x, y)
     return float(np.isin(both, union).sum() / len(union))
 
 
@@ -339,13 +338,15 @@ def similar_documents(docs: DataFrame, words: int = 5, least: float = 0.8, doc_i
     measured. Null and empty texts are equal to each other only. Texts shorter than a shingle count as one shingle.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("same"), F.col(text).alias("text"))
-    rows = rows.select("doc_id", "same", F.arrow_udf(_sketches(words), "struct<fp:bigint,keys:array<bigint>,size:bigint,bottom:binary>")("text").alias("s"))
+    rows = rows.select("doc_id", "same", F.arrow_udf(_sketches(words), "struct<fp:bigint,keys:array<bigint>,bottom:binary>")("text").alias("s"))
     rows = materialize(rows.select("doc_id", "same", "s.*"), "sketches")
     first = materialize(rows.groupBy("same").agg(F.min("doc_id").alias("id")), "first")
-    nodes = rows.join(first.select("id"), rows["doc_id"] == first["id"], "left_semi").dropDuplicates(["doc_id"])
+    nodes = rows.select("doc_id", "fp", "keys").join(first.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     keyed = nodes.select(F.col("doc_id").alias("id"), "fp", F.explode("keys").alias("key"))
     pairs = shard_links(keyed, WIDE_RADIUS, nearest_only=True).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
-    sketches = nodes.select("doc_id", "bottom")
+    pairs = materialize(pairs, "pairs")
+    involved = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
+    sketches = materialize(rows.select("doc_id", "bottom").join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "involved")
 
     def measure(a: pa.Array, b: pa.Array) -> pa.Array:
         return pa.array([similarity(x, y) for x, y in zip(as_bytes(a), as_bytes(b))], pa.float64())
