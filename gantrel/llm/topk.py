@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 QUERY_BLOCK, CANDIDATE_BLOCK, STRIP = 1024, 16384, 1024
 LEVELS = (1, 4, 16)
+#: Below one pair in so many, survivors are bounded one by one instead of all pairs by matrix products.
+FEW = 32
 #: Products of integers below this stay exact in double precision (64 of them stay below 2**53).
 EXACT = 2.0**23
 
@@ -45,36 +47,45 @@ def block_topk(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarra
     for start in range(0, len(c), STRIP):
         ids, x = c_ids[start : start + STRIP], c[start : start + STRIP]
         threshold = best_score[:, -1]
+        full = len(q) * len(ids)
         if np.isinf(threshold).any() or not levels:
-            rows, cols = np.nonzero(q_ids[:, None] != ids[None, :])
+            score = np.where(q_ids[:, None] != ids[None, :], q @ x.T, -np.inf)
+            least = np.partition(score, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(q), -np.inf)
+            rows, cols = np.nonzero((score >= np.maximum(least, threshold)[:, None]) & (score > -np.inf))
+            score = score[rows, cols]
         else:
-            features = [segment_features(x, s) for s in levels]
             slack = 1e-9 * (np.abs(q).max() * np.abs(x).max() * dim + 1.0)
-            bound = q_features[0] @ features[0].T
-            rows, cols = np.nonzero((bound + slack >= threshold[:, None]) & (q_ids[:, None] != ids[None, :]))
-            for mine, theirs in zip(q_features[1:], features[1:]):
-                keep = np.empty(len(rows), bool)
-                for a in range(0, len(rows), 1 << 16):
-                    b = slice(a, a + (1 << 16))
-                    keep[b] = np.einsum("ij,ij->i", mine[rows[b]], theirs[cols[b]]) + slack >= threshold[rows[b]]
-                rows, cols = rows[keep], cols[keep]
+            wanted = threshold[:, None] - slack
+            open_ = None  # pairs that no bound has closed yet: all, a mask while they are many, then lists
+            rows = cols = None
+            for mine, s in zip(q_features, levels):
+                theirs = segment_features(x, s)
+                if rows is None:
+                    above = mine @ theirs.T >= wanted
+                    open_ = above if open_ is None else open_ & above
+                    if np.count_nonzero(open_) * FEW < full:
+                        rows, cols = np.nonzero(open_)
+                elif len(rows):
+                    keep = np.einsum("ij,ij->i", mine[rows], theirs[cols]) + slack >= threshold[rows]
+                    rows, cols = rows[keep], cols[keep]
+            if rows is None:
+                score = q @ x.T
+                rows, cols = np.nonzero(open_ & (score >= threshold[:, None]))
+                score = score[rows, cols]
+            else:
+                score = np.einsum("ij,ij->i", q[rows], x[cols])
+            keep = (score >= threshold[rows]) & (q_ids[rows] != ids[cols])
+            rows, cols, score = rows[keep], cols[keep], score[keep]
         if not len(rows):
             continue
-        score = np.empty(len(rows))
-        if 4 * len(rows) > len(q) * len(ids):
-            score = (q @ x.T)[rows, cols]
-        else:
-            for a in range(0, len(rows), 1 << 16):
-                b = slice(a, a + (1 << 16))
-                score[b] = np.einsum("ij,ij->i", q[rows[b]], x[cols[b]])
-        all_rows = np.concatenate((np.repeat(np.arange(len(q)), k), rows))
-        all_scores = np.concatenate((best_score.ravel(), score))
-        all_ids = np.concatenate((best_id.ravel(), ids[cols]))
+        touched = np.unique(rows)
+        all_rows = np.concatenate((np.repeat(np.arange(len(touched)), k), np.searchsorted(touched, rows)))
+        all_scores = np.concatenate((best_score[touched].ravel(), score))
+        all_ids = np.concatenate((best_id[touched].ravel(), ids[cols]))
         by = np.lexsort((all_ids, -all_scores, all_rows))
-        all_rows, all_scores, all_ids = all_rows[by], all_scores[by], all_ids[by]
-        first = np.searchsorted(all_rows, np.arange(len(q)))
-        take = first[:, None] + np.arange(k)[None, :]
-        best_score, best_id = all_scores[take], all_ids[take]
+        all_scores, all_ids = all_scores[by], all_ids[by]
+        take = np.searchsorted(all_rows[by], np.arange(len(touched)))[:, None] + np.arange(k)[None, :]
+        best_score[touched], best_id[touched] = all_scores[take], all_ids[take]
     found = np.isfinite(best_score)
     return np.nonzero(found)[0], best_id[found], best_score[found]
 
