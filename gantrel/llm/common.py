@@ -28,7 +28,18 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later stages survive lost executors and do not recompute it."""
     path = f"{scratch_dir(df.sparkSession).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    held = df.sparkSession.read.schema(df.schema).parquet(path)
+    held._scratch_path = path
+    return held
+
+
+def discard(*held: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for frames that nothing reads any more."""
+    for df in held:
+        if path := getattr(df, "_scratch_path", None):
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

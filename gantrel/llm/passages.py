@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 from .simhash import shingle_hashes
 
 WORDS = 5
@@ -139,8 +139,9 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, similarity: float =
     spark = docs.sparkSession
     shortest = min_words - WORDS + 1
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    pairs = candidate_pairs(materialize(window_rows(texts, min_words), "windows"))
-    pairs = materialize(pairs, "pairs")
+    windows = materialize(window_rows(texts, min_words), "windows")
+    pairs = materialize(candidate_pairs(windows), "pairs")
+    discard(windows)
     involved = pairs.select("doc_id").union(pairs.select("source")).distinct()
     held = materialize(texts.join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "involved")
     sources = held.select(F.col("doc_id").alias("source"), F.col("text").alias("source_text"))
@@ -166,7 +167,9 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, similarity: float =
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], schema=schema)
 
     with small_batches(spark, 128):
-        return materialize(both.select("source", "doc_id", "text", "source_text").mapInArrow(verify, "doc_id bigint, source bigint, start bigint, end bigint"), "passages")
+        found = materialize(both.select("source", "doc_id", "text", "source_text").mapInArrow(verify, "doc_id bigint, source bigint, start bigint, end bigint"), "passages")
+    discard(pairs, held)
+    return found
 
 
 def merged_spans(passages: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, materialize
+from .common import as_bytes, discard, materialize
 
 SEED = 42
 #: Most fingerprints in one tree.
@@ -246,7 +246,8 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        edges = materialize(small, "edges")
+        old, edges = edges, materialize(small, "edges")
+        discard(old)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -354,6 +355,7 @@ def similar_documents(docs: DataFrame, words: int = 5, least: float = 0.8, doc_i
     both = pairs.join(sketches.select(F.col("doc_id").alias("u"), F.col("bottom").alias("x")), "u").join(sketches.select(F.col("doc_id").alias("v"), F.col("bottom").alias("y")), "v")
     links = both.filter(F.arrow_udf(measure, "double")("x", "y") >= least).select("u", "v")
     roots = components(links)
+    discard(pairs, sketches)
     classes = first.join(roots, first["id"] == roots["node"], "left").select("same", F.coalesce("root", "id").alias("component_id"))
     return rows.select("doc_id", "same").join(classes, "same").select("doc_id", "component_id")
 
