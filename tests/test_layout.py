@@ -156,6 +156,31 @@ def test_raster():
     assert raster.kmeans_rows(np.array([0, 1, 7, 8]), np.ones(4), 2).tolist() == [0.5, 7.5]
 
 
+def test_fits_of_images_match_numpy(spark):
+    import os
+
+    from gantrel.plans import pixels as queries
+
+    data = "/root/testdata/sf0.001"
+    if not os.path.isdir(data):
+        pytest.skip("no tables here")
+    grids = {}
+    for r in queries.gray(spark, data).filter("image < 20").collect():
+        grids.setdefault(r.image, np.zeros((8, 8)))[r.y, r.x] = r.v
+    y, x = np.mgrid[0:8, 0:8].astype(float)
+    ring = ~((x >= 2) & (x <= 5) & (y >= 2) & (y <= 5))
+    design = np.stack([np.ones_like(x), x, y, x * x, x * y, y * y], axis=-1)
+    for r in queries.poly_fit(spark, data).filter("image < 20").collect():
+        w = np.linalg.lstsq(design[ring], grids[r.image][ring], rcond=None)[0]
+        assert abs(r.center - w @ [1, 3.5, 3.5, 12.25, 12.25, 12.25]) < 1e-3
+    for r in queries.kmeans_lines(spark, data).filter("image < 20").collect():
+        rows = np.repeat(np.arange(8), (grids[r.image] > 140).sum(axis=1))
+        splits = [rows[:i] for i in range(1, len(rows)) if rows[i] != rows[i - 1]]
+        best = min((((a - a.mean()) ** 2).sum() + ((b := rows[len(a) :]) - b.mean()) @ (b - b.mean()) for a in splits), default=0.0)
+        got = sum(min((v - c) ** 2 for c in r.centers) for v in rows)
+        assert got <= best + 1e-2
+
+
 def test_morphology_matches_numpy(spark):
     rng = np.random.default_rng(0)
     grid = rng.random((12, 15)) > 0.8
