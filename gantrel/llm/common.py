@@ -42,6 +42,15 @@ def discard(*held: DataFrame) -> None:
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Rows of a side that is broadcast once it has been counted; a larger side is shuffled.
+BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_if_small(held: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """A materialised side of few and narrow columns, marked for broadcast if it has no more than ``limit`` rows."""
+    return F.broadcast(held) if held.count() <= limit else held
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -51,6 +60,20 @@ def crc_mod(key: str, modulus: int) -> Column:
     return F.crc32(F.col(key).cast("string").cast("binary")) % F.lit(modulus)
 
 
+#: Ranks of ``hash_rank`` lie below this.
+RANKS = 1 << 40
+
+
+def hash_rank(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(RANKS))
+
+
+def hashed_share(key: str, wanted: int, total: Column) -> Column:
+    """Whether a row can be among the ``wanted`` of lowest ``hash_rank`` out of ``total``: twice the share that is
+    expected to be needed passes, all rows of a group no larger than that."""
+    return hash_rank(key) < F.lit(RANKS) * F.least(F.lit(1.0), F.lit(2.0 * wanted) / total)
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """Drop columns, compared case-insensitively, that an operator is about to add."""
     taken = {n.lower() for n in names}

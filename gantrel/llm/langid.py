@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .common import chunks, hash_rank, hashed_share
 
 BITS = 18
 ORDERS = (1, 2, 3, 4)
@@ -102,9 +102,11 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     rows whose text holds a letter and whose language is not null. Bucket sets are made on the executors; the driver
     receives only those of the sample. Without a usable row the model knows no language."""
     usable = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"))
-    common = [r["lang"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()]
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = usable.filter(F.col("lang").isin(common)).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= TRAIN_TEXTS).select("id", "n").distinct()
+    common = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    total = F.coalesce(*[F.when(F.col("lang") == name, F.lit(n)) for name, n in common.items()], F.lit(1))
+    order = Window.partitionBy("lang").orderBy(hash_rank("id"), "id")
+    candidates = usable.filter(F.col("lang").isin(*common) & hashed_share("id", TRAIN_TEXTS, total))
+    chosen = candidates.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= TRAIN_TEXTS).select("id", "n").distinct()
 
     def sets(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         seen = np.zeros(1 << BITS, bool)

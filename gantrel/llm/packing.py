@@ -272,8 +272,8 @@ def _tail_cuts(total: int) -> list[int]:
 def pack_documents(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text") -> Packed:
     """Pack every document into sequences of at most 2,048 ids.
 
-    Null and empty texts are one end id. Long texts are cut; equal rows are packed as often as they occur. An empty
-    table gives an empty plan. Other columns of the input are not read. Sequences padded beyond ``UNIT - 1`` ids a
+    Null and empty texts are one end id. Long texts are cut; equal rows are packed as often as they occur, and rows of a
+    null id keep it (two different texts must not share an id, null included). An empty table gives an empty plan. Other columns of the input are not read. Sequences padded beyond ``UNIT - 1`` ids a
     piece do not occur except where no pieces of fitting length exist; the end of the leftovers' stream is cut into
     powers of two, which need no padding.
     """
@@ -335,9 +335,11 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id",
         (F.size("begins") > 1).alias("is_cut"),
     )
     parts = materialize(parts, "parts")
-    keys = F.broadcast(parts.filter("is_cut").select("doc_id", "piece").distinct())
-    held = pieces.select("doc_id", F.col("start").alias("piece"), "ids").join(keys, ["doc_id", "piece"], "left_semi").dropDuplicates(["doc_id", "piece"])
-    torn = held.join(parts.filter("is_cut").drop("ids_crc32"), ["doc_id", "piece"])
+    keys = F.broadcast(parts.filter("is_cut").select(F.col("doc_id").alias("__doc"), F.col("piece").alias("__piece")).distinct())
+    same = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("start") == F.col("__piece"))
+    held = pieces.join(keys, same, "left_semi").select(F.col("doc_id").alias("__doc"), F.col("start").alias("__piece"), "ids").dropDuplicates(["__doc", "__piece"])
+    cut_parts = parts.filter("is_cut").drop("ids_crc32")
+    torn = held.join(cut_parts, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("piece") == F.col("__piece")))
     torn = torn.withColumn("ids_crc32", F.crc32(F.substring(F.col("ids"), (4 * (F.col("start") - F.col("piece")) + 1).cast("int"), (4 * F.col("length")).cast("int"))))
     return Packed(whole.unionByName(parts.filter("not is_cut").select(columns)).unionByName(torn.select(columns)), pieces)
 
@@ -345,5 +347,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id",
 def sequence_ids(packed: Packed) -> DataFrame:
     """The plan with each piece's ids as a column of little-endian unsigned 32-bit numbers."""
     plan = packed.plan.withColumn("piece", F.floor(F.col("start") / CAPACITY) * CAPACITY)
-    held = packed.pieces.select("doc_id", F.col("start").alias("piece"), "ids")
-    return plan.join(held, ["doc_id", "piece"]).withColumn("ids", F.substring(F.col("ids"), (4 * (F.col("start") - F.col("piece")) + 1).cast("int"), (4 * F.col("length")).cast("int"))).drop("piece")
+    held = packed.pieces.select(F.col("doc_id").alias("__doc"), F.col("start").alias("__piece"), "ids").dropDuplicates(["__doc", "__piece"])
+    both = plan.join(held, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("piece") == F.col("__piece")))
+    part = F.substring(F.col("ids"), (4 * (F.col("start") - F.col("piece")) + 1).cast("int"), (4 * F.col("length")).cast("int"))
+    return both.withColumn("ids", part).drop("piece", "__doc", "__piece")

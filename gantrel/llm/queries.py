@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import langid, media, packing, passages, piece_fst, simhash, token_counts, topk, toxicity, url_filter
-from .common import crc_mod, table
+from .common import broadcast_if_small, crc_mod, materialize, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -73,7 +73,9 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 vectors of highest inner product for every vector whose id is divisible by 20."""
-    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.floor(F.lit(64) * x.cast("double")).cast("double")).alias("vector"))
+    finite = lambda x: ~F.isnan(x) & (F.abs(x) < float("inf"))  # noqa: E731  floor() would make a number of either
+    floored = F.transform("embedding", lambda x: F.when(finite(x), F.floor(F.lit(64) * x.cast("double")).cast("double")))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", floored.alias("vector"))
     return topk.exact_topk(vectors, F.col("vec_id") % 20 == 0)
 
 

@@ -22,8 +22,8 @@ QUERY_BLOCK, CANDIDATE_BLOCK, STRIP = 1024, 16384, 1024
 LEVELS = (1, 4, 16)
 #: Below one pair in so many, survivors are bounded one by one instead of all pairs by matrix products.
 FEW = 32
-#: Products of integers below this stay exact in double precision (64 of them stay below 2**53).
-EXACT = 2.0**23
+#: Sums of products up to the first stay exact in double precision; components below the second keep any score in 64 bits.
+EXACT, LARGEST = 2.0**53, 2.0**28
 
 
 def segment_features(x: np.ndarray, segments: int) -> np.ndarray:
@@ -90,6 +90,20 @@ def block_topk(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarra
     return np.nonzero(found)[0], best_id[found], best_score[found]
 
 
+def block_topk_large(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``block_topk`` for components whose products doubles would round: all pairs in 64-bit integers, strip by strip."""
+    score, ids = np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0), np.int64)
+    valid = np.zeros((len(q), 0), bool)
+    for start in range(0, len(c), STRIP):
+        strip = c_ids[start : start + STRIP]
+        score = np.concatenate((score, q.astype(np.int64) @ c[start : start + STRIP].astype(np.int64).T), axis=1)
+        ids = np.concatenate((ids, np.broadcast_to(strip, (len(q), len(strip)))), axis=1)
+        valid = np.concatenate((valid, q_ids[:, None] != strip[None, :]), axis=1)
+        order = np.lexsort((ids, -score, ~valid), axis=1)[:, :k]
+        score, ids, valid = (np.take_along_axis(a, order, axis=1) for a in (score, ids, valid))
+    return np.nonzero(valid)[0], ids[valid], score[valid]
+
+
 def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
     flat = [c.flatten() for c in column.chunks]
     return np.concatenate([np.zeros(0), *[f.to_numpy(zero_copy_only=False) for f in flat]]).reshape(-1, dim)
@@ -99,11 +113,11 @@ def exact_topk(vectors: DataFrame, is_query: Column, k: int = 20, dim: int = 64,
     """query_id, rank (from 1), vec_id and score for each query's k largest integer inner products among all other rows.
 
     ``vector`` holds integers as doubles. Rows whose id or vector is null, whose vector holds a null or non-finite
-    component, has other than ``dim`` components or one of 2**23 or more in size (beyond which doubles would round)
+    component, has other than ``dim`` components or one of 2**28 or more in size (whose scores need not fit a long)
     take no part. Rows of equal id count once if they are equal and each for itself if not; none meets its own id.
     Ties go to the smaller id. An empty table, or one without queries, gives no rows; other columns are not read.
     """
-    bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) >= EXACT))
+    bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) >= LARGEST))
     rows = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), is_query.alias("q"))
     rows = rows.filter(F.col("id").isNotNull() & (F.size("v") == dim) & ~bad)
     sizes = rows.agg(F.count("*").alias("n"), F.count_if("q").alias("m")).first()
@@ -120,7 +134,8 @@ def exact_topk(vectors: DataFrame, is_query: Column, k: int = 20, dim: int = 64,
             q, c = _matrix(left.column("v"), dim), _matrix(right.column("v"), dim)
             for start in range(0, len(q_ids), QUERY_BLOCK):
                 part = slice(start, start + QUERY_BLOCK)
-                at, ids, score = block_topk(q_ids[part], q[part], c_ids, c, k)
+                large = np.abs(q[part]).max() * np.abs(c).max() * dim >= EXACT
+                at, ids, score = (block_topk_large if large else block_topk)(q_ids[part], q[part], c_ids, c, k)
                 for held, more in zip(out, (q_ids[part][at], ids, score.astype(np.int64))):
                     held.append(more)
         return pa.table({n: pa.array(np.concatenate([np.zeros(0, np.int64), *x]), pa.int64()) for n, x in zip(("query_id", "vec_id", "score"), out)})

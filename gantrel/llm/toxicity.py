@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import hash_rank, hashed_share
+
 #: Bounds of the fitted sample, for each label, and of the voters.
 TRAIN_ROWS, VOTERS = 4000, 400
 STARTS = (4, 5, 6)
@@ -115,12 +117,15 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     texts take no part; of several labels for one id the largest counts. Without rows of both labels the model has no
     voters and gives every text the same score, 1 or 0 as the rows' only label, 0 without any."""
     known = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y")).filter("id is not null and y in (0, 1)").groupBy("id").agg(F.max("y").alias("y"))
-    order = Window.partitionBy("y").orderBy(F.xxhash64("id"), "id")
-    chosen = known.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= TRAIN_ROWS).select("id", "y")
     totals = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not (totals.get(0) and totals.get(1)):
         return Model([], np.zeros(0), 30.0 if totals.get(1) else -30.0, np.zeros((2, 0)), np.zeros(0))
 
+    total = F.when(F.col("y") == 1, F.lit(totals[1])).otherwise(F.lit(totals[0]))
+    order = Window.partitionBy("y").orderBy(hash_rank("id"), "id")
+    candidates = known.filter(hashed_share("id", TRAIN_ROWS, total))
+    chosen = candidates.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= TRAIN_ROWS).select("id", "y")
+
     def distinct_cues(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             yield pa.array([sorted({c for token in set(t.as_py().lower().split()) for c in cues(token)}) for t in batch], pa.list_(pa.string()))

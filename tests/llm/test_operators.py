@@ -115,6 +115,14 @@ def test_packing(docs, texts, empty):
     assert packing.pack_documents(empty, BPE).plan.count() == 0
 
 
+def test_packing_of_null_ids(spark):
+    text = prose(random.Random(1), 900)
+    df = spark.createDataFrame([(None, text), *[(i, prose(random.Random(i), 700)) for i in range(6)]], "doc_id long, text string")
+    rows = packing.pack_documents(df, BPE).plan.collect()
+    mine = sorted((r for r in rows if r.doc_id is None), key=lambda r: r.start)
+    assert sum(r.length for r in mine) == mine[0].doc_tokens and [r.start for r in mine] == [sum(m.length for m in mine[:i]) for i in range(len(mine))]
+
+
 def test_pattern_program():
     rng = np.random.default_rng(3)
     sizes = np.arange(20, 300, 7)
@@ -201,6 +209,28 @@ def test_topk(spark):
     assert topk.exact_topk(df.filter("vec_id < 0"), F.lit(True)).count() == 0
 
 
+def test_topk_of_large_components(spark):
+    rng = np.random.default_rng(5)
+    x = rng.integers(-(2**27), 2**27, (60, 64))
+    x[3] = x[9]
+    df = spark.createDataFrame([(i, v.astype(float).tolist()) for i, v in enumerate(x)] + [(99, [2.0**40] * 64)], "vec_id long, vector array<double>")
+    full = x.astype(object) @ x.T.astype(object)
+    got = defaultdict(list)
+    for r in topk.exact_topk(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    assert got == {q: [(i, full[q, i]) for i in sorted((i for i in range(60) if i != q), key=lambda i: (-full[q, i], i))[:20]] for q in (0, 20, 40)}
+
+
+def test_topk_query_leaves_out_odd_vectors(spark, tmp_path):
+    from gantrel.llm.queries import QUERIES
+
+    rows = [(i, [0.1 * i] * 64) for i in range(30)]
+    rows += [(100, [float("nan")] * 64), (101, [float("inf")] + [0.0] * 63), (102, [-float("inf")] * 64), (103, [None] * 64), (104, None), (120, [float("nan")] + [9.0] * 63)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = QUERIES["op4_exact_topk"](spark, str(tmp_path)).collect()
+    assert {r.query_id for r in got} == {0, 20} and all(r.vec_id < 30 for r in got) and len(got) == 40
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(1)
     q, c = rng.normal(size=(20, 64)) * 9, rng.normal(size=(50, 64)) * 9
