@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import broadcast_if_small, discard, materialize
 from .simhash import shingle_hashes
 
 WORDS = 5
@@ -26,6 +26,8 @@ WORDS = 5
 FUNCTIONS, AGREE = 4, 2
 #: Two edits in a row spoil this many shingles.
 GAP = 2 * WORDS
+#: Texts with passages up to which their spans are broadcast to all texts.
+SPAN_ROWS = 250_000
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _SEEDS = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1)) & 0xFFFFFFFFFFFFFFFF for i in range(64)], np.uint64)
 
@@ -142,8 +144,8 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, similarity: float =
     windows = materialize(window_rows(texts, min_words), "windows")
     pairs = materialize(candidate_pairs(windows), "pairs")
     discard(windows)
-    involved = pairs.select("doc_id").union(pairs.select("source")).distinct()
-    held = materialize(texts.join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "involved")
+    involved = materialize(pairs.select("doc_id").union(pairs.select("source")).distinct(), "involved")
+    held = materialize(texts.join(broadcast_if_small(involved), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
     sources = held.select(F.col("doc_id").alias("source"), F.col("text").alias("source_text"))
     both = pairs.join(held, "doc_id").join(sources, "source")
 
@@ -168,7 +170,7 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, similarity: float =
 
     with small_batches(spark, 128):
         found = materialize(both.select("source", "doc_id", "text", "source_text").mapInArrow(verify, "doc_id bigint, source bigint, start bigint, end bigint"), "passages")
-    discard(pairs, held)
+    discard(pairs, involved, held)
     return found
 
 
@@ -210,7 +212,8 @@ def remove_repeats(docs: DataFrame, min_words: int = 50, similarity: float = 0.8
     A text of which no word is left goes; all others, null and empty ones included, stay with all their columns. Columns
     of the names that are used on the way (``spans``, ``sources``) may exist in the input.
     """
-    spans = merged_spans(repeated_passages(docs, min_words, similarity, doc_id, text)).select(F.col("doc_id").alias("__doc"), F.col("spans").alias("__spans"))
-    joined = docs.join(spans, F.col(f"`{doc_id}`").cast("long") == F.col("__doc"), "left")
+    spans = materialize(merged_spans(repeated_passages(docs, min_words, similarity, doc_id, text)), "spans")
+    named = broadcast_if_small(spans.select(F.col("doc_id").alias("__doc"), F.col("spans").alias("__spans")), SPAN_ROWS)
+    joined = docs.join(named, F.col(f"`{doc_id}`").cast("long") == F.col("__doc"), "left")
     kept = joined.withColumn(text, without_spans(F.col(f"`{text}`"), F.col("__spans")))
     return kept.filter(F.col("__spans").isNull() | F.col(f"`{text}`").rlike(r"[^\x20\x09-\x0D]")).select(*[F.col(f"`{c}`") for c in docs.columns])

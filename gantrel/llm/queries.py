@@ -137,8 +137,8 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the passages of 50 words or more that repeat an earlier one, and what is left of its text."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = passages.merged_spans(passages.repeated_passages(docs, min_words=50, similarity=0.8))
-    joined = docs.join(found, "doc_id", "left")
+    found = materialize(passages.merged_spans(passages.repeated_passages(docs, min_words=50, similarity=0.8)), "spans")
+    joined = docs.join(broadcast_if_small(found, passages.SPAN_ROWS), "doc_id", "left")
     left = passages.without_spans(F.coalesce(F.col("text"), F.lit("")), F.col("spans"))
     return joined.select(
         "doc_id",

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, discard, materialize
+from .common import as_bytes, broadcast_if_small, discard, materialize
 
 SEED = 42
 #: Most fingerprints in one tree.
@@ -117,6 +117,18 @@ class BKTree:
                 stack += [kids[edge] for edge in range(d - radius, d + radius + 1) if edge in kids]
         return found
 
+    def closest(self, item: int, radius: int) -> tuple[int, int] | None:
+        """(distance, stored item) of one of the nearest within the radius, which shrinks to the best distance so far."""
+        best, stack = None, [0] if self.items else []
+        while stack and radius >= 0:
+            at = stack.pop()
+            d = (self.items[at] ^ item).bit_count()
+            if d <= radius:
+                best, radius = (d, self.items[at]), d - 1
+            low, high = d - radius, d + radius
+            stack += [child for edge, child in self.children[at].items() if low <= edge <= high]
+        return best
+
 
 def forest(tree: list[int], probes: list[int] | None, radius: int) -> list[tuple[int, int]]:
     """Links (item, root) that connect what lies within the radius of each other among ``tree``'s items, or between them
@@ -150,14 +162,16 @@ def forest(tree: list[int], probes: list[int] | None, radius: int) -> list[tuple
 
 
 def nearest(ids: list[int], items: list[int], more_ids: list[int], more: list[int], radius: int) -> list[tuple[int, int]]:
-    """Links (id, id) of each item to its nearest and its first neighbour within the radius: among the items before it,
-    or, if there are ``more``, of each of those among the items."""
+    """Links (id, id) of each item to its nearest neighbour within the radius, and to the tree's first item where that
+    lies within it: among the items before it, or, if there are ``more``, of each of those among the items. At most two
+    links an item, however large the group."""
     held, name, out = BKTree(), {}, []
 
     def link(i: int, x: int) -> None:
-        if found := held.within(x, radius):
-            best = min(found, key=lambda f: (f[0], name[f[1]]))
-            out.extend({(i, name[best[1]]), (i, min(name[f[1]] for f in found))})
+        if found := held.closest(x, radius):
+            out.append((i, name[found[1]]))
+            if (first := held.items[0]) != found[1] and (first ^ x).bit_count() <= radius:
+                out.append((i, name[first]))
 
     for i, x in zip(ids, items):
         if not more:
@@ -258,8 +272,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, doc_id: st
     """doc_id, fingerprint (signed 64-bit) and component_id, the smallest doc_id reachable over links of at most
     ``radius`` differing bits, for every row.
 
-    Null and wordless texts have fingerprint 0 and link like any other; equal rows get equal results. An empty table
-    gives no rows. Only the two named columns are read, so other columns cannot clash.
+    Null and wordless texts have fingerprint 0 and link like any other; equal rows get equal results. A null doc_id is
+    judged like any other but names no component. An empty table gives no rows. Only the two named columns are read, so other columns cannot clash.
     """
     prints = materialize(docs.select(F.col(doc_id).alias("doc_id"), fingerprint(F.col(text), words).alias("fp")), "fingerprints")
     nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
@@ -335,8 +349,9 @@ def similar_documents(docs: DataFrame, words: int = 5, least: float = 0.8, doc_i
     at least ``least``; component_id is the smallest doc_id of the class.
 
     Equal texts are one node, named by their smallest doc_id. Candidates are rows whose wide fingerprints agree on a
-    band and lie within the radius in its BK-tree; of each row, the nearest and the first neighbour in each shard are
-    measured. Null and empty texts are equal to each other only. Texts shorter than a shingle count as one shingle.
+    band and lie within the radius in its BK-tree; of each row, the nearest neighbour in each shard and the shard's first
+    row, if near, are measured. Null and empty texts are equal to each other only. Texts shorter than a shingle count as one shingle. Rows
+    of a null doc_id take their text's class, which is null if no row with an id has the text.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("same"), F.col(text).alias("text"))
     rows = rows.select("doc_id", "same", F.arrow_udf(_sketches(words), "struct<fp:bigint,keys:array<bigint>,bottom:binary>")("text").alias("s"))
@@ -346,8 +361,8 @@ def similar_documents(docs: DataFrame, words: int = 5, least: float = 0.8, doc_i
     keyed = nodes.select(F.col("doc_id").alias("id"), "fp", F.explode("keys").alias("key"))
     pairs = shard_links(keyed, WIDE_RADIUS, nearest_only=True).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
     pairs = materialize(pairs, "pairs")
-    involved = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
-    sketches = materialize(rows.select("doc_id", "bottom").join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "involved")
+    involved = materialize(pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct(), "involved")
+    sketches = materialize(rows.select("doc_id", "bottom").join(broadcast_if_small(involved), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "bottoms")
 
     def measure(a: pa.Array, b: pa.Array) -> pa.Array:
         return pa.array([similarity(x, y) for x, y in zip(as_bytes(a), as_bytes(b))], pa.float64())
@@ -355,7 +370,7 @@ def similar_documents(docs: DataFrame, words: int = 5, least: float = 0.8, doc_i
     both = pairs.join(sketches.select(F.col("doc_id").alias("u"), F.col("bottom").alias("x")), "u").join(sketches.select(F.col("doc_id").alias("v"), F.col("bottom").alias("y")), "v")
     links = both.filter(F.arrow_udf(measure, "double")("x", "y") >= least).select("u", "v")
     roots = components(links)
-    discard(pairs, sketches)
+    discard(pairs, involved, sketches)
     classes = first.join(roots, first["id"] == roots["node"], "left").select("same", F.coalesce("root", "id").alias("component_id"))
     return rows.select("doc_id", "same").join(classes, "same").select("doc_id", "component_id")
 
