@@ -51,6 +51,23 @@ def broadcast_if_small(held: DataFrame, limit: int = BROADCAST_ROWS) -> DataFram
     return F.broadcast(held) if held.count() <= limit else held
 
 
+#: Bytes of rows that Python gets at once: a batch of whole texts stays small however long they are.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch size to ``BATCH_BYTES``; a smaller one, or one bounded in rows, stays as it is."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) > BATCH_BYTES:
+        spark.conf.set(name, BATCH_BYTES)
+
+
+def arrow_udf(*args):
+    """``pyspark.sql.functions.arrow_udf`` over batches of bounded size."""
+    bound_batches(SparkSession.active())
+    return F.arrow_udf(*args)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, hash_rank, hashed_share
+from .common import arrow_udf, chunks, hash_rank, hashed_share
 
 BITS = 18
 ORDERS = (1, 2, 3, 4)
@@ -114,7 +114,7 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
             yield pa.array([presence(t.as_py(), seen).astype("<i4").tobytes() if _LETTER.search(t.as_py()) else None for t in batch], pa.binary())
 
     sample = docs.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sample = sample.join(F.broadcast(chosen), "id").select("id", "n", "lang", F.arrow_udf(sets, "binary")("text").alias("set"))
+    sample = sample.join(F.broadcast(chosen), "id").select("id", "n", "lang", arrow_udf(sets, "binary")("text").alias("set"))
     rows = sorted((r for r in sample.collect() if r["set"] is not None), key=lambda r: (r["lang"], r["n"], r["id"]))
     return fit([np.frombuffer(r["set"], "<i4") for r in rows], [r["lang"] for r in rows])
 
@@ -157,4 +157,4 @@ def identify(model: Model, text: Column) -> Column:
                 sure.append(b)
             yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(np.concatenate([np.zeros(0), *sure]), pa.float64())], names=["lang_pred", "score"])
 
-    return F.arrow_udf(predict, "struct<lang_pred:string,score:double>")(text)
+    return arrow_udf(predict, "struct<lang_pred:string,score:double>")(text)

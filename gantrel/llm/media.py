@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .common import as_bytes
+from .common import arrow_udf, as_bytes
 
 FRAME = 64
 TIMESCALE, FRAME_TICKS = 25_000, 1_000
@@ -212,18 +212,18 @@ def describe(track: dict) -> str:
 
 def mux(content: Column) -> Column:
     """Store text (as UTF-8) or binary content in a container. Null and empty content become one frame of zeros."""
-    return F.arrow_udf(_mux, "binary")(content)
+    return arrow_udf(_mux, "binary")(content)
 
 
 def probe(media: Column) -> Column:
     """Number of tracks, and of the first one kind, codec, size, duration, sample count and the byte range of each key
     frame, from the boxes alone. Data without a track, empty or null gives tracks 0, null kind and codec, and no ranges."""
-    return F.arrow_udf(_probe, PROBE)(media)
+    return arrow_udf(_probe, PROBE)(media)
 
 
 def payload_digest(media: Column) -> Column:
     """Length, SHA-256 and CRC-32 of the last frame of the first track's media bytes, read through its chunk table."""
-    return F.arrow_udf(_payload, PAYLOAD)(media)
+    return arrow_udf(_payload, PAYLOAD)(media)
 
 
 ROUND_TRIP = "struct<media_bytes:bigint,media_sha256:string,payload_bytes:bigint,payload_sha256:string,tail_crc32:bigint,feature:string>"
@@ -232,4 +232,4 @@ ROUND_TRIP = "struct<media_bytes:bigint,media_sha256:string,payload_bytes:bigint
 def round_trip(content: Column) -> Column:
     """``mux``, then what ``payload_digest`` and ``probe`` find in the stored bytes, in one pass, so that containers do
     not travel between processes. Null and empty content as in ``mux``."""
-    return F.arrow_udf(_round_trip, ROUND_TRIP)(content)
+    return arrow_udf(_round_trip, ROUND_TRIP)(content)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import arrow_udf, bound_batches, materialize
 
 CAPACITY = 2048
 UNIT = 4
@@ -95,6 +95,7 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
+    bound_batches(docs.sparkSession)
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(cut, PIECES)
 
 
@@ -300,7 +301,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id",
             slot = np.where(ok, plan.slot[i] + j % plan.count[i], 0)
         return pa.StructArray.from_arrays([pa.array(seq, pa.int64()), pa.array(slot, pa.int64())], names=["seq", "slot"])
 
-    placed = materialize(ranked.withColumn("at", F.arrow_udf(place, "struct<seq:bigint,slot:bigint>")("cls", "rank")).select("doc_id", "start", "length", "doc_tokens", "ids_crc32", "cls", "at.seq", "at.slot"), "placed")
+    placed = materialize(ranked.withColumn("at", arrow_udf(place, "struct<seq:bigint,slot:bigint>")("cls", "rank")).select("doc_id", "start", "length", "doc_tokens", "ids_crc32", "cls", "at.seq", "at.slot"), "placed")
     sequence = Window.partitionBy("seq").orderBy("slot", "doc_id", "start")
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     whole = placed.filter("seq >= 0").withColumn("offset", F.sum("length").over(sequence) - F.col("length")).withColumnRenamed("seq", "sequence_id").select(columns)

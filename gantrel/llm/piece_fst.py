@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .common import arrow_udf
 from .pieces import LONGEST, SPACE, Trie, Vocabulary, grouped
 
 STORE = 200_000
@@ -215,7 +216,7 @@ def encode(text: Column, model_path: str) -> Column:
         for batch in batches:
             yield pa.array(list(_encoded(fst, (v.as_py() for v in batch))), pa.binary())
 
-    return F.arrow_udf(run, "binary")(text)
+    return arrow_udf(run, "binary")(text)
 
 
 def decode(ids: Column, model_path: str) -> Column:
@@ -227,7 +228,7 @@ def decode(ids: Column, model_path: str) -> Column:
         for batch in batches:
             yield pa.array([fst.decode(v.as_py() or b"").decode("utf-8", "replace") for v in batch], pa.string())
 
-    return F.arrow_udf(run, "string")(ids)
+    return arrow_udf(run, "string")(ids)
 
 
 CHECKED = "struct<n_ids:bigint,ids_crc32:bigint,decoded_sha256:string,round_trip:boolean>"
@@ -247,4 +248,4 @@ def encode_and_decode(text: Column, model_path: str) -> Column:
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.bool_()]
             yield pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [[]] * 4, kinds)], names=["n_ids", "ids_crc32", "decoded_sha256", "round_trip"])
 
-    return F.arrow_udf(run, CHECKED)(text)
+    return arrow_udf(run, CHECKED)(text)

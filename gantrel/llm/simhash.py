@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, broadcast_if_small, discard, materialize
+from .common import arrow_udf, as_bytes, bound_batches, broadcast_if_small, discard, materialize
 
 SEED = 42
 #: Most fingerprints in one tree.
@@ -75,7 +75,7 @@ def fingerprint(text: Column, words: int = 3) -> Column:
             flush()
             yield pa.array(np.concatenate(found).view(np.int64), pa.int64())
 
-    return F.arrow_udf(run, "bigint")(text)
+    return arrow_udf(run, "bigint")(text)
 
 
 # --- BK-trees -------------------------------------------------------------------------------------------------------
@@ -242,6 +242,7 @@ def shard_links(keyed: DataFrame, radius: int, nearest_only: bool = False) -> Da
         if held:
             yield links(*held)
 
+    bound_batches(keyed.sparkSession)
     return rows.mapInArrow(search, "u bigint, v bigint").distinct()
 
 
@@ -354,7 +355,7 @@ def similar_documents(docs: DataFrame, words: int = 5, least: float = 0.8, doc_i
     of a null doc_id take their text's class, which is null if no row with an id has the text.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("same"), F.col(text).alias("text"))
-    rows = rows.select("doc_id", "same", F.arrow_udf(_sketches(words), "struct<fp:bigint,keys:array<bigint>,bottom:binary>")("text").alias("s"))
+    rows = rows.select("doc_id", "same", arrow_udf(_sketches(words), "struct<fp:bigint,keys:array<bigint>,bottom:binary>")("text").alias("s"))
     rows = materialize(rows.select("doc_id", "same", "s.*"), "sketches")
     first = materialize(rows.groupBy("same").agg(F.min("doc_id").alias("id")), "first")
     nodes = rows.select("doc_id", "fp", "keys").join(first.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
@@ -368,7 +369,7 @@ def similar_documents(docs: DataFrame, words: int = 5, least: float = 0.8, doc_i
         return pa.array([similarity(x, y) for x, y in zip(as_bytes(a), as_bytes(b))], pa.float64())
 
     both = pairs.join(sketches.select(F.col("doc_id").alias("u"), F.col("bottom").alias("x")), "u").join(sketches.select(F.col("doc_id").alias("v"), F.col("bottom").alias("y")), "v")
-    links = both.filter(F.arrow_udf(measure, "double")("x", "y") >= least).select("u", "v")
+    links = both.filter(arrow_udf(measure, "double")("x", "y") >= least).select("u", "v")
     roots = components(links)
     discard(pairs, involved, sketches)
     classes = first.join(roots, first["id"] == roots["node"], "left").select("same", F.coalesce("root", "id").alias("component_id"))

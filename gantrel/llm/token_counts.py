@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .common import arrow_udf
 from .pieces import LONGEST, SPACE, Trie, Vocabulary, grouped
 
 #: Weights are integers in this many parts of a nat, so that ties are exact; a token less breaks them.
@@ -124,4 +125,4 @@ def token_counts(text: Column, model_path: str) -> Column:
                 tokens += [sum(map(get, g)) for g in group]
             yield pa.StructArray.from_arrays([pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], names=["n_pretokens", "n_tokens"])
 
-    return F.arrow_udf(run, "struct<n_pretokens:bigint,n_tokens:bigint>")(text)
+    return arrow_udf(run, "struct<n_pretokens:bigint,n_tokens:bigint>")(text)

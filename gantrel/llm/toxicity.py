@@ -17,14 +17,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hash_rank, hashed_share
+from .common import arrow_udf, hash_rank, hashed_share
 
 #: Bounds of the fitted sample, for each label, and of the voters.
 TRAIN_ROWS, VOTERS = 4000, 400
 STARTS = (4, 5, 6)
 MIN_DOCS, MIN_LEAN = 3, 0.93
 EM_ROUNDS, RIDGE = 12, 0.3
-CACHE = 1 << 18
+CACHE = 1 << 16
 _EDGES = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 
 
@@ -132,7 +132,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).filter("text is not null").join(F.broadcast(chosen), "id")
     sizes = {y: min(n, TRAIN_ROWS) for y, n in totals.items()}
-    seen = rows.select("y", F.explode(F.arrow_udf(distinct_cues, "array<string>")("text")).alias("cue")).groupBy("cue").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c"))
+    seen = rows.select("y", F.explode(arrow_udf(distinct_cues, "array<string>")("text")).alias("cue")).groupBy("cue").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c"))
     share_t, share_c = F.col("t") / F.lit(sizes[1]), (F.col("c") + F.lit(0.5)) / F.lit(sizes[0])
     lean = share_t / (share_t + share_c)
     best = seen.filter((F.col("t") >= max(MIN_DOCS, sizes[1] // 250)) & (lean >= MIN_LEAN)).orderBy(F.desc(share_t * F.log(share_t / share_c)), "cue").limit(VOTERS)
@@ -143,7 +143,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         for batch in batches:
             yield pa.array([list(table.count(t.as_py()).items()) for t in batch], pa.map_(pa.int32(), pa.int32()))
 
-    got = sorted(rows.select("id", "y", F.arrow_udf(count, "map<int,int>")("text").alias("votes")).collect(), key=lambda r: r["id"])
+    got = sorted(rows.select("id", "y", arrow_udf(count, "map<int,int>")("text").alias("votes")).collect(), key=lambda r: r["id"])
     gold = np.array([r["y"] for r in got])
     if not voters or len(set(gold.tolist())) < 2:
         prior = totals[1] / (totals[0] + totals[1])
@@ -179,4 +179,4 @@ def score(model: Model, text: Column) -> Column:
                 out.append(1 / (1 + np.exp(-min(30.0, max(-30.0, z)))))
             yield pa.array(out, pa.float64())
 
-    return F.arrow_udf(predict, "double")(text)
+    return arrow_udf(predict, "double")(text)
