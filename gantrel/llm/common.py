@@ -55,16 +55,19 @@ def broadcast_if_small(held: DataFrame, limit: int = BROADCAST_ROWS) -> DataFram
 BATCH_BYTES = 4 << 20
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batch size to ``BATCH_BYTES``; a smaller one, or one bounded in rows, stays as it is."""
+def bound_memory(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch size to ``BATCH_BYTES``, and read Parquet by plain reads, where it is not set
+    otherwise: vectored ones of a local file keep a buffer as large as a column chunk for each of their threads."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) > BATCH_BYTES:
         spark.conf.set(name, BATCH_BYTES)
+    if spark.conf.get("parquet.hadoop.vectored.io.enabled", None) is None:
+        spark.conf.set("parquet.hadoop.vectored.io.enabled", "false")
 
 
 def arrow_udf(*args):
     """``pyspark.sql.functions.arrow_udf`` over batches of bounded size."""
-    bound_batches(SparkSession.active())
+    bound_memory(SparkSession.active())
     return F.arrow_udf(*args)
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_udf, bound_batches, materialize
+from .common import arrow_udf, bound_memory, materialize
 
 CAPACITY = 2048
 UNIT = 4
@@ -95,7 +95,7 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
-    bound_batches(docs.sparkSession)
+    bound_memory(docs.sparkSession)
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(cut, PIECES)
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_udf, bound_batches, broadcast_if_small, discard, materialize
+from .common import arrow_udf, bound_memory, broadcast_if_small, discard, materialize
 from .simhash import shingle_hashes
 
 WORDS = 5
@@ -91,7 +91,7 @@ def window_rows(docs: DataFrame, min_words: int) -> DataFrame:
             if parts:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], names)
 
-    bound_batches(docs.sparkSession)
+    bound_memory(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(cut, "key bigint, function tinyint, doc_id bigint, center int")
 
 
@@ -169,7 +169,7 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, similarity: float =
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], schema=schema)
 
-    bound_batches(spark)
+    bound_memory(spark)
     with small_batches(spark, 128):
         found = materialize(both.select("source", "doc_id", "text", "source_text").mapInArrow(verify, "doc_id bigint, source bigint, start bigint, end bigint"), "passages")
     discard(pairs, involved, held)

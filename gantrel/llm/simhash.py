@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_udf, as_bytes, bound_batches, broadcast_if_small, discard, materialize
+from .common import arrow_udf, as_bytes, bound_memory, broadcast_if_small, discard, materialize
 
 SEED = 42
 #: Most fingerprints in one tree.
@@ -242,7 +242,7 @@ def shard_links(keyed: DataFrame, radius: int, nearest_only: bool = False) -> Da
         if held:
             yield links(*held)
 
-    bound_batches(keyed.sparkSession)
+    bound_memory(keyed.sparkSession)
     return rows.mapInArrow(search, "u bigint, v bigint").distinct()
 
 
