@@ -24,6 +24,7 @@ from .simhash import shingle_hashes
 WORDS = 5
 #: Hash functions, and how many of them have to agree on a pair of texts.
 FUNCTIONS, AGREE = 4, 2
+_FUNCTION_BITS = np.uint64(FUNCTIONS - 1)
 #: Two edits in a row spoil this many shingles.
 GAP = 2 * WORDS
 #: Texts with passages up to which their spans are broadcast to all texts.
@@ -68,11 +69,12 @@ def compact_windows(values: np.ndarray, shortest: int) -> list[tuple[int, int, i
 
 
 def window_rows(docs: DataFrame, min_words: int) -> DataFrame:
-    """(key, function, doc_id, center) of all compact windows of all texts."""
+    """(key, doc_id, again) of all compact windows of all texts, once for each key and text; ``again`` if the text has
+    several. The key is the window's smallest hash, whose last two bits make room for the number of the function."""
     shortest = min_words - WORDS + 1
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "function", "doc_id", "center"]
+        names = ["key", "doc_id", "again"]
         for batch in batches:
             parts: list[tuple[np.ndarray, ...]] = []
             held = 0
@@ -82,9 +84,9 @@ def window_rows(docs: DataFrame, min_words: int) -> DataFrame:
                     continue
                 for f in range(FUNCTIONS):
                     h = mixed(hashes, f)
-                    centers = np.array([c for _, c, _ in compact_windows(h, shortest)], np.int32)
-                    parts.append((h[centers].view(np.int64), np.full(len(centers), f, np.int8), np.full(len(centers), doc, np.int64), centers))
-                    held += len(centers)
+                    keys, n = np.unique(h[[c for _, c, _ in compact_windows(h, shortest)]] & ~_FUNCTION_BITS | np.uint64(f), return_counts=True)
+                    parts.append((keys.view(np.int64), np.full(len(keys), doc, np.int64), n > 1))
+                    held += len(keys)
                 if held > 100_000:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], names)
                     parts, held = [], 0
@@ -92,14 +94,15 @@ def window_rows(docs: DataFrame, min_words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], names)
 
     bound_memory(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(cut, "key bigint, function tinyint, doc_id bigint, center int")
+    return docs.select("doc_id", "text").mapInArrow(cut, "key bigint, doc_id bigint, again boolean")
 
 
 def candidate_pairs(windows: DataFrame) -> DataFrame:
-    """(source, doc_id): texts of which enough functions share a window, each with the first text of that window."""
-    first = windows.groupBy("key", "function").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "center")).alias("first")).filter("n > 1")
-    met = windows.join(first.select("key", "function", "first"), ["key", "function"]).filter(F.struct("doc_id", "center") != F.col("first"))
-    met = met.groupBy(F.col("first.doc_id").alias("source"), "doc_id").agg(F.bit_or(F.expr("shiftleft(1, cast(function as int))")).alias("functions"))
+    """(source, doc_id): texts of which enough functions share a window, each with the first text of that window; with
+    itself if it has the window several times."""
+    first = windows.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("source"), F.max("again").alias("some")).filter("n > 1 or some")
+    met = windows.join(first.select("key", "source"), "key").filter("doc_id <> source or again")
+    met = met.groupBy("source", "doc_id").agg(F.bit_or(F.expr(f"shiftleft(1, cast(key & {int(_FUNCTION_BITS)} as int))")).alias("functions"))
     return met.filter(F.bit_count("functions") >= AGREE).select("source", "doc_id")
 
 
