@@ -336,13 +336,11 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id",
         (F.size("begins") > 1).alias("is_cut"),
     )
     parts = materialize(parts, "parts")
-    keys = F.broadcast(parts.filter("is_cut").select(F.col("doc_id").alias("__doc"), F.col("piece").alias("__piece")).distinct())
-    same = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("start") == F.col("__piece"))
-    held = pieces.join(keys, same, "left_semi").select(F.col("doc_id").alias("__doc"), F.col("start").alias("__piece"), "ids").dropDuplicates(["__doc", "__piece"])
     cut_parts = parts.filter("is_cut").drop("ids_crc32")
-    torn = held.join(cut_parts, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("piece") == F.col("__piece")))
+    held = pieces.select(F.col("doc_id").alias("__doc"), F.col("start").alias("__piece"), "ids")
+    torn = held.join(F.broadcast(cut_parts), F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("piece") == F.col("__piece")))
     torn = torn.withColumn("ids_crc32", F.crc32(F.substring(F.col("ids"), (4 * (F.col("start") - F.col("piece")) + 1).cast("int"), (4 * F.col("length")).cast("int"))))
-    return Packed(whole.unionByName(parts.filter("not is_cut").select(columns)).unionByName(torn.select(columns)), pieces)
+    return Packed(whole.unionByName(parts.filter("not is_cut").select(columns)).unionByName(torn.select(columns).distinct()), pieces)
 
 
 def sequence_ids(packed: Packed) -> DataFrame:
