@@ -117,18 +117,6 @@ class BKTree:
                 stack += [kids[edge] for edge in range(d - radius, d + radius + 1) if edge in kids]
         return found
 
-    def closest(self, item: int, radius: int) -> tuple[int, int] | None:
-        """(distance, stored item) of one of the nearest within the radius, which shrinks to the best distance so far."""
-        best, stack = None, [0] if self.items else []
-        while stack and radius >= 0:
-            at = stack.pop()
-            d = (self.items[at] ^ item).bit_count()
-            if d <= radius:
-                best, radius = (d, self.items[at]), d - 1
-            low, high = d - radius, d + radius
-            stack += [child for edge, child in self.children[at].items() if low <= edge <= high]
-        return best
-
 
 def forest(tree: list[int], probes: list[int] | None, radius: int) -> list[tuple[int, int]]:
     """Links (item, root) that connect what lies within the radius of each other among ``tree``'s items, or between them
@@ -161,28 +149,6 @@ def forest(tree: list[int], probes: list[int] | None, radius: int) -> list[tuple
     return [(x, r) for x in list(parent) if (r := root(x)) != x]
 
 
-def nearest(ids: list[int], items: list[int], more_ids: list[int], more: list[int], radius: int) -> list[tuple[int, int]]:
-    """Links (id, id) of each item to its nearest neighbour within the radius, and to the tree's first item where that
-    lies within it: among the items before it, or, if there are ``more``, of each of those among the items. At most two
-    links an item, however large the group."""
-    held, name, out = BKTree(), {}, []
-
-    def link(i: int, x: int) -> None:
-        if found := held.closest(x, radius):
-            out.append((i, name[found[1]]))
-            if (first := held.items[0]) != found[1] and (first ^ x).bit_count() <= radius:
-                out.append((i, name[first]))
-
-    for i, x in zip(ids, items):
-        if not more:
-            link(i, x)
-        if name.setdefault(x, i) == i:
-            held.add(x)
-    for i, x in zip(more_ids, more):
-        link(i, x)
-    return out
-
-
 # --- shards ---------------------------------------------------------------------------------------------------------
 
 
@@ -200,9 +166,9 @@ def block_keys(value: Column, radius: int) -> Column:
     return F.array(*keys)
 
 
-def shard_links(keyed: DataFrame, radius: int, nearest_only: bool = False) -> DataFrame:
-    """(u, v): links among the rows (id, fp, key) of equal key whose fingerprints lie within the radius: a spanning
-    forest over the fingerprints, or each row's links to its nearest and to its first neighbour."""
+def shard_links(keyed: DataFrame, radius: int) -> DataFrame:
+    """(u, v): a spanning forest of the links among the rows (id, fp, key) of equal key whose fingerprints lie within the
+    radius."""
     large = keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > TREE)
     parts = F.ceil(F.coalesce(F.col("n"), F.lit(1)) / TREE).cast("int")
     dealt = keyed.join(large, "key", "left").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
@@ -217,12 +183,9 @@ def shard_links(keyed: DataFrame, radius: int, nearest_only: bool = False) -> Da
         for s, e in zip(start[end - start > 1].tolist(), end[end - start > 1].tolist()):
             names, items = ids[s:e].tolist(), fp[s:e].view(np.uint64).tolist()
             split = e - s if a[s] == b[s] else int((part[s:e] == a[s]).sum())
-            if nearest_only:
-                out += nearest(names[:split], items[:split], names[split:], items[split:], radius)
-            else:
-                found = forest(items[:split], items[split:] if split < e - s else None, radius)
-                name = dict(zip(items, names))
-                out += [(name[x], name[y]) for x, y in found]
+            found = forest(items[:split], items[split:] if split < e - s else None, radius)
+            name = dict(zip(items, names))
+            out += [(name[x], name[y]) for x, y in found]
         pair = np.array(out, np.int64).reshape(-1, 2)
         return pa.RecordBatch.from_arrays([pa.array(pair[:, 0], pa.int64()), pa.array(pair[:, 1], pa.int64())], ["u", "v"])
 
@@ -288,8 +251,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, doc_id: st
 
 # --- similar documents ----------------------------------------------------------------------------------------------
 
-#: Wide fingerprints over a text's distinct words: 64-bit lanes, bits of a shard key, and the radius inside a shard.
-LANES, BAND_BITS, BANDS, WIDE_RADIUS = 8, 20, 25, 14
+#: Wide fingerprints over a text's distinct words: 64-bit lanes, and bits and number of the bands.
+LANES, BAND_BITS, BANDS = 8, 20, 25
 #: Smallest shingle hashes kept to measure similarity; texts with no more distinct shingles are measured exactly.
 SKETCH = 256
 
@@ -316,18 +279,17 @@ def band_keys(lanes: np.ndarray) -> list[int]:
 def _sketches(words: int):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            prints, keys, sketches = [], [], []
+            keys, sketches = [], []
             for t in as_bytes(batch):
                 parts = set(t.lower().split())
                 if parts:
                     lanes = wide_print(np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in parts), np.uint64, len(parts)))
                 else:
                     lanes = np.zeros(LANES, np.uint64)
-                prints.append(int(lanes[0].view(np.int64)))
                 keys.append(band_keys(lanes) if parts else [])
                 small = np.unique(np.array(shingle_hashes(t, words), np.uint64))
                 sketches.append((small[:SKETCH] >> np.uint64(32)).astype("<u4").tobytes())
-            yield pa.StructArray.from_arrays([pa.array(prints, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["fp", "keys", "bottom"])
+            yield pa.StructArray.from_arrays([pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["keys", "bottom"])
 
     return run
 
@@ -345,33 +307,56 @@ def similarity(a: bytes, b: bytes) -> float:
     return float(np.isin(both, union).sum() / len(union))
 
 
+def first_pairs(keyed: DataFrame) -> DataFrame:
+    """(u, v): each row of (id, key, first) with the first of its key."""
+    return keyed.filter("id <> first").select(F.col("id").alias("u"), F.col("first").alias("v")).distinct()
+
+
+def open_pairs(keyed: DataFrame, roots: DataFrame) -> DataFrame:
+    """(u, v): all pairs of equal key that ``roots`` leaves in different classes, but those that ``first_pairs`` has. A
+    large key is dealt by slices of its rows, each of which meets all of them."""
+    named = keyed.join(roots, keyed["id"] == roots["node"], "left").select("key", "id", "first", F.coalesce("root", "id").alias("class"))
+    several = named.groupBy("key").agg(F.ceil(F.count("*") / TREE).cast("int").alias("parts"), F.min("class").alias("a"), F.max("class").alias("b")).filter("a <> b")
+    rows = materialize(named.join(several.select("key", "parts"), "key"), "open")
+    left = rows.filter("id <> first").select("key", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("slice"), F.col("id").alias("u"), F.col("class").alias("a"))
+    right = rows.filter("id <> first").select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("slice"), F.col("id").alias("v"), F.col("class").alias("b"))
+    return left.join(right, ["key", "slice"]).filter("u > v and a <> b").select("u", "v").distinct()
+
+
 def similar_documents(docs: DataFrame, words: int = 5, least: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, component_id): near-duplicate classes of the distinct texts, linked where the shingle sets' similarity is
     at least ``least``; component_id is the smallest doc_id of the class.
 
-    Equal texts are one node, named by their smallest doc_id. Candidates are rows whose wide fingerprints agree on a
-    band and lie within the radius in its BK-tree; of each row, the nearest neighbour in each shard and the shard's first
-    row, if near, are measured. Null and empty texts are equal to each other only. Texts shorter than a shingle count as one shingle. Rows
-    of a null doc_id take their text's class, which is null if no row with an id has the text.
+    Equal texts are one node, named by their smallest doc_id. Candidates are rows that share a band of the wide
+    fingerprint: each is measured against the first row of the band, then all pairs of a band that are still in
+    different classes are. Null and empty texts are equal to each other only. Texts shorter than a shingle count as one
+    shingle. Rows of a null doc_id take their text's class, which is null if no row with an id has the text.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("same"), F.col(text).alias("text"))
-    rows = rows.select("doc_id", "same", arrow_udf(_sketches(words), "struct<fp:bigint,keys:array<bigint>,bottom:binary>")("text").alias("s"))
+    rows = rows.select("doc_id", "same", arrow_udf(_sketches(words), "struct<keys:array<bigint>,bottom:binary>")("text").alias("s"))
     rows = materialize(rows.select("doc_id", "same", "s.*"), "sketches")
     first = materialize(rows.groupBy("same").agg(F.min("doc_id").alias("id")), "first")
-    nodes = rows.select("doc_id", "fp", "keys").join(first.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    keyed = nodes.select(F.col("doc_id").alias("id"), "fp", F.explode("keys").alias("key"))
-    pairs = shard_links(keyed, WIDE_RADIUS, nearest_only=True).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
-    pairs = materialize(pairs, "pairs")
-    involved = materialize(pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct(), "involved")
-    sketches = materialize(rows.select("doc_id", "bottom").join(broadcast_if_small(involved), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "bottoms")
+    nodes = rows.select("doc_id", "keys").join(first.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    keyed = materialize(nodes.select(F.col("doc_id").alias("id"), F.explode("keys").alias("key")), "keyed")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first")).filter("n > 1").select("key", "first")
+    met = materialize(keyed.join(shared, "key"), "met")
+    discard(keyed)
 
     def measure(a: pa.Array, b: pa.Array) -> pa.Array:
         return pa.array([similarity(x, y) for x, y in zip(as_bytes(a), as_bytes(b))], pa.float64())
 
-    both = pairs.join(sketches.select(F.col("doc_id").alias("u"), F.col("bottom").alias("x")), "u").join(sketches.select(F.col("doc_id").alias("v"), F.col("bottom").alias("y")), "v")
-    links = both.filter(arrow_udf(measure, "double")("x", "y") >= least).select("u", "v")
-    roots = components(links)
-    discard(pairs, involved, sketches)
+    def links(pairs: DataFrame) -> DataFrame:
+        pairs = materialize(pairs, "pairs")
+        involved = materialize(pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct(), "involved")
+        sketches = materialize(rows.select("doc_id", "bottom").join(broadcast_if_small(involved), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "bottoms")
+        both = pairs.join(sketches.select(F.col("doc_id").alias("u"), F.col("bottom").alias("x")), "u").join(sketches.select(F.col("doc_id").alias("v"), F.col("bottom").alias("y")), "v")
+        found = materialize(both.filter(arrow_udf(measure, "double")("x", "y") >= least).select("u", "v"), "links")
+        discard(pairs, involved, sketches)
+        return found
+
+    near = links(first_pairs(met))
+    roots = components(near.unionByName(links(open_pairs(met, components(near)))))
+    discard(met, near)
     classes = first.join(roots, first["id"] == roots["node"], "left").select("same", F.coalesce("root", "id").alias("component_id"))
     return rows.select("doc_id", "same").join(classes, "same").select("doc_id", "component_id")
 

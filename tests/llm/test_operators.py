@@ -370,6 +370,15 @@ def test_similar_documents(spark):
     assert {r.doc_id: r.component_id for r in got.collect()} == want
 
 
+def test_similar_documents_behind_a_reordered_text(spark):
+    """Near copies of each other are linked although a text of the same words, but not of the same order, comes first."""
+    words = random.Random(5).sample([f"w{i}" for i in range(5000)], 200)
+    mixed = random.Random(6).sample(words, 200)
+    rows = [(1, " ".join(mixed)), (2, " ".join(words)), (3, " ".join(words + words[:5]))]
+    got = simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.component_id for r in got.collect()} == {1: 1, 2: 2, 3: 2}
+
+
 # --- passages ---
 
 
