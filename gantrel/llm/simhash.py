@@ -251,29 +251,32 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, doc_id: st
 
 # --- similar documents ----------------------------------------------------------------------------------------------
 
-#: Wide fingerprints over a text's distinct words: 64-bit lanes, and bits and number of the bands.
-LANES, BAND_BITS, BANDS = 8, 20, 25
+#: Bands of min-hashes over a text's distinct shingles, and hash functions in each. Two texts of similarity 0.8 share no
+#: band with probability (1 - 0.8**5)**25, about 1 in 20,000, whatever edits tell them apart.
+BANDS, BAND_ROWS = 25, 5
 #: Smallest shingle hashes kept to measure similarity; texts with no more distinct shingles are measured exactly.
 SKETCH = 256
 
 
-def wide_print(words: np.ndarray) -> np.ndarray:
-    """``LANES`` independent fingerprints of the distinct word hashes, as one row of lanes."""
-    lanes = (words[None, :] ^ _LANE_SEEDS[:, None]).reshape(-1)
-    lanes = (lanes ^ (lanes >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    lanes = (lanes ^ (lanes >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    lanes ^= lanes >> np.uint64(31)
-    return majority(lanes, np.arange(LANES) * len(words), np.full(LANES, len(words)))
+def min_hashes(hashes: np.ndarray) -> np.ndarray:
+    """The smallest value of the hashes under each of ``BANDS * BAND_ROWS`` functions."""
+    out = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max)
+    for start in range(0, len(hashes), 1024):
+        x = hashes[None, start : start + 1024] * _FACTORS[:, None]
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        out = np.minimum(out, x.min(axis=1))
+    return out
 
 
-_LANE_SEEDS = np.array([(0x9E3779B97F4A7C15 * (i + 1)) & 0xFFFFFFFFFFFFFFFF for i in range(LANES)], np.uint64)
+_FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def band_keys(lanes: np.ndarray) -> list[int]:
-    """Keys of ``BANDS`` disjoint runs of ``BAND_BITS`` bits of the wide fingerprint."""
-    number = int.from_bytes(lanes.astype(">u8").tobytes(), "big")
-    mask = (1 << BAND_BITS) - 1
-    return [(i << BAND_BITS) | ((number >> (i * BAND_BITS)) & mask) for i in range(BANDS)]
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """A key for each band, of its number and its min-hashes; none for a text without shingles."""
+    if not len(hashes):
+        return []
+    rows = min_hashes(hashes).reshape(BANDS, BAND_ROWS)
+    return [xxhash.xxh64_intdigest(row.tobytes(), i) - (1 << 63) for i, row in enumerate(rows)]
 
 
 def _sketches(words: int):
@@ -281,13 +284,8 @@ def _sketches(words: int):
         for batch in batches:
             keys, sketches = [], []
             for t in as_bytes(batch):
-                parts = set(t.lower().split())
-                if parts:
-                    lanes = wide_print(np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in parts), np.uint64, len(parts)))
-                else:
-                    lanes = np.zeros(LANES, np.uint64)
-                keys.append(band_keys(lanes) if parts else [])
                 small = np.unique(np.array(shingle_hashes(t, words), np.uint64))
+                keys.append(band_keys(small))
                 sketches.append((small[:SKETCH] >> np.uint64(32)).astype("<u4").tobytes())
             yield pa.StructArray.from_arrays([pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["keys", "bottom"])
 
@@ -327,9 +325,9 @@ def similar_documents(docs: DataFrame, words: int = 5, least: float = 0.8, doc_i
     """(doc_id, component_id): near-duplicate classes of the distinct texts, linked where the shingle sets' similarity is
     at least ``least``; component_id is the smallest doc_id of the class.
 
-    Equal texts are one node, named by their smallest doc_id. Candidates are rows that share a band of the wide
-    fingerprint: each is measured against the first row of the band, then all pairs of a band that are still in
-    different classes are. Null and empty texts are equal to each other only. Texts shorter than a shingle count as one
+    Equal texts are one node, named by their smallest doc_id. Candidates are rows that share a band of min-hashes:
+    each is measured against the first row of the band, then all pairs of a band that are still in different classes
+    are. Null and empty texts are equal to each other only. Texts shorter than a shingle count as one
     shingle. Rows of a null doc_id take their text's class, which is null if no row with an id has the text.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("same"), F.col(text).alias("text"))

@@ -379,6 +379,17 @@ def test_similar_documents_behind_a_reordered_text(spark):
     assert {r.doc_id: r.component_id for r in got.collect()} == {1: 1, 2: 2, 3: 2}
 
 
+def test_similar_documents_with_added_blocks(spark):
+    """Texts with an appended block of new words, of similarity 0.8 exactly, are found."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(150):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(124)]
+        rows += [(2 * i, " ".join(words[:100])), (2 * i + 1, " ".join(words))]
+    got = simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.component_id for r in got.collect()} == {i: i - i % 2 for i, _ in rows}
+
+
 # --- passages ---
 
 
