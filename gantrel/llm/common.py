@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -65,6 +66,18 @@ def bound_memory(spark: SparkSession) -> None:
         spark.conf.set("parquet.hadoop.vectored.io.enabled", "false")
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most so many rows for the jobs run inside, whose rows hold whole texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def arrow_udf(*args):
     """``pyspark.sql.functions.arrow_udf`` over batches of bounded size."""
     bound_memory(SparkSession.active())

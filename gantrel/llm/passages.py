@@ -11,14 +11,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_udf, bound_memory, broadcast_if_small, discard, materialize
+from .common import arrow_udf, bound_memory, broadcast_if_small, discard, materialize, small_batches
 from .simhash import shingle_hashes
 
 WORDS = 5
@@ -33,18 +32,6 @@ _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _SEEDS = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1)) & 0xFFFFFFFFFFFFFFFF for i in range(64)], np.uint64)
 
 
-@contextmanager
-def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Arrow batches of at most so many rows for the jobs run inside, whose rows hold whole texts."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, rows)
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def mixed(hashes: np.ndarray, function: int) -> np.ndarray:
     """The ``function``-th hash of each shingle."""
     x = hashes ^ _SEEDS[function]

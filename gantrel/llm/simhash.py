@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_udf, as_bytes, bound_memory, broadcast_if_small, discard, materialize
+from .common import arrow_udf, as_bytes, bound_memory, broadcast_if_small, discard, materialize, small_batches
 
 SEED = 42
 #: Most fingerprints in one tree.
@@ -254,8 +254,6 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, doc_id: st
 #: Bands of min-hashes over a text's distinct shingles, and hash functions in each. Two texts of similarity 0.8 share no
 #: band with probability (1 - 0.8**5)**25, about 1 in 20,000, whatever edits tell them apart.
 BANDS, BAND_ROWS = 25, 5
-#: Smallest shingle hashes kept to measure similarity; texts with no more distinct shingles are measured exactly.
-SKETCH = 256
 
 
 def min_hashes(hashes: np.ndarray) -> np.ndarray:
@@ -279,30 +277,26 @@ def band_keys(hashes: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(row.tobytes(), i) - (1 << 63) for i, row in enumerate(rows)]
 
 
-def _sketches(words: int):
+def _band_keys(words: int):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            keys, sketches = [], []
-            for t in as_bytes(batch):
-                small = np.unique(np.array(shingle_hashes(t, words), np.uint64))
-                keys.append(band_keys(small))
-                sketches.append((small[:SKETCH] >> np.uint64(32)).astype("<u4").tobytes())
-            yield pa.StructArray.from_arrays([pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["keys", "bottom"])
+            keys = [band_keys(shingle_set(t, words)) for t in as_bytes(batch)]
+            yield pa.array(keys, pa.list_(pa.int64()))
 
     return run
 
 
-def similarity(a: bytes, b: bytes) -> float:
-    """Jaccard similarity of two shingle sets from the upper halves of their smallest hashes: the share of the union's
-    smallest that both have. Exact, but for colliding halves, where neither set was cut."""
-    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
-    if not len(x) or not len(y):
-        return float(len(x) == len(y))
-    union = np.union1d(x, y)
-    if len(x) == SKETCH or len(y) == SKETCH:
-        union = union[:SKETCH]
-    both = np.intersect1d(x, y)
-    return float(np.isin(both, union).sum() / len(union))
+def shingle_set(text: bytes, words: int) -> np.ndarray:
+    """The distinct shingle hashes in order."""
+    return np.unique(np.array(shingle_hashes(text, words), np.uint64))
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two whole shingle sets."""
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
 
 
 def first_pairs(keyed: DataFrame) -> DataFrame:
@@ -331,8 +325,8 @@ def similar_documents(docs: DataFrame, words: int = 5, least: float = 0.8, doc_i
     shingle. Rows of a null doc_id take their text's class, which is null if no row with an id has the text.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("same"), F.col(text).alias("text"))
-    rows = rows.select("doc_id", "same", arrow_udf(_sketches(words), "struct<keys:array<bigint>,bottom:binary>")("text").alias("s"))
-    rows = materialize(rows.select("doc_id", "same", "s.*"), "sketches")
+    texts = rows.select("doc_id", "text")
+    rows = materialize(rows.select("doc_id", "same", arrow_udf(_band_keys(words), "array<bigint>")("text").alias("keys")), "bands")
     first = materialize(rows.groupBy("same").agg(F.min("doc_id").alias("id")), "first")
     nodes = rows.select("doc_id", "keys").join(first.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     keyed = materialize(nodes.select(F.col("doc_id").alias("id"), F.explode("keys").alias("key")), "keyed")
@@ -340,16 +334,26 @@ def similar_documents(docs: DataFrame, words: int = 5, least: float = 0.8, doc_i
     met = materialize(keyed.join(shared, "key"), "met")
     discard(keyed)
 
-    def measure(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array([similarity(x, y) for x, y in zip(as_bytes(a), as_bytes(b))], pa.float64())
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: tuple[int | None, np.ndarray] = (None, np.zeros(0, np.uint64))
+        for batch in batches:
+            u, v = (batch.column(i).to_pylist() for i in (0, 1))
+            keep = []
+            for other, x, y in zip(v, *(as_bytes(batch.column(i)) for i in (2, 3))):
+                if known[0] != other:
+                    known = (other, shingle_set(y, words))
+                keep.append(similarity(shingle_set(x, words), known[1]) >= least)
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, k in zip(ids, keep) if k], pa.int64()) for ids in (u, v)], ["u", "v"])
 
     def links(pairs: DataFrame) -> DataFrame:
         pairs = materialize(pairs, "pairs")
         involved = materialize(pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct(), "involved")
-        sketches = materialize(rows.select("doc_id", "bottom").join(broadcast_if_small(involved), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "bottoms")
-        both = pairs.join(sketches.select(F.col("doc_id").alias("u"), F.col("bottom").alias("x")), "u").join(sketches.select(F.col("doc_id").alias("v"), F.col("bottom").alias("y")), "v")
-        found = materialize(both.filter(arrow_udf(measure, "double")("x", "y") >= least).select("u", "v"), "links")
-        discard(pairs, involved, sketches)
+        held = materialize(texts.join(broadcast_if_small(involved), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+        both = pairs.join(held.select(F.col("doc_id").alias("u"), F.col("text").alias("x")), "u").join(held.select(F.col("doc_id").alias("v"), F.col("text").alias("y")), "v")
+        bound_memory(docs.sparkSession)
+        with small_batches(docs.sparkSession, 128):
+            found = materialize(both.select("u", "v", "x", "y").mapInArrow(measure, "u bigint, v bigint"), "links")
+        discard(pairs, involved, held)
         return found
 
     near = links(first_pairs(met))

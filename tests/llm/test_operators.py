@@ -390,6 +390,19 @@ def test_similar_documents_with_added_blocks(spark):
     assert {r.doc_id: r.component_id for r in got.collect()} == {i: i - i % 2 for i, _ in rows}
 
 
+def test_similar_documents_of_many_shingles(spark):
+    """Long texts are judged by all their shingles: similarities just over the least link, those just under do not."""
+    rng = random.Random(12)
+    rows, want = [], {}
+    for i in range(40):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(2004)]
+        whole = 1604 + (12 if i % 2 else -12)
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:whole]))]
+        want |= {2 * i: 2 * i, 2 * i + 1: 2 * i + 1 - i % 2}
+    got = simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.component_id for r in got.collect()} == want
+
+
 # --- passages ---
 
 
