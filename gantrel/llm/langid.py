@@ -24,6 +24,9 @@ ORDERS = (1, 2, 3, 4)
 #: Bounds of the fitted sample: labelled texts, and landmarks, for each language, and languages (the most frequent).
 TRAIN_TEXTS, LANDMARKS, LANGUAGES = 240, 32, 256
 RIDGE = 1e-2
+#: A text is of no learned language if the landmarks know less than this part of what they know of all but the strangest
+#: twentieth of the fitted texts.
+STRANGE, TWENTIETH = 0.7, 0.05
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _FOLD = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
@@ -52,12 +55,14 @@ def presence(text: str, seen: np.ndarray) -> np.ndarray:
 
 
 class Model(NamedTuple):
-    """``columns``: bucket to row of ``weights`` (0: a bucket that no landmark has, whose weights are 0)."""
+    """``columns``: bucket to row of ``weights`` (0: a bucket that no landmark has, whose weights are 0).
+    ``least_known``: the share of a text's buckets that landmarks must have for it to be of one of the languages."""
 
     languages: list[str]
     columns: np.ndarray
     weights: np.ndarray
     bias: np.ndarray
+    least_known: float = 0.0
 
 
 def fit(sets: list[np.ndarray], labels: list[str]) -> Model:
@@ -66,7 +71,7 @@ def fit(sets: list[np.ndarray], labels: list[str]) -> Model:
     if not languages:
         return Model([], np.zeros(1 << BITS, np.int32), np.zeros((1, 0), np.float32), np.zeros(0, np.float32))
     picked = [i for lang in languages for i in [j for j, got in enumerate(labels) if got == lang][:LANDMARKS]]
-    vocabulary = np.unique(np.concatenate([sets[i] for i in picked]))
+    vocabulary, holders = np.unique(np.concatenate([sets[i] for i in picked]), return_counts=True)
     columns = np.zeros(1 << BITS, np.int32)
     columns[vocabulary] = np.arange(1, len(vocabulary) + 1)
     scaled = np.zeros((len(picked), len(vocabulary) + 1), np.float32)
@@ -83,6 +88,11 @@ def fit(sets: list[np.ndarray], labels: list[str]) -> Model:
             rows[r, columns[s]] = 1 / np.sqrt(max(1, len(s)))
         rows[:, 0] = 0
         kernel[start : start + len(part)] = rows @ scaled.T
+    held = np.zeros(1 << BITS, np.int32)
+    held[vocabulary] = holders
+    own = np.isin(np.arange(len(sets)), picked)  # a landmark is judged by the others
+    shares = [float((held[s] > mine).mean()) for s, mine in zip(sets, own) if len(s)]
+    least_known = STRANGE * float(np.quantile(shares, TWENTIETH)) if shares else 0.0
     mapped = kernel @ whiten
     target = np.where(np.array(labels)[:, None] == np.array(languages)[None, :], 1.0, -1.0)
     counts = (target > 0).sum(axis=0)
@@ -94,7 +104,7 @@ def fit(sets: list[np.ndarray], labels: list[str]) -> Model:
     solved = np.linalg.solve(design.T @ (design * weight[:, None]) + penalty, design.T @ (target * weight[:, None]))
     folded = scaled.T @ (whiten @ solved[:-1])
     folded[0] = 0
-    return Model(languages, columns, folded.astype(np.float32), solved[-1].astype(np.float32))
+    return Model(languages, columns, folded.astype(np.float32), solved[-1].astype(np.float32), least_known)
 
 
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
@@ -119,42 +129,46 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     return fit([np.frombuffer(r["set"], "<i4") for r in rows], [r["lang"] for r in rows])
 
 
-def score_texts(model: Model, texts: list[str | None], seen: np.ndarray) -> tuple[list[str], np.ndarray]:
-    """Language and confidence of each text: 1 where the winning regression is at its target, 0 where it is at the
-    others'."""
+def score_texts(model: Model, texts: list[str | None], seen: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language and confidence of each text, 1 where the winning regression is at its target, 0 where it is at the
+    others', and whether it is of a learned language at all. The confidence cannot tell: the regressions' sum is fixed, so
+    some language always lies at its share of it or above."""
     sets = [presence(t, seen) if t is not None and _LETTER.search(t) else None for t in texts]
     rows = np.zeros((len(texts), len(model.weights)), np.float32)
     norm = np.ones((len(texts), 1), np.float32)
+    fits = np.zeros(len(texts), bool)
     for r, s in enumerate(sets):
         if s is not None:
             rows[r, model.columns[s]] = 1
             norm[r] = np.sqrt(len(s))
+            fits[r] = np.count_nonzero(model.columns[s]) >= model.least_known * len(s)
     values = (rows @ model.weights) / norm + model.bias
     best = values.argmax(axis=1)
     sure = ((values[np.arange(len(values)), best] + 1) / 2).clip(0, 1)
     known = [s is not None for s in sets]
-    return [model.languages[b] if k else UNKNOWN for b, k in zip(best, known)], np.where(known, sure, 0.0)
+    return [model.languages[b] if k else UNKNOWN for b, k in zip(best, known)], np.where(known, sure, 0.0), fits
 
 
 def identify(model: Model, text: Column) -> Column:
-    """Struct of lang_pred and score for each whole text.
+    """Struct of lang_pred, score and fits (whether the text is of a learned language) for each whole text.
 
-    ``und`` and 0 for null, empty and letterless texts, and for every text if the model knows no language; of equal
+    ``und``, 0 and false for null, empty and letterless texts, and for every text if the model knows no language; of equal
     scores, the first language by name. A pure function of the text, so repeated rows get equal results.
     """
 
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         seen = np.zeros(1 << BITS, bool)
         for batch in batches:
-            langs, sure = [], []
+            langs, sure, fits = [], [], []
             for part in chunks(batch, 64):
                 texts = part.to_pylist()
                 if model.languages:
-                    a, b = score_texts(model, texts, seen) if texts else ([], np.zeros(0))
+                    a, b, c = score_texts(model, texts, seen) if texts else ([], np.zeros(0), np.zeros(0, bool))
                 else:
-                    a, b = [UNKNOWN] * len(texts), np.zeros(len(texts))
+                    a, b, c = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
                 langs += a
                 sure.append(b)
-            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(np.concatenate([np.zeros(0), *sure]), pa.float64())], names=["lang_pred", "score"])
+                fits.append(c)
+            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(np.concatenate([np.zeros(0), *sure]), pa.float64()), pa.array(np.concatenate([np.zeros(0, bool), *fits]), pa.bool_())], names=["lang_pred", "score", "fits"])
 
-    return arrow_udf(predict, "struct<lang_pred:string,score:double>")(text)
+    return arrow_udf(predict, "struct<lang_pred:string,score:double,fits:boolean>")(text)
