@@ -120,6 +120,7 @@ def exact_topk(vectors: DataFrame, is_query: Column, k: int = 20, dim: int = 64,
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) >= LARGEST))
     rows = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), is_query.alias("q"))
     rows = rows.filter(F.col("id").isNotNull() & (F.size("v") == dim) & ~bad)
+    rows = rows.groupBy("id", "v").agg(F.max("q").alias("q"))  # before the blocks cut to k
     sizes = rows.agg(F.count("*").alias("n"), F.count_if("q").alias("m")).first()
     q_blocks, c_blocks = -(-max(1, sizes["m"]) // QUERY_BLOCK), -(-max(1, sizes["n"]) // CANDIDATE_BLOCK)
     block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
@@ -142,4 +143,4 @@ def exact_topk(vectors: DataFrame, is_query: Column, k: int = 20, dim: int = 64,
 
     met = queries.groupBy("qb", "cb").cogroup(candidates.groupBy("qb", "cb")).applyInArrow(search, "query_id bigint, vec_id bigint, score bigint")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return met.distinct().withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return met.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

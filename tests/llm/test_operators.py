@@ -209,6 +209,20 @@ def test_topk(spark):
     assert topk.exact_topk(df.filter("vec_id < 0"), F.lit(True)).count() == 0
 
 
+def test_topk_of_repeated_rows(spark):
+    """Equal rows count once, unequal ones of an id each for itself."""
+    rng = np.random.default_rng(3)
+    x = rng.integers(-20, 20, (100, 64))
+    y = np.concatenate((-x[7, :1], x[7, 1:]))
+    df = spark.createDataFrame([(i, v.astype(float).tolist()) for i, v in enumerate(x)] * 3 + [(7, y.astype(float).tolist())], "vec_id long, vector array<double>")
+    got = defaultdict(list)
+    for r in topk.exact_topk(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    for q in range(0, 100, 20):
+        rows = [(i, int(x[q] @ x[i])) for i in range(100) if i != q] + [(7, int(x[q] @ y))]
+        assert got[q] == sorted(rows, key=lambda r: (-r[1], r[0]))[:20]
+
+
 def test_topk_of_large_components(spark):
     rng = np.random.default_rng(5)
     x = rng.integers(-(2**27), 2**27, (60, 64))
