@@ -1,10 +1,11 @@
 """Repeated passages, found with compact windows.
 
-A text is a sequence of 5-word shingles. Under one hash function, the Cartesian tree over the shingles' hashes cuts all
-subsequences of at least the wanted length into compact windows: those of one window share their smallest hash. Texts
-with near-duplicate passages share smallest hashes under most functions. Windows of equal hash are joined to the first
-of them, the pairs on which enough functions agree are verified on the whole texts, and every passage that repeats an
-earlier one is reported once.
+A text is a sequence of 5-word shingles. Every subsequence of the wanted length has a key for each band: its smallest
+hashes under the band's functions. Texts with near-duplicate passages share keys in most bands. The texts of a key are
+compared with its first text, on the whole texts. Under one hash function, the Cartesian tree over the shingles' hashes
+cuts all subsequences into compact windows, each with the shingle of the smallest hash at its center; a key whose centers
+do not all lie in passages found so far is open, and its texts are then compared with each other. Every passage that
+repeats an earlier one is reported once for each such text.
 """
 
 from __future__ import annotations
@@ -14,16 +15,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_udf, bound_memory, broadcast_if_small, discard, materialize, small_batches
 from .simhash import shingle_hashes
 
 WORDS = 5
-#: Hash functions, and how many of them have to agree on a pair of texts.
-FUNCTIONS, AGREE = 4, 2
-_FUNCTION_BITS = np.uint64(FUNCTIONS - 1)
+#: Bands of keys, and hash functions in each. Passages of similarity 0.8 share the key of one subsequence in some band
+#: with probability 1 - (1 - 0.8**2)**5, 0.994; equal ones always do.
+BANDS, BAND_ROWS = 5, 2
 #: Two edits in a row spoil this many shingles.
 GAP = 2 * WORDS
 #: Texts with passages up to which their spans are broadcast to all texts.
@@ -55,9 +56,37 @@ def compact_windows(values: np.ndarray, shortest: int) -> list[tuple[int, int, i
     return out
 
 
+def sliding_minima(values: np.ndarray, width: int) -> np.ndarray:
+    """The smallest of each run of ``width`` values along the last axis."""
+    size = 1
+    while 2 * size <= width:
+        values = np.minimum(values[..., :-size], values[..., size:])
+        size *= 2
+    rest = width - size
+    return np.minimum(values[..., : values.shape[-1] - rest], values[..., rest:]) if rest else values
+
+
+def band_keys(hashes: np.ndarray, shortest: int) -> np.ndarray:
+    """The key of each subsequence of ``shortest`` shingles, one row a band."""
+    least = sliding_minima(np.stack([mixed(hashes, f) for f in range(BANDS * BAND_ROWS)]), shortest)
+    keys = least[::BAND_ROWS].copy()
+    for i in range(1, BAND_ROWS):
+        keys = mixed(keys, i) + least[i::BAND_ROWS]
+    return np.stack([mixed(row, BANDS * BAND_ROWS + f) for f, row in enumerate(keys)])
+
+
+def centers(hashes: np.ndarray, shortest: int) -> np.ndarray:
+    """Where each subsequence of ``shortest`` shingles has its smallest hash, one row a function."""
+    at = np.zeros((BANDS * BAND_ROWS, len(hashes) - shortest + 1), np.int64)
+    for f, row in enumerate(at):
+        for a, c, b in compact_windows(mixed(hashes, f), shortest):
+            row[max(a, c - shortest + 1) : min(c, b - shortest + 1) + 1] = c
+    return at
+
+
 def window_rows(docs: DataFrame, min_words: int) -> DataFrame:
-    """(key, doc_id, again) of all compact windows of all texts, once for each key and text; ``again`` if the text has
-    several. The key is the window's smallest hash, whose last two bits make room for the number of the function."""
+    """(key, doc_id, again) of all subsequences of all texts, once for each key and text; ``again`` if the text has the
+    key in several places."""
     shortest = min_words - WORDS + 1
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,9 +98,8 @@ def window_rows(docs: DataFrame, min_words: int) -> DataFrame:
                 hashes = np.array(shingle_hashes((value.as_py() or "").encode(), WORDS), np.uint64)
                 if doc is None or len(hashes) < shortest:
                     continue
-                for f in range(FUNCTIONS):
-                    h = mixed(hashes, f)
-                    keys, n = np.unique(h[[c for _, c, _ in compact_windows(h, shortest)]] & ~_FUNCTION_BITS | np.uint64(f), return_counts=True)
+                for row in band_keys(hashes, shortest):
+                    keys, n = np.unique(row[np.concatenate(([True], row[1:] != row[:-1]))], return_counts=True)
                     parts.append((keys.view(np.int64), np.full(len(keys), doc, np.int64), n > 1))
                     held += len(keys)
                 if held > 100_000:
@@ -84,13 +112,43 @@ def window_rows(docs: DataFrame, min_words: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(cut, "key bigint, doc_id bigint, again boolean")
 
 
-def candidate_pairs(windows: DataFrame) -> DataFrame:
-    """(source, doc_id): texts of which enough functions share a window, each with the first text of that window; with
-    itself if it has the window several times."""
-    first = windows.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("source"), F.max("again").alias("some")).filter("n > 1 or some")
-    met = windows.join(first.select("key", "source"), "key").filter("doc_id <> source or again")
-    met = met.groupBy("source", "doc_id").agg(F.bit_or(F.expr(f"shiftleft(1, cast(key & {int(_FUNCTION_BITS)} as int))")).alias("functions"))
-    return met.filter(F.bit_count("functions") >= AGREE).select("source", "doc_id")
+def shared_windows(windows: DataFrame) -> DataFrame:
+    """(key, doc_id, again, source): the windows of keys that several rows have, or one text several times, with the first
+    text of the key."""
+    of_key = Window.partitionBy("key")
+    met = windows.withColumn("n", F.count("*").over(of_key)).withColumn("source", F.min("doc_id").over(of_key))
+    return met.filter("n > 1 or again").select("key", "doc_id", "again", "source")
+
+
+def first_pairs(met: DataFrame) -> DataFrame:
+    """(source, doc_id): each text with the first text of each of its keys, and with itself if it has a key again."""
+    others = met.filter("doc_id <> source").select("source", "doc_id")
+    return others.unionByName(met.filter("again").select(F.col("doc_id").alias("source"), "doc_id")).distinct()
+
+
+def open_pairs(met: DataFrame, texts: DataFrame, found: DataFrame, pairs: DataFrame, min_words: int) -> DataFrame:
+    """(source, doc_id): each text with all other earlier texts of its open keys, but the ``pairs`` compared already."""
+    shortest = min_words - WORDS + 1
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, docs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for doc, value, spans in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+                hashes = np.array(shingle_hashes((value.as_py() or "").encode(), WORDS), np.uint64)
+                if len(hashes) < shortest:
+                    continue
+                covered = np.zeros(len(hashes), bool)
+                for span in spans or []:
+                    covered[span["start"] : span["end"] - WORDS + 1] = True
+                closed = covered[centers(hashes, shortest)].reshape(BANDS, BAND_ROWS, -1).all(axis=1)
+                keys.append(np.unique(band_keys(hashes, shortest)[~closed]).view(np.int64))
+                docs.append(np.full(len(keys[-1]), doc, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (keys, docs)], ["key", "doc_id"])
+
+    later = texts.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
+    open_keys = later.join(merged_spans(found).select("doc_id", "spans"), "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(cut, "key bigint, doc_id bigint")
+    others = met.filter("doc_id <> source").select("key", F.col("doc_id").alias("source"))
+    return open_keys.join(others, "key").filter("source < doc_id").select("source", "doc_id").distinct().join(pairs, ["source", "doc_id"], "left_anti")
 
 
 def regions(matched: np.ndarray, shortest: int, similarity: float) -> list[tuple[int, int]]:
@@ -132,13 +190,11 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, similarity: float =
     spark = docs.sparkSession
     shortest = min_words - WORDS + 1
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    windows = materialize(window_rows(texts, min_words), "windows")
-    pairs = materialize(candidate_pairs(windows), "pairs")
-    discard(windows)
+    met = materialize(shared_windows(window_rows(texts, min_words)), "windows")
+    pairs = materialize(first_pairs(met), "pairs")
     involved = materialize(pairs.select("doc_id").union(pairs.select("source")).distinct(), "involved")
     held = materialize(texts.join(broadcast_if_small(involved), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
     sources = held.select(F.col("doc_id").alias("source"), F.col("text").alias("source_text"))
-    both = pairs.join(held, "doc_id").join(sources, "source")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("source", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
@@ -159,10 +215,16 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, similarity: float =
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], schema=schema)
 
+    def passages(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(held, "doc_id").join(sources, "source")
+        return materialize(both.select("source", "doc_id", "text", "source_text").mapInArrow(verify, "doc_id bigint, source bigint, start bigint, end bigint"), "passages")
+
     bound_memory(spark)
     with small_batches(spark, 128):
-        found = materialize(both.select("source", "doc_id", "text", "source_text").mapInArrow(verify, "doc_id bigint, source bigint, start bigint, end bigint"), "passages")
-    discard(pairs, involved, held)
+        first = passages(pairs)
+        more = materialize(open_pairs(met, held, first, pairs, min_words), "pairs")
+        found = first.unionByName(passages(more))
+    discard(met, pairs, more, involved, held)
     return found
 
 

@@ -460,6 +460,20 @@ def test_repeated_passages(spark, empty):
     assert passages.repeated_passages(empty).count() == 0 and passages.remove_repeats(empty).count() == 0
 
 
+def test_passages_behind_earlier_quotes(spark):
+    """Full copies are found though earlier texts hold parts of the passage, each too short to be one."""
+    rng = random.Random(21)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    rows, want = [], {}
+    for i in range(0, 200, 10):
+        passage = fresh(60)
+        parts = [passage[:30], passage[15:45], passage[30:], passage, passage, passage]
+        rows += [(i + j, " ".join(fresh(40) + part + fresh(40))) for j, part in enumerate(parts)]
+        want |= {i + 4: (40, 100), i + 5: (40, 100)}
+    found = passages.merged_spans(passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
+    assert {r.doc_id: (r.spans[0].start, r.spans[0].end) for r in found} == want
+
+
 # --- models ---
 
 
