@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -43,6 +44,12 @@ def discard(*held: DataFrame) -> None:
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let the driver find the shuffles of finished jobs now: executors keep their files until its next collection."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 #: Rows of a side that is broadcast once it has been counted; a larger side is shuffled.
 BROADCAST_ROWS = 1_000_000
 
@@ -52,6 +59,24 @@ def broadcast_if_small(held: DataFrame, limit: int = BROADCAST_ROWS) -> DataFram
     return F.broadcast(held) if held.count() <= limit else held
 
 
+#: A key of more rows is dealt over several tasks, unless that would make more than ``HOT_KEYS`` such keys.
+HOT_ROWS, HOT_KEYS = 8192, 10_000
+
+
+def join_split(many: DataFrame, one: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """Inner join of ``many`` with ``one``, which has one row for each key and in ``n`` the number of rows that ``many``
+    has of it. The rows of a hot key are dealt over several tasks, each with a copy of its one row. ``rows``, of ``many``,
+    bounds the number of hot keys, which are broadcast, by ``HOT_KEYS``."""
+    share = max(HOT_ROWS, rows // HOT_KEYS)
+    parts = F.ceil(F.col("n") / share).cast("int")
+    hot = one.filter(F.col("n") > share).select(*keys, parts.alias("__parts"))
+    others = [c for c in many.columns if c not in keys]
+    part = F.coalesce(F.pmod(F.xxhash64(*others), F.col("__parts")).cast("int"), F.lit(0))
+    dealt = many.join(F.broadcast(hot), keys, "left").withColumn("__part", part).drop("__parts")
+    copied = one.withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return dealt.join(copied, [*keys, "__part"]).drop("__part")
+
+
 #: Bytes of rows that Python gets at once: a batch of whole texts stays small however long they are.
 BATCH_BYTES = 4 << 20
 

@@ -1,11 +1,18 @@
 """Repeated passages, found with compact windows.
 
-A text is a sequence of 5-word shingles. Every subsequence of the wanted length has a key for each band: its smallest
-hashes under the band's functions. Texts with near-duplicate passages share keys in most bands. The texts of a key are
-compared with its first text, on the whole texts. Under one hash function, the Cartesian tree over the shingles' hashes
-cuts all subsequences into compact windows, each with the shingle of the smallest hash at its center; a key whose centers
-do not all lie in passages found so far is open, and its texts are then compared with each other. Every passage that
-repeats an earlier one is reported once for each such text.
+A text is a sequence of 5-word shingles. The Cartesian tree over the shingles' hashes groups all subsequences of at least
+``WIDTH`` shingles by the smallest hash in them, their signature: a compact window holds those with one signature. Equal
+subsequences have equal signatures, so two passages that are alike share the windows of their equal runs.
+
+An edit of a word spoils 5 shingles, and with them at most ``WIDTH - 1`` more subsequences on its left. A passage of n
+shingles that is 0.8 similar to another has at most n / 9 spoilt ones, and some part of it of the shortest length no more
+than its share. So it can only lie where most windows of a part as long as the shortest passage occur elsewhere too; this
+necessary condition is counted, not sampled, and leaves the regions that take part in the search.
+
+Regions are then joined on their windows' signatures: each window first with the first region that has it, then, where
+it lies in no passage found so far, with every other earlier region. A joined pair of windows gives the shift between
+two regions; along each shift the shingles are compared, and runs at nearly the same shift are put together to passages,
+span against span.
 """
 
 from __future__ import annotations
@@ -15,35 +22,62 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_udf, bound_memory, broadcast_if_small, discard, materialize, small_batches
-from .simhash import shingle_hashes
+from .common import arrow_udf, as_bytes, bound_memory, broadcast_if_small, discard, join_split, materialize, release_shuffles, small_batches
 
 WORDS = 5
-#: Bands of keys, and hash functions in each. Passages of similarity 0.8 share the key of one subsequence in some band
-#: with probability 1 - (1 - 0.8**2)**5, 0.994; equal ones always do.
-BANDS, BAND_ROWS = 5, 2
-#: Two edits in a row spoil this many shingles.
-GAP = 2 * WORDS
+#: Shingles in the shortest subsequences that are signed.
+WIDTH = 12
+#: Runs whose shifts differ by no more than this from the next one are parts of one passage.
+DRIFT = 10
 #: Texts with passages up to which their spans are broadcast to all texts.
 SPAN_ROWS = 250_000
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-_SEEDS = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1)) & 0xFFFFFFFFFFFFFFFF for i in range(64)], np.uint64)
+_random = np.random.default_rng(42)
+_FOLDED = np.arange(256)
+_FOLDED[65:91] += 32
+_CODES = _random.integers(0, 1 << 63, 256, np.uint64)[_FOLDED]
+_POWERS = np.cumprod(np.full(4096, np.uint64(0x9E3779B97F4A7C15)))
+_FACTORS = _random.integers(0, 1 << 63, WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
+_IN_WORD = ~np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
 
 
-def mixed(hashes: np.ndarray, function: int) -> np.ndarray:
-    """The ``function``-th hash of each shingle."""
-    x = hashes ^ _SEEDS[function]
+# --- shingles and windows -------------------------------------------------------------------------------------------
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
+def shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """A hash for each word of all texts, of the shingle that begins with it, and the texts' numbers of words. Words are
+    what ASCII white space separates, their case ignored; the last ``WORDS - 1`` hashes of a text mean nothing."""
+    data = np.frombuffer(b"\n".join(texts), np.uint8)
+    inside = _IN_WORD[data]
+    edge = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).view(np.int8)))
+    first, sizes = edge[::2], edge[1::2] - edge[::2]
+    bounds = np.cumsum([0] + [len(t) + 1 for t in texts])
+    counts = np.diff(np.searchsorted(first, bounds))
+    if not len(first):
+        return np.zeros(0, np.uint64), counts
+    begins = np.cumsum(sizes) - sizes
+    place = np.arange(int(sizes.sum())) - np.repeat(begins, sizes)
+    words = np.add.reduceat(_CODES[data[inside]] * _POWERS[place & 4095], begins)
+    words = mixed(words + sizes.astype(np.uint64))
+    padded = np.concatenate((words, np.zeros(WORDS - 1, np.uint64)))
+    total = np.zeros(len(words), np.uint64)
+    for i, factor in enumerate(_FACTORS):
+        total += padded[i : i + len(words)] * factor
+    return mixed(total), counts
+
+
 def compact_windows(values: np.ndarray, shortest: int) -> list[tuple[int, int, int]]:
-    """(first, center, last) of every compact window at least ``shortest`` wide: each subsequence from [first, center] to
-    [center, last] has its smallest value, the leftmost of equal ones, at the center."""
+    """(first, center, last) of every compact window at least ``shortest`` wide, by descending the Cartesian tree: each
+    subsequence from [first, center] to [center, last] has its smallest value, the leftmost of equal ones, at the center."""
     out, stack = [], [(0, len(values))]
     while stack:
         a, b = stack.pop()
@@ -56,187 +90,338 @@ def compact_windows(values: np.ndarray, shortest: int) -> list[tuple[int, int, i
     return out
 
 
-def sliding_minima(values: np.ndarray, width: int) -> np.ndarray:
-    """The smallest of each run of ``width`` values along the last axis."""
-    size = 1
+def window_centers(values: np.ndarray, width: int) -> np.ndarray:
+    """For each subsequence of ``width`` values the center of its compact window, for all windows at once: what a node of
+    the Cartesian tree holds of them is the run of subsequences that have one center."""
+    at, size = np.arange(len(values)), 1
+    if len(values) < width:
+        return at[:0]
+
+    def lower(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.where(values[b] < values[a], b, a)
+
     while 2 * size <= width:
-        values = np.minimum(values[..., :-size], values[..., size:])
-        size *= 2
+        at, size = lower(at[:-size], at[size:]), 2 * size
     rest = width - size
-    return np.minimum(values[..., : values.shape[-1] - rest], values[..., rest:]) if rest else values
+    return lower(at[:-rest], at[rest:]) if rest else at
 
 
-def band_keys(hashes: np.ndarray, shortest: int) -> np.ndarray:
-    """The key of each subsequence of ``shortest`` shingles, one row a band."""
-    least = sliding_minima(np.stack([mixed(hashes, f) for f in range(BANDS * BAND_ROWS)]), shortest)
-    keys = least[::BAND_ROWS].copy()
-    for i in range(1, BAND_ROWS):
-        keys = mixed(keys, i) + least[i::BAND_ROWS]
-    return np.stack([mixed(row, BANDS * BAND_ROWS + f) for f, row in enumerate(keys)])
+def windows_of(texts: list[bytes], shortest: int) -> tuple[np.ndarray, ...]:
+    """(text number, signature, first subsequence, their number, center) of the compact windows of all texts that have
+    ``shortest`` shingles; a window is told by the subsequences of ``WIDTH`` shingles in it."""
+    hashes, counts = shingles(texts)
+    ends = np.cumsum(counts)
+    of = np.repeat(np.arange(len(texts)), counts)
+    centers = window_centers(hashes, WIDTH)
+    starts = np.arange(len(centers))
+    of = of[: len(centers)]
+    kept = (starts + WIDTH + WORDS - 1 <= ends[of]) & (counts[of] >= shortest + WORDS - 1)
+    starts, centers, of = starts[kept], centers[kept], of[kept]
+    new = np.flatnonzero(np.concatenate(([True], centers[1:] != centers[:-1]))) if len(starts) else np.zeros(0, np.int64)
+    begin = (ends - counts)[of[new]]
+    sizes = np.diff(np.append(new, len(starts)))
+    return of[new], hashes[centers[new]], starts[new] - begin, sizes, centers[new] - begin
 
 
-def centers(hashes: np.ndarray, shortest: int) -> np.ndarray:
-    """Where each subsequence of ``shortest`` shingles has its smallest hash, one row a function."""
-    at = np.zeros((BANDS * BAND_ROWS, len(hashes) - shortest + 1), np.int64)
-    for f, row in enumerate(at):
-        for a, c, b in compact_windows(mixed(hashes, f), shortest):
-            row[max(a, c - shortest + 1) : min(c, b - shortest + 1) + 1] = c
-    return at
+def spoilt(shortest: int, similarity: float) -> int:
+    """Most subsequences of ``WIDTH`` among ``shortest`` shingles that edits can have spoilt, the passage being similar."""
+    lost = int(shortest * (1 - similarity) / (1 + similarity))
+    return lost + (WIDTH - 1) * max(1, lost // (WORDS - 1))
 
 
-def window_rows(docs: DataFrame, min_words: int) -> DataFrame:
-    """(key, doc_id, again) of all subsequences of all texts, once for each key and text; ``again`` if the text has the
-    key in several places."""
-    shortest = min_words - WORDS + 1
+# --- passages of two regions ----------------------------------------------------------------------------------------
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "doc_id", "again"]
-        for batch in batches:
-            parts: list[tuple[np.ndarray, ...]] = []
-            held = 0
-            for doc, value in zip(batch.column(0).to_pylist(), batch.column(1)):
-                hashes = np.array(shingle_hashes((value.as_py() or "").encode(), WORDS), np.uint64)
-                if doc is None or len(hashes) < shortest:
-                    continue
-                for row in band_keys(hashes, shortest):
-                    keys, n = np.unique(row[np.concatenate(([True], row[1:] != row[:-1]))], return_counts=True)
-                    parts.append((keys.view(np.int64), np.full(len(keys), doc, np.int64), n > 1))
-                    held += len(keys)
-                if held > 100_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], names)
-                    parts, held = [], 0
-            if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], names)
 
-    bound_memory(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(cut, "key bigint, doc_id bigint, again boolean")
+def runs_of(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    edge = np.flatnonzero(np.diff(np.concatenate(([False], mask, [False])).view(np.int8)))
+    return edge[::2], edge[1::2]
 
 
-def shared_windows(windows: DataFrame) -> DataFrame:
-    """(key, doc_id, again, source): the windows of keys that several rows have, or one text several times, with the first
-    text of the key."""
-    of_key = Window.partitionBy("key")
-    met = windows.withColumn("n", F.count("*").over(of_key)).withColumn("source", F.min("doc_id").over(of_key))
-    return met.filter("n > 1 or again").select("key", "doc_id", "again", "source")
+def best_chains(first: np.ndarray, last: np.ndarray, from_: np.ndarray, to: np.ndarray, shortest: int, similarity: float) -> list[tuple[int, int]]:
+    """Spans from the start of a run to the end of another whose runs make up enough of both sides: runs [first, last) of
+    one text lie at [from_, to) of the other. The longest for each start; shorter ones lie within."""
+    held = np.concatenate(([0], np.cumsum(last - first)))
+    out: list[tuple[int, int]] = []
+    for a in range(len(first)):
+        if out and first[a] >= out[-1][0] and last[-1] <= out[-1][1]:
+            break
+        mine, other, m = last[a:] - first[a], to[a:] - from_[a], held[a + 1 :] - held[a]
+        good = np.flatnonzero((mine >= shortest) & (other >= m) & (m >= similarity * (mine + other - m)))
+        if len(good):
+            span = int(first[a]), int(last[a + good[-1]])
+            if not out or span[1] > out[-1][1]:
+                if out and span[0] <= out[-1][1]:
+                    out[-1] = (out[-1][0], span[1])
+                else:
+                    out.append(span)
+    return out
 
 
-def first_pairs(met: DataFrame) -> DataFrame:
-    """(source, doc_id): each text with the first text of each of its keys, and with itself if it has a key again."""
-    others = met.filter("doc_id <> source").select("source", "doc_id")
-    return others.unionByName(met.filter("again").select(F.col("doc_id").alias("source"), "doc_id")).distinct()
+def passages_between(mine: np.ndarray, at: int, other: np.ndarray, other_at: int, here: np.ndarray, there: np.ndarray, shortest: int, similarity: float) -> list[tuple[int, int]]:
+    """Shingle spans of a region (hashes ``mine``, the first at ``at``) that nearly repeat one of another region, tried at
+    the shifts of the windows that both have, centered ``here`` and ``there``."""
+    shifts, counts = np.unique(there - here, return_counts=True)
+    groups = np.split(np.arange(len(shifts)), np.flatnonzero(np.diff(shifts) > DRIFT) + 1)
+    groups.sort(key=lambda g: -int(counts[g].sum()))
+    found: list[tuple[int, int]] = []
+    for g in groups:
+        low, high = shifts[g[0]], shifts[g[-1]]
+        centers = here[(there - here >= low) & (there - here <= high)]
+        if all(any(a <= c < b for a, b in found) for c in centers.tolist()) and found:
+            continue
+        partner = np.full(len(mine), -1, np.int64)
+        for d in sorted(g.tolist(), key=lambda i: (-counts[i], abs(int(shifts[i])))):
+            shift = int(shifts[d])
+            if (partner[here[there - here == shift] - at] >= 0).all():
+                continue
+            a, b = max(at, other_at - shift), min(at + len(mine), other_at + len(other) - shift)
+            if a >= b:
+                continue
+            x = np.arange(a, b)
+            same = (mine[a - at : b - at] == other[a + shift - other_at : b + shift - other_at]) & (partner[a - at : b - at] < 0)
+            partner[x[same] - at] = x[same] + shift
+        step = np.flatnonzero(partner >= 0)
+        if not len(step):
+            continue
+        cut = np.flatnonzero((np.diff(step) != 1) | (np.diff(partner[step]) != 1)) + 1
+        first, last = step[np.concatenate(([0], cut))], step[np.concatenate((cut - 1, [len(step) - 1]))]
+        found += [(a + at, b + at) for a, b in best_chains(first, last + 1, partner[first], partner[last] + 1, shortest, similarity)]
+    return sorted(found)
 
 
-def open_pairs(met: DataFrame, texts: DataFrame, found: DataFrame, pairs: DataFrame, min_words: int) -> DataFrame:
-    """(source, doc_id): each text with all other earlier texts of its open keys, but the ``pairs`` compared already."""
-    shortest = min_words - WORDS + 1
+# --- search ---------------------------------------------------------------------------------------------------------
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
+    """Columns of consecutive sorted rows, cut only where the first ``keys`` columns change."""
+    held: list[np.ndarray] = []
+    for batch in batches:
+        cols = [np.asarray(c) for c in batch.columns]
+        if not len(cols[0]):
+            continue
+        if held:
+            cols = [np.concatenate(x) for x in zip(held, cols)]
+        other = np.flatnonzero(np.any([c != c[-1] for c in cols[:keys]], axis=0))
+        cut = int(other[-1]) + 1 if len(other) else 0
+        held = [c[cut:] for c in cols]
+        if cut:
+            yield [c[:cut] for c in cols]
+    if held:
+        yield held
+
+
+def distinct_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(texts, copies, several) of rows (doc_id, text): ``texts`` (doc, tie, text), each text under the smallest doc_id
+    that has it; ``copies`` (doc_id, same, first), all others; ``several``, the ids of more than one row. ``tie`` tells
+    the texts of such an id apart and is 0 elsewhere."""
+    rows = docs.filter("doc_id is not null").select("doc_id", "text", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("same"))
+    names = materialize(rows.select("doc_id", "same"), "names")
+    several = materialize(names.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "several")
+    shared = names.groupBy("same").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).filter("first <> last")
+    copies = materialize(join_split(names, shared.drop("last"), ["same"], names.count()).filter("doc_id <> first").select("doc_id", "same", "first").distinct(), "copies")
+    discard(names)
+    own = rows.join(broadcast_if_small(copies.select("doc_id", "same")), ["doc_id", "same"], "left_anti")
+    few = broadcast_if_small(several)
+    once = own.join(few, "doc_id", "left_anti").select(F.col("doc_id").alias("doc"), F.lit(0).cast("long").alias("tie"), "text")
+    odd = own.join(few, "doc_id", "left_semi").dropDuplicates(["doc_id", "same"]).select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("tie"), "text")
+    return once.unionByName(odd), copies, several
+
+
+def window_rows(texts: DataFrame, shortest: int) -> DataFrame:
+    """(key, doc, tie, place) of all windows of all texts; ``place`` holds the first subsequence, how far behind it the
+    center lies and the number of subsequences."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, docs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for doc, value, spans in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-                hashes = np.array(shingle_hashes((value.as_py() or "").encode(), WORDS), np.uint64)
-                if len(hashes) < shortest:
+            of, keys, first, sizes, center = windows_of(list(as_bytes(batch.column(2))), shortest)
+            doc, tie = (np.asarray(batch.column(i))[of] for i in (0, 1))
+            place = first << 16 | (center - first) << 8 | sizes
+            for at in range(0, len(of), 100_000):
+                part = slice(at, at + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(c[part], pa.int64()) for c in (keys.view(np.int64), doc, tie, place)], ["key", "doc", "tie", "place"])
+
+    return texts.select("doc", "tie", "text").mapInArrow(cut, "key bigint, doc bigint, tie bigint, place bigint")
+
+
+VIABLE = "doc bigint, tie bigint, begins array<bigint>, ends array<bigint>, keys array<bigint>, centers array<bigint>"
+
+
+def viable_texts(shared: DataFrame, shortest: int, similarity: float) -> DataFrame:
+    """Rows of ``VIABLE`` for texts that have a part of ``shortest`` shingles most of whose windows are among ``shared``
+    (key, doc, tie, place): the regions of such parts, with a margin as long around, and the shared windows in them."""
+    parts = shortest - WIDTH + 1
+    wanted = parts - spoilt(shortest, similarity)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 4]
+        for doc, tie, place, key in _whole_groups(batches, 2):
+            edge = np.flatnonzero((doc[1:] != doc[:-1]) | (tie[1:] != tie[:-1])) + 1
+            rows = []
+            for a, b in zip(np.concatenate(([0], edge)).tolist(), np.concatenate((edge, [len(doc)])).tolist()):
+                p = place[a:b]
+                first, center, size = p >> 16, (p >> 16) + (p >> 8 & 255), p & 255
+                if int(size.sum()) < wanted:
                     continue
-                covered = np.zeros(len(hashes), bool)
-                for span in spans or []:
-                    covered[span["start"] : span["end"] - WORDS + 1] = True
-                closed = covered[centers(hashes, shortest)].reshape(BANDS, BAND_ROWS, -1).all(axis=1)
-                keys.append(np.unique(band_keys(hashes, shortest)[~closed]).view(np.int64))
-                docs.append(np.full(len(keys[-1]), doc, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (keys, docs)], ["key", "doc_id"])
-
-    later = texts.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
-    open_keys = later.join(merged_spans(found).select("doc_id", "spans"), "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(cut, "key bigint, doc_id bigint")
-    others = met.filter("doc_id <> source").select("key", F.col("doc_id").alias("source"))
-    return open_keys.join(others, "key").filter("source < doc_id").select("source", "doc_id").distinct().join(pairs, ["source", "doc_id"], "left_anti")
-
-
-def regions(matched: np.ndarray, shortest: int, similarity: float) -> list[tuple[int, int]]:
-    """[start, end) of the shingle runs, at least ``shortest`` long, of which enough shingles are matched: with m of n
-    matched, and a source as long, the similarity is m / (2 n - m). Gaps up to ``GAP`` are bridged where that holds."""
-    edge = np.flatnonzero(np.diff(np.concatenate(([0], matched.astype(np.int8), [0]))))
-    runs = list(zip(edge[::2].tolist(), edge[1::2].tolist()))
-    out: list[tuple[int, int]] = []
-    group: list[tuple[int, int]] = []
-    stack: list[list[tuple[int, int]]] = []
-    for run in runs:
-        if group and run[0] - group[-1][1] > GAP:
-            stack.append(group)
-            group = []
-        group.append(run)
-    if group:
-        stack.append(group)
-    while stack:
-        g = stack.pop()
-        start, end = g[0][0], g[-1][1]
-        if end - start < shortest:
-            continue
-        m = sum(b - a for a, b in g)
-        if m >= similarity * (2 * (end - start) - m):
-            out.append((start, end))
-        elif len(g) > 1:
-            widest = max(range(1, len(g)), key=lambda i: g[i][0] - g[i - 1][1])
-            stack += [g[:widest], g[widest:]]
-    return sorted(out)
+                change = np.zeros(int(first[-1] + size[-1]) + parts + 1, np.int64)
+                np.add.at(change, first, 1)
+                np.add.at(change, first + size, -1)
+                seen = np.concatenate(([0], np.cumsum(np.cumsum(change) > 0)))
+                good = seen[parts:] - seen[:-parts] >= wanted
+                if not good.any():
+                    continue
+                begin, end = runs_of(good)
+                core = np.zeros(len(change) + shortest, np.int64)
+                np.add.at(core, begin, 1)
+                np.add.at(core, end - 1 + shortest, -1)
+                within = np.cumsum(core)[center] > 0
+                lo, hi = np.maximum(begin - shortest, 0), end - 1 + 2 * shortest
+                apart = np.flatnonzero(lo[1:] > hi[:-1])
+                rows.append((int(doc[a]), int(tie[a]), lo[np.concatenate(([0], apart + 1))], hi[np.concatenate((apart, [len(hi) - 1]))], key[a:b][within], center[within]))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], ["doc", "tie", "begins", "ends", "keys", "centers"])
 
+    rows = shared.select("doc", "tie", "place", "key").repartition("doc", "tie").sortWithinPartitions("doc", "tie", "place")
+    return rows.mapInArrow(judge, VIABLE)
 
-def repeated_passages(docs: DataFrame, min_words: int = 50, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, source, start, end): each passage of at least ``min_words`` words that nearly repeats one of a text with
-    a smaller doc_id, or an earlier one of its own text (source is then the doc_id). Positions count words from 0.
 
-    Null ids, null, empty and short texts have no passages. Equal rows (one id, one text) count as one text. Other
-    columns are not read. An empty table gives no rows.
-    """
-    spark = docs.sparkSession
-    shortest = min_words - WORDS + 1
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    met = materialize(shared_windows(window_rows(texts, min_words)), "windows")
-    pairs = materialize(first_pairs(met), "pairs")
-    involved = materialize(pairs.select("doc_id").union(pairs.select("source")).distinct(), "involved")
-    held = materialize(texts.join(broadcast_if_small(involved), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-    sources = held.select(F.col("doc_id").alias("source"), F.col("text").alias("source_text"))
+REGIONS = "doc bigint, tie bigint, begin bigint, hashes binary, keys array<bigint>, centers array<bigint>"
+
+
+def regions_of(texts: DataFrame, viable: DataFrame) -> DataFrame:
+    """Rows of ``REGIONS``: each region's shingle hashes and shared windows."""
+
+    def slice_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), *[pa.list_(pa.int64())] * 2]
+        for batch in batches:
+            hashes, counts = shingles(list(as_bytes(batch.column(2))))
+            stops = np.cumsum(counts)
+            rows = []
+            for i, (doc, tie, begins, ends, keys, centers) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 3, 4, 5, 6)))):
+                own = hashes[stops[i] - counts[i] : stops[i] - WORDS + 1]
+                key, center = np.array(keys, np.int64), np.array(centers, np.int64)
+                for a, b in zip(begins, ends):
+                    here = (center >= a) & (center < b)
+                    rows.append((doc, tie, a, own[a:b].tobytes(), key[here], center[here]))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], ["doc", "tie", "begin", "hashes", "keys", "centers"])
+
+    some = texts.join(broadcast_if_small(viable.select("doc", "tie")), ["doc", "tie"], "left_semi")
+    return some.join(viable, ["doc", "tie"]).select("doc", "tie", "text", "begins", "ends", "keys", "centers").mapInArrow(slice_up, REGIONS)
+
+
+_REGION, _SOURCE = ["doc", "tie", "begin"], ["sdoc", "stie", "sbegin"]
+_HERE = "named_struct('doc', doc, 'tie', tie, 'center', center)"
+_THERE = "named_struct('doc', sdoc, 'tie', stie, 'center', scenter)"
+
+
+def verified(pairs: DataFrame, regions: DataFrame, shortest: int, similarity: float) -> DataFrame:
+    """(doc, tie, source, start, end): the passages of regions that nearly repeat one of the region they are paired with,
+    ``pairs`` (_REGION, center, _SOURCE, scenter) holding a row for each window that both have."""
+    spark = pairs.sparkSession
+    grouped = pairs.repartition(*_REGION).groupBy(*_REGION, *_SOURCE).agg(F.collect_set(F.struct("center", "scenter")).alias("at"))
+    grouped = grouped.select(*_REGION, *_SOURCE, F.col("at.center").alias("here"), F.col("at.scenter").alias("there"))
+    grouped = materialize(grouped.join(regions.select(*_REGION, "hashes"), _REGION), "pairs")
+    counts = grouped.groupBy(*_SOURCE).agg(F.count("*").alias("n"))
+    named = regions.select(*[F.col(a).alias(b) for a, b in zip(_REGION, _SOURCE)], F.col("hashes").alias("other"))
+    sources = materialize(named.join(counts, _SOURCE), "sources")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("source", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
         for batch in batches:
             rows = []
-            known: tuple[int | None, np.ndarray] = (None, np.zeros(0, np.uint64))
-            for source, doc, mine, other in zip(*[batch.column(batch.schema.get_field_index(c)) for c in ("source", "doc_id", "text", "source_text")]):
-                source, doc = source.as_py(), doc.as_py()
-                own = np.array(shingle_hashes(mine.as_py().encode(), WORDS), np.uint64)
-                if source == doc:
-                    _, at, back = np.unique(own, return_index=True, return_inverse=True)
-                    matched = at[back] < np.arange(len(own))
-                else:
-                    if known[0] != source:
-                        known = (source, np.array(shingle_hashes(other.as_py().encode(), WORDS), np.uint64))
-                    matched = np.isin(own, known[1])
-                rows += [(doc, source, a, b + WORDS - 1) for a, b in regions(matched, shortest, similarity)]
+            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (*_REGION, *_SOURCE, "here", "there", "hashes", "other")]
+            for doc, tie, begin, sdoc, _, sbegin, here, there, mine, other in zip(*columns):
+                spans = passages_between(np.frombuffer(mine, np.uint64), begin, np.frombuffer(other, np.uint64), sbegin, np.array(here), np.array(there), shortest, similarity)
+                rows += [(doc, tie, sdoc, a, b + WORDS - 1) for a, b in spans]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc", "tie", "source", "start", "end"])
+
+    both = join_split(grouped, sources, _SOURCE, grouped.count())
+    with small_batches(spark, 512):
+        found = materialize(both.mapInArrow(verify, "doc bigint, tie bigint, source bigint, start bigint, end bigint").distinct(), "passages")
+    discard(grouped, sources)
+    release_shuffles(spark)
+    return found
+
+
+def first_pairs(anchors: DataFrame) -> DataFrame:
+    """Each window (key, _REGION, center) with the first that has its signature, if that is another."""
+    first = anchors.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("doc", "tie", "center", "begin")).alias("f")).filter("n > 1")
+    first = first.select("key", "n", F.col("f.doc").alias("sdoc"), F.col("f.tie").alias("stie"), F.col("f.begin").alias("sbegin"), F.col("f.center").alias("scenter"))
+    return join_split(anchors, first, ["key"], anchors.count()).filter(f"{_THERE} < {_HERE}").drop("key", "n")
+
 
-    def passages(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(held, "doc_id").join(sources, "source")
-        return materialize(both.select("source", "doc_id", "text", "source_text").mapInArrow(verify, "doc_id bigint, source bigint, start bigint, end bigint"), "passages")
+def open_pairs(anchors: DataFrame, found: DataFrame) -> DataFrame:
+    """Each window that lies in no passage of ``found`` with all earlier ones of its signature but the first."""
+    spans = merged_spans(found.withColumnsRenamed({"doc": "doc_id", "tie": "text_key"})).select(F.col("doc_id").alias("doc"), F.col("text_key").alias("tie"), "spans")
+    first = anchors.groupBy("key").agg(F.count("*").alias("n"), F.min(F.expr(_HERE)).alias("f")).filter("n > 2")
+    inside = F.exists("spans", lambda s: (s["start"] <= F.col("center")) & (F.col("center") + WORDS <= s["end"]))
+    left = anchors.join(spans, ["doc", "tie"], "left").filter(~F.coalesce(inside, F.lit(False))).drop("spans")
+    left = materialize(join_split(left, first, ["key"], anchors.count()).filter(F.expr(_HERE) > F.col("f")), "open")
+    parts = F.ceil(F.col("n") / 4096).cast("int")
+    keys = left.groupBy("key").agg(F.first("n").alias("n"), F.first("f").alias("f"))
+    right = join_split(anchors, keys, ["key"], anchors.count()).filter(F.expr(_HERE) > F.col("f"))
+    right = right.select("key", *[F.col(a).alias(b) for a, b in zip([*_REGION, "center"], [*_SOURCE, "scenter"])], F.pmod(F.xxhash64("doc", "tie", "center"), parts).cast("int").alias("part"))
+    left = left.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("n", "f")
+    return left.join(right, ["key", "part"]).filter(f"{_THERE} < {_HERE}").drop("key", "part")
 
+
+def repeated_passages(docs: DataFrame, min_words: int = 50, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, text_key, source, start, end): each passage of at least ``min_words`` words that nearly repeats one of a
+    text with a smaller doc_id, or an earlier one of its own text (source is then the doc_id). Positions count words from
+    0. A passage begins and ends with shingles that match, and its matching shingles, in order, make up ``similarity`` of
+    those of both sides. Of the texts that hold a passage, those are named that the search compared.
+
+    Null ids, null, empty and short texts have no passages. Equal rows count as one text; a text that equals one of a
+    smaller doc_id is one passage as a whole. The texts of a repeated id are told apart by ``text_key``, the XXH64 of the
+    text, which is 0 for all other ids. Other columns are not read. An empty table gives no rows.
+    """
+    spark, shortest = docs.sparkSession, min_words - WORDS + 1
+    if shortest < 2 * WIDTH:
+        raise ValueError(f"passages must have {2 * WIDTH + WORDS - 1} words at least")
     bound_memory(spark)
-    with small_batches(spark, 128):
-        first = passages(pairs)
-        more = materialize(open_pairs(met, held, first, pairs, min_words), "pairs")
-        found = first.unionByName(passages(more))
-    discard(met, pairs, more, involved, held)
-    return found
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    texts, copies, several = distinct_texts(rows)
+    windows = materialize(window_rows(texts, shortest), "windows")
+    counts = materialize(windows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "counts")
+    release_shuffles(spark)
+    viable = materialize(viable_texts(join_split(windows, counts, ["key"], windows.count()), shortest, similarity), "viable")
+    discard(windows, counts)
+    release_shuffles(spark)
+    regions = materialize(regions_of(texts, viable), "regions")
+    discard(viable)
+    anchors = materialize(regions.select(*_REGION, F.explode(F.arrays_zip("keys", "centers")).alias("w")).select("w.keys", *_REGION, "w.centers").toDF("key", *_REGION, "center"), "anchors")
+    release_shuffles(spark)
+    first = verified(first_pairs(anchors), regions, shortest, similarity)
+    more = verified(open_pairs(anchors, first), regions, shortest, similarity)
+    discard(regions, anchors)
+    found = first.unionByName(more).distinct().select(F.col("doc").alias("doc_id"), F.col("tie").alias("text_key"), "source", "start", "end")
+    whole = keyed_rows(rows, several).withColumn("same", F.md5(F.coalesce("text", F.lit("")).cast("binary"))).join(broadcast_if_small(copies), ["doc_id", "same"])
+    size = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+    whole = whole.select("doc_id", "text_key", F.col("first").alias("source"), F.lit(0).cast("long").alias("start"), size.alias("end")).filter(F.col("end") >= min_words)
+    return found.unionByName(whole.distinct())
+
+
+def keyed_rows(rows: DataFrame, several: DataFrame) -> DataFrame:
+    """Rows (doc_id, text, ...) with the ``text_key`` that ``repeated_passages`` gives them, null for null ids."""
+    marked = rows.join(broadcast_if_small(several.select("doc_id", F.lit(True).alias("__several"))), "doc_id", "left")
+    key = F.when(F.col("doc_id").isNotNull(), F.when(F.col("__several"), F.xxhash64("text")).otherwise(F.lit(0)).cast("long"))
+    return marked.withColumn("text_key", key).drop("__several")
+
+
+def repeated_ids(rows: DataFrame) -> DataFrame:
+    """(doc_id): the ids of more than one row."""
+    return materialize(rows.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null").select("doc_id"), "several")
 
 
 def merged_spans(passages: DataFrame) -> DataFrame:
-    """(doc_id, spans, sources): the union of each text's passages as ordered, disjoint word spans."""
+    """(doc_id, text_key, spans, sources): the union of each text's passages as ordered, disjoint word spans."""
     spans = F.array_sort(F.collect_set(F.struct("start", "end")))
     merge = F.aggregate(
         "spans",
         F.array().cast("array<struct<start:bigint,end:bigint>>"),
         lambda done, s: F.when((F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["end"] >= s["start"]), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.try_element_at(done, F.lit(-1))["start"].alias("start"), F.greatest(F.try_element_at(done, F.lit(-1))["end"], s["end"]).alias("end"))))).otherwise(F.concat(done, F.array(s))),
     )
-    return passages.groupBy("doc_id").agg(spans.alias("spans"), F.array_sort(F.collect_set("source")).alias("sources")).withColumn("spans", merge)
+    return passages.groupBy("doc_id", "text_key").agg(spans.alias("spans"), F.array_sort(F.collect_set("source")).alias("sources")).withColumn("spans", merge)
 
 
 def _cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
@@ -260,14 +445,23 @@ def without_spans(text: Column, spans: Column) -> Column:
     return arrow_udf(_cut, "string")(text, spans)
 
 
+def with_spans(docs: DataFrame, min_words: int = 50, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with ``__spans`` and ``__sources``, the merged passages of the row's text; null where it has none."""
+    found = materialize(merged_spans(repeated_passages(docs, min_words, similarity, doc_id, text)), "spans")
+    named = found.select(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__key"), F.col("spans").alias("__spans"), F.col("sources").alias("__sources"))
+    several = repeated_ids(docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"))).select(F.col("doc_id").alias("__several"))
+    marked = docs.join(broadcast_if_small(several), F.col(f"`{doc_id}`").cast("long") == F.col("__several"), "left")
+    key = F.when(F.col("__several").isNotNull(), F.xxhash64(F.col(f"`{text}`"))).otherwise(F.lit(0).cast("long"))
+    same = (F.col(f"`{doc_id}`").cast("long") == F.col("__doc")) & (key == F.col("__key"))
+    return marked.join(broadcast_if_small(named, SPAN_ROWS), same, "left").drop("__several", "__doc", "__key")
+
+
 def remove_repeats(docs: DataFrame, min_words: int = 50, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with every repeated passage cut from the later text, the first one staying.
 
-    A text of which no word is left goes; all others, null and empty ones included, stay with all their columns. Columns
-    of the names that are used on the way (``spans``, ``sources``) may exist in the input.
+    A text of which no word is left goes; all others, null and empty ones included, stay with all their columns, equal
+    rows alike. Columns of the names that are used on the way (``spans``, ``sources``) may exist in the input.
     """
-    spans = materialize(merged_spans(repeated_passages(docs, min_words, similarity, doc_id, text)), "spans")
-    named = broadcast_if_small(spans.select(F.col("doc_id").alias("__doc"), F.col("spans").alias("__spans")), SPAN_ROWS)
-    joined = docs.join(named, F.col(f"`{doc_id}`").cast("long") == F.col("__doc"), "left")
+    joined = with_spans(docs, min_words, similarity, doc_id, text)
     kept = joined.withColumn(text, without_spans(F.col(f"`{text}`"), F.col("__spans")))
     return kept.filter(F.col("__spans").isNull() | F.col(f"`{text}`").rlike(r"[^\x20\x09-\x0D]")).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import langid, media, packing, passages, piece_fst, simhash, token_counts, topk, toxicity, url_filter
-from .common import broadcast_if_small, crc_mod, materialize, table
+from .common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -137,14 +137,14 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the passages of 50 words or more that repeat an earlier one, and what is left of its text."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = materialize(passages.merged_spans(passages.repeated_passages(docs, min_words=50, similarity=0.8)), "spans")
-    joined = docs.join(broadcast_if_small(found, passages.SPAN_ROWS), "doc_id", "left")
-    left = passages.without_spans(F.coalesce(F.col("text"), F.lit("")), F.col("spans"))
+    joined = passages.with_spans(docs, min_words=50, similarity=0.8)
+    spans = F.col("__spans")
+    left = passages.without_spans(F.coalesce(F.col("text"), F.lit("")), spans)
     return joined.select(
         "doc_id",
-        F.coalesce(F.size("spans"), F.lit(0)).alias("n_passages"),
-        F.coalesce(F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]), F.lit(0)).alias("removed_words"),
-        F.coalesce(F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start"], s["end"])), ","), F.lit("")).alias("spans"),
-        F.coalesce(F.col("sources"), F.array().cast("array<bigint>")).alias("sources"),
+        F.coalesce(F.size(spans), F.lit(0)).alias("n_passages"),
+        F.coalesce(F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]), F.lit(0)).alias("removed_words"),
+        F.coalesce(F.array_join(F.transform(spans, lambda s: F.concat_ws("-", s["start"], s["end"])), ","), F.lit("")).alias("spans"),
+        F.coalesce(F.col("__sources"), F.array().cast("array<bigint>")).alias("sources"),
         F.sha2(left.cast("binary"), 256).alias("kept_sha256"),
     )
