@@ -9,8 +9,9 @@ shingles that is 0.8 similar to another has at most n / 9 spoilt ones, and some
 than its share. So it can only lie where most windows of a part as long as the shortest passage occur elsewhere too; this
 necessary condition is counted, not sampled, and leaves the regions that take part in the search.
 
-Regions are then joined on their windows' signatures: each window first with the first region that has it, then, where
-it lies in no passage found so far, with every other earlier region. A joined pair of windows gives the shift between
+Regions are then joined on their windows' signatures: each window first with the first region that has it. Windows that
+lie in no passage found so far are open, and where enough of them make up a part, so many of the rarest are joined with
+every earlier region that no text which shares enough of the part is missed. A joined pair of windows gives the shift between
 two regions; along each shift the shingles are compared, and runs at nearly the same shift are put together to passages,
 span against span.
 """
@@ -123,6 +124,10 @@ def windows_of(texts: list[bytes], shortest: int) -> tuple[np.ndarray, ...]:
     return of[new], hashes[centers[new]], starts[new] - begin, sizes, centers[new] - begin
 
 
+def center_of(place: np.ndarray) -> np.ndarray:
+    return (place >> 16) + (place >> 8 & 255)
+
+
 def spoilt(shortest: int, similarity: float) -> int:
     """Most subsequences of ``WIDTH`` among ``shortest`` shingles that edits can have spoilt, the passage being similar."""
     lost = int(shortest * (1 - similarity) / (1 + similarity))
@@ -243,7 +248,7 @@ def window_rows(texts: DataFrame, shortest: int) -> DataFrame:
     return texts.select("doc", "tie", "text").mapInArrow(cut, "key bigint, doc bigint, tie bigint, place bigint")
 
 
-VIABLE = "doc bigint, tie bigint, begins array<bigint>, ends array<bigint>, keys array<bigint>, centers array<bigint>"
+VIABLE = "doc bigint, tie bigint, begins array<bigint>, ends array<bigint>, keys array<bigint>, places array<bigint>"
 
 
 def viable_texts(shared: DataFrame, shortest: int, similarity: float) -> DataFrame:
@@ -259,7 +264,7 @@ def viable_texts(shared: DataFrame, shortest: int, similarity: float) -> DataFra
             rows = []
             for a, b in zip(np.concatenate(([0], edge)).tolist(), np.concatenate((edge, [len(doc)])).tolist()):
                 p = place[a:b]
-                first, center, size = p >> 16, (p >> 16) + (p >> 8 & 255), p & 255
+                first, center, size = p >> 16, center_of(p), p & 255
                 if int(size.sum()) < wanted:
                     continue
                 change = np.zeros(int(first[-1] + size[-1]) + parts + 1, np.int64)
@@ -276,19 +281,19 @@ def viable_texts(shared: DataFrame, shortest: int, similarity: float) -> DataFra
                 within = np.cumsum(core)[center] > 0
                 lo, hi = np.maximum(begin - shortest, 0), end - 1 + 2 * shortest
                 apart = np.flatnonzero(lo[1:] > hi[:-1])
-                rows.append((int(doc[a]), int(tie[a]), lo[np.concatenate(([0], apart + 1))], hi[np.concatenate((apart, [len(hi) - 1]))], key[a:b][within], center[within]))
+                rows.append((int(doc[a]), int(tie[a]), lo[np.concatenate(([0], apart + 1))], hi[np.concatenate((apart, [len(hi) - 1]))], key[a:b][within], p[within]))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], ["doc", "tie", "begins", "ends", "keys", "centers"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], ["doc", "tie", "begins", "ends", "keys", "places"])
 
     rows = shared.select("doc", "tie", "place", "key").repartition("doc", "tie").sortWithinPartitions("doc", "tie", "place")
     return rows.mapInArrow(judge, VIABLE)
 
 
-REGIONS = "doc bigint, tie bigint, begin bigint, hashes binary, keys array<bigint>, centers array<bigint>"
+REGIONS = "doc bigint, tie bigint, begin bigint, hashes binary, keys array<bigint>, places array<bigint>"
 
 
 def regions_of(texts: DataFrame, viable: DataFrame) -> DataFrame:
-    """Rows of ``REGIONS``: each region's shingle hashes and shared windows."""
+    """Rows of ``REGIONS``: each region's shingle hashes, of which 32 bits are enough along a shift, and shared windows."""
 
     def slice_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), *[pa.list_(pa.int64())] * 2]
@@ -296,31 +301,32 @@ def regions_of(texts: DataFrame, viable: DataFrame) -> DataFrame:
             hashes, counts = shingles(list(as_bytes(batch.column(2))))
             stops = np.cumsum(counts)
             rows = []
-            for i, (doc, tie, begins, ends, keys, centers) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 3, 4, 5, 6)))):
+            for i, (doc, tie, begins, ends, keys, places) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 3, 4, 5, 6)))):
                 own = hashes[stops[i] - counts[i] : stops[i] - WORDS + 1]
-                key, center = np.array(keys, np.int64), np.array(centers, np.int64)
+                key, place = np.array(keys, np.int64), np.array(places, np.int64)
                 for a, b in zip(begins, ends):
-                    here = (center >= a) & (center < b)
-                    rows.append((doc, tie, a, own[a:b].tobytes(), key[here], center[here]))
+                    here = (center_of(place) >= a) & (center_of(place) < b)
+                    rows.append((doc, tie, a, own[a:b].astype("<u4").tobytes(), key[here], place[here]))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], ["doc", "tie", "begin", "hashes", "keys", "centers"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], ["doc", "tie", "begin", "hashes", "keys", "places"])
 
     some = texts.join(broadcast_if_small(viable.select("doc", "tie")), ["doc", "tie"], "left_semi")
-    return some.join(viable, ["doc", "tie"]).select("doc", "tie", "text", "begins", "ends", "keys", "centers").mapInArrow(slice_up, REGIONS)
+    return some.join(viable, ["doc", "tie"]).select("doc", "tie", "text", "begins", "ends", "keys", "places").mapInArrow(slice_up, REGIONS)
 
 
 _REGION, _SOURCE = ["doc", "tie", "begin"], ["sdoc", "stie", "sbegin"]
-_HERE = "named_struct('doc', doc, 'tie', tie, 'center', center)"
-_THERE = "named_struct('doc', sdoc, 'tie', stie, 'center', scenter)"
+_HERE = "named_struct('doc', doc, 'tie', tie, 'place', place)"
+_THERE = "named_struct('doc', sdoc, 'tie', stie, 'place', splace)"
 
 
 def verified(pairs: DataFrame, regions: DataFrame, shortest: int, similarity: float) -> DataFrame:
     """(doc, tie, source, start, end): the passages of regions that nearly repeat one of the region they are paired with,
-    ``pairs`` (_REGION, center, _SOURCE, scenter) holding a row for each window that both have."""
+    ``pairs`` (_REGION, place, _SOURCE, splace) holding a row for each window that both have."""
     spark = pairs.sparkSession
-    grouped = pairs.repartition(*_REGION).groupBy(*_REGION, *_SOURCE).agg(F.collect_set(F.struct("center", "scenter")).alias("at"))
-    grouped = grouped.select(*_REGION, *_SOURCE, F.col("at.center").alias("here"), F.col("at.scenter").alias("there"))
-    grouped = materialize(grouped.join(regions.select(*_REGION, "hashes"), _REGION), "pairs")
+    grouped = pairs.repartition(*_REGION).groupBy(*_REGION, *_SOURCE).agg(F.collect_set(F.struct("place", "splace")).alias("at"))
+    grouped = grouped.select(*_REGION, *_SOURCE, F.col("at.place").alias("here"), F.col("at.splace").alias("there"))
+    grouped = materialize(grouped, "pairs")
+    release_shuffles(spark)
     counts = grouped.groupBy(*_SOURCE).agg(F.count("*").alias("n"))
     named = regions.select(*[F.col(a).alias(b) for a, b in zip(_REGION, _SOURCE)], F.col("hashes").alias("other"))
     sources = materialize(named.join(counts, _SOURCE), "sources")
@@ -330,12 +336,12 @@ def verified(pairs: DataFrame, regions: DataFrame, shortest: int, similarity: fl
             rows = []
             columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (*_REGION, *_SOURCE, "here", "there", "hashes", "other")]
             for doc, tie, begin, sdoc, _, sbegin, here, there, mine, other in zip(*columns):
-                spans = passages_between(np.frombuffer(mine, np.uint64), begin, np.frombuffer(other, np.uint64), sbegin, np.array(here), np.array(there), shortest, similarity)
+                spans = passages_between(np.frombuffer(mine, "<u4"), begin, np.frombuffer(other, "<u4"), sbegin, center_of(np.array(here)), center_of(np.array(there)), shortest, similarity)
                 rows += [(doc, tie, sdoc, a, b + WORDS - 1) for a, b in spans]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc", "tie", "source", "start", "end"])
 
-    both = join_split(grouped, sources, _SOURCE, grouped.count())
+    both = join_split(grouped.join(regions.select(*_REGION, "hashes"), _REGION), sources, _SOURCE, grouped.count())
     with small_batches(spark, 512):
         found = materialize(both.mapInArrow(verify, "doc bigint, tie bigint, source bigint, start bigint, end bigint").distinct(), "passages")
     discard(grouped, sources)
@@ -344,24 +350,71 @@ def verified(pairs: DataFrame, regions: DataFrame, shortest: int, similarity: fl
 
 
 def first_pairs(anchors: DataFrame) -> DataFrame:
-    """Each window (key, _REGION, center) with the first that has its signature, if that is another."""
-    first = anchors.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("doc", "tie", "center", "begin")).alias("f")).filter("n > 1")
-    first = first.select("key", "n", F.col("f.doc").alias("sdoc"), F.col("f.tie").alias("stie"), F.col("f.begin").alias("sbegin"), F.col("f.center").alias("scenter"))
-    return join_split(anchors, first, ["key"], anchors.count()).filter(f"{_THERE} < {_HERE}").drop("key", "n")
-
-
-def open_pairs(anchors: DataFrame, found: DataFrame) -> DataFrame:
-    """Each window that lies in no passage of ``found`` with all earlier ones of its signature but the first."""
+    """Each window (key, _REGION, place, n) with the first that has its signature, if that is another."""
+    first = anchors.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("doc", "tie", "place", "begin")).alias("f")).filter("n > 1")
+    first = first.select("key", "n", F.col("f.doc").alias("sdoc"), F.col("f.tie").alias("stie"), F.col("f.begin").alias("sbegin"), F.col("f.place").alias("splace"))
+    return join_split(anchors.drop("n"), first, ["key"], anchors.count()).filter(f"{_THERE} < {_HERE}").drop("key", "n")
+
+
+def probes(places: np.ndarray, holders: np.ndarray, parts: int, wanted: int) -> np.ndarray:
+    """Which of a region's open windows to look up so that every text is met that shares ``wanted`` subsequences of them in
+    some part (of ``parts`` subsequences): of each part that has so many, the rarest windows by the number of ``holders``,
+    until fewer than ``wanted`` are left."""
+    base = int(places[0] >> 16)
+    first, size = (places >> 16) - base, places & 255
+    of = np.full(int(first[-1] + size[-1]) + parts, len(places))  # the last: no window
+    for i, (a, n) in enumerate(zip(first.tolist(), size.tolist())):
+        of[a : a + n] = i
+    taken = np.zeros(len(places) + 1, bool)
+    taken[-1] = True
+    while True:
+        left = np.concatenate(([0], np.cumsum(~taken[of])))
+        todo = np.flatnonzero(left[parts:] - left[:-parts] >= wanted)
+        if not len(todo):
+            return taken[:-1]
+        part = of[todo[0] : todo[0] + parts]
+        names, counts = np.unique(part[~taken[part]], return_counts=True)
+        order = np.argsort(holders[names], kind="stable")
+        taken[names[order[: int(np.searchsorted(np.cumsum(counts[order]), counts.sum() - wanted + 1)) + 1]]] = True
+
+
+def open_pairs(anchors: DataFrame, found: DataFrame, shortest: int, similarity: float) -> DataFrame:
+    """The windows that ``probes`` picks among each region's open ones, which lie in no passage of ``found``, with all
+    earlier windows of their signatures."""
     spans = merged_spans(found.withColumnsRenamed({"doc": "doc_id", "tie": "text_key"})).select(F.col("doc_id").alias("doc"), F.col("text_key").alias("tie"), "spans")
-    first = anchors.groupBy("key").agg(F.count("*").alias("n"), F.min(F.expr(_HERE)).alias("f")).filter("n > 2")
-    inside = F.exists("spans", lambda s: (s["start"] <= F.col("center")) & (F.col("center") + WORDS <= s["end"]))
-    left = anchors.join(spans, ["doc", "tie"], "left").filter(~F.coalesce(inside, F.lit(False))).drop("spans")
-    left = materialize(join_split(left, first, ["key"], anchors.count()).filter(F.expr(_HERE) > F.col("f")), "open")
-    parts = F.ceil(F.col("n") / 4096).cast("int")
-    keys = left.groupBy("key").agg(F.first("n").alias("n"), F.first("f").alias("f"))
-    right = join_split(anchors, keys, ["key"], anchors.count()).filter(F.expr(_HERE) > F.col("f"))
-    right = right.select("key", *[F.col(a).alias(b) for a, b in zip([*_REGION, "center"], [*_SOURCE, "scenter"])], F.pmod(F.xxhash64("doc", "tie", "center"), parts).cast("int").alias("part"))
-    left = left.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("n", "f")
+    parts = shortest - WIDTH + 1
+    wanted = parts - spoilt(shortest, similarity)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["key", *_REGION, "place", "n"]
+        for batch in batches:
+            out = []
+            windows = batch.column(3)
+            bounds, fields = windows.offsets.to_numpy(), windows.values
+            place, key, n = (np.asarray(fields.field(c)) for c in ("place", "key", "n"))
+            for i, (doc, tie, begin, spans) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 2, 4)))):
+                here = slice(bounds[i], bounds[i + 1])
+                covered, center = np.zeros(bounds[i + 1] - bounds[i], bool), center_of(place[here])
+                for s in spans or []:
+                    covered |= (center >= s["start"]) & (center + WORDS <= s["end"])
+                if (place[here][~covered] & 255).sum() < wanted:
+                    continue
+                own = [c[here][~covered] for c in (key, place, n)]
+                taken = probes(own[1], own[2], parts, wanted)
+                mine = [c[taken] for c in own]
+                out.append(np.stack((mine[0], *(np.full(len(mine[0]), c) for c in (doc, tie, begin)), *mine[1:])))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in np.concatenate(out, axis=1)], names)
+
+    windows = anchors.groupBy(*_REGION).agg(F.array_sort(F.collect_list(F.struct("place", "key", "n"))).alias("windows"))
+    left = windows.join(spans, ["doc", "tie"], "left").select(*_REGION, "windows", "spans")
+    with small_batches(anchors.sparkSession, 512):
+        left = materialize(left.mapInArrow(pick, "key bigint, doc bigint, tie bigint, begin bigint, place bigint, n bigint"), "open")
+    split = F.ceil(F.col("n") / 4096).cast("int")
+    keys = left.groupBy("key").agg(F.max("n").alias("n"), F.max(F.struct("doc", "tie", "place")).alias("last"))
+    right = join_split(anchors.drop("n"), keys, ["key"], anchors.count()).filter(F.expr(_HERE) < F.col("last"))
+    right = right.select("key", *[F.col(a).alias(b) for a, b in zip([*_REGION, "place"], [*_SOURCE, "splace"])], F.pmod(F.xxhash64("doc", "tie", "place"), split).cast("int").alias("part"))
+    left = left.withColumn("part", F.explode(F.sequence(F.lit(0), split - 1))).drop("n")
     return left.join(right, ["key", "part"]).filter(f"{_THERE} < {_HERE}").drop("key", "part")
 
 
@@ -389,10 +442,12 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, similarity: float =
     release_shuffles(spark)
     regions = materialize(regions_of(texts, viable), "regions")
     discard(viable)
-    anchors = materialize(regions.select(*_REGION, F.explode(F.arrays_zip("keys", "centers")).alias("w")).select("w.keys", *_REGION, "w.centers").toDF("key", *_REGION, "center"), "anchors")
+    windows = regions.select(*_REGION, F.explode(F.arrays_zip("keys", "places")).alias("w")).select("w.keys", *_REGION, "w.places").toDF("key", *_REGION, "place")
+    held = windows.groupBy("key").agg(F.count("*").alias("n"))
+    anchors = materialize(join_split(windows, held.filter("n > 1"), ["key"], regions.agg(F.sum(F.size("keys"))).first()[0] or 0), "anchors")
     release_shuffles(spark)
     first = verified(first_pairs(anchors), regions, shortest, similarity)
-    more = verified(open_pairs(anchors, first), regions, shortest, similarity)
+    more = verified(open_pairs(anchors, first, shortest, similarity), regions, shortest, similarity)
     discard(regions, anchors)
     found = first.unionByName(more).distinct().select(F.col("doc").alias("doc_id"), F.col("tie").alias("text_key"), "source", "start", "end")
     whole = keyed_rows(rows, several).withColumn("same", F.md5(F.coalesce("text", F.lit("")).cast("binary"))).join(broadcast_if_small(copies), ["doc_id", "same"])
