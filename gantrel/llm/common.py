@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
 import os
 import tempfile
@@ -15,12 +16,15 @@ from pyspark.sql import functions as F
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``; set here only where it is unset."""
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``. Where it is unset, a session whose tasks
+    run on this machine gets a temporary one; any other must set it."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = os.path.join(tempfile.gettempdir(), f"gantrel-{uuid.uuid4().hex}")
         spark.sparkContext.setCheckpointDir(path)
     return path
@@ -32,16 +36,36 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     df.write.parquet(path)
     held = df.sparkSession.read.schema(df.schema).parquet(path)
     held._scratch_path = path
+    if not _written:
+        atexit.register(_discard_all)
+    _written[path] = df.sparkSession
     return held
 
 
+#: What ``materialize`` wrote and nothing has deleted, as lazy results may still read it; deleted when the driver ends.
+_written: dict[str, SparkSession] = {}
+
+
+def _delete(path: str) -> None:
+    spark = _written.pop(path, None)
+    if spark is not None:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _discard_all() -> None:
+    for path in list(_written):
+        try:
+            _delete(path)
+        except Exception:  # the session has ended already, and the folder is its owner's to clear
+            return
+
+
 def discard(*held: DataFrame) -> None:
     """Delete what ``materialize`` wrote for frames that nothing reads any more."""
     for df in held:
         if path := getattr(df, "_scratch_path", None):
-            spark = df.sparkSession
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(path)
 
 
 def release_shuffles(spark: SparkSession) -> None:
@@ -50,13 +74,14 @@ def release_shuffles(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-#: Rows of a side that is broadcast once it has been counted; a larger side is shuffled.
-BROADCAST_ROWS = 1_000_000
+#: Rows and stored bytes of a side that is broadcast once it has been measured; a larger side is shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 16 << 20
 
 
 def broadcast_if_small(held: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """A materialised side of few and narrow columns, marked for broadcast if it has no more than ``limit`` rows."""
-    return F.broadcast(held) if held.count() <= limit else held
+    """A materialised side, marked for broadcast if it has no more than ``limit`` rows in ``BROADCAST_BYTES``."""
+    size = int(held._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return F.broadcast(held) if size <= BROADCAST_BYTES and held.count() <= limit else held
 
 
 #: A key of more rows is dealt over several tasks, unless that would make more than ``HOT_KEYS`` such keys.
@@ -103,12 +128,6 @@ def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def arrow_udf(*args):
-    """``pyspark.sql.functions.arrow_udf`` over batches of bounded size."""
-    bound_memory(SparkSession.active())
-    return F.arrow_udf(*args)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -122,14 +141,14 @@ def crc_mod(key: str, modulus: int) -> Column:
 RANKS = 1 << 40
 
 
-def hash_rank(key: str) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(RANKS))
+def hash_rank(*key: str) -> Column:
+    return F.pmod(F.xxhash64(*key), F.lit(RANKS))
 
 
-def hashed_share(key: str, wanted: int, total: Column) -> Column:
+def hashed_share(rank: Column, wanted: int, total: Column) -> Column:
     """Whether a row can be among the ``wanted`` of lowest ``hash_rank`` out of ``total``: twice the share that is
     expected to be needed passes, all rows of a group no larger than that."""
-    return hash_rank(key) < F.lit(RANKS) * F.least(F.lit(1.0), F.lit(2.0 * wanted) / total)
+    return rank < F.lit(RANKS) * F.least(F.lit(1.0), F.lit(2.0 * wanted) / total)
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:

@@ -10,8 +10,9 @@ than its share. So it can only lie where most windows of a part as long as the s
 necessary condition is counted, not sampled, and leaves the regions that take part in the search.
 
 Regions are then joined on their windows' signatures: each window first with the first region that has it. Windows that
-lie in no passage found so far are open, and where enough of them make up a part, so many of the rarest are joined with
-every earlier region that no text which shares enough of the part is missed. A joined pair of windows gives the shift between
+lie in no passage found so far are open. Where enough of them make up a part, and the part's single shingles, all but its
+share of spoilt ones, occur elsewhere too, so many of the rarest are joined with every earlier region that no text which
+shares enough of the part is missed. A joined pair of windows gives the shift between
 two regions; along each shift the shingles are compared, and runs at nearly the same shift are put together to passages,
 span against span.
 """
@@ -26,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_udf, as_bytes, bound_memory, broadcast_if_small, discard, join_split, materialize, release_shuffles, small_batches
+from .common import as_bytes, bound_memory, broadcast_if_small, discard, join_split, materialize, release_shuffles, small_batches
 
 WORDS = 5
 #: Shingles in the shortest subsequences that are signed.
 WIDTH = 12
+#: Most subsequences in one window.
+SPAN = 32_768
 #: Runs whose shifts differ by no more than this from the next one are parts of one passage.
 DRIFT = 10
 #: Texts with passages up to which their spans are broadcast to all texts.
@@ -109,7 +112,8 @@ def window_centers(values: np.ndarray, width: int) -> np.ndarray:
 
 def windows_of(texts: list[bytes], shortest: int) -> tuple[np.ndarray, ...]:
     """(text number, signature, first subsequence, their number, center) of the compact windows of all texts that have
-    ``shortest`` shingles; a window is told by the subsequences of ``WIDTH`` shingles in it."""
+    ``shortest`` shingles; a window is told by the subsequences of ``WIDTH`` shingles in it. Of adjacent
+    windows of one signature, where a shingle repeats, all but the first are one."""
     hashes, counts = shingles(texts)
     ends = np.cumsum(counts)
     of = np.repeat(np.arange(len(texts)), counts)
@@ -118,14 +122,19 @@ def windows_of(texts: list[bytes], shortest: int) -> tuple[np.ndarray, ...]:
     of = of[: len(centers)]
     kept = (starts + WIDTH + WORDS - 1 <= ends[of]) & (counts[of] >= shortest + WORDS - 1)
     starts, centers, of = starts[kept], centers[kept], of[kept]
-    new = np.flatnonzero(np.concatenate(([True], centers[1:] != centers[:-1]))) if len(starts) else np.zeros(0, np.int64)
+    keys = hashes[centers]
+    opens = np.concatenate(([True], (keys[1:] != keys[:-1]) | (of[1:] != of[:-1]))) if len(starts) else np.zeros(0, bool)
+    moves = np.concatenate(([False], centers[1:] != centers[:-1])) if len(starts) else opens
+    moved = np.cumsum(moves & ~opens)
+    second = moves & ~opens & (moved - np.maximum.accumulate(np.where(opens, moved, 0)) == 1)
+    new = np.flatnonzero(opens | second | (starts % SPAN == 0))
     begin = (ends - counts)[of[new]]
     sizes = np.diff(np.append(new, len(starts)))
-    return of[new], hashes[centers[new]], starts[new] - begin, sizes, centers[new] - begin
+    return of[new], keys[new], starts[new] - begin, sizes, centers[new] - begin
 
 
 def center_of(place: np.ndarray) -> np.ndarray:
-    return (place >> 16) + (place >> 8 & 255)
+    return (place >> 24) + (place >> 16 & 255)
 
 
 def spoilt(shortest: int, similarity: float) -> int:
@@ -240,7 +249,7 @@ def window_rows(texts: DataFrame, shortest: int) -> DataFrame:
         for batch in batches:
             of, keys, first, sizes, center = windows_of(list(as_bytes(batch.column(2))), shortest)
             doc, tie = (np.asarray(batch.column(i))[of] for i in (0, 1))
-            place = first << 16 | (center - first) << 8 | sizes
+            place = first << 24 | (center - first) << 16 | sizes
             for at in range(0, len(of), 100_000):
                 part = slice(at, at + 100_000)
                 yield pa.RecordBatch.from_arrays([pa.array(c[part], pa.int64()) for c in (keys.view(np.int64), doc, tie, place)], ["key", "doc", "tie", "place"])
@@ -264,7 +273,7 @@ def viable_texts(shared: DataFrame, shortest: int, similarity: float) -> DataFra
             rows = []
             for a, b in zip(np.concatenate(([0], edge)).tolist(), np.concatenate((edge, [len(doc)])).tolist()):
                 p = place[a:b]
-                first, center, size = p >> 16, center_of(p), p & 255
+                first, center, size = p >> 24, center_of(p), p & 65535
                 if int(size.sum()) < wanted:
                     continue
                 change = np.zeros(int(first[-1] + size[-1]) + parts + 1, np.int64)
@@ -289,14 +298,14 @@ def viable_texts(shared: DataFrame, shortest: int, similarity: float) -> DataFra
     return rows.mapInArrow(judge, VIABLE)
 
 
-REGIONS = "doc bigint, tie bigint, begin bigint, hashes binary, keys array<bigint>, places array<bigint>"
+REGIONS = "doc bigint, tie bigint, begin bigint, hashes array<int>, keys array<bigint>, places array<bigint>"
 
 
 def regions_of(texts: DataFrame, viable: DataFrame) -> DataFrame:
     """Rows of ``REGIONS``: each region's shingle hashes, of which 32 bits are enough along a shift, and shared windows."""
 
     def slice_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), *[pa.list_(pa.int64())] * 2]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), *[pa.list_(pa.int64())] * 2]
         for batch in batches:
             hashes, counts = shingles(list(as_bytes(batch.column(2))))
             stops = np.cumsum(counts)
@@ -306,7 +315,7 @@ def regions_of(texts: DataFrame, viable: DataFrame) -> DataFrame:
                 key, place = np.array(keys, np.int64), np.array(places, np.int64)
                 for a, b in zip(begins, ends):
                     here = (center_of(place) >= a) & (center_of(place) < b)
-                    rows.append((doc, tie, a, own[a:b].astype("<u4").tobytes(), key[here], place[here]))
+                    rows.append((doc, tie, a, own[a:b].astype(np.uint32).view(np.int32), key[here], place[here]))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], ["doc", "tie", "begin", "hashes", "keys", "places"])
 
@@ -319,6 +328,11 @@ _HERE = "named_struct('doc', doc, 'tie', tie, 'place', place)"
 _THERE = "named_struct('doc', sdoc, 'tie', stie, 'place', splace)"
 
 
+def _slices(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each list begins and ends, and the values of all."""
+    return lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+
+
 def verified(pairs: DataFrame, regions: DataFrame, shortest: int, similarity: float) -> DataFrame:
     """(doc, tie, source, start, end): the passages of regions that nearly repeat one of the region they are paired with,
     ``pairs`` (_REGION, place, _SOURCE, splace) holding a row for each window that both have."""
@@ -333,10 +347,12 @@ def verified(pairs: DataFrame, regions: DataFrame, shortest: int, similarity: fl
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            column = lambda c: batch.column(batch.schema.get_field_index(c))
+            lists = [_slices(column(c)) for c in ("here", "there", "hashes", "other")]
             rows = []
-            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (*_REGION, *_SOURCE, "here", "there", "hashes", "other")]
-            for doc, tie, begin, sdoc, _, sbegin, here, there, mine, other in zip(*columns):
-                spans = passages_between(np.frombuffer(mine, "<u4"), begin, np.frombuffer(other, "<u4"), sbegin, center_of(np.array(here)), center_of(np.array(there)), shortest, similarity)
+            for i, (doc, tie, begin, sdoc, sbegin) in enumerate(zip(*(column(c).to_pylist() for c in (*_REGION, "sdoc", "sbegin")))):
+                here, there, mine, other = (values[at[i] : at[i + 1]] for at, values in lists)
+                spans = passages_between(mine, begin, other, sbegin, center_of(here), center_of(there), shortest, similarity)
                 rows += [(doc, tie, sdoc, a, b + WORDS - 1) for a, b in spans]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc", "tie", "source", "start", "end"])
@@ -356,20 +372,26 @@ def first_pairs(anchors: DataFrame) -> DataFrame:
     return join_split(anchors.drop("n"), first, ["key"], anchors.count()).filter(f"{_THERE} < {_HERE}").drop("key", "n")
 
 
-def probes(places: np.ndarray, holders: np.ndarray, parts: int, wanted: int) -> np.ndarray:
-    """Which of a region's open windows to look up so that every text is met that shares ``wanted`` subsequences of them in
-    some part (of ``parts`` subsequences): of each part that has so many, the rarest windows by the number of ``holders``,
-    until fewer than ``wanted`` are left."""
-    base = int(places[0] >> 16)
-    first, size = (places >> 16) - base, places & 255
+def probes(places: np.ndarray, holders: np.ndarray, again: np.ndarray, parts: int, wanted: int, shortest: int, lost: int) -> np.ndarray:
+    """Which of a region's open windows to look up so that every text is met that can have a passage in some part of the
+    region: a part (of ``parts`` subsequences, ``shortest`` shingles) of which all but ``lost`` shingles are among those
+    that occur ``again``, and that shares ``wanted`` of the open subsequences. Of each the rarest windows by the number of
+    ``holders`` are taken, until fewer than ``wanted`` are left."""
+    base = int(places[0] >> 24)
+    first, size = (places >> 24) - base, places & 65535
     of = np.full(int(first[-1] + size[-1]) + parts, len(places))  # the last: no window
     for i, (a, n) in enumerate(zip(first.tolist(), size.tolist())):
         of[a : a + n] = i
+    known = np.zeros(len(of) + shortest, np.int64)
+    inside = again - base
+    known[inside[(inside >= 0) & (inside < len(known))]] = 1
+    sums = np.concatenate(([0], np.cumsum(known)))
+    whole = (sums[shortest:] - sums[:-shortest] >= shortest - lost)[: len(of) - parts + 1]
     taken = np.zeros(len(places) + 1, bool)
     taken[-1] = True
     while True:
         left = np.concatenate(([0], np.cumsum(~taken[of])))
-        todo = np.flatnonzero(left[parts:] - left[:-parts] >= wanted)
+        todo = np.flatnonzero((left[parts:] - left[:-parts] >= wanted) & whole)
         if not len(todo):
             return taken[:-1]
         part = of[todo[0] : todo[0] + parts]
@@ -378,43 +400,90 @@ def probes(places: np.ndarray, holders: np.ndarray, parts: int, wanted: int) ->
         taken[names[order[: int(np.searchsorted(np.cumsum(counts[order]), counts.sum() - wanted + 1)) + 1]]] = True
 
 
-def open_pairs(anchors: DataFrame, found: DataFrame, shortest: int, similarity: float) -> DataFrame:
-    """The windows that ``probes`` picks among each region's open ones, which lie in no passage of ``found``, with all
-    earlier windows of their signatures."""
-    spans = merged_spans(found.withColumnsRenamed({"doc": "doc_id", "tie": "text_key"})).select(F.col("doc_id").alias("doc"), F.col("text_key").alias("tie"), "spans")
+OPEN = "doc bigint, tie bigint, begin bigint, keys array<bigint>, places array<bigint>, holders array<bigint>, marks array<bigint>"
+
+
+def open_regions(anchors: DataFrame, found: DataFrame, shortest: int, similarity: float) -> DataFrame:
+    """Rows of ``OPEN``: the open windows, which lie in no passage of ``found``, of each region where some part has enough
+    of them, and the shingles (``marks``) of all such parts."""
     parts = shortest - WIDTH + 1
     wanted = parts - spoilt(shortest, similarity)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", *_REGION, "place", "n"]
+        kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())] * 4
         for batch in batches:
             out = []
-            windows = batch.column(3)
-            bounds, fields = windows.offsets.to_numpy(), windows.values
+            bounds, fields = batch.column(3).offsets.to_numpy(), batch.column(3).values
             place, key, n = (np.asarray(fields.field(c)) for c in ("place", "key", "n"))
             for i, (doc, tie, begin, spans) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 2, 4)))):
                 here = slice(bounds[i], bounds[i + 1])
-                covered, center = np.zeros(bounds[i + 1] - bounds[i], bool), center_of(place[here])
+                is_open, center = np.ones(bounds[i + 1] - bounds[i], bool), center_of(place[here])
                 for s in spans or []:
-                    covered |= (center >= s["start"]) & (center + WORDS <= s["end"])
-                if (place[here][~covered] & 255).sum() < wanted:
+                    is_open &= (center < s["start"]) | (center + WORDS > s["end"])
+                mine = place[here][is_open]
+                if (mine & 65535).sum() < wanted:
                     continue
-                own = [c[here][~covered] for c in (key, place, n)]
-                taken = probes(own[1], own[2], parts, wanted)
-                mine = [c[taken] for c in own]
-                out.append(np.stack((mine[0], *(np.full(len(mine[0]), c) for c in (doc, tie, begin)), *mine[1:])))
+                first, size = mine >> 24, mine & 65535
+                begins = int(first[0])
+                change = np.zeros(int(first[-1] + size[-1]) - begins + parts + 1, np.int64)
+                np.add.at(change, first - begins, 1)
+                np.add.at(change, first - begins + size, -1)
+                seen = np.concatenate(([0], np.cumsum(np.cumsum(change) > 0)))
+                good = np.flatnonzero(seen[parts:] - seen[:-parts] >= wanted)
+                if len(good):
+                    marked = np.zeros(len(change) + shortest, np.int64)
+                    np.add.at(marked, good, 1)
+                    np.add.at(marked, good + shortest, -1)
+                    out.append((doc, tie, begin, key[here][is_open], mine, n[here][is_open], np.flatnonzero(np.cumsum(marked) > 0) + begins))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in np.concatenate(out, axis=1)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out), kinds)], ["doc", "tie", "begin", "keys", "places", "holders", "marks"])
 
+    spans = merged_spans(found.withColumnsRenamed({"doc": "doc_id", "tie": "text_key"})).select(F.col("doc_id").alias("doc"), F.col("text_key").alias("tie"), "spans")
     windows = anchors.groupBy(*_REGION).agg(F.array_sort(F.collect_list(F.struct("place", "key", "n"))).alias("windows"))
     left = windows.join(spans, ["doc", "tie"], "left").select(*_REGION, "windows", "spans")
     with small_batches(anchors.sparkSession, 512):
-        left = materialize(left.mapInArrow(pick, "key bigint, doc bigint, tie bigint, begin bigint, place bigint, n bigint"), "open")
+        return materialize(left.mapInArrow(pick, OPEN), "open")
+
+
+def looked_up(opened: DataFrame, regions: DataFrame, shortest: int, similarity: float) -> DataFrame:
+    """(key, _REGION, place, n): the windows that ``probes`` picks among the open ones. Of a part all shingles but its share
+    of spoilt ones must occur in other regions too, or again in its own: this is counted for the marked ones."""
+    parts = shortest - WIDTH + 1
+    wanted, lost = parts - spoilt(shortest, similarity), int(shortest * (1 - similarity) / (1 + similarity))
+    counts = regions.select(F.explode("hashes").alias("hash")).groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1")
+    named = opened.select(*_REGION, "marks").join(regions.select(*_REGION, "hashes"), _REGION)
+    shingle = F.transform(F.filter("marks", lambda m: m - F.col("begin") < F.size("hashes")), lambda m: F.struct(m.alias("mark"), F.element_at("hashes", (m - F.col("begin") + 1).cast("int")).alias("hash")))
+    marks = materialize(named.select(*_REGION, F.inline(shingle)), "marks")
+    again = join_split(marks, counts, ["hash"], marks.count()).groupBy(*_REGION).agg(F.collect_list("mark").alias("again"))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["key", *_REGION, "place", "n"]
+        for batch in batches:
+            lists = [_slices(batch.column(c)) for c in (3, 4, 5, 6)]
+            out = []
+            for i, (doc, tie, begin) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 2)))):
+                key, place, n, again = (values[at[i] : at[i + 1]] for at, values in lists)
+                taken = probes(place, n, again, parts, wanted, shortest, lost)
+                mine = [c[taken] for c in (key, place, n)]
+                out.append(np.stack((mine[0], *(np.full(len(mine[0]), c) for c in (doc, tie, begin)), *mine[1:])))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in np.concatenate(out, axis=1)], names)
+
+    rows = opened.select(*_REGION, "keys", "places", "holders").join(again, _REGION)
+    with small_batches(opened.sparkSession, 512):
+        held = materialize(rows.mapInArrow(pick, "key bigint, doc bigint, tie bigint, begin bigint, place bigint, n bigint"), "probes")
+    discard(marks)
+    release_shuffles(opened.sparkSession)
+    return held
+
+
+def open_pairs(anchors: DataFrame, probed: DataFrame) -> DataFrame:
+    """The windows ``probed`` (key, _REGION, place, n) with all earlier ones of their signatures."""
     split = F.ceil(F.col("n") / 4096).cast("int")
-    keys = left.groupBy("key").agg(F.max("n").alias("n"), F.max(F.struct("doc", "tie", "place")).alias("last"))
+    keys = probed.groupBy("key").agg(F.max("n").alias("n"), F.max(F.struct("doc", "tie", "place")).alias("last"))
     right = join_split(anchors.drop("n"), keys, ["key"], anchors.count()).filter(F.expr(_HERE) < F.col("last"))
     right = right.select("key", *[F.col(a).alias(b) for a, b in zip([*_REGION, "place"], [*_SOURCE, "splace"])], F.pmod(F.xxhash64("doc", "tie", "place"), split).cast("int").alias("part"))
-    left = left.withColumn("part", F.explode(F.sequence(F.lit(0), split - 1))).drop("n")
+    left = probed.withColumn("part", F.explode(F.sequence(F.lit(0), split - 1))).drop("n")
     return left.join(right, ["key", "part"]).filter(f"{_THERE} < {_HERE}").drop("key", "part")
 
 
@@ -447,7 +516,11 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, similarity: float =
     anchors = materialize(join_split(windows, held.filter("n > 1"), ["key"], regions.agg(F.sum(F.size("keys"))).first()[0] or 0), "anchors")
     release_shuffles(spark)
     first = verified(first_pairs(anchors), regions, shortest, similarity)
-    more = verified(open_pairs(anchors, first, shortest, similarity), regions, shortest, similarity)
+    opened = open_regions(anchors, first, shortest, similarity)
+    probed = looked_up(opened, regions, shortest, similarity)
+    discard(opened)
+    more = verified(open_pairs(anchors, probed), regions, shortest, similarity)
+    discard(probed)
     discard(regions, anchors)
     found = first.unionByName(more).distinct().select(F.col("doc").alias("doc_id"), F.col("tie").alias("text_key"), "source", "start", "end")
     whole = keyed_rows(rows, several).withColumn("same", F.md5(F.coalesce("text", F.lit("")).cast("binary"))).join(broadcast_if_small(copies), ["doc_id", "same"])
@@ -497,7 +570,7 @@ def _cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
 
 def without_spans(text: Column, spans: Column) -> Column:
     """The text without the words of the spans and the white space behind them; unchanged where spans is null or empty."""
-    return arrow_udf(_cut, "string")(text, spans)
+    return F.arrow_udf(_cut, "string")(text, spans)
 
 
 def with_spans(docs: DataFrame, min_words: int = 50, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
