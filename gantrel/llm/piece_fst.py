@@ -1,10 +1,12 @@
 """SentencePiece encoding and decoding as shortest paths in a composed transducer.
 
-The normaliser (a dummy space, spaces escaped), the pieces and the byte fallback are compiled into one transducer over
-characters. Its states remember the last piece, and an arc to the next piece weighs zero if merging would leave the two
-apart and infinity if not; in the tropical semiring the one path of finite weight through a text is the merge-based
-encoding. The path's end at a prefix depends on the prefix alone, so the composition with all distinct pre-tokens of a
-batch runs along their trie.
+Three transducers over characters are compiled: the normaliser (a dummy space before the text, spaces escaped), the pieces
+(a trie whose final states put out their piece and return to the root) and the byte fallback (a character without a
+piece, at a cost). Their composition remembers the last piece: the arc to the next one weighs zero if merging would leave
+the two apart and infinity if not, as the file holds merges and no probabilities. A text is composed with it lazily, and
+the path of least weight in the tropical semiring, where weights add along a path and the least of all paths counts, is
+the encoding. No piece spans a cut between pre-tokens, so they are composed one by one; and as the least weight at a prefix
+depends on the prefix alone, the distinct pre-tokens of a batch are composed together along their trie.
 """
 
 from __future__ import annotations
@@ -19,11 +21,12 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .common import arrow_udf
 from .pieces import LONGEST, SPACE, Trie, Vocabulary, grouped
 
 STORE = 200_000
 _OTHER = -2  # a character without a piece, which nothing merges with
+#: Weight of the fallback for one character; of pieces that stay apart, and of those that would merge.
+FALLBACK, ONE, ZERO = 1.0, 0.0, np.inf
 
 
 class PieceTransducer:
@@ -57,6 +60,53 @@ class PieceTransducer:
         self.pieces = [bytes([int(t[3:5], 16)]) if k == 6 else t.replace(SPACE, " ").encode() if p else b"" for t, k, p in zip(v.text, v.kind, v.plain)]
         self.pieces[v.unknown] = " ⁇ ".encode()
         self.store: dict[str, bytes] = {}
+        self._compile()
+
+    def _compile(self) -> None:
+        """The normaliser composed with the pieces: a trie over the characters of the text, in which a space stands for
+        its escape. ``arcs`` leads from a state by a character, ``output`` names the piece of a final state."""
+        self.arcs: dict[int, int] = {}
+        self.output = [-1]
+        for text, i in self.vocabulary.number.items():
+            if not self.ends[i]:
+                continue
+            state = 0
+            for c in text.replace(SPACE, " "):
+                state = self.arcs.setdefault(state << 21 | ord(c), len(self.output))
+                if state == len(self.output):
+                    self.output.append(-1)
+            self.output[state] = i
+
+    def shortest_path(self, word: str) -> list[int]:
+        """Pieces of one pre-token of any length; ``_OTHER`` for each character that falls back. For each place all last
+        pieces are kept that a path of finite weight ends with, each with its least weight."""
+        best: list[dict[int, tuple[float, int, int]]] = [{-1: (ONE, 0, -1)}, *({} for _ in word)]
+
+        def relax(start: int, end: int, piece: int) -> None:
+            for last, (weight, _, _) in best[start].items():
+                if piece == _OTHER:
+                    weight += FALLBACK
+                elif last >= 0 and not self._apart(last, piece):
+                    continue
+                if weight < best[end].get(piece, (ZERO,))[0]:
+                    best[end][piece] = (weight, start, last)
+
+        for start in range(len(word)):
+            state: int | None = 0
+            for end in range(start, len(word)):
+                state = self.arcs.get(state << 21 | ord(word[end]))
+                if state is None:
+                    break
+                if self.output[state] >= 0:
+                    relax(start, end + 1, self.output[state])
+            if word[start].replace(" ", SPACE) not in self.vocabulary.number:
+                relax(start, start + 1, _OTHER)
+        out, at = [], len(word)
+        last = min(best[at], key=lambda i: best[at][i][0]) if word else -1
+        while at:
+            out.append(last)
+            _, at, last = best[at][last]
+        return out[::-1]
 
     def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether merging leaves each pair of pieces apart: undoing their merges, latest first, no pair at the border
@@ -77,57 +127,44 @@ class PieceTransducer:
             a[live], b[live] = np.where(undo, self.right[x], x), np.where(undo, y, self.left[y])
         return out
 
-    def many(self, words: list[str]) -> list[list[int]]:
-        """Pieces of sorted distinct pre-tokens without runs of spaces; ``_OTHER`` for each character without one."""
+    def many(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The shortest paths of sorted distinct pre-tokens without runs of spaces, their pieces end to end with the number
+        of pieces of each; ``_OTHER`` for each character that falls back."""
         trie = Trie(self.vocabulary, words)
-        last = np.full((trie.depth + 1, trie.n), -1, np.int64)
-        step = np.zeros((trie.depth + 1, trie.n), np.int64)
+        shape = (trie.depth + 1, trie.n)
+        weight, last, step = np.full(shape, ZERO), np.full(shape, -1, np.int64), np.zeros(shape, np.int64)
+        weight[0] = ONE
         for d in range(1, trie.depth + 1):
             rows = trie.fresh(d)
-            todo = np.arange(len(rows))
-            for k in range(min(d, self.vocabulary.longest), 0, -1):
-                found = trie.piece(rows[todo], d, k)
+            least, piece, back = np.full(len(rows), ZERO), np.full(len(rows), -1, np.int64), np.zeros(len(rows), np.int64)
+            for k in range(1, min(d, self.vocabulary.longest) + 1):
+                found = trie.piece(rows, d, k)
+                before = weight[d - k, rows]
                 if k == 1:
-                    found = np.where(found < 0, _OTHER, found)
-                hit = np.flatnonzero((found == _OTHER) | ((found >= 0) & self.ends[found]))
+                    other = found < 0
+                    least[other], piece[other], back[other] = before[other] + FALLBACK, _OTHER, 1
+                hit = np.flatnonzero((found >= 0) & self.ends[found] & (before < least))
                 if not len(hit):
                     continue
-                at, piece = rows[todo[hit]], found[hit]
-                ok = self.apart(last[d - k, at], piece) & ((d == k) | (last[d - k, at] != -1))
-                last[d, at[ok]], step[d, at[ok]] = piece[ok], k
-                todo = np.delete(todo, hit[ok])
-                if not len(todo):
-                    break
-            trie.share(d, rows, last[d], step[d])
-        out: list[list[int]] = [[] for _ in words]
-        at, rows = trie.length.copy(), np.arange(trie.n)
+                arc = np.where(self.apart(last[d - k, rows[hit]], found[hit]), ONE, ZERO)
+                path = before[hit] + arc
+                better = path < least[hit]
+                hit = hit[better]
+                least[hit], piece[hit], back[hit] = path[better], found[hit], k
+            weight[d, rows], last[d, rows], step[d, rows] = least, piece, back
+            trie.share(d, rows, weight[d], last[d], step[d])
+        at, rows, taken = trie.length.copy(), np.flatnonzero(trie.length), []
+        counts = np.zeros(trie.n, np.int64)
         while len(rows):
-            piece, back = last[at[rows], rows], step[at[rows], rows]
-            for r, p in zip(rows.tolist(), piece.tolist()):
-                out[r].append(p)
-            at[rows] -= back
+            taken.append((rows, last[at[rows], rows]))
+            counts[rows] += 1
+            at[rows] -= step[at[rows], rows]
             rows = rows[at[rows] > 0]
-        for o in out:
-            o.reverse()
-        return out
-
-    def one(self, word: str) -> list[int]:
-        """The same for one pre-token of any length, without the trie."""
-        v, last, step = self.vocabulary, [-1], [0]
-        for d in range(1, len(word) + 1):
-            piece, size = _OTHER, 1
-            for k in range(min(d, v.longest), 0, -1):
-                i = v.number.get(word[d - k : d])
-                if i is not None and self.ends[i] and (d == k or self._apart(last[d - k], i)):
-                    piece, size = i, k
-                    break
-            last.append(piece)
-            step.append(size)
-        out, d = [], len(word)
-        while d:
-            out.append(last[d])
-            d -= step[d]
-        return out[::-1]
+        ends = np.cumsum(counts)
+        out = np.empty(int(ends[-1]) if len(ends) else 0, np.int64)
+        for i, (rows, pieces) in enumerate(taken):
+            out[ends[rows] - 1 - i] = pieces
+        return out, counts
 
     @lru_cache(maxsize=1 << 16)  # noqa: B019
     def _apart(self, a: int, b: int) -> bool:
@@ -151,21 +188,24 @@ class PieceTransducer:
         if len(self.store) > STORE:
             self.store.clear()
         new = tokens.difference(self.store)
-        base: dict[str, bytes] = {}
-        plain = {t: t.replace(" ", SPACE) if not t.startswith("  ") else SPACE + t.lstrip(" ").replace(" ", SPACE) for t in new}
-        words = sorted(set(plain.values()))
-        short = [w for w in words if len(w) <= LONGEST]
+        runs = [t for t in new if t.startswith("  ")]
+        words = {*new.difference(runs), *(" " + t.lstrip(" ") for t in runs)}
+        short = sorted(w for w in words if len(w) <= LONGEST)
+        base = {w: self._ids(w, self.shortest_path(w)) for w in words if len(w) > LONGEST}
         if short:
-            base.update((w, self._ids(w, parts)) for w, parts in zip(short, self.many(short)))
-        base.update((w, self._ids(w, self.one(w))) for w in words if len(w) > LONGEST)
+            pieces, counts = self.many([w.replace(" ", SPACE) for w in short])
+            ends = np.cumsum(counts)
+            odd = np.add.reduceat(np.append(pieces == _OTHER, False), ends - counts) * (counts > 0) > 0
+            flat, stops = pieces.astype("<u4").tobytes(), (4 * ends).tolist()
+            base.update(zip(short, map(flat.__getitem__, map(slice, [0, *stops], stops))))
+            for i in np.flatnonzero(odd).tolist():
+                base[short[i]] = self._ids(short[i], pieces[ends[i] - counts[i] : ends[i]].tolist())
         space = np.array([self.runs[1]], "<u4").tobytes()
-        for t in new:
-            ids = base[plain[t]]
-            if t.startswith("  "):  # the last space may merge with the word; what is left of the run merges from the left
-                run = len(t) - len(t.lstrip(" "))
-                run, ids = (run, ids[4:]) if ids[:4] == space else (run - 1, ids)
-                ids = np.array([self.runs[n] for n in self._run(run)], "<u4").tobytes() + ids
-            self.store[t] = ids
+        for t in runs:  # the last space may merge with the word; what is left of the run merges from the left
+            run, ids = len(t) - len(t.lstrip(" ")), base[" " + t.lstrip(" ")]
+            run, ids = (run, ids[4:]) if ids[:4] == space else (run - 1, ids)
+            base[t] = np.array([self.runs[n] for n in self._run(run)], "<u4").tobytes() + ids
+        self.store.update((t, base[t]) for t in new)
 
     @lru_cache(maxsize=4096)  # noqa: B019
     def _run(self, n: int) -> tuple[int, ...]:
@@ -216,7 +256,7 @@ def encode(text: Column, model_path: str) -> Column:
         for batch in batches:
             yield pa.array(list(_encoded(fst, (v.as_py() for v in batch))), pa.binary())
 
-    return arrow_udf(run, "binary")(text)
+    return F.arrow_udf(run, "binary")(text)
 
 
 def decode(ids: Column, model_path: str) -> Column:
@@ -228,7 +268,7 @@ def decode(ids: Column, model_path: str) -> Column:
         for batch in batches:
             yield pa.array([fst.decode(v.as_py() or b"").decode("utf-8", "replace") for v in batch], pa.string())
 
-    return arrow_udf(run, "string")(ids)
+    return F.arrow_udf(run, "string")(ids)
 
 
 CHECKED = "struct<n_ids:bigint,ids_crc32:bigint,decoded_sha256:string,round_trip:boolean>"
@@ -248,4 +288,4 @@ def encode_and_decode(text: Column, model_path: str) -> Column:
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.bool_()]
             yield pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [[]] * 4, kinds)], names=["n_ids", "ids_crc32", "decoded_sha256", "round_trip"])
 
-    return arrow_udf(run, CHECKED)(text)
+    return F.arrow_udf(run, CHECKED)(text)
