@@ -1,16 +1,16 @@
 """Near-duplicate search over SimHash fingerprints in shards of BK-trees.
 
-Fingerprints within the radius of each other agree on some of their blocks, so every fingerprint goes to one shard for
-each choice of blocks, and linked ones meet in at least one. A shard of bounded size is one BK-tree, whose children are
-keyed by their Hamming distance to the parent; a search follows only the edges within the radius. A larger shard is
-cut into trees of bounded size, and every part of it is searched in each of them. Shards emit a spanning forest of
+Fingerprints within the radius of each other agree on one of ``radius + 1`` blocks, so every fingerprint goes to one shard
+for each block, and linked ones meet in at least one. Of a block as many bits are the key as make shards of a few hundred
+fingerprints. A shard of bounded size is one BK-tree, whose children are keyed by their Hamming distance to the parent; a
+search follows only the edges within the radius, which passes by most of the shard. A larger shard is cut into trees of
+bounded size, and every part of it is sent to and searched in each of them. Shards emit a spanning forest of
 their links, never all pairs; components are then found by alternating star contractions.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -18,11 +18,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_udf, as_bytes, bound_memory, broadcast_if_small, discard, materialize, small_batches
+from .common import as_bytes, bound_memory, broadcast_if_small, discard, join_split, materialize, small_batches
 
 SEED = 42
-#: Most fingerprints in one tree.
-TREE = 4096
+#: Most fingerprints in one tree, and about how many a shard has.
+TREE, SHARD = 4096, 256
 
 
 # --- fingerprints ---------------------------------------------------------------------------------------------------
@@ -75,7 +75,7 @@ def fingerprint(text: Column, words: int = 3) -> Column:
             flush()
             yield pa.array(np.concatenate(found).view(np.int64), pa.int64())
 
-    return arrow_udf(run, "bigint")(text)
+    return F.arrow_udf(run, "bigint")(text)
 
 
 # --- BK-trees -------------------------------------------------------------------------------------------------------
@@ -87,6 +87,7 @@ class BKTree:
     def __init__(self) -> None:
         self.items: list[int] = []
         self.children: list[dict[int, int]] = []
+        self.visits = 0  # of searches
 
     def add(self, item: int) -> None:
         at = 0
@@ -107,6 +108,7 @@ class BKTree:
         found, stack = [], [0] if self.items else []
         while stack:
             at = stack.pop()
+            self.visits += 1
             d = (self.items[at] ^ item).bit_count()
             if d <= radius:
                 found.append((d, self.items[at]))
@@ -152,17 +154,17 @@ def forest(tree: list[int], probes: list[int] | None, radius: int) -> list[tuple
 # --- shards ---------------------------------------------------------------------------------------------------------
 
 
-def block_keys(value: Column, radius: int) -> Column:
-    """An array of shard keys: two values within ``radius`` (at most 6) bits share one. The 64 bits are cut into
-    ``radius + 2`` blocks, of which at least two are untouched."""
-    n = radius + 2
-    cuts = [64 * i // n for i in range(n + 1)]
-    masks = [((1 << (b - a)) - 1) << a for a, b in zip(cuts, cuts[1:])]
+def block_keys(value: Column, radius: int, n: int) -> Column:
+    """An array of shard keys for ``n`` different values: two within ``radius`` bits share one. The 64 bits are cut into
+    ``radius + 1`` blocks, of which at least one is untouched; the key is a block's number and its first bits, so many
+    that a shard has about ``SHARD`` values of n."""
+    blocks = radius + 1
+    cuts = [64 * i // blocks for i in range(blocks + 1)]
+    wanted = max(1, (max(1, n // SHARD)).bit_length())
     keys = []
-    for i, (a, b) in enumerate(combinations(range(n), 2)):
-        mask = masks[a] | masks[b]
-        signed = mask - (1 << 64) if mask >> 63 else mask
-        keys.append(F.xxhash64(F.lit(i), value.bitwiseAND(F.lit(signed))))
+    for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        bits = min(wanted, b - a)
+        keys.append(F.shiftrightunsigned(value, b - bits).bitwiseAND(F.lit((1 << bits) - 1)) + F.lit(i << 40))
     return F.array(*keys)
 
 
@@ -240,13 +242,14 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, doc_id: st
     judged like any other but names no component. An empty table gives no rows. Only the two named columns are read, so other columns cannot clash.
     """
     prints = materialize(docs.select(F.col(doc_id).alias("doc_id"), fingerprint(F.col(text), words).alias("fp")), "fingerprints")
-    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    keyed = nodes.select(F.col("fp").alias("id"), "fp", F.explode(block_keys(F.col("fp"), radius)).alias("key"))
+    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "nodes")
+    keyed = nodes.select(F.col("fp").alias("id"), "fp", F.explode(block_keys(F.col("fp"), radius, nodes.count())).alias("key"))
     roots = components(shard_links(keyed, radius))
-    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    classes = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(classes, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
+    classes = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
+    named = materialize(join_split(rooted.select("root", "fp", F.col("n").alias("rows")), classes, ["root"], nodes.count()).select("fp", "component_id", F.col("rows").alias("n")), "named")
+    discard(nodes)
+    return join_split(prints, named, ["fp"], prints.count()).select("doc_id", "fp", "component_id")
 
 
 # --- similar documents ----------------------------------------------------------------------------------------------
@@ -316,22 +319,30 @@ def open_pairs(keyed: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def similar_documents(docs: DataFrame, words: int = 5, least: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, component_id): near-duplicate classes of the distinct texts, linked where the shingle sets' similarity is
-    at least ``least``; component_id is the smallest doc_id of the class.
+    """(doc_id, same, component_id, kept): near-duplicate classes of the distinct texts, linked where the shingle sets'
+    similarity is at least ``least``; component_id is the smallest doc_id of the class. ``same`` is the MD5 of the row's
+    text; ``kept`` marks the rows of the class's first text under its first id.
 
-    Equal texts are one node, named by their smallest doc_id. Candidates are rows that share a band of min-hashes:
-    each is measured against the first row of the band, then all pairs of a band that are still in different classes
+    Equal texts are one node, different texts of one id are several. Candidates are texts that share a band of min-hashes:
+    each is measured against the first of the band, then all pairs of a band that are still in different classes
     are. Null and empty texts are equal to each other only. Texts shorter than a shingle count as one
-    shingle. Rows of a null doc_id take their text's class, which is null if no row with an id has the text.
+    shingle. Rows of a null doc_id take their text's class, which is null if no row with an id has one of its texts.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("same"), F.col(text).alias("text"))
-    texts = rows.select("doc_id", "text")
-    rows = materialize(rows.select("doc_id", "same", arrow_udf(_band_keys(words), "array<bigint>")("text").alias("keys")), "bands")
-    first = materialize(rows.groupBy("same").agg(F.min("doc_id").alias("id")), "first")
-    nodes = rows.select("doc_id", "keys").join(first.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    keyed = materialize(nodes.select(F.col("doc_id").alias("id"), F.explode("keys").alias("key")), "keyed")
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first")).filter("n > 1").select("key", "first")
-    met = materialize(keyed.join(shared, "key"), "met")
+    digest = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), digest.alias("same"), F.col(text).alias("text"))
+    bands = materialize(rows.select("doc_id", "same", F.arrow_udf(_band_keys(words), "array<bigint>")("text").alias("keys")), "bands")
+    # A node is named by the smallest id that has its text, or by a hash of the text where that id has several.
+    by_text = materialize(bands.groupBy("same").agg(F.min("doc_id").alias("first"), F.first("keys").alias("keys"), F.count("*").alias("n")), "first")
+    clash = bands.select("doc_id", "same").distinct().groupBy("doc_id").agg(F.count("*").alias("m")).filter("m > 1 or doc_id is null").select(F.col("doc_id").alias("f"))
+    clash = broadcast_if_small(materialize(clash, "clash"))
+    named = by_text.join(clash, F.col("first").eqNullSafe(F.col("f")), "left").withColumn("id", F.when(F.col("f").isNotNull() | F.col("first").isNull(), F.xxhash64("same")).otherwise(F.col("first")))
+    first = materialize(named.select("same", "first", "n", "id", "keys"), "nodes")
+    texts = rows.join(broadcast_if_small(clash.select(F.col("f").alias("c"))), F.col("doc_id") == F.col("c"), "left")
+    texts = texts.select(F.when(F.col("c").isNotNull() | F.col("doc_id").isNull(), F.xxhash64("same")).otherwise(F.col("doc_id")).alias("doc_id"), "text")
+    keyed = materialize(first.select("id", F.explode("keys").alias("key")), "keyed")
+    discard(by_text)
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first")).filter("n > 1")
+    met = materialize(join_split(keyed, shared, ["key"], keyed.count()).select("key", "id", "first"), "met")
     discard(keyed)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -359,8 +370,12 @@ def similar_documents(docs: DataFrame, words: int = 5, least: float = 0.8, doc_i
     near = links(first_pairs(met))
     roots = components(near.unionByName(links(open_pairs(met, components(near)))))
     discard(met, near)
-    classes = first.join(roots, first["id"] == roots["node"], "left").select("same", F.coalesce("root", "id").alias("component_id"))
-    return rows.select("doc_id", "same").join(classes, "same").select("doc_id", "component_id")
+    rooted = first.join(roots, first["id"] == roots["node"], "left").select("same", "first", "n", F.coalesce("root", "id").alias("root"))
+    heads = rooted.groupBy("root").agg(F.min(F.when(F.col("first").isNotNull(), F.struct("first", "same"))).alias("head"), F.count("*").alias("n"))
+    classes = materialize(join_split(rooted.select("root", "same", F.col("first"), F.col("n").alias("rows")), heads, ["root"], first.count()).select("same", F.col("head.first").alias("component_id"), F.col("head.same").alias("head"), F.col("rows").alias("n")), "classes")
+    discard(first)
+    found = join_split(bands.select("doc_id", "same"), classes, ["same"], bands.count())
+    return found.select("doc_id", "same", "component_id", ((F.col("doc_id") == F.col("component_id")) & (F.col("same") == F.col("head"))).alias("kept"))
 
 
 def hexadecimal(value: Column) -> Column:
