@@ -17,11 +17,13 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .common import arrow_udf, as_bytes
+from .common import as_bytes
 
 FRAME = 64
 TIMESCALE, FRAME_TICKS = 25_000, 1_000
 CHUNK_FRAMES = 32
+#: Levels of nesting that a path names; deeper boxes are walked all the same.
+DEPTH = 32
 CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"udta", b"mvex", b"moof", b"traf"}
 _MATRIX = struct.pack(">9i", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
 
@@ -72,11 +74,14 @@ def mux_bytes(payload: bytes) -> bytes:
     return b"".join((ftyp, head, payload, _box(b"moov", mvhd, _box(b"trak", tkhd, mdia))))
 
 
-def walk(data: bytes, start: int = 0, end: int | None = None, path: str = "") -> Iterator[tuple[str, int, int]]:
+def walk(data: bytes) -> Iterator[tuple[str, int, int]]:
     """(path, body start, body end) of every box, parents first. 64-bit and to-the-end sizes are followed; a box that
-    claims more bytes than its parent has ends the walk of that parent."""
-    end = len(data) if end is None else end
-    while start + 8 <= end:
+    claims more bytes than its parent has ends the walk of that parent. Boxes may nest to any depth."""
+    stack = [(0, len(data), "")]
+    while stack:
+        start, end, path = stack.pop()
+        if start + 8 > end:
+            continue
         size, kind = struct.unpack_from(">I4s", data, start)
         body = start + 8
         if size == 1 and start + 16 <= end:
@@ -84,22 +89,23 @@ def walk(data: bytes, start: int = 0, end: int | None = None, path: str = "") ->
         elif size == 0:
             size = end - start
         if size < body - start or start + size > end:
-            return
-        name = f"{path}/{kind.decode('latin-1')}"
+            continue
+        name = f"{path}/{kind.decode('latin-1')}" if path.count("/") < DEPTH else path
         yield name, body, start + size
+        stack.append((start + size, end, path))
         if kind in CONTAINERS:
-            yield from walk(data, body, start + size, name)
-        start += size
+            stack.append((body, start + size, name))
 
 
 def _numbers(data: bytes, at: int, end: int, kind: str, count: int) -> np.ndarray:
     dtype = np.dtype(kind)
-    return np.frombuffer(data, dtype, max(0, min(count, (end - at) // dtype.itemsize)), at)
+    return np.frombuffer(data, dtype, max(0, min(count, (end - at) // dtype.itemsize)), at) if at < end else np.zeros(0, dtype)
 
 
 def probe_bytes(data: bytes) -> list[dict]:
     """One record for each track: kind, codec, size, duration in milliseconds, sample count, and the byte ranges of
-    key frames and of chunks. Empty for data that holds no track; a track without a table counts no samples."""
+    key frames and of chunks. Empty for data that holds no track; a track without a table counts no samples. Tables that
+    claim more than their box holds, or point outside the data, give what is there."""
     tracks: list[dict] = []
     for path, at, end in walk(data):
         kind = path[-4:]
@@ -111,37 +117,52 @@ def probe_bytes(data: bytes) -> list[dict]:
 
 
 def _track(data: bytes, boxes: dict[str, tuple[int, int]]) -> dict:
-    out = {"kind": "", "codec": "", "width": 0, "height": 0, "duration_ms": 0, "samples": 0, "key_offsets": np.zeros(0, np.int64), "key_sizes": np.zeros(0, np.int64), "chunk_offsets": np.zeros(0, np.int64), "chunk_sizes": np.zeros(0, np.int64)}
-    if b := boxes.get("hdlr"):
-        out["kind"] = data[b[0] + 8 : b[0] + 12].decode("latin-1")
-    if b := boxes.get("mdhd"):
-        scale, ticks = struct.unpack_from(">IQ", data, b[0] + 20) if data[b[0]] == 1 else struct.unpack_from(">II", data, b[0] + 12)
-        out["duration_ms"] = ticks * 1000 // scale if scale else 0
-    if b := boxes.get("stsd"):
-        out["codec"] = data[b[0] + 12 : b[0] + 16].decode("latin-1")
-        if out["kind"] == "vide" and b[0] + 44 <= b[1]:
-            out["width"], out["height"] = struct.unpack_from(">HH", data, b[0] + 40)
-    if not ((z := boxes.get("stsz")) and (c := boxes.get("stsc")) and (o := boxes.get("co64") or boxes.get("stco"))):
+    none = np.zeros(0, np.int64)
+    out = {"kind": "", "codec": "", "width": 0, "height": 0, "duration_ms": 0, "samples": 0, "key_offsets": none, "key_sizes": none, "chunk_offsets": none, "chunk_sizes": none}
+
+    def field(name: str, at: int, kind: str) -> tuple | None:
+        b = boxes.get(name)
+        return struct.unpack_from(kind, data, b[0] + at) if b and b[0] + at + struct.calcsize(kind) <= b[1] else None
+
+    if got := field("hdlr", 8, "4s"):
+        out["kind"] = got[0].decode("latin-1")
+    if version := field("mdhd", 0, "B"):
+        if times := field("mdhd", 20, ">IQ") if version[0] == 1 else field("mdhd", 12, ">II"):
+            out["duration_ms"] = min(times[1] * 1000 // times[0], 2**63 - 1) if times[0] else 0
+    if got := field("stsd", 12, "4s"):
+        out["codec"] = got[0].decode("latin-1")
+    if out["kind"] == "vide" and (got := field("stsd", 40, ">HH")):
+        out["width"], out["height"] = got
+    offsets = "co64" if "co64" in boxes else "stco"
+    counts = [field("stsz", 4, ">II"), field("stsc", 4, ">I"), field(offsets, 4, ">I")]
+    if None in counts:
         return out
-    size, count = struct.unpack_from(">II", data, z[0] + 4)
-    sizes = np.full(count, size, np.int64) if size else _numbers(data, z[0] + 12, z[1], ">u4", count).astype(np.int64)
-    chunk_at = _numbers(data, o[0] + 8, o[1], ">u8" if "co64" in boxes else ">u4", struct.unpack_from(">I", data, o[0] + 4)[0]).astype(np.int64)
-    runs = _numbers(data, c[0] + 8, c[1], ">u4", 3 * struct.unpack_from(">I", data, c[0] + 4)[0]).astype(np.int64).reshape(-1, 3)
-    if not len(chunk_at) or not len(runs):
+    (size, count), (n_runs,), (n_chunks,) = counts
+    (z, z_end), (c, c_end), (o, o_end) = boxes["stsz"], boxes["stsc"], boxes[offsets]
+    chunk_at = _numbers(data, o + 8, o_end, ">u8" if offsets == "co64" else ">u4", n_chunks).astype(np.uint64)
+    chunk_at = chunk_at[chunk_at <= len(data)].astype(np.int64)
+    runs = _numbers(data, c + 8, c_end, ">u4", 3 * n_runs).astype(np.int64)
+    runs = runs[: len(runs) // 3 * 3].reshape(-1, 3)
+    runs = runs[(runs[:, 0] >= 1) & (runs[:, 0] <= len(chunk_at))]
+    if not len(runs) or not len(chunk_at) or (np.diff(runs[:, 0]) <= 0).any() or runs[0, 0] != 1:
         return out
-    per_chunk = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0] - 1, len(chunk_at))).clip(0))
-    first = np.concatenate(([0], np.cumsum(per_chunk)))[: len(per_chunk) + 1].clip(0, len(sizes))
-    chunk_of = np.repeat(np.arange(len(per_chunk)), np.diff(first))
-    sizes = sizes[: len(chunk_of)]
-    begin = np.concatenate(([0], np.cumsum(sizes)))
-    offsets = chunk_at[chunk_of] + begin[:-1] - begin[first[chunk_of]]
-    if s := boxes.get("stss"):
-        keys = _numbers(data, s[0] + 8, s[1], ">u4", struct.unpack_from(">I", data, s[0] + 4)[0]).astype(np.int64) - 1
-        keys = keys[(keys >= 0) & (keys < len(sizes))]
+    per_chunk = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0] - 1, len(chunk_at))))
+    listed = None if size else _numbers(data, z + 12, z_end, ">u4", count).astype(np.int64)
+    total = count if size else len(listed)
+    bound = len(data) // size if size else total  # no more samples of one size than the data has room for
+    first = np.minimum(np.concatenate(([0], np.cumsum(np.minimum(per_chunk, total)))), min(total, bound))
+    samples = int(first[-1])
+    begin = (lambda i: i * size) if size else (lambda i, sums=np.concatenate(([0], np.cumsum(listed))): sums[i])
+    if "stss" in boxes:
+        n_keys = field("stss", 4, ">I")
+        keys = _numbers(data, boxes["stss"][0] + 8, boxes["stss"][1], ">u4", n_keys[0] if n_keys else 0).astype(np.int64) - 1
+        keys = keys[(keys >= 0) & (keys < samples)]
     else:
-        keys = np.arange(len(sizes))
+        keys = np.arange(samples)
+    chunk_of = np.searchsorted(first, keys, side="right") - 1
+    key_sizes = np.full(len(keys), size, np.int64) if size else listed[keys]
     used = np.diff(first) > 0
-    return out | {"samples": len(sizes), "key_offsets": offsets[keys], "key_sizes": sizes[keys], "chunk_offsets": chunk_at[: len(used)][used], "chunk_sizes": (begin[first[1:]] - begin[first[:-1]])[used]}
+    return out | {"samples": samples, "key_offsets": chunk_at[chunk_of] + begin(keys) - begin(first[chunk_of]), "key_sizes": key_sizes, "chunk_offsets": chunk_at[: len(used)][used], "chunk_sizes": (begin(first[1:]) - begin(first[:-1]))[used]}
 
 
 def payload_of(data: bytes, track: dict) -> bytes:
@@ -162,21 +183,17 @@ def _mux(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 
 def _probe(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    key = pa.struct([("offset", pa.int64()), ("size", pa.int64())])
+    blank = {"kind": None, "codec": None, "width": 0, "height": 0, "duration_ms": 0, "samples": 0}
+    kinds = [pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
     for batch in batches:
-        rows, offsets, at, size = [], [0], [], []
+        rows, firsts = [], []
         for data in as_bytes(batch):
             tracks = probe_bytes(data)
-            t = tracks[0] if tracks else {"kind": None, "codec": None, "width": 0, "height": 0, "duration_ms": 0, "samples": 0, "key_offsets": np.zeros(0, np.int64), "key_sizes": np.zeros(0, np.int64)}
-            rows.append((len(tracks), t["kind"], t["codec"], t["width"], t["height"], t["duration_ms"], t["samples"]))
-            at.append(t["key_offsets"])
-            size.append(t["key_sizes"])
-            offsets.append(offsets[-1] + len(t["key_offsets"]))
-        flat = pa.StructArray.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x]), pa.int64()) for x in (at, size)], fields=list(key))
-        cols = list(zip(*rows)) or [[]] * 7
-        kinds = [pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-        arrays = [pa.array(list(c), k) for c, k in zip(cols, kinds)] + [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)]
-        yield pa.StructArray.from_arrays(arrays, names=["tracks", "kind", "codec", "width", "height", "duration_ms", "samples", "keyframes"])
+            t = tracks[0] if tracks else blank
+            rows.append((len(tracks), *(t[c] for c in blank)))
+            firsts.append(tracks[0] if tracks else None)
+        arrays = [pa.array(list(c), k) for c, k in zip(list(zip(*rows)) or [[]] * 7, kinds)]
+        yield pa.StructArray.from_arrays([*arrays, _key_frames(firsts)], names=["tracks", *blank, "keyframes"])
 
 
 def _payload(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -190,17 +207,27 @@ def _payload(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield pa.StructArray.from_arrays([pa.array(list(c), k) for c, k in zip(cols, (pa.int64(), pa.string(), pa.int64()))], names=["payload_bytes", "payload_sha256", "tail_crc32"])
 
 
+def _key_frames(tracks: list[dict | None]) -> pa.ListArray:
+    """The byte ranges of each track's key frames."""
+    key = pa.struct([("offset", pa.int64()), ("size", pa.int64())])
+    none = [np.zeros(0, np.int64)]
+    at, size = ([t[name] if t else none[0] for t in tracks] for name in ("key_offsets", "key_sizes"))
+    flat = pa.StructArray.from_arrays([pa.array(np.concatenate(none + x), pa.int64()) for x in (at, size)], fields=list(key))
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, at)]), pa.int32()), flat)
+
+
 def _round_trip(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    names = ["media_bytes", "media_sha256", "payload_bytes", "payload_sha256", "tail_crc32", "feature"]
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string()]
+    names = ["media_bytes", "media_sha256", "payload_bytes", "payload_sha256", "tail_crc32", "feature", "codec", "duration_ms", "keyframes"]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]
     for batch in batches:
-        rows = []
+        rows, tracks = [], []
         for content in as_bytes(batch):
             data = mux_bytes(pad(content))
             track = probe_bytes(data)[0]
             body = payload_of(data, track)
-            rows.append((len(data), hashlib.sha256(data).hexdigest(), len(body), hashlib.sha256(body).hexdigest(), zlib.crc32(body[-FRAME:]), describe(track)))
-        yield pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [[]] * 6, kinds)], names=names)
+            rows.append((len(data), hashlib.sha256(data).hexdigest(), len(body), hashlib.sha256(body).hexdigest(), zlib.crc32(body[-FRAME:]), describe(track), track["codec"].strip(), track["duration_ms"]))
+            tracks.append(track)
+        yield pa.StructArray.from_arrays([*[pa.array(c, k) for c, k in zip(list(zip(*rows)) or [[]] * 8, kinds)], _key_frames(tracks)], names=names)
 
 
 def describe(track: dict) -> str:
@@ -212,24 +239,24 @@ def describe(track: dict) -> str:
 
 def mux(content: Column) -> Column:
     """Store text (as UTF-8) or binary content in a container. Null and empty content become one frame of zeros."""
-    return arrow_udf(_mux, "binary")(content)
+    return F.arrow_udf(_mux, "binary")(content)
 
 
 def probe(media: Column) -> Column:
     """Number of tracks, and of the first one kind, codec, size, duration, sample count and the byte range of each key
     frame, from the boxes alone. Data without a track, empty or null gives tracks 0, null kind and codec, and no ranges."""
-    return arrow_udf(_probe, PROBE)(media)
+    return F.arrow_udf(_probe, PROBE)(media)
 
 
 def payload_digest(media: Column) -> Column:
     """Length, SHA-256 and CRC-32 of the last frame of the first track's media bytes, read through its chunk table."""
-    return arrow_udf(_payload, PAYLOAD)(media)
+    return F.arrow_udf(_payload, PAYLOAD)(media)
 
 
-ROUND_TRIP = "struct<media_bytes:bigint,media_sha256:string,payload_bytes:bigint,payload_sha256:string,tail_crc32:bigint,feature:string>"
+ROUND_TRIP = "struct<media_bytes:bigint,media_sha256:string,payload_bytes:bigint,payload_sha256:string,tail_crc32:bigint,feature:string,codec:string,duration_ms:bigint,keyframes:array<struct<offset:bigint,size:bigint>>>"
 
 
 def round_trip(content: Column) -> Column:
     """``mux``, then what ``payload_digest`` and ``probe`` find in the stored bytes, in one pass, so that containers do
     not travel between processes. Null and empty content as in ``mux``."""
-    return arrow_udf(_round_trip, ROUND_TRIP)(content)
+    return F.arrow_udf(_round_trip, ROUND_TRIP)(content)
