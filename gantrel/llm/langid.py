@@ -17,22 +17,25 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_udf, chunks, hash_rank, hashed_share
+from .common import chunks, hash_rank, hashed_share
 
 BITS = 18
 ORDERS = (1, 2, 3, 4)
-#: Bounds of the fitted sample: labelled texts, and landmarks, for each language, and languages (the most frequent).
-TRAIN_TEXTS, LANDMARKS, LANGUAGES = 240, 32, 256
+#: Bounds of the fitted sample: labelled texts and landmarks of a language, and texts in all, which many languages share.
+TRAIN_TEXTS, LANDMARKS, SAMPLE = 240, 32, 61_440
 RIDGE = 1e-2
 #: A text is of no learned language if the landmarks know less than this part of what they know of all but the strangest
 #: twentieth of the fitted texts.
 STRANGE, TWENTIETH = 0.7, 0.05
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 _FOLD = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 _SPACES = re.compile(rb" {2,}")
 
 
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
+
+
 def buckets(text: str) -> np.ndarray:
     """Buckets of all n-grams of the lower-cased text, in which any run of other ASCII than letters is one space."""
     data = np.frombuffer(_SPACES.sub(b" ", b" " + text.lower().encode("utf-8", "replace").translate(_FOLD) + b" "), np.uint8).astype(np.uint32)
@@ -108,24 +111,26 @@ def fit(sets: list[np.ndarray], labels: list[str]) -> Model:
 
 
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
-    """Fit on at most ``TRAIN_TEXTS`` texts of each of at most ``LANGUAGES`` languages, chosen by a hash of the id among
-    rows whose text holds a letter and whose language is not null. Bucket sets are made on the executors; the driver
-    receives only those of the sample. Without a usable row the model knows no language."""
-    usable = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"))
-    common = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
-    total = F.coalesce(*[F.when(F.col("lang") == name, F.lit(n)) for name, n in common.items()], F.lit(1))
-    order = Window.partitionBy("lang").orderBy(hash_rank("id"), "id")
-    candidates = usable.filter(F.col("lang").isin(*common) & hashed_share("id", TRAIN_TEXTS, total))
-    chosen = candidates.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= TRAIN_TEXTS).select("id", "n").distinct()
+    """Fit on at most ``TRAIN_TEXTS`` texts of each language, ``SAMPLE`` in all (one of a language at least), chosen by a
+    hash of id and text among rows whose text holds a letter and whose language is not null. Equal rows count once, and
+    different texts of a repeated id each for itself. Bucket sets are made on the executors; the driver receives only
+    those of the sample. Without a usable row the model knows no language."""
+    usable = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"), hash_rank(doc_id, lang, text).alias("rank"))
+    totals = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    wanted = max(1, min(TRAIN_TEXTS, SAMPLE // max(1, len(totals))))
+    total = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in totals.items() for x in pair]), F.col("lang")) if totals else F.lit(None), F.lit(1))
+    order = Window.partitionBy("lang").orderBy("rank", "id")
+    candidates = usable.filter(hashed_share(F.col("rank"), wanted, total)).select("id", "lang", "rank").distinct()
+    chosen = candidates.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= wanted)
 
     def sets(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         seen = np.zeros(1 << BITS, bool)
         for batch in batches:
-            yield pa.array([presence(t.as_py(), seen).astype("<i4").tobytes() if _LETTER.search(t.as_py()) else None for t in batch], pa.binary())
+            yield pa.array([presence(t.as_py(), seen).astype("<i4").tobytes() if has_letter(t.as_py()) else None for t in batch], pa.binary())
 
-    sample = docs.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sample = sample.join(F.broadcast(chosen), "id").select("id", "n", "lang", arrow_udf(sets, "binary")("text").alias("set"))
-    rows = sorted((r for r in sample.collect() if r["set"] is not None), key=lambda r: (r["lang"], r["n"], r["id"]))
+    found = usable.join(F.broadcast(chosen), ["id", "lang", "rank"]).dropDuplicates(["lang", "n"])
+    sample = found.select("id", "n", "lang", F.arrow_udf(sets, "binary")("text").alias("set"))
+    rows = sorted((r for r in sample.collect() if r["set"] is not None), key=lambda r: (r["lang"], r["n"]))
     return fit([np.frombuffer(r["set"], "<i4") for r in rows], [r["lang"] for r in rows])
 
 
@@ -133,7 +138,7 @@ def score_texts(model: Model, texts: list[str | None], seen: np.ndarray) -> tupl
     """Language and confidence of each text, 1 where the winning regression is at its target, 0 where it is at the
     others', and whether it is of a learned language at all. The confidence cannot tell: the regressions' sum is fixed, so
     some language always lies at its share of it or above."""
-    sets = [presence(t, seen) if t is not None and _LETTER.search(t) else None for t in texts]
+    sets = [presence(t, seen) if t is not None and has_letter(t) else None for t in texts]
     rows = np.zeros((len(texts), len(model.weights)), np.float32)
     norm = np.ones((len(texts), 1), np.float32)
     fits = np.zeros(len(texts), bool)
@@ -171,4 +176,4 @@ def identify(model: Model, text: Column) -> Column:
                 fits.append(c)
             yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(np.concatenate([np.zeros(0), *sure]), pa.float64()), pa.array(np.concatenate([np.zeros(0, bool), *fits]), pa.bool_())], names=["lang_pred", "score", "fits"])
 
-    return arrow_udf(predict, "struct<lang_pred:string,score:double,fits:boolean>")(text)
+    return F.arrow_udf(predict, "struct<lang_pred:string,score:double,fits:boolean>")(text)
