@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_udf, bound_memory, materialize
+from .common import bound_memory, materialize
 
 CAPACITY = 2048
 UNIT = 4
@@ -273,8 +273,8 @@ def _tail_cuts(total: int) -> list[int]:
 def pack_documents(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text") -> Packed:
     """Pack every document into sequences of at most 2,048 ids.
 
-    Null and empty texts are one end id. Long texts are cut; equal rows are packed as often as they occur, and rows of a
-    null id keep it (two different texts must not share an id, null included). An empty table gives an empty plan. Other columns of the input are not read. Sequences padded beyond ``UNIT - 1`` ids a
+    Null and empty texts are one end id. Long texts are cut; equal rows are packed as often as they occur, different
+    texts of one id each for itself, and rows of a null id keep it. An empty table gives an empty plan. Other columns of the input are not read. Sequences padded beyond ``UNIT - 1`` ids a
     piece do not occur except where no pieces of fitting length exist; the end of the leftovers' stream is cut into
     powers of two, which need no padding.
     """
@@ -301,7 +301,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id",
             slot = np.where(ok, plan.slot[i] + j % plan.count[i], 0)
         return pa.StructArray.from_arrays([pa.array(seq, pa.int64()), pa.array(slot, pa.int64())], names=["seq", "slot"])
 
-    placed = materialize(ranked.withColumn("at", arrow_udf(place, "struct<seq:bigint,slot:bigint>")("cls", "rank")).select("doc_id", "start", "length", "doc_tokens", "ids_crc32", "cls", "at.seq", "at.slot"), "placed")
+    placed = materialize(ranked.withColumn("at", F.arrow_udf(place, "struct<seq:bigint,slot:bigint>")("cls", "rank")).select("doc_id", "start", "length", "doc_tokens", "ids_crc32", "cls", "at.seq", "at.slot"), "placed")
     sequence = Window.partitionBy("seq").orderBy("slot", "doc_id", "start")
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     whole = placed.filter("seq >= 0").withColumn("offset", F.sum("length").over(sequence) - F.col("length")).withColumnRenamed("seq", "sequence_id").select(columns)
@@ -336,17 +336,22 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id",
         (F.size("begins") > 1).alias("is_cut"),
     )
     parts = materialize(parts, "parts")
-    cut_parts = parts.filter("is_cut").drop("ids_crc32")
-    held = pieces.select(F.col("doc_id").alias("__doc"), F.col("start").alias("__piece"), "ids")
-    torn = held.join(F.broadcast(cut_parts), F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("piece") == F.col("__piece")))
+    cut_parts = parts.filter("is_cut").withColumnRenamed("ids_crc32", "piece_crc32")
+    # A piece is told by its place and by what it holds, so different texts of one id stay apart and equal ones share ids.
+    whole_piece = ["doc_id", "piece", "piece_crc32", "doc_tokens"]
+    held = pieces.select("doc_id", F.col("start").alias("piece"), F.col("ids_crc32").alias("piece_crc32"), "doc_tokens", "ids")
+    wanted = F.broadcast(cut_parts.select(*[F.col(c).alias(f"__{c}") for c in whole_piece]).distinct())
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in whole_piece]
+    held = held.join(wanted, same[0] & same[1] & same[2] & same[3]).select(*[f"__{c}" for c in whole_piece], "ids").dropDuplicates([f"__{c}" for c in whole_piece])
+    torn = cut_parts.join(held, same[0] & same[1] & same[2] & same[3])
     torn = torn.withColumn("ids_crc32", F.crc32(F.substring(F.col("ids"), (4 * (F.col("start") - F.col("piece")) + 1).cast("int"), (4 * F.col("length")).cast("int"))))
-    return Packed(whole.unionByName(parts.filter("not is_cut").select(columns)).unionByName(torn.select(columns).distinct()), pieces)
+    return Packed(whole.unionByName(parts.filter("not is_cut").select(columns)).unionByName(torn.select(columns)), pieces)
 
 
 def sequence_ids(packed: Packed) -> DataFrame:
     """The plan with each piece's ids as a column of little-endian unsigned 32-bit numbers."""
     plan = packed.plan.withColumn("piece", F.floor(F.col("start") / CAPACITY) * CAPACITY)
-    held = packed.pieces.select(F.col("doc_id").alias("__doc"), F.col("start").alias("__piece"), "ids").dropDuplicates(["__doc", "__piece"])
+    held = packed.pieces.select(F.col("doc_id").alias("__doc"), F.col("start").alias("__piece"), "ids").dropDuplicates(["__doc", "__piece", "ids"])
     both = plan.join(held, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("piece") == F.col("__piece")))
     part = F.substring(F.col("ids"), (4 * (F.col("start") - F.col("piece")) + 1).cast("int"), (4 * F.col("length")).cast("int"))
-    return both.withColumn("ids", part).drop("piece", "__doc", "__piece")
+    return both.withColumn("ids", part).filter(F.crc32("ids") == F.col("ids_crc32")).drop("piece", "__doc", "__piece")
