@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_udf, hash_rank, hashed_share
+from .common import hash_rank, hashed_share
 
 #: Bounds of the fitted sample, for each label, and of the voters.
 TRAIN_ROWS, VOTERS = 4000, 400
@@ -114,7 +114,7 @@ def linear(x: np.ndarray, target: np.ndarray, weight: np.ndarray) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """Fit on at most ``TRAIN_ROWS`` labelled documents of either label, chosen by a hash of the id. Null labels, ids and
-    texts take no part; of several labels for one id the largest counts. Without rows of both labels the model has no
+    texts take no part; of several labels for one id the largest counts, of several texts one by its hash. Without rows of both labels the model has no
     voters and gives every text the same score, 1 or 0 as the rows' only label, 0 without any."""
     known = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y")).filter("id is not null and y in (0, 1)").groupBy("id").agg(F.max("y").alias("y"))
     totals = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -123,7 +123,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
     total = F.when(F.col("y") == 1, F.lit(totals[1])).otherwise(F.lit(totals[0]))
     order = Window.partitionBy("y").orderBy(hash_rank("id"), "id")
-    candidates = known.filter(hashed_share("id", TRAIN_ROWS, total))
+    candidates = known.filter(hashed_share(hash_rank("id"), TRAIN_ROWS, total))
     chosen = candidates.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= TRAIN_ROWS).select("id", "y")
 
     def distinct_cues(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -131,8 +131,9 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
             yield pa.array([sorted({c for token in set(t.as_py().lower().split()) for c in cues(token)}) for t in batch], pa.list_(pa.string()))
 
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).filter("text is not null").join(F.broadcast(chosen), "id")
+    rows = rows.groupBy("id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     sizes = {y: min(n, TRAIN_ROWS) for y, n in totals.items()}
-    seen = rows.select("y", F.explode(arrow_udf(distinct_cues, "array<string>")("text")).alias("cue")).groupBy("cue").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c"))
+    seen = rows.select("y", F.explode(F.arrow_udf(distinct_cues, "array<string>")("text")).alias("cue")).groupBy("cue").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c"))
     share_t, share_c = F.col("t") / F.lit(sizes[1]), (F.col("c") + F.lit(0.5)) / F.lit(sizes[0])
     lean = share_t / (share_t + share_c)
     best = seen.filter((F.col("t") >= max(MIN_DOCS, sizes[1] // 250)) & (lean >= MIN_LEAN)).orderBy(F.desc(share_t * F.log(share_t / share_c)), "cue").limit(VOTERS)
@@ -143,7 +144,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         for batch in batches:
             yield pa.array([list(table.count(t.as_py()).items()) for t in batch], pa.map_(pa.int32(), pa.int32()))
 
-    got = sorted(rows.select("id", "y", arrow_udf(count, "map<int,int>")("text").alias("votes")).collect(), key=lambda r: r["id"])
+    got = sorted(rows.select("id", "y", F.arrow_udf(count, "map<int,int>")("text").alias("votes")).collect(), key=lambda r: r["id"])
     gold = np.array([r["y"] for r in got])
     if not voters or len(set(gold.tolist())) < 2:
         prior = totals[1] / (totals[0] + totals[1])
@@ -179,4 +180,4 @@ def score(model: Model, text: Column) -> Column:
                 out.append(1 / (1 + np.exp(-min(30.0, max(-30.0, z)))))
             yield pa.array(out, pa.float64())
 
-    return arrow_udf(predict, "double")(text)
+    return F.arrow_udf(predict, "double")(text)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_udf, chunks, without
+from .common import chunks, without
 
 SEPARATOR = 0
 _LOW = np.uint64(1)
@@ -138,7 +138,7 @@ def filter_urls(df: DataFrame, rules: Sequence[Rule], url: str = "url", default:
     automaton, owners = compile_rules(rules)
     texts = [r.text for r in owners]
 
-    @arrow_udf("int")
+    @F.arrow_udf("int")
     def winner(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             found = []
