@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Characters that strip and split treat as white space.
@@ -132,3 +132,12 @@ def asset_kind(path: Column) -> Column:
 def safe_output(path: Column) -> Column:
     """Whether a path is relative and never climbs."""
     return ~path.startswith("/") & ~F.exists(F.split(path, "/"), lambda p: p == "..") & (path != "")
+
+
+def element_text(rows: DataFrame, language: Column) -> DataFrame:
+    """Rows (fixed, vals, value_key, copy_key, role) with the stripped ``text`` of each element and its ``language``;
+    elements without any text are left out. An empty fixed text counts as none, and it is English."""
+    key = F.coalesce("value_key", "copy_key", "role")
+    text = strip(F.coalesce(F.nullif(F.col("fixed"), F.lit("")), F.try_element_at("vals", key), F.lit("")))
+    own = F.when(F.col("fixed") != "", F.lit("en")).otherwise(language)
+    return rows.withColumns({"text": text, "language": own}).filter("text <> ''")

@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .scalar import SPACES
+
 #: A base character with its combining marks, variation selectors and what joiners attach.
 CLUSTER = r"(?s)((?:\x{200D}+[^\x{200D}]?|[^\x{200D}])(?:\p{M}|\x{200D}+[^\x{200D}]?)*)"
 #: What ends a line.
@@ -16,8 +18,13 @@ def clusters(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(CLUSTER), F.lit(1))
 
 
+#: Signs that make a cluster of more than one character.
+JOINING = r"[\p{M}\x{200D}]"
+
+
 def width(text: Column) -> Column:
-    return F.size(clusters(text))
+    """Number of clusters; their characters are only taken apart where some join."""
+    return F.when(F.rlike(text, F.lit(JOINING)), F.size(clusters(text))).otherwise(F.length(text))
 
 
 def words(text: Column) -> Column:
@@ -32,60 +39,95 @@ def paragraphs(text: Column) -> Column:
 
 
 def wrap(units: Column, limit: Column, glue: str) -> Column:
-    """Greedy lines of the units, joined by ``glue``; a unit wider than the limit has a line to itself."""
-    empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("line"), F.lit(0).alias("wide"))
-    gap = len(glue)
+    """Greedy lines of the units, joined by ``glue``; a unit wider than the limit has a line to itself. A line with its
+    next unit is measured as a whole, as a mark at the start of a unit joins the glue before it."""
+    empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("line"))
 
     def step(acc: Column, unit: Column) -> Column:
-        size = F.length(unit)
-        fits = acc["line"].isNotNull() & (acc["wide"] + gap + size <= limit)
-        return F.when(fits, F.struct(acc["done"].alias("done"), F.concat(acc["line"], F.lit(glue), unit).alias("line"), (acc["wide"] + gap + size).alias("wide"))).otherwise(
-            F.struct(F.when(acc["line"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["line"]))).alias("done"), unit.alias("line"), size.alias("wide"))
-        )
+        longer = F.concat(acc["line"], F.lit(glue), unit)
+        fits = acc["line"].isNotNull() & (width(longer) <= limit)
+        return F.when(fits, F.struct(acc["done"].alias("done"), longer.alias("line"))).otherwise(F.struct(F.when(acc["line"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["line"]))).alias("done"), unit.alias("line")))
 
     return F.aggregate(units, empty, step, lambda acc: F.when(acc["line"].isNull(), F.array(F.lit(""))).otherwise(F.concat(acc["done"], F.array(acc["line"]))))
 
 
 def wrap_clusters(text: Column, limit: Column) -> Column:
-    """Greedy lines by cluster; a line neither starts nor ends with a space."""
+    """Greedy lines by cluster; a line neither starts nor ends with white space."""
     empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("line"), F.lit(0).alias("wide"))
 
     def step(acc: Column, unit: Column) -> Column:
+        opens = F.regexp_replace(unit, f"^{SPACES}+", "")
         return F.when(acc["wide"] + 1 <= limit, F.struct(acc["done"].alias("done"), F.concat(acc["line"], unit).alias("line"), (acc["wide"] + 1).alias("wide"))).otherwise(
-            F.struct(F.concat(acc["done"], F.array(F.rtrim(acc["line"]))).alias("done"), F.ltrim(unit).alias("line"), F.when(unit == " ", F.lit(0)).otherwise(F.lit(1)).alias("wide"))
+            F.struct(F.concat(acc["done"], F.array(ends_trimmed(acc["line"]))).alias("done"), opens.alias("line"), F.when(opens == "", F.lit(0)).otherwise(F.lit(1)).alias("wide"))
         )
 
-    return F.aggregate(clusters(text), empty, step, lambda acc: F.concat(acc["done"], F.array(F.rtrim(acc["line"]))))
+    return F.aggregate(clusters(text), empty, step, lambda acc: F.concat(acc["done"], F.array(ends_trimmed(acc["line"]))))
+
+
+def ends_trimmed(text: Column) -> Column:
+    return F.regexp_replace(text, f"{SPACES}+$", "")
+
+
+def by_words(w: Column, limit: Column, mode: Column) -> Column:
+    """Whether a paragraph of these words is wrapped by word; auto does if there are several and each fits."""
+    return (mode == "word") | ((mode == "auto") & (F.size(w) > 1) & F.forall(w, lambda x: width(x) <= limit))
 
 
 def wrap_paragraph(text: Column, limit: Column, mode: Column) -> Column:
-    """Lines under manual, word, grapheme or auto; auto takes words if there are several and each fits."""
+    """Lines under manual, word, grapheme or auto."""
     w = words(text)
-    by_word = (mode == "word") | ((mode == "auto") & (F.size(w) > 1) & F.forall(w, lambda x: F.length(x) <= limit))
-    return F.when(mode == "manual", F.array(text)).when(by_word, wrap(w, limit, " ")).otherwise(wrap_clusters(text, limit))
+    return F.when(mode == "manual", F.array(text)).when(by_words(w, limit, mode), wrap(w, limit, " ")).otherwise(wrap_clusters(text, limit))
 
 
-def wrap_text(text: Column, limit: Column) -> Column:
-    return F.flatten(F.transform(paragraphs(text), lambda p: F.when(p == "", F.array(F.lit(""))).otherwise(wrap(words(p), limit, " "))))
+def wrap_text(text: Column, limit: Column, mode: Column) -> Column:
+    """Lines of all paragraphs; an empty one is one empty line."""
+    return F.flatten(F.transform(paragraphs(text), lambda p: F.when(p == "", F.array(F.lit(""))).otherwise(wrap_paragraph(p, limit, mode))))
 
 
-def fit_size(text: Column, box_w: int, box_h: int, low: int, high: int, max_lines: int) -> Column:
-    """Largest font size from ``high`` down whose wrapped text keeps to the box: a cluster is half the size wide, a line
-    1.12 of it high. Null if none fits. The units are split once; each size only folds their widths."""
+def fit_size(text: Column, box_w: int, box_h: int, low: int, high: int, max_lines: int, mode: Column | None = None, single_low: Column | None = None) -> Column:
+    """(size, lines, fit_mode) of the largest font size from ``high`` down whose text keeps to the box: a cluster is half
+    the size wide, a line 1.12 of it high. Where ``single_low`` is not null and the text has no line end, sizes down to it
+    are first tried on one line, unwrapped. All paragraphs are wrapped as ``mode`` says (auto by default). Null if no size
+    fits. The text is taken apart once; each size only folds widths."""
+    mode = F.lit("auto") if mode is None else mode
     sizes = F.array(*[F.lit(s) for s in range(high, low - 1, -1)])
-    lengths = F.transform(words(text), F.length)
+    parts = F.transform(paragraphs(text), lambda p: F.struct(F.transform(words(p), lambda w: F.struct(width(w).alias("own"), width(F.concat(F.lit(" "), w)).alias("joined"))).alias("words"), F.transform(clusters(p), lambda c: F.rlike(c, F.lit(f"^{SPACES}+$"))).alias("blanks"), width(p).alias("whole")))
 
-    def lines(limit: Column) -> Column:
+    def folded(widths: Column, limit: Column) -> Column:
         start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("wide"), F.lit(True).alias("ok"))
 
-        def step(acc: Column, size: Column) -> Column:
-            fits = (acc["n"] > 0) & (acc["wide"] + 1 + size <= limit)
-            return F.struct((acc["n"] + F.when(fits, 0).otherwise(1)).alias("n"), F.when(fits, acc["wide"] + 1 + size).otherwise(size).alias("wide"), (acc["ok"] & (size <= limit)).alias("ok"))
+        def step(acc: Column, w: Column) -> Column:
+            fits = (acc["n"] > 0) & (acc["wide"] + w["joined"] <= limit)
+            return F.struct((acc["n"] + F.when(fits, 0).otherwise(1)).alias("n"), F.when(fits, acc["wide"] + w["joined"]).otherwise(w["own"]).alias("wide"), (acc["ok"] & (w["own"] <= limit)).alias("ok"))
 
-        return F.aggregate(lengths, start, step)
+        return F.aggregate(widths, start, step, lambda acc: F.struct(F.greatest(acc["n"], F.lit(1)).alias("n"), acc["ok"].alias("ok")))
 
-    def feasible(size: Column) -> Column:
-        got = lines(F.floor(F.lit(2 * box_w) / size).cast("int"))
-        return got["ok"] & (got["n"] <= max_lines) & (got["n"] * size * 112 <= 100 * box_h)
+    def clustered(blanks: Column, limit: Column) -> Column:
+        start = F.struct(F.lit(1).alias("n"), F.lit(0).alias("wide"))
+
+        def step(acc: Column, blank: Column) -> Column:
+            return F.when(acc["wide"] + 1 <= limit, F.struct(acc["n"].alias("n"), (acc["wide"] + 1).alias("wide"))).otherwise(F.struct((acc["n"] + 1).alias("n"), F.when(blank, F.lit(0)).otherwise(F.lit(1)).alias("wide")))
+
+        return F.aggregate(blanks, start, step, lambda acc: F.struct(acc["n"].alias("n"), (limit >= 1).alias("ok")))
+
+    def lines(limit: Column) -> Column:
+        start = F.struct(F.lit(0).alias("n"), F.lit(True).alias("ok"))
+
+        def add(acc: Column, p: Column) -> Column:
+            by_word = (mode == "word") | ((mode == "auto") & (F.size(p["words"]) > 1) & F.forall(p["words"], lambda x: x["own"] <= limit))
+            got = F.when(mode == "manual", F.struct(F.lit(1).alias("n"), (p["whole"] <= limit).alias("ok"))).when(by_word, folded(p["words"], limit)).otherwise(clustered(p["blanks"], limit))
+            return F.struct((acc["n"] + got["n"]).alias("n"), (acc["ok"] & got["ok"]).alias("ok"))
 
-    return F.try_element_at(F.filter(sizes, feasible), F.lit(1))
+        return F.aggregate(parts, start, add)
+
+    def tried(size: Column) -> Column:
+        got = lines(F.floor(F.lit(2 * box_w) / size).cast("int"))
+        return F.struct(size.alias("size"), got["n"].alias("lines"), (got["ok"] & (got["n"] <= max_lines) & (got["n"] * size * 112 <= 100 * box_h)).alias("ok"))
+
+    wrapped = F.try_element_at(F.filter(F.transform(sizes, tried), lambda t: t["ok"]), F.lit(1))
+    found = F.when(wrapped.isNotNull(), F.struct(wrapped["size"].alias("size"), wrapped["lines"].alias("lines"), F.when(wrapped["lines"] > 1, F.lit("wrapped")).otherwise(F.lit("single_line")).alias("fit_mode")))
+    if single_low is None:
+        return found
+    single = F.try_element_at(F.filter(sizes, lambda z: (z >= F.greatest(single_low, F.lit(low))) & (width(text) * z <= 2 * box_w) & (z * 112 <= 100 * box_h)), F.lit(1))
+    on_one = F.when(single_low.isNotNull() & ~F.contains(text, F.lit("\n")) & single.isNotNull(), F.struct(single.alias("size"), F.lit(1).alias("lines"), F.lit("single_line_preferred").alias("fit_mode")))
+    return F.coalesce(on_one, found)

@@ -66,3 +66,13 @@ def in_polygon(x: Column, y: Column, points: Sequence[tuple[float, float]]) -> C
         if y0 != y1:
             inside = F.when(crosses & (x < (x1 - x0) * (y - y0) / (y1 - y0) + x0), ~inside).otherwise(inside)
     return inside
+
+
+def external_masks(canvas: DataFrame, region: DataFrame, keys: Sequence[str], size: tuple[int, int], box: tuple[int, int, int, int]) -> DataFrame:
+    """(keys, y, x, canvas, region): a mask of the canvas's ``size`` beside one of the region's, whose pixels are moved to
+    the region's ``box`` (x, y, w, h). A mask with a pixel outside its size raises."""
+    left, top, w, h = box
+    fits = lambda df, width, height: df.filter(F.when(F.col("x").between(0, width - 1) & F.col("y").between(0, height - 1), F.lit(True)).otherwise(F.raise_error(F.lit("mask of another size")).cast("boolean")))
+    moved = fits(region, w, h).select(*keys, (F.col("y") + top).alias("y"), (F.col("x") + left).alias("x"), F.col("v").alias("region"))
+    both = fits(canvas, *size).select(*keys, "y", "x", F.col("v").alias("canvas")).join(moved, [*keys, "y", "x"], "left")
+    return both.withColumn("region", F.coalesce("region", F.lit(0)))

@@ -43,10 +43,22 @@ def inventory_diff(before: DataFrame, after: DataFrame, key: str, digest: str) -
     return both.select(key, state.alias("state"))
 
 
-def collisions(rows: DataFrame, output: Column, order: str) -> DataFrame:
-    """Rows whose output an earlier row also writes."""
-    return rows.withColumn("output", output).withColumn("n", F.row_number().over(Window.partitionBy("output").orderBy(order))).filter("n > 1")
+def collisions(rows: DataFrame, output: Column, order: str, existing: DataFrame | None = None) -> DataFrame:
+    """Rows, with their ``output`` and an ``error``, whose output an earlier row also writes or that is among ``existing``
+    (output). Only the first row of each output is looked up, so many rows of one output meet in no task."""
+    named = rows.withColumn("output", output)
+    first = named.groupBy("output").agg(F.min(order).alias("__first"))
+    there = (existing.select("output").distinct() if existing is not None else rows.select(F.lit(None).cast("string").alias("output")).limit(0)).withColumn("__there", F.lit(True))
+    met = named.join(first.join(there, "output", "left"), "output")
+    error = F.when(F.col(order) > F.col("__first"), F.lit("two inputs")).when(F.col("__there"), F.lit("output exists"))
+    return met.withColumn("error", error).filter("error is not null").drop("__first", "__there")
 
 
 def running_offset(size: Column, order: Sequence[str], partition: Sequence[str] = ()) -> Column:
     return F.sum(size).over(Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - size
+
+
+def overlay_elements(elements: DataFrame, types: set[str], roles: set[str] | None = None) -> DataFrame:
+    """Enabled elements (role, type, enabled, box) that have a box, of the given types and, if any are given, roles."""
+    wanted = F.coalesce("enabled", F.lit(True)) & F.col("box").isNotNull() & F.coalesce("type", F.lit("text")).isin(*types)
+    return elements.filter(wanted & F.col("role").isin(*roles) if roles else wanted)

@@ -1,7 +1,8 @@
-"""Layout rules over measured boxes. Every rule returns rows (keys, rule, roles, actual); roles are joined by commas.
+"""Layout rules over measured boxes. Every rule returns rows (keys, rule, roles, actual, expected, severity): roles are
+joined by commas, actual and expected are JSON texts, null where nothing was measured.
 
-Boxes are rows (keys, role, x, y, w, h) with null x where the metric is missing. Joins always carry the keys, so a pair
-of boxes meets only inside its own picture.
+All boxes of a picture are gathered into one map, bounded by the specification, and all its rules are judged on that one
+row: a picture is shuffled once, however many rules there are. Rules are data: a specification-sized table, broadcast.
 """
 
 from __future__ import annotations
@@ -11,74 +12,111 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gantrel.functions.scalar import SPACES
+from gantrel.functions.scalar import SPACES, strip
 
-BOX = ("x", "y", "w", "h")
+#: Rule rows: ``roles`` in order, the ``metric`` that is judged, ``amount`` the tolerance or least gap, ``padding`` where
+#: an obstacle has none of its own, ``names`` of obstacles (null: all of the picture's).
+RULES = "template string, ord int, kind string, roles array<string>, metric string, edge string, axis string, amount double, padding double, names array<string>"
+_FOUND = "array<struct<rule:string,roles:string,actual:string,expected:string>>"
+#: Rule rows are broadcast up to this many; a specification has a few for each template.
+RULE_ROWS = 100_000
 
 
-def _pair(boxes: DataFrame, rules: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rules (keys, first, second) with both boxes as ax.. and bx.., null where missing."""
-    a = boxes.select(*keys, F.col("role").alias("first"), *[F.col(c).alias(f"a{c}") for c in BOX])
-    b = boxes.select(*keys, F.col("role").alias("second"), *[F.col(c).alias(f"b{c}") for c in BOX])
-    return rules.join(a, [*keys, "first"], "left").join(b, [*keys, "second"], "left")
+def pictures(metrics: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, boxes): measured boxes (keys, role, metric, x, y, w, h) as one map for each picture, by ``role.metric``."""
+    box = F.struct(*[F.col(c).cast("long").alias(c) for c in "xywh"])
+    entry = F.struct(F.concat_ws(".", F.col("role").cast("string"), "metric").alias("key"), box.alias("box"))
+    return metrics.filter("x is not null").groupBy(*keys).agg(F.map_from_entries(F.collect_list(entry)).alias("boxes"))
 
 
-def _roles(*cols: Column) -> Column:
-    return F.concat_ws(",", *[c.cast("string") for c in cols])
+def _hit(rule: Column | str, roles: Column, actual: Column | None, expected: Column) -> Column:
+    name = F.lit(rule) if isinstance(rule, str) else rule
+    return F.struct(name.alias("rule"), roles.cast("string").alias("roles"), (F.lit(None) if actual is None else actual).cast("string").alias("actual"), expected.cast("string").alias("expected"))
 
 
-def missing(boxes: DataFrame, wanted: DataFrame, keys: Sequence[str], rule: str) -> DataFrame:
-    """A violation for each wanted (keys, role) without a box."""
-    have = boxes.filter(F.col("x").isNotNull()).select(*keys, "role")
-    lost = wanted.join(have, [*keys, "role"], "left_anti")
-    return lost.select(*keys, F.lit(f"{rule}.missing_metric").alias("rule"), _roles(F.col("role")).alias("roles"), F.lit(None).cast("bigint").alias("actual"))
+def _json(**fields: Column) -> Column:
+    return F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()]))
 
 
-def spacing(boxes: DataFrame, rules: DataFrame, keys: Sequence[str], axis: str = "y") -> DataFrame:
-    """second's near edge minus first's far edge, which may be negative, below the rule's ``least``."""
-    size = "h" if axis == "y" else "w"
-    gap = F.col(f"b{axis}") - F.col(f"a{axis}") - F.col(f"a{size}")
-    return _pair(boxes, rules, keys).filter(gap < F.col("least")).select(*keys, F.lit("spacing").alias("rule"), _roles(F.col("first"), F.col("second")).alias("roles"), gap.cast("bigint").alias("actual"))
+def overlap(al: Column, ar: Column, bl: Column, br: Column) -> Column:
+    return F.greatest(F.lit(0).cast("long"), F.least(ar, br) - F.greatest(al, bl))
 
 
-def overlap(al: Column, ar: Column, bl: Column, br: Column) -> Column:
-    return F.greatest(F.lit(0), F.least(ar, br) - F.greatest(al, bl))
+def _box(role: Column) -> Column:
+    return F.try_element_at(F.col("boxes"), F.concat_ws(".", role, F.col("metric")))
+
+
+def _alignment() -> Column:
+    def edge(b: Column) -> Column:
+        at = {"left": b["x"], "right": b["x"] + b["w"], "center_x": b["x"] + b["w"] / 2, "top": b["y"], "bottom": b["y"] + b["h"], "center_y": b["y"] + b["h"] / 2}
+        out = F.when(F.lit(False), F.lit(0.0))
+        for name, value in at.items():
+            out = out.when(F.col("edge") == name, value.cast("double"))
+        return out.otherwise(F.raise_error(F.concat(F.lit("unknown edge: "), F.col("edge"))).cast("double"))
+
+    values = F.transform("roles", lambda r: edge(_box(r)))
+    spread = F.array_max(values) - F.array_min(values)
+    whole = (F.size("roles") > 1) & F.forall("roles", lambda r: _box(r).isNotNull())
+    return F.when(whole & (spread > F.col("amount")), F.array(_hit("alignment", F.array_join("roles", ","), _json(edge=F.col("edge"), values=values, spread=spread), _json(tolerance=F.col("amount"), metric=F.col("metric")))))
+
+
+def _pair(judge) -> Column:
+    a, b = _box(F.try_element_at(F.col("roles"), F.lit(1))), _box(F.try_element_at(F.col("roles"), F.lit(2)))
+    return F.when((F.size("roles") == 2) & a.isNotNull() & b.isNotNull(), judge(a, b, F.array_join("roles", ",")))
 
 
-def non_overlap(boxes: DataFrame, rules: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Pairs that overlap on both axes; touching is no overlap. ``actual`` is the area."""
-    p = _pair(boxes, rules, keys)
-    across = overlap(F.col("ax"), F.col("ax") + F.col("aw"), F.col("bx"), F.col("bx") + F.col("bw"))
-    down = overlap(F.col("ay"), F.col("ay") + F.col("ah"), F.col("by"), F.col("by") + F.col("bh"))
-    both = F.col("ax").isNotNull() & F.col("bx").isNotNull() & (across > 0) & (down > 0)
-    return p.filter(both).select(*keys, F.lit("non_overlap").alias("rule"), _roles(F.col("first"), F.col("second")).alias("roles"), (across * down).cast("bigint").alias("actual"))
+def _spacing(a: Column, b: Column, roles: Column) -> Column:
+    axis = F.when(F.col("axis").isin("x", "y"), F.col("axis")).otherwise(F.raise_error(F.concat(F.lit("unknown axis: "), F.col("axis"))).cast("string"))
+    gap = F.when(axis == "y", b["y"] - a["y"] - a["h"]).otherwise(b["x"] - a["x"] - a["w"])
+    return F.when(gap < F.col("amount"), F.array(_hit("spacing", roles, _json(axis=F.col("axis"), gap=gap), _json(min=F.col("amount"), metric=F.col("metric")))))
 
 
-def obstacle_clearance(boxes: DataFrame, obstacles: DataFrame, keys: Sequence[str], shared: Sequence[str]) -> DataFrame:
-    """Boxes that overlap an obstacle grown by its own padding; obstacles belong to ``shared`` keys."""
-    o = obstacles.select(*shared, "name", (F.col("x") - F.col("pad")).alias("ol"), (F.col("y") - F.col("pad")).alias("ot"), (F.col("x") + F.col("w") + F.col("pad")).alias("or_"), (F.col("y") + F.col("h") + F.col("pad")).alias("ob"))
-    across = overlap(F.col("x"), F.col("x") + F.col("w"), F.col("ol"), F.col("or_"))
-    down = overlap(F.col("y"), F.col("y") + F.col("h"), F.col("ot"), F.col("ob"))
-    met = boxes.filter(F.col("x").isNotNull()).join(o, list(shared)).filter((across > 0) & (down > 0))
-    return met.select(*keys, F.lit("obstacle_clearance").alias("rule"), _roles(F.col("role"), F.concat(F.lit("obstacle:"), F.col("name"))).alias("roles"), (across * down).cast("bigint").alias("actual"))
+def _non_overlap(a: Column, b: Column, roles: Column) -> Column:
+    across, down = (overlap(a[at], a[at] + a[n], b[at], b[at] + b[n]) for at, n in (("x", "w"), ("y", "h")))
+    return F.when((across > 0) & (down > 0), F.array(_hit("non_overlap", roles, _json(overlap=F.array(across, down), area=across * down), _json(area=F.lit(0), metric=F.col("metric")))))
 
 
-def alignment(boxes: DataFrame, rules: DataFrame, keys: Sequence[str], edge: Column) -> DataFrame:
-    """Groups (keys, group, roles array, tolerance) whose edges spread over more than the tolerance; a group with a missing
-    metric is not judged."""
-    members = rules.select(*keys, "group", "tolerance", F.explode("roles").alias("role"))
-    at = members.join(boxes, [*keys, "role"], "left").withColumn("at", edge)
-    spread = at.groupBy(*keys, "group", "tolerance").agg((F.max("at") - F.min("at")).alias("spread"), F.bool_and(F.col("at").isNotNull()).alias("whole"), F.array_sort(F.collect_list("role")).alias("roles"))
-    return spread.filter(F.col("whole") & (F.col("spread") > F.col("tolerance"))).select(*keys, F.lit("alignment").alias("rule"), F.array_join(F.col("roles").cast("array<string>"), ",").alias("roles"), F.col("spread").cast("bigint").alias("actual"))
+def _obstacles() -> Column:
+    names = F.coalesce("names", F.array_sort(F.map_keys("obstacles")), F.array().cast("array<string>"))
+
+    def met(role: Column, name: Column) -> Column:
+        a, o = _box(role), F.try_element_at(F.col("obstacles"), name)
+        pad = F.coalesce(o["pad"], F.col("padding").cast("long"), F.lit(0))
+        across, down = (overlap(a[at], a[at] + a[n], o[at] - pad, o[at] + o[n] + pad) for at, n in (("x", "w"), ("y", "h")))
+        roles = F.concat(role, F.lit(",obstacle:"), name)
+        return F.when(o.isNull(), _hit("obstacle_clearance.missing_obstacle", roles, None, F.lit("configured obstacle box"))).when(
+            (across > 0) & (down > 0), _hit("obstacle_clearance", roles, _json(overlap=F.array(across, down), area=across * down), _json(area=F.lit(0), padding=pad, metric=F.col("metric")))
+        )
+
+    present = F.filter("roles", lambda r: _box(r).isNotNull())
+    return F.filter(F.flatten(F.transform(present, lambda r: F.transform(names, lambda n: met(r, n)))), lambda h: h.isNotNull())
+
+
+def _containment() -> Column:
+    def out(role: Column) -> Column:
+        a = _box(role)
+        s = F.coalesce(F.try_element_at(F.col("boxes"), F.concat(role, F.lit(".safe_box"))), F.try_element_at(F.col("configured"), role))
+        over = F.array(*[F.greatest(F.lit(0).cast("long"), v) for v in (s["x"] - a["x"], s["y"] - a["y"], a["x"] + a["w"] - s["x"] - s["w"], a["y"] + a["h"] - s["y"] - s["h"])])
+        return F.when(s.isNull(), _hit("containment.missing_safe_box", role, None, F.lit("safe_box or configured element box"))).when(
+            F.array_max(over) > F.col("amount"), _hit("containment", role, _json(overflow=over), _json(safe_box=F.array(*[s[c] for c in "xywh"]), tolerance=F.col("amount")))
+        )
+
+    present = F.filter("roles", lambda r: _box(r).isNotNull())
+    return F.filter(F.transform(present, out), lambda h: h.isNotNull())
 
 
-def containment(boxes: DataFrame, safe: DataFrame, keys: Sequence[str], tolerance: int = 0) -> DataFrame:
-    """Boxes that leave their safe box (sx, sy, sw, sh) by more than the tolerance; without a safe box that is reported."""
-    both = boxes.filter(F.col("x").isNotNull()).join(safe, [*keys, "role"], "left")
-    over = F.greatest(F.lit(0), F.col("sx") - F.col("x"), F.col("sy") - F.col("y"), F.col("x") + F.col("w") - F.col("sx") - F.col("sw"), F.col("y") + F.col("h") - F.col("sy") - F.col("sh"))
-    lost = F.col("sx").isNull()
-    rule = F.when(lost, F.lit("containment.missing_safe_box")).otherwise(F.lit("containment"))
-    return both.filter(lost | (over > tolerance)).select(*keys, rule.alias("rule"), _roles(F.col("role")).alias("roles"), F.when(~lost, over).cast("bigint").alias("actual"))
+def judge(pics: DataFrame, rules: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Violations of ``rules`` (``RULES``) by pictures (keys, boxes, obstacles, configured), where ``obstacles`` maps names
+    to (x, y, w, h, pad) and ``configured`` roles to the boxes given by the specification. Missing metrics are reported
+    for each role; a picture without any metrics, its ``boxes`` null, is reported as a whole."""
+    bare = pics.filter("boxes is null").select(*keys, F.lit("missing_render_metrics").alias("rule"), F.lit("").alias("roles"), F.lit(None).cast("string").alias("actual"), F.lit("report").alias("expected"))
+    rules = F.broadcast(rules) if rules.count() <= RULE_ROWS else rules
+    rows = pics.filter("boxes is not null").join(rules, "template")
+    lost = F.transform(F.filter("roles", lambda r: _box(r).isNull()), lambda r: _hit(F.concat(F.col("kind"), F.lit(".missing_metric")), r, None, F.col("metric")))
+    kind = F.col("kind")
+    found = F.when(kind == "alignment", _alignment()).when(kind == "spacing", _pair(_spacing)).when(kind == "non_overlap", _pair(_non_overlap)).when(kind == "obstacle_clearance", _obstacles()).when(kind == "containment", _containment())
+    hits = F.concat(lost.cast(_FOUND), F.coalesce(found.cast(_FOUND), F.array().cast(_FOUND)))
+    return rows.select(*keys, F.inline(hits)).unionByName(bare).withColumn("severity", F.lit("error"))
 
 
 #: limit name, metric name, whether the limit is a minimum.
@@ -87,17 +125,18 @@ LIMITS = (("min_font_size", "font_size", True), ("min_font_scale", "font_scale",
 
 def typography(metrics: DataFrame, ident: Sequence[str]) -> DataFrame:
     """Rows with limit and metric columns, one violation for each limit broken or without its metric. The line count
-    falls back on the lines, the font scale on the sizes."""
+    falls back on the lines, the font scale on the sizes; values are reported to four places."""
     lines = F.coalesce(F.col("line_count"), F.when(F.col("lines").isNotNull(), F.size("lines")))
     scale = F.coalesce(F.col("font_scale"), F.when(F.col("max_font_size") > 0, F.col("font_size") / F.col("max_font_size")))
-    value = {"line_count": lines, "font_scale": scale, "center_offset": F.abs("center_offset")}
+    value = {"line_count": lines, "font_scale": scale}
     checks = []
     for limit, metric, least in LIMITS:
         v = value.get(metric, F.col(metric)).cast("double")
-        broken = (v < F.col(limit)) if least else (v > F.col(limit))
-        name = F.when(v.isNull(), F.lit(f"typography.{limit}.missing_metric")).when(broken, F.lit(f"typography.{limit}"))
-        checks.append(F.when(F.col(limit).isNotNull(), name))
-    return metrics.select(*ident, F.explode(F.filter(F.array(*checks), lambda c: c.isNotNull())).alias("rule"))
+        broken = (v < F.col(limit)) if least else ((F.abs(v) if metric == "center_offset" else v) > F.col(limit))
+        hit = F.when(v.isNull(), _hit(f"typography.{limit}.missing_metric", F.lit(""), None, F.lit(metric))).when(broken, _hit(f"typography.{limit}", F.lit(""), F.round(v, 4), F.col(limit).cast("double")))
+        checks.append(F.when(F.col(limit).isNotNull(), hit))
+    hits = metrics.select(*ident, F.inline(F.filter(F.array(*checks), lambda c: c.isNotNull())))
+    return hits.drop("roles")
 
 
 def unnecessary_wrap(lines: Column, single: Column) -> Column:
@@ -113,16 +152,18 @@ def squeezed(text: Column) -> Column:
     return F.regexp_replace(text, f"{SPACES}+", "")
 
 
-def split_term(lines: Column, term: Column) -> Column:
-    """Whether a term stands in the joined lines but in no single one, white space aside."""
-    return F.contains(squeezed(F.array_join(lines, "")), squeezed(term)) & ~F.exists(lines, lambda s: F.contains(squeezed(s), squeezed(term)))
+def split_terms(lines: Column, terms: Column) -> Column:
+    """Those of the terms that stand in the joined lines but in no single one, white space aside. ``lines`` are without
+    white space already (``squeezed``)."""
+    joined = F.array_join(lines, "")
+    return F.filter(terms, lambda t: (squeezed(t) != "") & F.contains(joined, squeezed(t)) & ~F.exists(lines, lambda s: F.contains(s, squeezed(t))))
 
 
 def forbidden_edges(lines: Column, starts: Sequence[str], ends: Sequence[str]) -> Column:
-    """Array of (index, kind) of lines that start or end with something forbidden."""
+    """Array of (index, kind) of lines that, white space at their ends aside, start or end with something forbidden."""
     hits = F.flatten(
         F.transform(
-            lines,
+            F.transform(lines, strip),
             lambda s, i: F.array(
                 F.when(F.exists(F.array(*map(F.lit, starts)), lambda p: F.startswith(s, p)), F.struct(i.alias("i"), F.lit("start").alias("kind"))),
                 F.when(F.exists(F.array(*map(F.lit, ends)), lambda p: F.endswith(s, p)), F.struct(i.alias("i"), F.lit("end").alias("kind"))),

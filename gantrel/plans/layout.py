@@ -129,15 +129,18 @@ def enabled_elements(spark: SparkSession, d: str) -> DataFrame:
     return projection(spark, d, "boxes").filter(F.coalesce(flag, F.lit(True))).select(*KEYS, "role")
 
 
-@query("""WITH t AS (SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN '' WHEN c_custkey % 5 = 1 THEN 'fixed ' || c_name END AS fixed, CASE WHEN c_custkey % 3 = 0 THEN '   ' WHEN c_custkey % 3 = 1 THEN c_mktsegment END AS value FROM customer)
-SELECT c_custkey, coalesce(nullif(fixed, ''), value, '') AS text FROM t WHERE trim(coalesce(nullif(fixed, ''), value, '')) <> ''""")
+@query("""WITH t AS (SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN '' WHEN c_custkey % 5 = 1 THEN 'fixed ' || c_name END AS fixed, CASE WHEN c_custkey % 4 = 0 THEN 'label' END AS value_key, CASE WHEN c_custkey % 4 = 1 THEN 'copy' WHEN c_custkey % 4 = 0 THEN 'title' END AS copy_key,
+  MAP {'title': c_name, 'label': CASE WHEN c_custkey % 3 = 0 THEN '   ' ELSE c_mktsegment END, 'copy': CAST(c_nationkey AS VARCHAR)} AS vals FROM customer)
+SELECT c_custkey, trim(coalesce(nullif(fixed, ''), vals[coalesce(value_key, copy_key, 'title')], '')) AS text, CASE WHEN fixed <> '' THEN 'en' ELSE 'xx' END AS language FROM t WHERE trim(coalesce(nullif(fixed, ''), vals[coalesce(value_key, copy_key, 'title')], '')) <> ''""")
 def element_text(spark: SparkSession, d: str) -> DataFrame:
-    """Fixed text if it is not empty, else the variant's value; elements whose text is blank are dropped."""
+    """Fixed text if it is not empty, else the variant's value under the value key, the copy key or the role; elements
+    whose text is blank are dropped. Fixed text has a language of its own."""
     rows = spark.read.parquet(f"{d}/customer.parquet")
     k = F.col("c_custkey")
     fixed = F.when(k % 5 == 0, F.lit("")).when(k % 5 == 1, F.concat(F.lit("fixed "), F.col("c_name")))
-    value = F.when(k % 3 == 0, F.lit("   ")).when(k % 3 == 1, F.col("c_mktsegment"))
-    return rows.select("c_custkey", F.coalesce(S.first_truthy(fixed, value), F.lit("")).alias("text")).filter(S.strip(F.col("text")) != "")
+    values = F.create_map(F.lit("title"), "c_name", F.lit("label"), F.when(k % 3 == 0, F.lit("   ")).otherwise(F.col("c_mktsegment")), F.lit("copy"), F.col("c_nationkey").cast("string"))
+    keyed = rows.select("c_custkey", fixed.alias("fixed"), values.alias("vals"), F.when(k % 4 == 0, F.lit("label")).alias("value_key"), F.when(k % 4 == 1, F.lit("copy")).when(k % 4 == 0, F.lit("title")).alias("copy_key"), F.lit("title").alias("role"))
+    return S.element_text(keyed, F.lit("xx")).select("c_custkey", "text", "language")
 
 
 @query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE p_brand END AS style, CASE WHEN p_partkey % 3 = 0 THEN p_size ELSE 10 END AS size FROM part")
@@ -153,20 +156,21 @@ patch(path, value) AS (VALUES ('typography.title.max_lines', '3'), ('containment
 
 
 @query(f"""WITH {_LEAVES}, hit AS (SELECT b.path FROM base b JOIN patch p ON b.path = p.path OR starts_with(b.path, p.path || '.') OR starts_with(p.path, b.path || '.'))
-SELECT n_nationkey, path, value FROM nation CROSS JOIN (SELECT path, value FROM patch UNION ALL SELECT path, value FROM base WHERE path NOT IN (SELECT path FROM hit)) m""")
+SELECT path, value FROM patch UNION ALL SELECT path, value FROM base WHERE path NOT IN (SELECT path FROM hit)""")
 def deep_merge(spark: SparkSession, d: str) -> DataFrame:
     """Recursive overlay of leaf paths: a patch removes the base leaves below, above and at its path."""
     base = spark.createDataFrame([("spacing.0", "a"), ("typography.title.max_lines", "2"), ("typography.title.min_font_size", "12"), ("typography.date.max_lines", "1"), ("containment.tolerance", "0"), ("alignment", "x")], "path string, value string")
     patch = spark.createDataFrame([("typography.title.max_lines", "3"), ("containment", "true"), ("alignment.edge", "left"), ("extra.deep.key", "v")], "path string, value string")
-    keys = spark.read.parquet(f"{d}/nation.parquet").select("n_nationkey")
-    return keys.crossJoin(F.broadcast(merge_leaves(base, patch)))
+    return merge_leaves(base, patch)
 
 
 def merge_leaves(base: DataFrame, patch: DataFrame) -> DataFrame:
-    """Specification-sized tables of (path, value)."""
-    p = F.broadcast(patch.select(F.col("path").alias("p")))
-    clash = (F.col("path") == F.col("p")) | F.startswith(F.col("path"), F.concat("p", F.lit("."))) | F.startswith(F.col("p"), F.concat("path", F.lit(".")))
-    return base.join(p, clash, "left_anti").unionByName(patch)
+    """Tables of (path, value). Every path meets only its own ancestors, by equality, so neither side need be small."""
+    above = lambda p: F.transform(F.sequence(F.lit(1), F.size(F.split(p, r"\."))), lambda i: F.array_join(F.slice(F.split(p, r"\."), F.lit(1), i), "."))
+    patches = patch.select(F.col("path").alias("p"))
+    below = base.select("path", F.explode(above(F.col("path"))).alias("p")).join(patches, "p", "left_semi").select("path")
+    over = patches.select(F.explode(above(F.col("p"))).alias("path"))
+    return base.join(below, "path", "left_anti").join(over, "path", "left_anti").unionByName(patch)
 
 
 _FONTS = """fonts AS (SELECT lower(n_name) AS language, 'bold' AS weight, 'b/' || n_name AS path, 1 AS prio FROM nation WHERE n_nationkey % 2 = 0

@@ -150,6 +150,73 @@ def component_filter(spark: SparkSession, d: str) -> DataFrame:
     return raster.components(_mask(spark, d), "image", "m", 2)
 
 
+@query(_sql("""WITH o(dy, dx) AS (SELECT * FROM range(-4, 5) a(dy) CROSS JOIN range(-4, 5) b(dx)), win AS (SELECT p.image, p.y, p.x, p.v, q.v AS u FROM px p CROSS JOIN o JOIN px q ON q.image = p.image AND q.y = greatest(0, least(7, p.y + dy)) AND q.x = greatest(0, least(7, p.x + dx)))
+SELECT image, y, x, CAST(quantile_disc(u, 0.5) AS BIGINT) AS background, abs(any_value(v) - CAST(quantile_disc(u, 0.5) AS BIGINT)) AS contrast FROM win GROUP BY image, y, x"""))
+def median_background(spark: SparkSession, d: str) -> DataFrame:
+    """Median of each pixel's surroundings, edges repeated, and how far the pixel differs from it."""
+    return raster.median_background(gray(spark, d), "image", "v").select("image", "y", "x", "background", "contrast")
+
+
+@query(_sql("""WITH ext AS (SELECT image, y, x, v FROM px WHERE y < 3 AND x < 4), whole AS (SELECT image, y, x, CASE WHEN v > 100 THEN v ELSE 0 END AS m FROM px)
+SELECT w.image, w.y, w.x, w.m AS canvas, coalesce(e.v, 0) AS region FROM whole w LEFT JOIN ext e ON e.image = w.image + 1 AND w.y = e.y + 2 AND w.x = e.x + 3 WHERE w.m > 0 OR e.v > 0"""))
+def external_mask(spark: SparkSession, d: str) -> DataFrame:
+    """Masks read as images: one as large as the canvas, and one as large as a region of 4x3 at (3, 2), moved there."""
+    p = gray(spark, d)
+    whole = p.select("image", "y", "x", F.when(F.col("v") > 100, F.col("v")).otherwise(0).alias("v"))
+    region = p.filter("y < 3 and x < 4").withColumn("image", F.col("image") - 1)
+    return P.external_masks(whole, region, ["image"], (8, 8), (3, 2, 4, 3)).filter("canvas > 0 or region > 0").select("image", "y", "x", "canvas", "region")
+
+
+_DISK = "m AS (SELECT image, y, x, CASE WHEN v > 150 THEN 255 ELSE 0 END AS m FROM px)"
+
+
+@query(_sql(f"""WITH {_DISK}, e AS (SELECT p.image, p.y, p.x, max(q.m) AS m FROM m p JOIN m q ON q.image = p.image AND abs(q.x - p.x) <= 1 AND abs(q.y - p.y) <= 1 GROUP BY 1, 2, 3),
+o AS (SELECT dy, dx, (2 - abs(dy)) * (2 - abs(dx)) AS wt FROM range(-1, 2) a(dy) CROSS JOIN range(-1, 2) b(dx))
+SELECT p.image, p.y, p.x, any_value(p.m) AS expanded, CAST(round_even(sum(q.m * wt) / 16, 0) AS BIGINT) AS feathered FROM e p CROSS JOIN o JOIN e q ON q.image = p.image AND q.y = greatest(0, least(7, p.y + dy)) AND q.x = greatest(0, least(7, p.x + dx)) GROUP BY 1, 2, 3"""))
+def mask_feather(spark: SparkSession, d: str) -> DataFrame:
+    """A mask grown by one pixel all around, then smoothed by the 3x3 binomial kernel, edges repeated."""
+    m = gray(spark, d).select("image", "y", "x", F.when(F.col("v") > 150, 255).otherwise(0).cast("long").alias("m"))
+    return raster.expand_and_feather(m, "image", "m", 1, 1).select("image", "y", "x", "expanded", "feathered")
+
+
+@query(_sql("""WITH poly(x0, y0, x1, y1) AS (VALUES (1.0, 0.5, 6.5, 2.0), (6.5, 2.0, 5.0, 7.0), (5.0, 7.0, 3.0, 4.0), (3.0, 4.0, 0.5, 6.5), (0.5, 6.5, 1.0, 0.5)), grid AS (SELECT y, x FROM range(8) a(y) CROSS JOIN range(8) b(x)),
+ins AS (SELECT y, x, count(*) FILTER (WHERE (y0 > y + 0.5) <> (y1 > y + 0.5) AND x + 0.5 < (x1 - x0) * (y + 0.5 - y0) / (y1 - y0) + x0) % 2 = 1 AS inside FROM grid CROSS JOIN poly GROUP BY y, x)
+SELECT px.image, CAST(sum(CASE WHEN inside THEN v ELSE 0 END) AS BIGINT) AS total, count(*) FILTER (WHERE inside) AS n FROM px JOIN ins ON ins.y = px.y AND ins.x = px.x GROUP BY px.image"""))
+def polygon_mask(spark: SparkSession, d: str) -> DataFrame:
+    """Pixels whose center lies in a concave polygon, by the even-odd rule."""
+    inside = P.in_polygon(F.col("x") + 0.5, F.col("y") + 0.5, [(1.0, 0.5), (6.5, 2.0), (5.0, 7.0), (3.0, 4.0), (0.5, 6.5)])
+    return gray(spark, d).groupBy("image").agg(F.sum(F.when(inside, F.col("v")).otherwise(0)).cast("long").alias("total"), F.count_if(inside).alias("n"))
+
+
+@query("""WITH q AS (SELECT s_suppkey AS k, [[0.0, 0.0], [8.0, 0.0], [8.0, 8.0], [0.0, 8.0]] AS src, [[s_suppkey % 5, s_suppkey % 3], [90 + s_suppkey % 7, 2 + s_suppkey % 4], [80 + s_suppkey % 9, 70 + s_suppkey % 6], [3 + s_suppkey % 8, 60 + s_suppkey % 5]] AS dst FROM supplier)
+SELECT k, i - 1 AS corner, CAST(dst[i][1] AS BIGINT) * 1000 AS x, CAST(dst[i][2] AS BIGINT) * 1000 AS y FROM q CROSS JOIN range(1, 5) r(i)""")
+def homography_solve(spark: SparkSession, d: str) -> DataFrame:
+    """The matrix that takes the full quad to four corners, solved for each row and applied to the quad: thousandths of the
+    corners again."""
+    k = F.col("s_suppkey")
+    corners = F.array(*[F.array(x.cast("double"), y.cast("double")) for x, y in ((k % 5, k % 3), (90 + k % 7, 2 + k % 4), (80 + k % 9, 70 + k % 6), (3 + k % 8, 60 + k % 5))])
+    rows = spark.read.parquet(f"{d}/supplier.parquet").select(k.alias("k"), raster.quad_matrix(F.lit(8.0), F.lit(8.0), corners).alias("m"))
+    quad = F.posexplode(F.array(*[F.array(F.lit(x), F.lit(y)) for x, y in ((0.0, 0.0), (8.0, 0.0), (8.0, 8.0), (0.0, 8.0))])).alias("corner", "p")
+    m, x, y = (lambda i: F.col("m")[i]), F.col("p")[0], F.col("p")[1]
+    at = rows.select("k", "m", quad).withColumn("d", m(6) * x + m(7) * y + m(8))
+    return at.select("k", F.col("corner").cast("long").alias("corner"), F.round(1000 * (m(0) * x + m(1) * y + m(2)) / F.col("d")).cast("long").alias("x"), F.round(1000 * (m(3) * x + m(4) * y + m(5)) / F.col("d")).cast("long").alias("y"))
+
+
+@query(_sql("""WITH g AS (SELECT y, x, CAST(floor((2 * x + y + 3) * 1.0 / (1 + x / 16.0)) AS BIGINT) AS sx, CAST(floor((x + 3 * y) * 1.0 / (1 + x / 16.0)) AS BIGINT) AS sy FROM range(8) a(y) CROSS JOIN range(8) b(x)), im AS (SELECT DISTINCT image FROM px)
+SELECT im.image, g.y, g.x, coalesce(p.v, 0) AS v FROM im CROSS JOIN g LEFT JOIN px p ON p.image = im.image AND p.y = g.sy AND p.x = g.sx"""))
+def inverse_warp(spark: SparkSession, d: str) -> DataFrame:
+    """Every target pixel from the source pixel that the inverse matrix names, 0 outside the source."""
+    matrix = [[2.0, 1.0, 3.0], [1.0, 3.0, 0.0], [1 / 16.0, 0.0, 1.0]]
+    return raster.inverse_warp(gray(spark, d), "image", "v", matrix, (8, 8)).select("image", "y", "x", "v")
+
+
+@query(_sql("""WITH s AS (SELECT image, y // 2 AS y, x // 2 AS x, sum(v) AS t FROM px GROUP BY 1, 2, 3) SELECT image, y, x, CAST(round_even(t / 4, 0) AS BIGINT) AS v FROM s"""))
+def area_downsample(spark: SparkSession, d: str) -> DataFrame:
+    """Supersampled pixels averaged by blocks of 2x2."""
+    blocks = gray(spark, d).groupBy("image", F.floor(F.col("y") / 2).alias("y"), F.floor(F.col("x") / 2).alias("x")).agg(F.sum("v").alias("t"))
+    return blocks.select("image", "y", "x", F.bround(F.col("t") / 4).cast("long").alias("v"))
+
+
 _INSIDE = "(x BETWEEN 2 AND 5 AND y BETWEEN 2 AND 5)"
 _AFTER = f"(CASE WHEN {_INSIDE} THEN (v * 3 + image) % 256 ELSE v END)"
 
@@ -230,12 +297,9 @@ def select_method(spark: SparkSession, d: str) -> DataFrame:
 @query(_sql("""WITH on_ AS (SELECT * FROM px WHERE v > 120), off_ AS (SELECT * FROM px WHERE v <= 120), dist AS (SELECT a.image, a.y, a.x, min((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d2 FROM on_ a JOIN off_ b ON b.image = a.image GROUP BY 1, 2, 3)
 SELECT image, CAST(round_even(10 * quantile_cont(d2, 0.9), 0) AS BIGINT) AS p90 FROM dist GROUP BY image"""))
 def stroke_width(spark: SparkSession, d: str) -> DataFrame:
-    """90th percentile of the squared distance of ink to the nearest other pixel, in tenths, inside one 8x8 image."""
-    p = gray(spark, d)
-    off = p.filter("v <= 120").select("image", F.col("y").alias("oy"), F.col("x").alias("ox"))
-    d2 = (F.col("x") - F.col("ox")) * (F.col("x") - F.col("ox")) + (F.col("y") - F.col("oy")) * (F.col("y") - F.col("oy"))
-    near = p.filter("v > 120").join(off, "image").groupBy("image", "y", "x").agg(F.min(d2).alias("d2"))
-    return near.groupBy("image").agg(F.bround(10 * F.percentile("d2", F.lit(0.9))).cast("long").alias("p90"))
+    """90th percentile of the squared distance of ink to the nearest other pixel, in tenths."""
+    near = raster.on_grids(gray(spark, d), "image", "v", ("d2",), lambda grid: (raster.distance_squared(grid > 120),))
+    return near.filter("d2 > 0").groupBy("image").agg(F.bround(10 * F.percentile("d2", F.lit(0.9))).cast("long").alias("p90"))
 
 
 @query()

@@ -23,5 +23,5 @@ def query(sql: str | None = None) -> Callable:
     return put
 
 
-for _module in ("naming", "layout", "quality", "reports", "text", "pixels", "delivery"):
+for _module in ("naming", "layout", "quality", "reports", "text", "pixels", "delivery", "sources"):
     import_module(f"gantrel.plans.{_module}")

@@ -9,23 +9,19 @@ from gantrel.functions import scalar as S
 from gantrel.operators import reports as O
 from gantrel.sources.tables import projection, with_projections
 
+from . import quality
 from .registry import query
 
 W = with_projections
 KEYS = ["variant", "template"]
 
 
-@query(W("SELECT variant, template, status, CAST(metric AS BIGINT) AS metric FROM base_rows WHERE status = 'rendered'", "base_rows"))
-def scan_report(spark: SparkSession, d: str) -> DataFrame:
-    return projection(spark, d, "base_rows").filter("status = 'rendered'").select(*KEYS, "status", F.col("metric").cast("long").alias("metric"))
-
-
 @query(W("""SELECT coalesce(u.variant, b.variant) AS variant, coalesce(u.template, b.template) AS template, coalesce(u.status, b.status) AS status,
-CAST(CASE WHEN u.ord IS NOT NULL AND NOT (u.status = 'skipped' AND u.metric IS NULL) THEN u.metric ELSE b.metric END AS BIGINT) AS metric, b.ord IS NULL AS added
+CAST(CASE WHEN u.ord IS NOT NULL AND NOT (u.status = 'skipped' AND u.metric IS NULL) THEN u.metric ELSE b.metric END AS BIGINT) AS metric, b.ord IS NULL AS added, CAST(coalesce(b.ord, u.ord) AS BIGINT) AS at
 FROM base_rows b FULL OUTER JOIN update_rows u ON b.variant = u.variant AND b.template = u.template""", "base_rows", "update_rows"))
 def merge_reports(spark: SparkSession, d: str) -> DataFrame:
     out = O.merge_reports(projection(spark, d, "base_rows"), projection(spark, d, "update_rows"), KEYS)
-    return out.select(*KEYS, "status", F.col("metric").cast("long").alias("metric"), "place.added")
+    return out.select(*KEYS, "status", F.col("metric").cast("long").alias("metric"), "place.added", F.col("place.at").cast("long").alias("at"))
 
 
 @query(W("""SELECT variant, template, 'missing' AS state FROM (SELECT variant, template FROM base_rows EXCEPT SELECT variant, template FROM update_rows) a
@@ -74,13 +70,6 @@ def content_hash(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.sha2("text", 256).alias("sha256"), F.sha1("text").alias("sha1"))
 
 
-@query(W(f"SELECT kind, count(*) AS n, CAST(sum(bytes) AS BIGINT) AS bytes, min(h) AS first_hash FROM (SELECT {_KIND} AS kind, bytes, sha256(text) AS h FROM (SELECT *, {_SUFFIX} AS s FROM files) t) u GROUP BY kind", "files"))
-def asset_inventory(spark: SparkSession, d: str) -> DataFrame:
-    """Inventory by kind."""
-    rows = projection(spark, d, "files").select(S.asset_kind(F.col("relative")).alias("kind"), "bytes", F.sha2("text", 256).alias("h"))
-    return rows.groupBy("kind").agg(F.count("*").alias("n"), F.sum("bytes").cast("long").alias("bytes"), F.min("h").alias("first_hash"))
-
-
 @query(W("""SELECT coalesce(b.relative, a.relative) AS relative, CASE WHEN b.relative IS NULL THEN 'added' WHEN a.relative IS NULL THEN 'removed' WHEN b.h IS NOT DISTINCT FROM a.h THEN 'unchanged' ELSE 'changed' END AS state
 FROM (SELECT relative, sha256(text) AS h FROM files WHERE doc_id % 10 <> 1) b FULL OUTER JOIN (SELECT relative, CASE WHEN doc_id % 10 = 3 THEN sha256(text || '!') ELSE sha256(text) END AS h FROM files WHERE doc_id % 10 <> 2) a ON a.relative = b.relative""", "files"))
 def inventory_diff(spark: SparkSession, d: str) -> DataFrame:
@@ -98,16 +87,20 @@ def paired_scan(spark: SparkSession, d: str) -> DataFrame:
     return paired(files.filter("doc_id % 2 = 0").select("relative"), files.filter("doc_id % 3 = 0").select(F.concat(F.lit("out/"), "relative").alias("relative")))
 
 
-@query(W("SELECT source AS grp, count(*) AS n, list_sort(list(relative))[1] AS first FROM files WHERE doc_id % 3 = 0 GROUP BY source", "files"))
+@query(W("SELECT source AS grp, count(*) AS n, list_sort(list(relative))[1] AS first FROM files GROUP BY source", "files"))
 def delivery_groups(spark: SparkSession, d: str) -> DataFrame:
     """Groups of deliverables by directory; groups without any do not appear."""
-    return projection(spark, d, "files").filter("doc_id % 3 = 0").groupBy(F.col("source").alias("grp")).agg(F.count("*").alias("n"), F.min("relative").alias("first"))
+    return projection(spark, d, "files").groupBy(F.col("source").alias("grp")).agg(F.count("*").alias("n"), F.min("relative").alias("first"))
 
 
-@query(W("SELECT doc_id, output FROM (SELECT doc_id, output, row_number() OVER (PARTITION BY output ORDER BY doc_id) AS n FROM (SELECT doc_id, source || '/' || CAST(bytes % 97 AS VARCHAR) || '.webp' AS output FROM files) t) u WHERE n > 1", "files"))
+@query(W("""WITH o AS (SELECT doc_id, source || '/' || CAST(bytes % 97 AS VARCHAR) || '.webp' AS output FROM files), n AS (SELECT *, row_number() OVER (PARTITION BY output ORDER BY doc_id) AS n FROM o)
+SELECT doc_id, output, CASE WHEN n > 1 THEN 'two inputs' ELSE 'output exists' END AS error FROM n WHERE n > 1 OR output IN (SELECT source || '/' || CAST(bytes % 97 AS VARCHAR) || '.webp' FROM files WHERE bytes % 10 = 3)""", "files"))
 def output_collision(spark: SparkSession, d: str) -> DataFrame:
+    """Inputs whose output another one has already, and those whose output is there and must not be overwritten."""
+    files = projection(spark, d, "files")
     output = F.concat("source", F.lit("/"), (F.col("bytes") % 97).cast("string"), F.lit(".webp"))
-    return O.collisions(projection(spark, d, "files"), output, "doc_id").select("doc_id", "output")
+    existing = files.filter("bytes % 10 = 3").select(output.alias("output"))
+    return O.collisions(files, output, "doc_id", existing).select("doc_id", "output", "error")
 
 
 @query(W("SELECT image, frame, duration_ms, disposal FROM frames", "frames"))
@@ -139,15 +132,16 @@ def metric_summary(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("template", "variant", F.when(F.length(s) > 90, F.concat(F.substring(s, 1, 87), F.lit("..."))).otherwise(s).alias("summary"))
 
 
-@query(W("""WITH c AS (SELECT template, variant, row_number() OVER (PARTITION BY template ORDER BY variant) - 1 AS i, count(*) OVER (PARTITION BY template) AS n FROM (SELECT DISTINCT template, variant FROM boxes) t)
-SELECT c.template, c.variant, i % greatest(1, least(4, n)) * 320 AS x, i // greatest(1, least(4, n)) * 200 AS y, CAST(coalesce(v.bad, 0) AS BIGINT) AS bad FROM c LEFT JOIN (SELECT template, variant, count(*) AS bad FROM boxes WHERE k % 11 = 0 GROUP BY 1, 2) v ON v.template = c.template AND v.variant = c.variant""", "boxes"))
+_GRID = "c AS (SELECT template, variant, row_number() OVER (PARTITION BY template ORDER BY variant) - 1 AS i, count(*) OVER (PARTITION BY template) AS n FROM pics)"
+
+
+@query(quality.violations_sql(f", {_GRID} SELECT c.template, c.variant, i % greatest(1, least(4, n)) * 320 AS x, i // greatest(1, least(4, n)) * 200 AS y, CAST(coalesce(v.bad, 0) AS BIGINT) AS bad FROM c LEFT JOIN (SELECT template, variant, count(*) AS bad FROM vi GROUP BY 1, 2) v ON v.template = c.template AND v.variant = c.variant"))
 def qa_grid_layout(spark: SparkSession, d: str) -> DataFrame:
-    """Contact-sheet cell of every picture, with its number of violations."""
-    rows = projection(spark, d, "boxes")
+    """Contact-sheet cell of every picture, with the number of its violations."""
     w = Window.partitionBy("template")
-    cells = rows.select("template", "variant").distinct().withColumn("i", F.row_number().over(w.orderBy("variant")) - 1).withColumn("n", F.count("*").over(w))
+    cells = projection(spark, d, "boxes").select("template", "variant").distinct().withColumn("i", F.row_number().over(w.orderBy("variant")) - 1).withColumn("n", F.count("*").over(w))
     columns = F.greatest(F.lit(1), F.least(F.lit(4), F.col("n")))
-    bad = rows.filter("k % 11 = 0").groupBy("template", "variant").agg(F.count("*").alias("bad"))
+    bad = quality.qa_violations(spark, d).groupBy("template", "variant").agg(F.count("*").alias("bad"))
     return cells.join(bad, ["template", "variant"], "left").select("template", "variant", (F.col("i") % columns * 320).cast("long").alias("x"), (F.floor(F.col("i") / columns) * 200).cast("long").alias("y"), F.coalesce("bad", F.lit(0)).cast("long").alias("bad"))
 
 

@@ -14,63 +14,107 @@ W = with_projections
 _P = r"'(?s)((?:\x{200D}+[^\x{200D}]?|[^\x{200D}])(?:\p{M}|\x{200D}+[^\x{200D}]?)*)'"
 _MARKS = [("thai", "กิบุคู้"), ("zwj", "a‍bc"), ("combining", "éöx"), ("variation", "☀️a"), ("empty", "")]
 _V = "(VALUES " + ", ".join(f"('{n}', '{t}')" for n, t in _MARKS) + ") AS s(name, text)"
-_FIRST = "SELECT CAST(doc_id AS VARCHAR) AS name, string_split(text, chr(10))[1] AS text FROM documents"
+_TEXTS = f"SELECT CAST(doc_id AS VARCHAR) AS name, text FROM documents UNION ALL SELECT name, text FROM {_V}"
 
 
-def _first_lines(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").cast("string").alias("name"), F.element_at(F.split("text", "\n"), 1).alias("text"))
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    """All whole documents, and some texts of joining signs."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").cast("string").alias("name"), "text")
+    return docs.unionByName(spark.createDataFrame(_MARKS, "name string, text string"))
 
 
-@query(f"SELECT name, CAST(len(c) AS BIGINT) AS n, c[1] AS first, c[-1] AS last FROM (SELECT name, regexp_extract_all(text, {_P}, 1) AS c FROM ({_FIRST} UNION ALL SELECT name, text FROM {_V}) t) u")
+@query(f"SELECT name, CAST(len(c) AS BIGINT) AS n, c[1] AS first, c[-1] AS last, md5(array_to_string(c, '|')) AS cuts FROM (SELECT name, regexp_extract_all(text, {_P}, 1) AS c FROM ({_TEXTS}) t) u")
 def grapheme_clusters(spark: SparkSession, d: str) -> DataFrame:
-    rows = _first_lines(spark, d).unionByName(spark.createDataFrame(_MARKS, "name string, text string")).withColumn("c", T.clusters(F.col("text")))
-    return rows.select("name", F.size("c").cast("long").alias("n"), F.try_element_at("c", F.lit(1)).alias("first"), F.try_element_at("c", F.lit(-1)).alias("last"))
+    rows = _texts(spark, d).withColumn("c", T.clusters(F.col("text")))
+    return rows.select("name", F.size("c").cast("long").alias("n"), F.try_element_at("c", F.lit(1)).alias("first"), F.try_element_at("c", F.lit(-1)).alias("last"), F.md5(F.array_join("c", "|").cast("binary")).alias("cuts"))
 
 
-_WORDS = r"list_filter(string_split_regex({}, '[\s\x0b\x{{1C}}-\x{{1F}}\x{{85}}\x{{A0}}]+'), lambda w: w <> '')"
-_FOLD = "list_reduce({w}, lambda acc, w: CASE WHEN length(split_part(acc, chr(10), -1)) + 1 + length(w) <= {n} THEN acc || ' ' || w ELSE acc || chr(10) || w END)"
+_SPACES = r"[\t-\r\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_BREAKS = r"\r\n|[\n\r\x{0B}\x{0C}\x{1C}-\x{1E}\x{85}\x{2028}\x{2029}]"
+_WORDS = r"list_filter(string_split_regex({}, '[\t-\r\x{{1C}}-\x{{20}}\x{{85}}\x{{A0}}]+'), lambda w: w <> '')"
 
 
-def _wrapped(text: str, n: int) -> str:
-    w = _WORDS.format(text)
-    return f"CASE WHEN len({w}) = 0 THEN '' ELSE {_FOLD.format(w=w, n=n)} END"
+def _parts(source: str) -> str:
+    """The source's rows with each paragraph of their text as ``line``, numbered."""
+    return f"SELECT *, unnest(CASE WHEN len(ps) > 1 AND ps[-1] = '' THEN list_slice(ps, 1, len(ps) - 1) ELSE ps END) AS line, unnest(range(CASE WHEN len(ps) > 1 AND ps[-1] = '' THEN len(ps) - 1 ELSE len(ps) END)) AS i FROM (SELECT *, string_split_regex(text, '{_BREAKS}') AS ps FROM ({source}) t0) t1"
 
 
-@query(f"SELECT name, {_wrapped('text', 40)} AS wrapped FROM ({_FIRST}) t")
+
+def _width(u: str) -> str:
+    return rf"(CASE WHEN regexp_matches({u}, '[\p{{M}}\x{{200D}}]') THEN len(regexp_extract_all({u}, {_P}, 1)) ELSE length({u}) END)"
+
+
+def _wrapped(words: str, n: str) -> str:
+    """Greedy lines of a list of words, as one text."""
+    fold = f"list_reduce(list_transform({words}, lambda u0: {{'done': '', 'line': u0}}), lambda a, b: CASE WHEN {_width(chr(40) + 'a.line || chr(32) || b.line' + chr(41))} <= {n} THEN {{'done': a.done, 'line': a.line || ' ' || b.line}} ELSE {{'done': a.done || a.line || chr(10), 'line': b.line}} END)"
+    return f"(CASE WHEN len({words}) = 0 THEN '' ELSE {fold}.done || {fold}.line END)"
+
+
+def _clustered(c: str, n: str) -> str:
+    """Greedy lines of a list of clusters, as one text."""
+    trim = lambda x: f"regexp_replace({x}, '{_SPACES}+$', '')"
+    opens = f"regexp_replace(b.line, '^{_SPACES}+', '')"
+    fold = f"list_reduce(list_transform(CASE WHEN len({c}) = 0 THEN [''] ELSE {c} END, lambda u0: {{'done': '', 'line': u0, 'wide': 1}}), lambda a, b: CASE WHEN a.wide + 1 <= {n} THEN {{'done': a.done, 'line': a.line || b.line, 'wide': a.wide + 1}} ELSE {{'done': a.done || {trim('a.line')} || chr(10), 'line': {opens}, 'wide': CASE WHEN {opens} = '' THEN 0 ELSE 1 END}} END)"
+    return f"(SELECT CASE WHEN len({c}) = 0 THEN '' ELSE f.done || {trim('f.line')} END FROM (SELECT {fold} AS f) q)"
+
+
+@query(f"SELECT name, i, {_wrapped('w', '40')} AS wrapped FROM (SELECT name, i, {_WORDS.format('line')} AS w FROM ({_parts(_TEXTS)}) t) u")
 def wrap_units(spark: SparkSession, d: str) -> DataFrame:
-    """First lines wrapped by words at 40."""
-    return _first_lines(spark, d).select("name", F.array_join(T.wrap(T.words(F.col("text")), F.lit(40), " "), "\n").alias("wrapped"))
+    """Every paragraph wrapped by words at 40."""
+    lines = _texts(spark, d).select("name", F.posexplode(T.paragraphs(F.col("text"))).alias("i", "line"))
+    return lines.select("name", F.col("i").cast("long").alias("i"), F.array_join(T.wrap(T.words(F.col("line")), F.lit(40), " "), "\n").alias("wrapped"))
 
 
-@query(f"""SELECT name, mode, CASE WHEN mode = 'manual' THEN text WHEN mode = 'word' OR (len(w) > 1 AND len(list_filter(w, lambda x: length(x) > 12)) = 0) THEN {_wrapped('text', 12)}
-ELSE 'by cluster' END AS wrapped FROM (SELECT name, text, {_WORDS.format('text')} AS w, CASE length(name) % 3 WHEN 0 THEN 'manual' WHEN 1 THEN 'word' ELSE 'auto' END AS mode FROM ({_FIRST}) t) u""")
+_MODE = "CASE length(name) % 4 WHEN 0 THEN 'manual' WHEN 1 THEN 'word' WHEN 2 THEN 'grapheme' ELSE 'auto' END"
+
+
+@query(f"""SELECT name, i, mode, CASE WHEN mode = 'manual' THEN line WHEN mode = 'word' OR (mode = 'auto' AND len(w) > 1 AND len(list_filter(w, lambda x: {_width('x')} > 12)) = 0) THEN {_wrapped('w', '12')}
+ELSE {_clustered('c', '12')} END AS wrapped FROM (SELECT name, i, line, {_WORDS.format('line')} AS w, regexp_extract_all(line, {_P}, 1) AS c, {_MODE} AS mode FROM ({_parts(_TEXTS)}) t) u""")
 def wrap_paragraph(spark: SparkSession, d: str) -> DataFrame:
-    """First lines under three modes at 12; lines that auto gives to clusters are only named."""
-    mode = F.expr("CASE length(name) % 3 WHEN 0 THEN 'manual' WHEN 1 THEN 'word' ELSE 'auto' END")
-    rows = _first_lines(spark, d).withColumn("mode", mode)
-    w = T.words(F.col("text"))
-    clustered = (F.col("mode") == "auto") & ~((F.size(w) > 1) & F.forall(w, lambda x: F.length(x) <= 12))
-    joined = F.array_join(T.wrap_paragraph(F.col("text"), F.lit(12), F.col("mode")), "\n")
-    return rows.select("name", "mode", F.when(clustered, F.lit("by cluster")).otherwise(joined).alias("wrapped"))
+    """Every paragraph under one of four modes at 12."""
+    lines = _texts(spark, d).select("name", F.expr(_MODE).alias("mode"), F.posexplode(T.paragraphs(F.col("text"))).alias("i", "line"))
+    return lines.select("name", F.col("i").cast("long").alias("i"), "mode", F.array_join(T.wrap_paragraph(F.col("line"), F.lit(12), F.col("mode")), "\n").alias("wrapped"))
 
 
-@query(f"SELECT doc_id, CAST(sum(len(string_split(wrapped, chr(10)))) AS BIGINT) AS n, CAST(max(list_max(list_transform(string_split(wrapped, chr(10)), lambda s: length(s)))) AS BIGINT) AS widest FROM (SELECT doc_id, {_wrapped('line', 60)} AS wrapped FROM (SELECT doc_id, unnest(string_split(CASE WHEN ends_with(text, chr(10)) AND length(text) > 1 THEN left(text, length(text) - 1) ELSE text END, chr(10))) AS line FROM documents) t) u GROUP BY doc_id")
+@query(f"SELECT name, CAST(sum(len(ls)) AS BIGINT) AS n, CAST(max(list_max(list_transform(ls, lambda s: {_width('s')}))) AS BIGINT) AS widest FROM (SELECT name, string_split({_wrapped('w', '60')}, chr(10)) AS ls FROM (SELECT name, {_WORDS.format('line')} AS w FROM ({_parts(_TEXTS)}) t) u) v GROUP BY name")
 def wrap_text(spark: SparkSession, d: str) -> DataFrame:
     """Number and width of the lines of whole documents at 60. Paragraphs are rows, so a long document is wrapped by many
     tasks and only its line widths come together."""
-    docs = spark.read.parquet(f"{d}/documents.parquet")
-    lines = docs.select("doc_id", F.explode(T.paragraphs(F.col("text"))).alias("line"))
-    wrapped = lines.select("doc_id", T.wrap(T.words(F.col("line")), F.lit(60), " ").alias("w"))
-    return wrapped.groupBy("doc_id").agg(F.sum(F.size("w")).cast("long").alias("n"), F.max(F.array_max(F.transform("w", F.length))).cast("long").alias("widest"))
+    lines = _texts(spark, d).select("name", F.explode(T.paragraphs(F.col("text"))).alias("line"))
+    wrapped = lines.select("name", T.wrap(T.words(F.col("line")), F.lit(60), " ").alias("w"))
+    return wrapped.groupBy("name").agg(F.sum(F.size("w")).cast("long").alias("n"), F.max(F.array_max(F.transform("w", T.width))).cast("long").alias("widest"))
+
+
+@query(f"SELECT name, CAST({_width('text')} AS BIGINT) AS width, CAST(7 * {_width('text')} AS BIGINT) AS pixels FROM ({_TEXTS}) t")
+def text_width(spark: SparkSession, d: str) -> DataFrame:
+    """Width of whole texts under the width model, and at a font size of 14, half of which a cluster is wide."""
+    return _texts(spark, d).select("name", T.width(F.col("text")).cast("long").alias("width"), (7 * T.width(F.col("text"))).cast("long").alias("pixels"))
+
+
+_FIT_TEXT = "c_mktsegment || CASE WHEN c_custkey % 5 = 0 THEN chr(10) ELSE ' ' END || c_name || CASE WHEN c_custkey % 7 = 0 THEN ' é' || chr(769) || ' ' || chr(769) || 'x' ELSE '' END || repeat(' word', CAST(c_custkey % 9 AS INTEGER))"
+_FIT_MODE = "CASE c_custkey % 4 WHEN 0 THEN 'auto' WHEN 1 THEN 'word' WHEN 2 THEN 'grapheme' ELSE 'manual' END"
 
 
-@query("""WITH RECURSIVE c AS (SELECT c_custkey, string_split(trim(c_mktsegment || ' ' || c_name || ' ' || repeat('word ', CAST(c_custkey % 9 AS INTEGER))), ' ') AS w FROM customer), s AS (SELECT c_custkey, list_filter(w, lambda x: x <> '') AS w, CAST(z AS BIGINT) AS z, CAST(floor(480 / z) AS BIGINT) AS lim FROM c CROSS JOIN range(12, 41) r(z)),
-f AS (SELECT c_custkey, z, lim, w, 1 AS i, 0 AS n, CAST(0 AS BIGINT) AS wide, true AS ok FROM s UNION ALL
-  SELECT c_custkey, z, lim, w, i + 1, n + CASE WHEN n > 0 AND wide + 1 + length(w[i]) <= lim THEN 0 ELSE 1 END, CASE WHEN n > 0 AND wide + 1 + length(w[i]) <= lim THEN wide + 1 + length(w[i]) ELSE length(w[i]) END, ok AND length(w[i]) <= lim FROM f WHERE i <= len(w))
-SELECT c_custkey, max(CASE WHEN ok AND n <= 3 AND n * z * 112 <= 100 * 90 THEN z END) AS size FROM f WHERE i = len(w) + 1 GROUP BY c_custkey""")
+@query(f"""WITH c AS (SELECT c_custkey AS k, {_FIT_TEXT} AS text, {_FIT_MODE} AS mode, CASE WHEN c_custkey % 3 = 0 THEN 18 END AS single FROM customer),
+z AS (SELECT CAST(range AS BIGINT) AS z, CAST(floor(480 / range) AS BIGINT) AS lim FROM range(12, 41)),
+p AS (SELECT k, mode, line, i, list_transform({_WORDS.format('line')}, lambda x: {{'n': 1, 'wide': {_width('x')}, 'joined': {_width("(' ' || x)")}, 'ok': true}}) AS w, list_transform(regexp_extract_all(line, {_P}, 1), lambda x: {{'n': 1, 'wide': 1, 'blank': regexp_matches(x, '^{_SPACES}+$')}}) AS c, {_width('line')} AS whole FROM ({_parts('SELECT * FROM c')}) t),
+g AS (SELECT k, z, i, CASE WHEN mode = 'manual' THEN {{'n': 1, 'ok': whole <= lim}}
+  WHEN mode = 'word' OR (mode = 'auto' AND len(w) > 1 AND len(list_filter(w, lambda x: x.wide > lim)) = 0) THEN
+    (SELECT {{'n': coalesce(f.n, 1), 'ok': len(list_filter(w, lambda x: x.wide > lim)) = 0}} FROM (SELECT CASE WHEN len(w) > 0 THEN list_reduce(w, lambda a, b: CASE WHEN a.wide + b.joined <= lim THEN {{'n': a.n, 'wide': a.wide + b.joined, 'joined': b.joined, 'ok': a.ok}} ELSE {{'n': a.n + 1, 'wide': b.wide, 'joined': b.joined, 'ok': a.ok}} END) END AS f) q)
+  ELSE (SELECT {{'n': coalesce(f.n, 1), 'ok': lim >= 1}} FROM (SELECT CASE WHEN len(c) > 0 THEN list_reduce(c, lambda a, b: CASE WHEN a.wide + 1 <= lim THEN {{'n': a.n, 'wide': a.wide + 1, 'blank': b.blank}} ELSE {{'n': a.n + 1, 'wide': CASE WHEN b.blank THEN 0 ELSE 1 END, 'blank': b.blank}} END) END AS f) q) END AS r FROM p CROSS JOIN z),
+fit AS (SELECT k, z, CAST(sum(r.n) AS BIGINT) AS n FROM g GROUP BY k, z HAVING bool_and(r.ok) AND sum(r.n) <= 3 AND sum(r.n) * z * 112 <= 100 * 90),
+best AS (SELECT k, max(z) AS z, arg_max(n, z) AS n FROM fit GROUP BY k),
+one AS (SELECT k, (SELECT max(z.z) FROM z WHERE z.z >= single AND {_width('text')} * z.z <= 480 AND z.z * 112 <= 9000) AS z FROM c WHERE single IS NOT NULL AND NOT contains(text, chr(10)))
+SELECT c.k AS c_custkey, coalesce(one.z, best.z) AS size, CASE WHEN one.z IS NOT NULL THEN 1 ELSE best.n END AS lines, CASE WHEN one.z IS NOT NULL THEN 'single_line_preferred' WHEN best.n > 1 THEN 'wrapped' WHEN best.n = 1 THEN 'single_line' END AS fit_mode
+FROM c LEFT JOIN one ON one.k = c.k LEFT JOIN best ON best.k = c.k""")
 def fit_text(spark: SparkSession, d: str) -> DataFrame:
-    text = F.concat_ws(" ", "c_mktsegment", "c_name", F.repeat(F.lit("word "), (F.col("c_custkey") % 9).cast("int")))
-    return spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", T.fit_size(text, 240, 90, 12, 40, 3).cast("long").alias("size"))
+    """Size, lines and way of fitting, under all wrap modes, with line ends and with a preference for one line."""
+    mark = F.lit(chr(769))
+    text = F.concat("c_mktsegment", F.when(F.col("c_custkey") % 5 == 0, F.lit("\n")).otherwise(F.lit(" ")), "c_name", F.when(F.col("c_custkey") % 7 == 0, F.concat(F.lit(" é"), mark, F.lit(" "), mark, F.lit("x"))).otherwise(F.lit("")), F.repeat(F.lit(" word"), (F.col("c_custkey") % 9).cast("int")))
+    single = F.when(F.col("c_custkey") % 3 == 0, F.lit(18))
+    fit = T.fit_size(text, 240, 90, 12, 40, 3, F.expr(_FIT_MODE), single)
+    rows = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", fit.alias("f"))
+    return rows.select("c_custkey", F.col("f.size").cast("long").alias("size"), F.col("f.lines").cast("long").alias("lines"), "f.fit_mode")
 
 
 @query(W("SELECT k, (10 + k % 30) / (10.0 + k % 40) AS font_scale, CAST(round_even(1000 * (1 + k % 3) * (10 + k % 30) / (1.0 * h), 0) AS BIGINT) AS density, (10 + k % 12) * 6 <= w AS single_line_possible FROM boxes", "boxes"))

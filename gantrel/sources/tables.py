@@ -26,10 +26,10 @@ PROJECTIONS = {
     "frames": """SELECT user_id AS image, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame, 10 + CAST(event_id % 7 AS BIGINT) * 10 AS duration_ms,
         event_id % 3 AS disposal FROM events""",
     "base_rows": """SELECT conv_id AS variant, turn AS template, CASE WHEN conv_id % 7 = 0 THEN 'skipped' ELSE 'rendered' END AS status, length(text) AS metric,
-        row_number() OVER (ORDER BY conv_id, turn) AS ord FROM (SELECT conv_id, turn, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY role, text) AS n FROM conversations) u WHERE n = 1) c
+        conv_id * 100000 + turn AS ord FROM (SELECT conv_id, turn, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY role, text) AS n FROM conversations) u WHERE n = 1) c
         WHERE (conv_id + turn) % 5 <> 0""",
     "update_rows": """SELECT conv_id AS variant, turn AS template, CASE WHEN conv_id % 2 = 0 THEN 'skipped' ELSE 'rendered' END AS status,
-        CASE WHEN conv_id % 2 = 0 THEN NULL ELSE length(text) + 1000 END AS metric, row_number() OVER (ORDER BY turn, conv_id) AS ord
+        CASE WHEN conv_id % 2 = 0 THEN NULL ELSE length(text) + 1000 END AS metric, turn * 10000000000 + conv_id AS ord
         FROM (SELECT conv_id, turn, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY role, text) AS n FROM conversations) u WHERE n = 1) c WHERE (conv_id + turn) % 3 = 0""",
     "ladder": "SELECT doc_id, n_chars, 200 + doc_id * 7919 % 5000 AS budget, doc_id % 4 AS family, doc_id % 2 AS alpha FROM documents",
 }

@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 from gantrel.functions import scalar as S
 from gantrel.functions import text as T
 from gantrel.operators import layout as L
+from gantrel.operators import hooks as H
 from gantrel.operators import pixels as P
 from gantrel.operators import raster, rules, search
 from gantrel.operators import reports as O
-from gantrel.sources import files
+from gantrel.sources import files, images
+from gantrel.sources.spec import deep_merge, load_spec
 from gantrel.streaming.reports import current, upsert_stream
 
 KEYS = ["template", "variant"]
@@ -82,13 +84,72 @@ def test_directions_and_paths(spark):
         df.select(S.edge_value(F.lit("center"), *[F.lit(1)] * 4)).collect()
 
 
+def judged(spark, qa, boxes, configured=(), obstacles=()):
+    kind = "struct<x:bigint,y:bigint,w:bigint,h:bigint"
+    schema = f"template string, variant string, boxes map<string,{kind}>>, configured map<string,{kind}>>, obstacles map<string,{kind},pad:bigint>>"
+    pics = spark.createDataFrame([("t", "v", boxes if boxes is None else {f"{k}.ink_box" if "." not in k else k: b for k, b in boxes.items()}, dict(configured), dict(obstacles))], schema)
+    found = rules.judge(pics, load_spec(spark, {"templates": {"t": {"qa": qa}}}).rules, KEYS).collect()
+    return sorted((r.rule, r.roles, r.actual, r.expected) for r in found)
+
+
 def test_rules_are_strict(spark):
-    b = boxes(spark, ("a", 0, 0, 10, 10), ("b", 10, 0, 10, 10), ("c", 5, 12, 10, 10), ("d", None, 0, 1, 1))
-    pair = lambda x, y, **k: spark.createDataFrame([("t", "v", x, y, *k.values())], "template string, variant string, first string, second string" + "".join(f", {n} long" for n in k))
-    assert rules.non_overlap(b, pair("a", "b"), KEYS).count() == 0
-    assert rules.spacing(b, pair("a", "c", least=2), KEYS).count() == 0
-    assert rules.spacing(b, pair("a", "c", least=3), KEYS).first().actual == 2
-    assert rules.missing(b, spark.createDataFrame([("t", "v", "d")], "template string, variant string, role string"), KEYS, "spacing").first().rule == "spacing.missing_metric"
+    b = {"a": (0, 0, 10, 10), "b": (10, 0, 10, 10), "c": (5, 12, 10, 10)}
+    assert judged(spark, {"non_overlap": [["a", "b"]], "spacing": [{"from": "a", "to": "c", "min": 2}]}, b) == []
+    assert judged(spark, {"spacing": [{"from": "a", "to": "c", "min": 3}]}, b) == [("spacing", "a,c", '{"axis":"y","gap":2}', '{"min":3.0,"metric":"ink_box"}')]
+    missing = judged(spark, {"spacing": [["a", "d"]], "alignment_groups": [{"roles": ["a", "d"], "tolerance": 0}], "containment": ["d"]}, b)
+    assert missing == [(f"{k}.missing_metric", "d", None, "ink_box") for k in ("alignment", "containment", "spacing")]
+    assert judged(spark, {"spacing": [["a", "b"]]}, None) == [("missing_render_metrics", "", None, "report")]
+    around = {"a": (0, 0, 5, 5)}
+    assert [r[0] for r in judged(spark, {"containment": [{"roles": ["a", "b"], "tolerance": 5}, {"role": "a", "tolerance": 4}]}, b, around)] == ["containment", "containment.missing_safe_box"]
+    face = {"face": (12, 0, 5, 5, None), "own": (12, 0, 5, 5, 0)}
+    clear = judged(spark, {"obstacle_clearance": [{"roles": ["a"], "padding": 3, "obstacles": ["face", "own", "gone"]}]}, b, (), face)
+    assert [(r[0], r[1]) for r in clear] == [("obstacle_clearance", "a,obstacle:face"), ("obstacle_clearance.missing_obstacle", "a,obstacle:gone")]
+    with pytest.raises(Exception, match="unknown edge"):
+        judged(spark, {"alignment_groups": [{"roles": ["a", "b"], "edge": "middle"}]}, b)
+
+
+def test_specification_shapes(spark, tmp_path):
+    path = tmp_path / "spec.json"
+    path.write_text(json.dumps({"locales": [{"language": "de"}], "templates": {"t": {"elements": {"a": {}, "b": {"type": "image"}}, "qa": {"obstacle_clearance": True, "containment": True, "non_overlap": [{"from": "a", "to": "b"}, ["x", "y", "z"]]}}}}))
+    s = load_spec(spark, path)
+    assert [(r.kind, r.roles) for r in s.rules.orderBy("ord").collect()] == [("non_overlap", ["a", "b"]), ("obstacle_clearance", ["a"]), ("containment", ["a", "b"])]
+    assert s.variants.first().variant == "de" and s.templates.first().canvas_w is None
+    assert deep_merge({"a": {"b": 1, "c": [1]}, "d": 2}, {"a": {"c": [2]}, "d": {"e": 3}}) == {"a": {"b": 1, "c": [2]}, "d": {"e": 3}}
+
+
+def test_images_round_trip(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    grid = rng.integers(0, 256, (9, 11, 4)).astype(np.uint8)
+    frames = [rng.integers(0, 100, (20, 30)) for _ in range(3)]
+    gif = images.encode_gif(frames, rng.integers(0, 256, (100, 3)), [100, 0, 250], loop=3)
+    (tmp_path / "a.png").write_bytes(images.encode_png(grid))
+    (tmp_path / "b.gif").write_bytes(gif)
+    px = {(r.origin[-5:], r.y, r.x): (r.r, r.g, r.b, r.a) for r in files.read_images(spark, str(tmp_path)).collect()}
+    assert all(px["a.png", y, x] == tuple(grid[y, x]) for y in range(9) for x in range(11)) and len(px) == 99 + 600
+    assert images.probe(gif) | {"format": "GIF"} == {"format": "GIF", "mode": "P", "width": 30, "height": 20, "frames": 3, "durations_ms": [100, 0, 250], "loop": 3, "error": None}
+    for at in range(0, len(gif), 7):
+        images.probe(gif[:at])
+        images.probe(gif[:at] + b"\xff" + gif[at + 1 :])
+    assert images.probe(gif[:100])["error"] and images.probe(b"")["error"] == "not an image"
+
+
+def test_hooks(spark):
+    rows = spark.createDataFrame([("t", "v", "a", "text", 3), ("t", "v", "b", "image", 4)], "template string, variant string, role string, type string, w long")
+    drawn = H.draw_elements(rows, H.load_hooks({"draw_element": lambda r: {"w": r["w"]} if r["role"] == "a" else None, "after_frame": 3}), {"image": F.create_map(F.lit("by"), F.lit("image"))}, KEYS)
+    assert {r.role: r.metrics for r in drawn.collect()} == {"a": {"w": "3"}, "b": {"by": "image"}}
+    with pytest.raises(Exception, match="unsupported element type"):
+        H.draw_elements(rows, H.load_hooks(None), {"image": F.create_map(F.lit("by"), F.lit("image"))}, KEYS).collect()
+
+
+def test_distances_and_medians(spark):
+    rng = np.random.default_rng(4)
+    on = rng.random((9, 14)) < 0.8
+    off = np.argwhere(~on)
+    want = np.array([[min(((p - (y, x)) ** 2).sum() for p in off) if on[y, x] else 0 for x in range(14)] for y in range(9)])
+    assert (raster.distance_squared(on) == want).all() and (raster.distance_squared(np.ones((2, 3), bool)) == -1).all()
+    assert [raster.median_kernel(*s) for s in ((8, 8), (80, 200), (100, 96))] == [9, 11, 13]
+    with pytest.raises(ValueError, match="nine"):
+        raster.matrix_3x3([1, 2])
 
 
 def test_wrapping(spark):
@@ -204,4 +265,4 @@ def test_flagship_entry(spark):
     import __spark_entry__
 
     df = __spark_entry__.entry(spark)
-    assert df.columns == ["template", "variant", "rule", "roles", "actual"] and df.count() > 0
+    assert df.columns == ["template", "variant", "rule", "roles", "actual", "expected", "severity"] and df.count() > 0
