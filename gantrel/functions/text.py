@@ -3,6 +3,8 @@ a cluster, times the font size where one is given."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -110,7 +112,7 @@ def fit_size(text: Column, box_w: int, box_h: int, low: int, high: int, max_line
 
         return F.aggregate(blanks, start, step, lambda acc: F.struct(acc["n"].alias("n"), (limit >= 1).alias("ok")))
 
-    def lines(limit: Column) -> Column:
+    def lines(parts: Column, limit: Column) -> Column:
         start = F.struct(F.lit(0).alias("n"), F.lit(True).alias("ok"))
 
         def add(acc: Column, p: Column) -> Column:
@@ -120,14 +122,26 @@ def fit_size(text: Column, box_w: int, box_h: int, low: int, high: int, max_line
 
         return F.aggregate(parts, start, add)
 
-    def tried(size: Column) -> Column:
-        got = lines(F.floor(F.lit(2 * box_w) / size).cast("int"))
+    def tried(parts: Column, size: Column) -> Column:
+        got = lines(parts, F.floor(F.lit(2 * box_w) / size).cast("int"))
         return F.struct(size.alias("size"), got["n"].alias("lines"), (got["ok"] & (got["n"] <= max_lines) & (got["n"] * size * 112 <= 100 * box_h)).alias("ok"))
 
-    wrapped = F.try_element_at(F.filter(F.transform(sizes, tried), lambda t: t["ok"]), F.lit(1))
-    found = F.when(wrapped.isNotNull(), F.struct(wrapped["size"].alias("size"), wrapped["lines"].alias("lines"), F.when(wrapped["lines"] > 1, F.lit("wrapped")).otherwise(F.lit("single_line")).alias("fit_mode")))
+    def chosen(parts: Column) -> Column:
+        """Sizes are tried from the largest until one fits."""
+        start = F.struct(F.lit(0).alias("size"), F.lit(0).alias("lines"), F.lit(False).alias("ok"))
+        return F.aggregate(sizes, start, lambda acc, size: F.when(acc["ok"], acc).otherwise(tried(parts, size)))
+
+    def result(parts: Column) -> Column:
+        return once(chosen(parts), lambda c: F.when(c["ok"], F.struct(c["size"].alias("size"), c["lines"].alias("lines"), F.when(c["lines"] > 1, F.lit("wrapped")).otherwise(F.lit("single_line")).alias("fit_mode"))))
+
+    found = once(parts, result)
     if single_low is None:
         return found
-    single = F.try_element_at(F.filter(sizes, lambda z: (z >= F.greatest(single_low, F.lit(low))) & (width(text) * z <= 2 * box_w) & (z * 112 <= 100 * box_h)), F.lit(1))
-    on_one = F.when(single_low.isNotNull() & ~F.contains(text, F.lit("\n")) & single.isNotNull(), F.struct(single.alias("size"), F.lit(1).alias("lines"), F.lit("single_line_preferred").alias("fit_mode")))
+    single = once(width(text), lambda w: F.try_element_at(F.filter(sizes, lambda z: (z >= F.greatest(single_low, F.lit(low))) & (w * z <= 2 * box_w) & (z * 112 <= 100 * box_h)), F.lit(1)))
+    on_one = F.when(single_low.isNotNull() & ~F.contains(text, F.lit("\n")), once(single, lambda z: F.when(z.isNotNull(), F.struct(z.alias("size"), F.lit(1).alias("lines"), F.lit("single_line_preferred").alias("fit_mode")))))
     return F.coalesce(on_one, found)
+
+
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once for each row, however often ``f`` uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
