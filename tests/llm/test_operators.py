@@ -63,6 +63,22 @@ def test_probe_survives_damage():
     assert media.probe_bytes(b"") == [] and media.probe_bytes(b"junk") == []
     for cut in range(0, len(data), 97):
         media.probe_bytes(data[:cut])
+    rng = random.Random(2)
+    head = data.index(b"moov") - 4
+    for _ in range(3000):
+        bad = bytearray(data)
+        for _ in range(rng.randint(1, 4)):
+            bad[rng.randrange(head, len(bad)) if rng.random() < 0.8 else rng.randrange(32)] = rng.choice([0, 1, 0x7F, 0xFF, rng.randrange(256)])
+        for track in media.probe_bytes(bytes(bad)):
+            assert len(track["key_offsets"]) == len(track["key_sizes"]) and len(media.payload_of(bytes(bad), track)) <= len(bad) * (1 + len(track["chunk_sizes"]))
+    deep = b""
+    for _ in range(3000):
+        deep = media._box(b"moov", deep)
+    assert media.probe_bytes(deep) == []
+    huge = data.replace(b"stsz" + bytes(4) + (64).to_bytes(4, "big"), b"stsz" + bytes(4) + (1).to_bytes(4, "big"))
+    at = huge.index(b"stsz") + 12
+    huge = huge[:at] + b"\xff\xff\xff\xff" + huge[at + 4 :]
+    assert media.probe_bytes(huge)[0]["samples"] <= len(huge)
 
 
 def test_media_columns(spark, docs, texts):
@@ -152,6 +168,14 @@ def test_sentencepiece_equals_library(docs, texts, empty):
     assert empty.select(piece_fst.encode("text", PIECES)).count() == 0
 
 
+def test_paths_of_pretokens_together_and_alone():
+    fst, rng = piece_fst.PieceTransducer(PIECES), random.Random(6)
+    words = sorted({" " * rng.randint(0, 1) + "".join(rng.choice("etaonshér9漢") for _ in range(rng.randint(1, 30))) for _ in range(500)} - {" "})
+    flat, counts = fst.many([w.replace(" ", pieces.SPACE) for w in words])
+    ends = np.cumsum(counts)
+    assert [flat[e - n : e].tolist() for e, n in zip(ends, counts)] == [fst.shortest_path(w) for w in words]
+
+
 def test_fst_on_random_words():
     import sentencepiece
 
@@ -255,6 +279,21 @@ def test_bounds_hold():
         before = bound
 
 
+def test_rotated_bounds_close_most_pairs():
+    """On vectors of few strong axes the rotated statistics close nearly all pairs, and the results stay exact."""
+    rng = np.random.default_rng(3)
+    axes = np.linalg.qr(rng.normal(size=(64, 64)))[0]
+    c = np.floor(rng.normal(size=(9000, 64)) * 2000.0 * 0.6 ** np.arange(64) @ axes.T)
+    q = np.floor(rng.normal(size=(40, 64)) * 2000.0 * 0.6 ** np.arange(64) @ axes.T)
+    turn = topk.rotation(c[:500])
+    assert np.allclose(turn @ turn.T, np.eye(64)) and topk.rotation(np.zeros((3, 6))) is None
+    shares = []
+    at, ids, score = topk.block_topk(np.arange(-40, 0), q, np.arange(9000), c, 20, turn=turn, survivors=shares)
+    want = np.lexsort((np.broadcast_to(np.arange(9000), (40, 9000)), -(q @ c.T)), axis=1)[:, :20]
+    assert (ids.reshape(40, 20) == want).all() and (score.reshape(40, 20) == np.take_along_axis(q @ c.T, want, 1)).all()
+    assert len(shares) > 4 and np.mean([s[-1] for s in shares]) < 0.1
+
+
 # --- urls ---
 
 
@@ -332,7 +371,8 @@ def test_simhash(spark, docs, texts, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
-def test_shards_keep_every_link(spark, monkeypatch):
+@pytest.mark.parametrize("n", [1, 10**5, 10**12])
+def test_shards_keep_every_link(spark, monkeypatch, n):
     monkeypatch.setattr(simhash, "TREE", 16)
     rng = random.Random(4)
     values = {rng.getrandbits(64) for _ in range(60)}
@@ -344,7 +384,7 @@ def test_shards_keep_every_link(spark, monkeypatch):
     values |= {base ^ (1 << i) for i in range(64)}  # one shard far over a tree's size
     values = sorted(values)
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
-    df = spark.createDataFrame([(s,) for s in signed], "fp long").select(F.col("fp").alias("id"), "fp", F.explode(simhash.block_keys(F.col("fp"), 2)).alias("key"))
+    df = spark.createDataFrame([(s,) for s in signed], "fp long").select(F.col("fp").alias("id"), "fp", F.explode(simhash.block_keys(F.col("fp"), 2, n)).alias("key"))
     roots = {r.node: r.root for r in simhash.components(simhash.shard_links(df, 2)).collect()}
     name = closure(dict(zip(signed, values)), lambda a, b: (a ^ b).bit_count() <= 2)
     assert {s: roots.get(s, s) for s in signed} == name
@@ -367,6 +407,17 @@ def test_bk_tree():
         assert sorted(y for _, y in tree.within(x, 3)) == sorted(y for y in set(items) if (x ^ y).bit_count() <= 3)
 
 
+def test_bk_tree_passes_by_most_of_a_shard():
+    rng = random.Random(8)
+    tree = simhash.BKTree()
+    for _ in range(simhash.SHARD):
+        tree.add(rng.getrandbits(64))
+    tree.visits = 0
+    for _ in range(100):
+        tree.within(rng.getrandbits(64), 2)
+    assert tree.visits < 0.5 * 100 * simhash.SHARD
+
+
 def test_similar_documents(spark):
     rng = random.Random(7)
     base = [prose(rng, 200, stems=("alpha", "be", "gam", "del", "eps", "ze", "et", "thet", "io", "kap")) for _ in range(12)]
@@ -484,7 +535,7 @@ def test_language_id(spark, docs, empty):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = langid.train(df.filter("doc_id % 3 <> 1 or doc_id > 0"))
     fresh = [(1000 + i, prose(rng, 30, stems[lang]).upper() + " !!", lang) for i, lang in enumerate(list(stems) * 10)]
-    odd = [(1, None, None), (2, "", None), (3, "12 $$", None)]
+    odd = [(1, None, None), (2, "", None), (3, "12 $$", None), (4, "½ ² Ⅷ ①", None)]
     got = spark.createDataFrame(fresh + odd, "doc_id long, text string, lang string").select("lang", langid.identify(model, F.col("text")).alias("r")).collect()
     assert all(r.r.lang_pred == (r.lang or "und") and 0 <= r.r.score <= 1 for r in got)
     none = langid.train(empty)
