@@ -9,12 +9,12 @@ shingles that is 0.8 similar to another has at most n / 9 spoilt ones, and some
 than its share. So it can only lie where most windows of a part as long as the shortest passage occur elsewhere too; this
 necessary condition is counted, not sampled, and leaves the regions that take part in the search.
 
-Regions are then joined on their windows' signatures: each window first with the first region that has it. Windows that
-lie in no passage found so far are open. Where enough of them make up a part, and the part's single shingles, all but its
-share of spoilt ones, occur elsewhere too, so many of the rarest are joined with every earlier region that no text which
-shares enough of the part is missed. A joined pair of windows gives the shift between
-two regions; along each shift the shingles are compared, and runs at nearly the same shift are put together to passages,
-span against span.
+Regions are then joined on their windows' signatures: each window with the first region that has it. A first region may
+share no more than a few words; windows that lie in no passage found so far are therefore joined again, with the first
+region that has the same run of shingles before, behind or around the center, for several lengths of the run, up to most
+of the shortest passage. So a window meets few regions however many share it, and the pairs grow as the windows do. A joined pair of
+windows gives the shift between two regions; along each shift the shingles are compared, and runs at nearly the same
+shift are put together to passages, span against span.
 """
 
 from __future__ import annotations
@@ -32,6 +32,10 @@ from .common import as_bytes, bound_memory, broadcast_if_small, discard, join_sp
 WORDS = 5
 #: Shingles in the shortest subsequences that are signed.
 WIDTH = 12
+#: A window's contexts: the runs of so many more shingles before its center and behind it, and on both sides. A run that
+#: others quote in part, and that goes five shingles beyond the quote, has a context that does so too; equal passages of
+#: 50 words have one of the last kind.
+RADII, BOTH = (4, 8, 12), 17
 #: Most subsequences in one window.
 SPAN = 32_768
 #: Runs whose shifts differ by no more than this from the next one are parts of one passage.
@@ -171,7 +175,7 @@ def best_chains(first: np.ndarray, last: np.ndarray, from_: np.ndarray, to: np.n
     return out
 
 
-def passages_between(mine: np.ndarray, at: int, other: np.ndarray, other_at: int, here: np.ndarray, there: np.ndarray, shortest: int, similarity: float) -> list[tuple[int, int]]:
+def passages_between(mine: np.ndarray, at: int, other: np.ndarray, other_at: int, here: np.ndarray, there: np.ndarray, shortest: int, similarity: float, same_text: bool = False) -> list[tuple[int, int]]:
     """Shingle spans of a region (hashes ``mine``, the first at ``at``) that nearly repeat one of another region, tried at
     the shifts of the windows that both have, centered ``here`` and ``there``."""
     shifts, counts = np.unique(there - here, return_counts=True)
@@ -184,16 +188,26 @@ def passages_between(mine: np.ndarray, at: int, other: np.ndarray, other_at: int
         if all(any(a <= c < b for a, b in found) for c in centers.tolist()) and found:
             continue
         partner = np.full(len(mine), -1, np.int64)
+
+        def compare(shift: int) -> None:
+            a, b = max(at, other_at - shift), min(at + len(mine), other_at + len(other) - shift)
+            if a < b:
+                same = mine[a - at : b - at] == other[a + shift - other_at : b + shift - other_at]
+                held = partner[a - at : b - at]
+                x = np.flatnonzero(same & (held < 0))
+                held[x] = x + a + shift
+
         for d in sorted(g.tolist(), key=lambda i: (-counts[i], abs(int(shifts[i])))):
             shift = int(shifts[d])
-            if (partner[here[there - here == shift] - at] >= 0).all():
-                continue
-            a, b = max(at, other_at - shift), min(at + len(mine), other_at + len(other) - shift)
-            if a >= b:
-                continue
-            x = np.arange(a, b)
-            same = (mine[a - at : b - at] == other[a + shift - other_at : b + shift - other_at]) & (partner[a - at : b - at] < 0)
-            partner[x[same] - at] = x[same] + shift
+            if not (partner[here[there - here == shift] - at] >= 0).all():
+                compare(shift)
+        # Runs beyond an inserted or lost word may share no joined window: they lie at shifts close by.
+        if 0 < np.count_nonzero(partner >= 0) < len(mine):
+            tried = {int(shifts[d]) for d in g}
+            near = {s + i for s in tried for i in range(-DRIFT, DRIFT + 1)} - tried
+            for shift in sorted(near, key=lambda s: (min(abs(s - t) for t in tried), s)):
+                if not (same_text and shift >= 0):
+                    compare(shift)
         step = np.flatnonzero(partner >= 0)
         if not len(step):
             continue
@@ -350,9 +364,9 @@ def verified(pairs: DataFrame, regions: DataFrame, shortest: int, similarity: fl
             column = lambda c: batch.column(batch.schema.get_field_index(c))
             lists = [_slices(column(c)) for c in ("here", "there", "hashes", "other")]
             rows = []
-            for i, (doc, tie, begin, sdoc, sbegin) in enumerate(zip(*(column(c).to_pylist() for c in (*_REGION, "sdoc", "sbegin")))):
+            for i, (doc, tie, begin, sdoc, stie, sbegin) in enumerate(zip(*(column(c).to_pylist() for c in (*_REGION, *_SOURCE)))):
                 here, there, mine, other = (values[at[i] : at[i + 1]] for at, values in lists)
-                spans = passages_between(mine, begin, other, sbegin, center_of(here), center_of(there), shortest, similarity)
+                spans = passages_between(mine, begin, other, sbegin, center_of(here), center_of(there), shortest, similarity, (doc, tie) == (sdoc, stie))
                 rows += [(doc, tie, sdoc, a, b + WORDS - 1) for a, b in spans]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc", "tie", "source", "start", "end"])
@@ -365,126 +379,42 @@ def verified(pairs: DataFrame, regions: DataFrame, shortest: int, similarity: fl
     return found
 
 
-def first_pairs(anchors: DataFrame) -> DataFrame:
-    """Each window (key, _REGION, place, n) with the first that has its signature, if that is another."""
-    first = anchors.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("doc", "tie", "place", "begin")).alias("f")).filter("n > 1")
+def first_pairs(windows: DataFrame) -> DataFrame:
+    """Each window (key, _REGION, place) with the first that has its key, if that is another."""
+    first = windows.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("doc", "tie", "place", "begin")).alias("f")).filter("n > 1")
     first = first.select("key", "n", F.col("f.doc").alias("sdoc"), F.col("f.tie").alias("stie"), F.col("f.begin").alias("sbegin"), F.col("f.place").alias("splace"))
-    return join_split(anchors.drop("n"), first, ["key"], anchors.count()).filter(f"{_THERE} < {_HERE}").drop("key", "n")
-
-
-def probes(places: np.ndarray, holders: np.ndarray, again: np.ndarray, parts: int, wanted: int, shortest: int, lost: int) -> np.ndarray:
-    """Which of a region's open windows to look up so that every text is met that can have a passage in some part of the
-    region: a part (of ``parts`` subsequences, ``shortest`` shingles) of which all but ``lost`` shingles are among those
-    that occur ``again``, and that shares ``wanted`` of the open subsequences. Of each the rarest windows by the number of
-    ``holders`` are taken, until fewer than ``wanted`` are left."""
-    base = int(places[0] >> 24)
-    first, size = (places >> 24) - base, places & 65535
-    of = np.full(int(first[-1] + size[-1]) + parts, len(places))  # the last: no window
-    for i, (a, n) in enumerate(zip(first.tolist(), size.tolist())):
-        of[a : a + n] = i
-    known = np.zeros(len(of) + shortest, np.int64)
-    inside = again - base
-    known[inside[(inside >= 0) & (inside < len(known))]] = 1
-    sums = np.concatenate(([0], np.cumsum(known)))
-    whole = (sums[shortest:] - sums[:-shortest] >= shortest - lost)[: len(of) - parts + 1]
-    taken = np.zeros(len(places) + 1, bool)
-    taken[-1] = True
-    while True:
-        left = np.concatenate(([0], np.cumsum(~taken[of])))
-        todo = np.flatnonzero((left[parts:] - left[:-parts] >= wanted) & whole)
-        if not len(todo):
-            return taken[:-1]
-        part = of[todo[0] : todo[0] + parts]
-        names, counts = np.unique(part[~taken[part]], return_counts=True)
-        order = np.argsort(holders[names], kind="stable")
-        taken[names[order[: int(np.searchsorted(np.cumsum(counts[order]), counts.sum() - wanted + 1)) + 1]]] = True
-
-
-OPEN = "doc bigint, tie bigint, begin bigint, keys array<bigint>, places array<bigint>, holders array<bigint>, marks array<bigint>"
-
-
-def open_regions(anchors: DataFrame, found: DataFrame, shortest: int, similarity: float) -> DataFrame:
-    """Rows of ``OPEN``: the open windows, which lie in no passage of ``found``, of each region where some part has enough
-    of them, and the shingles (``marks``) of all such parts."""
-    parts = shortest - WIDTH + 1
-    wanted = parts - spoilt(shortest, similarity)
+    first = materialize(first, "leaders")
+    return join_split(windows, first, ["key"], first.agg(F.sum("n")).first()[0] or 0).filter(f"{_THERE} < {_HERE}").drop("key", "n")
 
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())] * 4
-        for batch in batches:
-            out = []
-            bounds, fields = batch.column(3).offsets.to_numpy(), batch.column(3).values
-            place, key, n = (np.asarray(fields.field(c)) for c in ("place", "key", "n"))
-            for i, (doc, tie, begin, spans) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 2, 4)))):
-                here = slice(bounds[i], bounds[i + 1])
-                is_open, center = np.ones(bounds[i + 1] - bounds[i], bool), center_of(place[here])
-                for s in spans or []:
-                    is_open &= (center < s["start"]) | (center + WORDS > s["end"])
-                mine = place[here][is_open]
-                if (mine & 65535).sum() < wanted:
-                    continue
-                first, size = mine >> 24, mine & 65535
-                begins = int(first[0])
-                change = np.zeros(int(first[-1] + size[-1]) - begins + parts + 1, np.int64)
-                np.add.at(change, first - begins, 1)
-                np.add.at(change, first - begins + size, -1)
-                seen = np.concatenate(([0], np.cumsum(np.cumsum(change) > 0)))
-                good = np.flatnonzero(seen[parts:] - seen[:-parts] >= wanted)
-                if len(good):
-                    marked = np.zeros(len(change) + shortest, np.int64)
-                    np.add.at(marked, good, 1)
-                    np.add.at(marked, good + shortest, -1)
-                    out.append((doc, tie, begin, key[here][is_open], mine, n[here][is_open], np.flatnonzero(np.cumsum(marked) > 0) + begins))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out), kinds)], ["doc", "tie", "begin", "keys", "places", "holders", "marks"])
-
-    spans = merged_spans(found.withColumnsRenamed({"doc": "doc_id", "tie": "text_key"})).select(F.col("doc_id").alias("doc"), F.col("text_key").alias("tie"), "spans")
-    windows = anchors.groupBy(*_REGION).agg(F.array_sort(F.collect_list(F.struct("place", "key", "n"))).alias("windows"))
-    left = windows.join(spans, ["doc", "tie"], "left").select(*_REGION, "windows", "spans")
-    with small_batches(anchors.sparkSession, 512):
-        return materialize(left.mapInArrow(pick, OPEN), "open")
-
-
-def looked_up(opened: DataFrame, regions: DataFrame, shortest: int, similarity: float) -> DataFrame:
-    """(key, _REGION, place, n): the windows that ``probes`` picks among the open ones. Of a part all shingles but its share
-    of spoilt ones must occur in other regions too, or again in its own: this is counted for the marked ones."""
-    parts = shortest - WIDTH + 1
-    wanted, lost = parts - spoilt(shortest, similarity), int(shortest * (1 - similarity) / (1 + similarity))
-    counts = regions.select(F.explode("hashes").alias("hash")).groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1")
-    named = opened.select(*_REGION, "marks").join(regions.select(*_REGION, "hashes"), _REGION)
-    shingle = F.transform(F.filter("marks", lambda m: m - F.col("begin") < F.size("hashes")), lambda m: F.struct(m.alias("mark"), F.element_at("hashes", (m - F.col("begin") + 1).cast("int")).alias("hash")))
-    marks = materialize(named.select(*_REGION, F.inline(shingle)), "marks")
-    again = join_split(marks, counts, ["hash"], marks.count()).groupBy(*_REGION).agg(F.collect_list("mark").alias("again"))
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", *_REGION, "place", "n"]
-        for batch in batches:
-            lists = [_slices(batch.column(c)) for c in (3, 4, 5, 6)]
-            out = []
-            for i, (doc, tie, begin) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 2)))):
-                key, place, n, again = (values[at[i] : at[i + 1]] for at, values in lists)
-                taken = probes(place, n, again, parts, wanted, shortest, lost)
-                mine = [c[taken] for c in (key, place, n)]
-                out.append(np.stack((mine[0], *(np.full(len(mine[0]), c) for c in (doc, tie, begin)), *mine[1:])))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in np.concatenate(out, axis=1)], names)
-
-    rows = opened.select(*_REGION, "keys", "places", "holders").join(again, _REGION)
-    with small_batches(opened.sparkSession, 512):
-        held = materialize(rows.mapInArrow(pick, "key bigint, doc bigint, tie bigint, begin bigint, place bigint, n bigint"), "probes")
-    discard(marks)
-    release_shuffles(opened.sparkSession)
-    return held
-
-
-def open_pairs(anchors: DataFrame, probed: DataFrame) -> DataFrame:
-    """The windows ``probed`` (key, _REGION, place, n) with all earlier ones of their signatures."""
-    split = F.ceil(F.col("n") / 4096).cast("int")
-    keys = probed.groupBy("key").agg(F.max("n").alias("n"), F.max(F.struct("doc", "tie", "place")).alias("last"))
-    right = join_split(anchors.drop("n"), keys, ["key"], anchors.count()).filter(F.expr(_HERE) < F.col("last"))
-    right = right.select("key", *[F.col(a).alias(b) for a, b in zip([*_REGION, "place"], [*_SOURCE, "splace"])], F.pmod(F.xxhash64("doc", "tie", "place"), split).cast("int").alias("part"))
-    left = probed.withColumn("part", F.explode(F.sequence(F.lit(0), split - 1))).drop("n")
-    return left.join(right, ["key", "part"]).filter(f"{_THERE} < {_HERE}").drop("key", "part")
+
+def context_rows(regions: DataFrame, spans: DataFrame) -> DataFrame:
+    """(key, _REGION, place, contexts, open) of all windows whose signature some open window has, which lies in none of its
+    text's ``spans`` (doc, tie, spans). ``contexts`` are hashes of runs of shingles, null where the region ends before."""
+    center = lambda p: F.shiftright(p, 24) + F.shiftright(p, 16).bitwiseAND(F.lit(255))
+
+    def contexts(p: Column) -> Column:
+        at = (center(p) - F.col("begin") + 1).cast("int")
+        runs = [(at - BOTH, 2 * BOTH + 1), *[(at - r, r + 1) for r in RADII], *[(at, r + 1) for r in RADII]]
+        return F.array(*[F.when((a >= 1) & (a + n - 1 <= F.size("hashes")), F.xxhash64(F.lit(i), F.slice("hashes", a, F.lit(n)))) for i, (a, n) in enumerate(runs)])
+
+    zipped = F.transform(F.arrays_zip("keys", "places"), lambda w: F.struct(w["keys"].alias("key"), w["places"].alias("place"), contexts(w["places"]).alias("contexts")))
+    rows = regions.select(*_REGION, F.inline(zipped)).join(spans, ["doc", "tie"], "left")
+    closed = F.exists("spans", lambda s: (s["start"] <= center(F.col("place"))) & (center(F.col("place")) + WORDS <= s["end"]))
+    rows = rows.withColumn("open", ~F.coalesce(closed, F.lit(False))).drop("spans")
+    wanted = materialize(rows.filter("open").select("key").distinct(), "signatures")
+    return rows.join(broadcast_if_small(wanted), "key", "left_semi")
+
+
+def open_pairs(regions: DataFrame, found: DataFrame) -> DataFrame:
+    """Each open window with the first that has one of its contexts, for each of them."""
+    spans = materialize(merged_spans(found.withColumnsRenamed({"doc": "doc_id", "tie": "text_key"})).select(F.col("doc_id").alias("doc"), F.col("text_key").alias("tie"), "spans"), "closed")
+    rows = materialize(context_rows(regions, broadcast_if_small(spans, SPAN_ROWS)), "contexts")
+    each = rows.select(*_REGION, "place", "open", F.explode(F.filter("contexts", lambda c: c.isNotNull())).alias("key"))
+    first = each.groupBy("key").agg(F.count_if("open").alias("n"), F.min(F.struct("doc", "tie", "place", "begin")).alias("f"), F.max(F.struct("doc", "tie", "place")).alias("last")).filter("n > 0")
+    first = first.filter(F.col("last") > F.struct("f.doc", "f.tie", "f.place")).select("key", "n", F.col("f.doc").alias("sdoc"), F.col("f.tie").alias("stie"), F.col("f.begin").alias("sbegin"), F.col("f.place").alias("splace"))
+    first = materialize(first, "leaders")
+    mine = each.filter("open").select("key", *_REGION, "place")
+    return join_split(mine, first, ["key"], first.agg(F.sum("n")).first()[0] or 0).filter(f"{_THERE} < {_HERE}").drop("key", "n")
 
 
 def repeated_passages(docs: DataFrame, min_words: int = 50, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -511,17 +441,10 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, similarity: float =
     release_shuffles(spark)
     regions = materialize(regions_of(texts, viable), "regions")
     discard(viable)
-    windows = regions.select(*_REGION, F.explode(F.arrays_zip("keys", "places")).alias("w")).select("w.keys", *_REGION, "w.places").toDF("key", *_REGION, "place")
-    held = windows.groupBy("key").agg(F.count("*").alias("n"))
-    anchors = materialize(join_split(windows, held.filter("n > 1"), ["key"], regions.agg(F.sum(F.size("keys"))).first()[0] or 0), "anchors")
-    release_shuffles(spark)
-    first = verified(first_pairs(anchors), regions, shortest, similarity)
-    opened = open_regions(anchors, first, shortest, similarity)
-    probed = looked_up(opened, regions, shortest, similarity)
-    discard(opened)
-    more = verified(open_pairs(anchors, probed), regions, shortest, similarity)
-    discard(probed)
-    discard(regions, anchors)
+    each = regions.select(*_REGION, F.explode(F.arrays_zip("keys", "places")).alias("w")).select(*_REGION, "w.*")
+    first = verified(first_pairs(each.select(F.col("keys").alias("key"), *_REGION, F.col("places").alias("place"))), regions, shortest, similarity)
+    more = verified(open_pairs(regions, first), regions, shortest, similarity)
+    discard(regions)
     found = first.unionByName(more).distinct().select(F.col("doc").alias("doc_id"), F.col("tie").alias("text_key"), "source", "start", "end")
     whole = keyed_rows(rows, several).withColumn("same", F.md5(F.coalesce("text", F.lit("")).cast("binary"))).join(broadcast_if_small(copies), ["doc_id", "same"])
     size = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
