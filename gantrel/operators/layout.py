@@ -8,6 +8,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Most rows of a side that a specification gives.
+SPECIFICATION_ROWS = 100_000
+
+
+def specification_sized(side: DataFrame) -> DataFrame:
+    """A side that pairs with all rows of another, marked for broadcast once it has been counted; more rows than a
+    specification has are an error, as no plan would carry their pairs."""
+    n = side.count()
+    if n > SPECIFICATION_ROWS:
+        raise ValueError(f"{n} rows are no specification")
+    return F.broadcast(side)
+
+
 def overlay(base: DataFrame, patch: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> DataFrame:
     """Shallow override: where the patch says ``has_<field>``, its value wins, null included."""
     renamed = patch.select(*keys, *[F.col(f"has_{f}") for f in fields], *[F.col(f).alias(f"__{f}") for f in fields])

@@ -14,25 +14,6 @@ def bbox(mask: DataFrame, keys: Sequence[str], on: Column) -> DataFrame:
     return g
 
 
-def _slide(df: DataFrame, keys: Sequence[str], value: str, size: int, along: str, across: str, highest: bool) -> DataFrame:
-    """Running maximum or minimum over ``size`` pixels along one axis of a dense grid, anchored at size div 2."""
-    w = Window.partitionBy(*keys, across).orderBy(along).rowsBetween(-(size // 2), size - 1 - size // 2)
-    return df.withColumn(value, (F.max if highest else F.min)(value).over(w))
-
-
-def dilate(df: DataFrame, keys: Sequence[str], value: str, width: int, height: int) -> DataFrame:
-    """Separable: rows, then columns, so windows hold one line of one image each."""
-    return _slide(_slide(df, keys, value, width, "x", "y", True), keys, value, height, "y", "x", True)
-
-
-def erode(df: DataFrame, keys: Sequence[str], value: str, width: int, height: int) -> DataFrame:
-    return _slide(_slide(df, keys, value, width, "x", "y", False), keys, value, height, "y", "x", False)
-
-
-def close(df: DataFrame, keys: Sequence[str], value: str, width: int, height: int) -> DataFrame:
-    return erode(dilate(df, keys, value, width, height), keys, value, width, height)
-
-
 def islands(rows: DataFrame, keys: Sequence[str], at: str, max_gap: int) -> DataFrame:
     """Runs of active positions: a run ends where more than ``max_gap`` positions are missing; its end is exclusive."""
     w = Window.partitionBy(*keys).orderBy(at)

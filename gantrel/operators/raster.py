@@ -112,6 +112,28 @@ def expand_and_feather(mask: DataFrame, key: str, value: str, expand: int, passe
     return on_grids(mask, key, value, ("expanded", "feathered"), run)
 
 
+def morphology(pixels: DataFrame, key: str, value: str, steps: Sequence[tuple[str, int, int]]) -> DataFrame:
+    """The values after each of the steps, ("dilate" or "erode", width, height), by running maxima or minima over rows, then
+    columns, anchored at half the size; what lies outside counts for neither. An image is shuffled once for all steps."""
+
+    def slide(grid: np.ndarray, size: int, f: Callable) -> np.ndarray:
+        out, before = grid.copy(), size // 2
+        for i in range(-before, size - before):
+            if i < 0:
+                out[:, -i:] = f(out[:, -i:], grid[:, :i])
+            elif i > 0:
+                out[:, :-i] = f(out[:, :-i], grid[:, i:])
+        return out
+
+    def run(grid: np.ndarray) -> Sequence[np.ndarray]:
+        for kind, width, height in steps:
+            f = np.maximum if kind == "dilate" else np.minimum
+            grid = slide(slide(grid, width, f).T, height, f).T
+        return (grid,)
+
+    return on_grids(pixels, key, value, (value,), run)
+
+
 def distance_squared(on: np.ndarray) -> np.ndarray:
     """Squared distance of every pixel that is on to the nearest that is off, -1 where there is none: two passes along
     columns, then sideways as far as any pixel can still come nearer."""

@@ -20,7 +20,7 @@ def expected_keys(spark: SparkSession, d: str) -> DataFrame:
     """Every template under every variant, both specification-sized."""
     t, v = projection(spark, d, "templates"), projection(spark, d, "variants")
     named = v.select(S.variant_identifier(F.col("ident"), F.col("language")).alias("variant"))
-    return t.crossJoin(F.broadcast(named)).groupBy("template", "variant").agg(F.count("*").alias("n"))
+    return t.crossJoin(L.specification_sized(named)).groupBy("template", "variant").agg(F.count("*").alias("n"))
 
 
 _MERGED = """merged AS (SELECT b.template, b.variant, b.role, b.k, CASE WHEN o.has_x = 1 THEN o.x ELSE b.x END AS x,
@@ -111,12 +111,29 @@ def flow_segments(spark: SparkSession, d: str) -> DataFrame:
 def subtract_interval(spark: SparkSession, d: str) -> DataFrame:
     """All free parts of the band."""
     boxes, obstacles = projection(spark, d, "boxes"), projection(spark, d, "obstacles")
-    cuts = boxes.join(F.broadcast(obstacles.select("template", *[F.col(c).alias(f"o{c}") for c in ("x", "y", "w", "h", "pad")])), "template", "left")
+    cuts = boxes.join(obstacles.select("template", *[F.col(c).alias(f"o{c}") for c in ("x", "y", "w", "h", "pad")]), "template", "left")
     met = ~((F.col("oy") + F.col("oh") + F.col("opad") <= F.col("y")) | (F.col("oy") - F.col("opad") >= F.col("y") + F.col("h")))
     grouped = cuts.groupBy("k").agg(F.collect_list(F.when(met, F.struct((F.col("ox") - F.col("opad")).cast("double").alias("lo"), (F.col("ox") + F.col("ow") + F.col("opad")).cast("double").alias("hi")))).alias("cuts"))
     return grouped.select("k", F.inline(L.subtract_cuts(F.lit(20), F.lit(940), F.col("cuts")))).select("k", F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"))
 
 
+_MEMBERS = """mem AS (SELECT template, variant, CASE WHEN k % 7 = 0 THEN role + 100 ELSE role END AS role, CASE WHEN k % 5 = 0 THEN 'top' ELSE 'left' END AS edge, CASE WHEN k % 3 = 0 THEN role + 1 END AS anchor_role, CASE WHEN k % 4 = 0 THEN 10.0 END AS position FROM boxes WHERE k % 11 <> 0
+  UNION ALL SELECT template, variant, role, 'left', NULL, 5.0 FROM boxes WHERE k % 13 = 0)"""
+
+
+@query(W(f"""WITH {_MEMBERS} SELECT m.template, m.variant, m.role, 'unknown member' AS error FROM mem m WHERE NOT EXISTS (SELECT 1 FROM boxes b WHERE b.template = m.template AND b.variant = m.variant AND b.role = m.role)
+UNION ALL SELECT template, variant, role, 'in several groups' FROM mem GROUP BY template, variant, role HAVING count(*) > 1 UNION ALL SELECT template, variant, role, 'unsupported edge' FROM mem WHERE edge = 'top'
+UNION ALL SELECT template, variant, role, 'one of position and anchor' FROM mem WHERE (position IS NULL) = (anchor_role IS NULL)
+UNION ALL SELECT m.template, m.variant, m.role, 'anchor without box' FROM mem m WHERE anchor_role IS NOT NULL AND NOT EXISTS (SELECT 1 FROM boxes b WHERE b.template = m.template AND b.variant = m.variant AND b.role = m.anchor_role)""", "boxes"))
+def group_errors(spark: SparkSession, d: str) -> DataFrame:
+    """What is wrong with the members of alignment groups."""
+    boxes, k = projection(spark, d, "boxes"), F.col("k")
+    fields = lambda role, edge, anchor, position, on: boxes.select(*KEYS, role.alias("role"), edge.alias("edge"), anchor.cast("long").alias("anchor_role"), position.cast("double").alias("position"), on.alias("enabled"))
+    named = fields(F.when(k % 7 == 0, F.col("role") + 100).otherwise(F.col("role")), F.when(k % 5 == 0, F.lit("top")).otherwise(F.lit("left")), F.when(k % 3 == 0, F.col("role") + 1), F.when(k % 4 == 0, F.lit(10.0)), k % 11 != 0)
+    again = fields(F.col("role"), F.lit("left"), F.lit(None), F.lit(5.0), k % 13 == 0)
+    return L.group_errors(boxes, named.unionByName(again), KEYS)
+
+
 @query(W("SELECT template, variant, role, row_number() OVER (PARTITION BY template, variant ORDER BY k % 3, role) AS draw FROM boxes", "boxes"))
 def z_order(spark: SparkSession, d: str) -> DataFrame:
     rows = projection(spark, d, "boxes").withColumn("z", F.col("k") % 3)
@@ -199,7 +216,7 @@ _WANT = "(SELECT c_custkey, lower(n_name) || CASE c_custkey % 3 WHEN 0 THEN '-xx
 def _wanted(spark: SparkSession, d: str) -> DataFrame:
     c, n = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("customer", "nation"))
     k = F.col("c_custkey")
-    return c.join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).select(
+    return c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(
         "c_custkey", F.concat(F.lower("n_name"), F.when(k % 3 == 0, F.lit("-xx")).otherwise(F.lit(""))).alias("language"), F.when(k % 2 == 0, F.lit("bold")).otherwise(F.lit("regular")).alias("weight"), F.when(k % 7 == 0, F.concat(F.lit("mine/"), F.col("c_name"))).alias("own")
     )
 
@@ -236,7 +253,7 @@ SELECT c_custkey, asset, arg_max(path, prio) AS path FROM layers GROUP BY c_cust
 def asset_fallback(spark: SparkSession, d: str) -> DataFrame:
     """Assets of a variant from the default, its region, its nation and itself, the last winning."""
     c, n, r = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("customer", "nation", "region"))
-    full = c.join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey"))
+    full = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
     entry = lambda on, key, path, prio: F.when(on, F.struct(key.alias("asset"), path.alias("path"), F.lit(prio).alias("prio")))
     k = F.col("c_custkey")
     layers = F.array(

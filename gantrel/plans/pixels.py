@@ -120,7 +120,7 @@ _M = "m AS (SELECT image, y, x, CASE WHEN v > 165 THEN 1 ELSE 0 END AS m FROM px
 
 @query(_sql(f"WITH {_M} SELECT p.image, p.y, p.x, CAST(max(q.m) AS BIGINT) AS m FROM m p JOIN m q ON q.image = p.image AND abs(q.x - p.x) <= 2 AND abs(q.y - p.y) <= 1 GROUP BY 1, 2, 3"))
 def morph_dilate(spark: SparkSession, d: str) -> DataFrame:
-    return P.dilate(_mask(spark, d), ["image"], "m", 5, 3).select("image", "y", "x", F.col("m").cast("long").alias("m"))
+    return raster.morphology(_mask(spark, d), "image", "m", [("dilate", 5, 3)])
 
 
 def _mask(spark: SparkSession, d: str) -> DataFrame:
@@ -132,7 +132,7 @@ _CLOSED = f"{_M}, dil AS (SELECT p.image, p.y, p.x, max(q.m) AS m FROM m p JOIN
 
 @query(_sql(f"WITH {_CLOSED} SELECT image, y, x, CAST(m AS BIGINT) AS m FROM clo"))
 def morph_close(spark: SparkSession, d: str) -> DataFrame:
-    return P.close(_mask(spark, d), ["image"], "m", 3, 3).select("image", "y", "x", F.col("m").cast("long").alias("m"))
+    return raster.morphology(_mask(spark, d), "image", "m", [("dilate", 3, 3), ("erode", 3, 3)])
 
 
 _COMP = f"""{_M.replace('m AS', 'on_ AS').replace('FROM px)', 'FROM px WHERE v > 165)')}, reach AS (SELECT image, y AS sy, x AS sx, y, x FROM on_ UNION SELECT r.image, r.sy, r.sx, o.y, o.x FROM reach r JOIN on_ o ON o.image = r.image AND abs(o.y - r.y) <= 1 AND abs(o.x - r.x) <= 1),

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from gantrel.operators import hooks as H
 from gantrel.operators import reports as O
+from gantrel.operators.layout import specification_sized
 from gantrel.sources import files, images
 from gantrel.sources.spec import load_spec
 from gantrel.sources.tables import projection, with_projections
@@ -84,7 +85,7 @@ def pair_roles(spark: SparkSession, d: str) -> DataFrame:
 def spec_pictures(spark: SparkSession, d: str) -> DataFrame:
     """Every picture that a specification asks for: its variants by its templates, both as small as the document."""
     s = load_spec(spark, SPEC)
-    both = s.templates.join(F.broadcast(s.variants.drop("ord", "background")), F.lit(True))
+    both = s.templates.join(specification_sized(s.variants.drop("ord", "background")), F.lit(True))
     total = F.aggregate("durations_ms", F.lit(0), lambda a, x: a + x)
     return both.select("variant", "language", F.try_element_at("copy", F.lit("title")).alias("title"), F.try_element_at("assets", F.lit("logo")).alias("logo"), "template", F.col("canvas_w").alias("w"), F.col("canvas_h").alias("h"), "frames", total.alias("total_ms"))
 
@@ -93,7 +94,7 @@ def spec_pictures(spark: SparkSession, d: str) -> DataFrame:
 def spec_obstacles(spark: SparkSession, d: str) -> DataFrame:
     """Obstacles of every variant: an override to null deletes, an unknown name adds."""
     s = load_spec(spark, SPEC)
-    base = s.obstacles.join(F.broadcast(s.variants.select("variant")), F.lit(True)).select("variant", "template", "name", F.col("x").alias("bx"), F.col("pad").alias("bpad"), F.lit(True).alias("given"))
+    base = s.obstacles.join(specification_sized(s.variants.select("variant")), F.lit(True)).select("variant", "template", "name", F.col("x").alias("bx"), F.col("pad").alias("bpad"), F.lit(True).alias("given"))
     over = s.obstacle_overrides.select("variant", "template", "name", "x", "pad", "deleted")
     met = base.join(over, ["variant", "template", "name"], "full_outer").filter("coalesce(deleted, false) = false")
     new = F.col("deleted").isNotNull()

@@ -13,7 +13,6 @@ from gantrel.functions import scalar as S
 from gantrel.functions import text as T
 from gantrel.operators import layout as L
 from gantrel.operators import hooks as H
-from gantrel.operators import pixels as P
 from gantrel.operators import raster, rules, search
 from gantrel.operators import reports as O
 from gantrel.sources import files, images
@@ -248,7 +247,7 @@ def test_morphology_matches_numpy(spark):
     rows = [(0, y, x, int(grid[y, x])) for y in range(12) for x in range(15)]
     df = spark.createDataFrame(rows, "image long, y long, x long, m int")
     got = np.zeros((12, 15), int)
-    for r in P.dilate(df, ["image"], "m", 5, 3).collect():
+    for r in raster.morphology(df, "image", "m", [("dilate", 5, 3)]).collect():
         got[r.y, r.x] = r.m
     padded = np.pad(grid, ((1, 1), (2, 2)))
     want = np.max([padded[i : i + 12, j : j + 15] for i in range(3) for j in range(5)], axis=0)
