@@ -1,9 +1,11 @@
 """Toxicity by weak supervision.
 
-Voters are lexicon words and word-start patterns that lean towards toxic documents in a bounded labelled sample. A
-generative label model estimates by EM how often each votes in either class, how far voters only repeat each other,
-and how reliable the given labels themselves are; its posterior labels train a linear classifier on the voters' counts,
-which scores every text.
+Voters are of three kinds: lexicon words and word starts that lean towards toxic documents in a bounded labelled sample,
+words that lean towards clean ones, and patterns of a token's shape, which are chosen without looking at labels. A
+generative label model estimates by EM how often each votes in either class and how reliable the given labels themselves
+are. Voters that repeat each other within a class are one clique, whose number of votes has a distribution of its own in
+either class, so that their correlation is part of the likelihood. The posterior labels train a linear classifier on the
+voters' counts, which scores every text.
 """
 
 from __future__ import annotations
@@ -20,27 +22,40 @@ from pyspark.sql import functions as F
 from .common import hash_rank, hashed_share
 
 #: Bounds of the fitted sample, for each label, and of the voters.
-TRAIN_ROWS, VOTERS = 4000, 400
+TRAIN_ROWS, VOTERS, CLEAN_VOTERS = 4000, 400, 40
 STARTS = (4, 5, 6)
 MIN_DOCS, MIN_LEAN = 3, 0.93
+#: Voters correlate when their votes do so much, beyond what the class explains; votes of a clique are counted so far.
+CORRELATED, COUNTED = 0.3, 3
 EM_ROUNDS, RIDGE = 12, 0.3
 CACHE = 1 << 16
 _EDGES = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 
 
+#: Shapes of a token that vote whatever the labels: shouting, repeated marks, a drawn-out letter, signs inside a word.
+PATTERNS = {
+    "~caps": re.compile(r"[^a-z]*[A-Z]{3,}[^a-z]*"),
+    "~marks": re.compile(r".*[!?]{2,}"),
+    "~drawn": re.compile(r"(?i).*([a-z])\1\1.*"),
+    "~masked": re.compile(r".*[^\W\d_][*@#$%0-9]+[^\W\d_].*"),
+}
+
+
 def cues(token: str) -> list[str]:
-    """What voters can look at in a lower-cased token: the word without other signs at its ends, and its starts."""
-    word = _EDGES.sub("", token)
-    return [f"={word}", *[f"^{word[:n]}" for n in STARTS if len(word) > n]] if len(word) > 1 else []
+    """What voters can look at in a token: the lower-cased word without other signs at its ends, its starts, and the
+    token's shape."""
+    word = _EDGES.sub("", token.lower())
+    found = [name for name, shape in PATTERNS.items() if shape.fullmatch(token)]
+    return [*found, f"={word}", *[f"^{word[:n]}" for n in STARTS if len(word) > n]] if len(word) > 1 else found
 
 
 class Model(NamedTuple):
     voters: list[str]
     weights: np.ndarray
     bias: float
-    #: What the label model found: vote rates in toxic and clean documents, and the share of each vote that is its own.
+    #: What the label model found: vote rates in clean and toxic documents, and the clique of each voter.
     rates: np.ndarray
-    own: np.ndarray
+    cliques: np.ndarray
 
 
 class _Votes(dict):
@@ -59,40 +74,53 @@ class _Votes(dict):
         if len(self) > CACHE:
             self.clear()
         out: dict[int, int] = {}
-        for hits in filter(None, map(self.__getitem__, text.lower().split())):
+        for hits in filter(None, map(self.__getitem__, text.split())):
             for i in hits:
                 out[i] = out.get(i, 0) + 1
         return out
 
 
+def cliques_of(votes: np.ndarray, posterior: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The clique of each voter: voters are joined where their votes, less what is expected in each class, correlate."""
+    mass = np.stack((weight * (1 - posterior), weight * posterior))
+    rates = (mass @ votes + 0.02) / (mass.sum(axis=1, keepdims=True) + 1.0)
+    rest = (votes - np.outer(1 - posterior, rates[0]) - np.outer(posterior, rates[1])) * np.sqrt(weight)[:, None]
+    scale = np.sqrt(np.maximum((rest**2).sum(axis=0), 1e-12))
+    linked = (rest.T @ rest) / np.outer(scale, scale) > CORRELATED
+    names = np.arange(votes.shape[1])
+    while True:  # the least number of those linked, until nothing moves
+        least = np.where(linked | np.eye(len(names), dtype=bool), names[None, :], len(names)).min(axis=1, initial=len(names))
+        if (least == names).all():
+            return np.unique(names, return_inverse=True)[1]
+        names = least
+
+
 def label_model(votes: np.ndarray, gold: np.ndarray, prior: float, sample_weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Posterior of the toxic class for each document, vote rates by class and each voter's own share.
+    """Posterior of the toxic class for each document, vote rates by class and each voter's clique.
 
-    ``votes``: documents by voters, 0 or 1. ``gold``: given labels, themselves a voter whose reliability is estimated.
-    Voters are dependent given the class as far as their residuals correlate; a vote counts by its own share.
+    ``votes``: documents by voters, 0 or 1. ``gold``: given labels, themselves a voter whose reliability is estimated; -1
+    where one is not given. Given the class, cliques are independent, and the number of votes of a clique, up to
+    ``COUNTED``, has any distribution.
     """
-    n, m = votes.shape
-    posterior = np.where(gold == 1, 0.95, 0.05)
-    own = np.ones(m)
-    rates = np.zeros((2, m))
+    posterior = np.where(gold == 1, 0.95, np.where(gold == 0, 0.05, prior))
     base = np.log(prior / (1 - prior))
-    for _ in range(EM_ROUNDS):
+    for step in range(EM_ROUNDS):
+        if step in (0, 2, 5):
+            cliques = cliques_of(votes, posterior, sample_weight)
+            sizes = np.zeros((votes.shape[1], int(cliques.max(initial=-1)) + 1))
+            sizes[np.arange(len(cliques)), cliques] = 1
+            counted = np.minimum(votes @ sizes, COUNTED).astype(np.int64)
         mass = np.stack((sample_weight * (1 - posterior), sample_weight * posterior))
         total = mass.sum(axis=1, keepdims=True)
         rates = (mass @ votes + 0.02) / (total + 1.0)
+        logit = np.full(len(votes), base)
+        for n in range(COUNTED + 1):
+            share = (mass @ (counted == n) + (0.02 if n else 0.94)) / (total + 1.0)
+            logit += (counted == n) @ np.log(share[1] / share[0])
         trust = np.clip((mass @ np.stack((gold == 0, gold == 1), axis=1).astype(float) + 0.5) / (total + 1.0), 1e-3, 1 - 1e-3)
-        expected = np.outer(1 - posterior, rates[0]) + np.outer(posterior, rates[1])
-        rest = (votes - expected) * np.sqrt(sample_weight)[:, None]
-        cov = rest.T @ rest
-        scale = np.sqrt(np.maximum(np.diag(cov), 1e-12))
-        corr = cov / np.outer(scale, scale)
-        np.fill_diagonal(corr, 0.0)
-        own = 1.0 / (1.0 + np.where(corr > 0.2, corr, 0.0).sum(axis=1))
-        on, off = np.log(rates[1] / rates[0]), np.log((1 - rates[1]) / (1 - rates[0]))
-        logit = base + votes @ (own * on) + (1 - votes) @ (own * off)
-        logit += np.where(gold == 1, np.log(trust[1, 1] / trust[0, 1]), np.log(trust[1, 0] / trust[0, 0]))
+        logit += np.where(gold == 1, np.log(trust[1, 1] / trust[0, 1]), np.where(gold == 0, np.log(trust[1, 0] / trust[0, 0]), 0.0))
         posterior = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-    return posterior, rates, own
+    return posterior, rates, cliques
 
 
 def linear(x: np.ndarray, target: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -128,7 +156,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
     def distinct_cues(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array([sorted({c for token in set(t.as_py().lower().split()) for c in cues(token)}) for t in batch], pa.list_(pa.string()))
+            yield pa.array([sorted({c for token in set(t.as_py().split()) for c in cues(token)}) for t in batch], pa.list_(pa.string()))
 
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).filter("text is not null").join(F.broadcast(chosen), "id")
     rows = rows.groupBy("id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
@@ -137,7 +165,12 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     share_t, share_c = F.col("t") / F.lit(sizes[1]), (F.col("c") + F.lit(0.5)) / F.lit(sizes[0])
     lean = share_t / (share_t + share_c)
     best = seen.filter((F.col("t") >= max(MIN_DOCS, sizes[1] // 250)) & (lean >= MIN_LEAN)).orderBy(F.desc(share_t * F.log(share_t / share_c)), "cue").limit(VOTERS)
-    voters = [r["cue"] for r in best.collect()]
+    clean = seen.filter((F.col("c") >= max(MIN_DOCS, sizes[0] // 50)) & (lean <= 1 - MIN_LEAN)).orderBy(F.desc("c"), "cue").limit(CLEAN_VOTERS)
+    leaning = [r["cue"] for r in best.collect()]
+    if not leaning:
+        prior = totals[1] / (totals[0] + totals[1])
+        return Model([], np.zeros(0), float(np.log(prior / (1 - prior))), np.zeros((2, 0)), np.zeros(0))
+    voters = list(dict.fromkeys([*leaning, *[r["cue"] for r in clean.collect()], *PATTERNS]))
 
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table = _Votes(voters)
@@ -156,9 +189,9 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     weight = np.where(gold == 1, totals[1] / (gold == 1).sum(), totals[0] / (gold == 0).sum())
     weight *= len(gold) / weight.sum()
     prior = totals[1] / (totals[0] + totals[1])
-    posterior, rates, own = label_model((counts > 0).astype(float), gold, prior, weight)
+    posterior, rates, cliques = label_model((counts > 0).astype(float), gold, prior, weight)
     w = linear(_features(counts), posterior, weight)
-    return Model(voters, w[:-1], float(w[-1]), rates, own)
+    return Model(voters, w[:-1], float(w[-1]), rates, cliques)
 
 
 def _features(counts: np.ndarray) -> np.ndarray:

@@ -579,3 +579,29 @@ def test_toxicity(spark, empty):
     held = df.filter("doc_id % 5 = 0").select("doc_id", toxicity.score(model, F.col("text")).alias("s")).collect()
     assert sum((r.s >= 0.5) == (r.doc_id % 6 == 0) for r in held) >= 0.97 * len(held)
     assert toxicity.train(df, lab.limit(0)).bias == -30.0 and toxicity.train(empty, lab).voters == []
+
+
+def test_label_model_on_simulated_votes():
+    """Votes of known rates: four independent voters, and nine copies of a fifth that is wrong in half of what it says. The
+    rates come back, the copies are one clique and do not outvote the others; a third of the labels is not given."""
+    rng = np.random.default_rng(5)
+    n, prior = 6000, 0.3
+    y = (rng.random(n) < prior).astype(int)
+    on, off = np.array([0.7, 0.6, 0.8, 0.5]), np.array([0.05, 0.04, 0.1, 0.02])
+    single = rng.random((n, 4)) < np.where(y[:, None] == 1, on, off)
+    noisy = (rng.random(n) < np.where(y == 1, 0.35, 0.3))[:, None] & (rng.random((n, 9)) < 0.95)
+    votes = np.concatenate((single, noisy), axis=1).astype(float)
+    gold = np.where(rng.random(n) < 0.67, np.where(rng.random(n) < 0.97, y, 1 - y), -1)
+    posterior, rates, cliques = toxicity.label_model(votes, gold, prior, np.ones(n))
+    assert len(set(cliques[:4])) == 4 and len(set(cliques[4:])) == 1 and cliques[4] not in cliques[:4]
+    assert np.abs(rates[1, :4] - on).max() < 0.08 and np.abs(rates[0, :4] - off).max() < 0.05
+    right = ((posterior > 0.5) == y).mean()
+    alone = (single.sum(axis=1) >= 2) == y
+    assert right > 0.92 and right >= alone.mean() - 0.01
+    only_noisy = (single.sum(axis=1) == 0) & (noisy.sum(axis=1) >= 8) & (gold <= 0)
+    assert only_noisy.any() and posterior[only_noisy].max() < 0.5
+
+
+def test_shapes_vote_whatever_the_word():
+    assert {"~caps", "~marks"} <= set(toxicity.cues("STOP!!")) and "~drawn" in toxicity.cues("sooo") and "~masked" in toxicity.cues("id*ot")
+    assert toxicity.cues("a") == [] and toxicity.cues("plain") == ["=plain", "^plai"]
