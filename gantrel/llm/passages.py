@@ -410,8 +410,8 @@ def open_pairs(regions: DataFrame, found: DataFrame) -> DataFrame:
     spans = materialize(merged_spans(found.withColumnsRenamed({"doc": "doc_id", "tie": "text_key"})).select(F.col("doc_id").alias("doc"), F.col("text_key").alias("tie"), "spans"), "closed")
     rows = materialize(context_rows(regions, broadcast_if_small(spans, SPAN_ROWS)), "contexts")
     each = rows.select(*_REGION, "place", "open", F.explode(F.filter("contexts", lambda c: c.isNotNull())).alias("key"))
-    first = each.groupBy("key").agg(F.count_if("open").alias("n"), F.min(F.struct("doc", "tie", "place", "begin")).alias("f"), F.max(F.struct("doc", "tie", "place")).alias("last")).filter("n > 0")
-    first = first.filter(F.col("last") > F.struct("f.doc", "f.tie", "f.place")).select("key", "n", F.col("f.doc").alias("sdoc"), F.col("f.tie").alias("stie"), F.col("f.begin").alias("sbegin"), F.col("f.place").alias("splace"))
+    first = each.groupBy("key").agg(F.count_if("open").alias("n"), F.count("*").alias("m"), F.min(F.struct("doc", "tie", "place", "begin")).alias("f")).filter("n > 0 and m > 1")
+    first = first.select("key", "n", F.col("f.doc").alias("sdoc"), F.col("f.tie").alias("stie"), F.col("f.begin").alias("sbegin"), F.col("f.place").alias("splace"))
     first = materialize(first, "leaders")
     mine = each.filter("open").select("key", *_REGION, "place")
     return join_split(mine, first, ["key"], first.agg(F.sum("n")).first()[0] or 0).filter(f"{_THERE} < {_HERE}").drop("key", "n")
