@@ -35,9 +35,10 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document, the first text of the smallest id, of each class of near copies (5-word shingles, similarity
-    0.8). Different texts of one id are judged each for itself; of rows that repeat id and text, one stays. Rows without
-    an id cannot be told apart and stay. Null and empty texts are copies of each other. An empty table stays empty.
-    Columns of any name but ``__same`` pass through."""
+    0.8), searched by SimHash in BK-trees and by bands of min-hashes and measured on the whole sets. Different texts of one
+    id are judged each for itself; of rows that repeat id and text, one stays. Rows without an id cannot be told apart and
+    stay. Null and empty texts are copies of each other. An empty table stays empty. Columns of any name but ``__same``
+    pass through."""
     bound_memory(spark)
     classes = materialize(simhash.similar_documents(docs, words=5, least=0.8), "classes")
     copies = materialize(classes.filter("kept = false").select("doc_id", F.col("same").alias("__same")).distinct(), "copies")

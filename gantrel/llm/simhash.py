@@ -234,6 +234,14 @@ def components(links: DataFrame) -> DataFrame:
         before = state
 
 
+def linked_prints(nodes: DataFrame, radius: int) -> DataFrame:
+    """``nodes`` (fp, first, n), a row for each fingerprint, with ``root``, the same for those that links of at most
+    ``radius`` differing bits connect."""
+    keyed = nodes.select(F.col("fp").alias("id"), "fp", F.explode(block_keys(F.col("fp"), radius, nodes.count())).alias("key"))
+    roots = components(shard_links(keyed, radius))
+    return nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fingerprint (signed 64-bit) and component_id, the smallest doc_id reachable over links of at most
     ``radius`` differing bits, for every row.
@@ -243,9 +251,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, doc_id: st
     """
     prints = materialize(docs.select(F.col(doc_id).alias("doc_id"), fingerprint(F.col(text), words).alias("fp")), "fingerprints")
     nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "nodes")
-    keyed = nodes.select(F.col("fp").alias("id"), "fp", F.explode(block_keys(F.col("fp"), radius, nodes.count())).alias("key"))
-    roots = components(shard_links(keyed, radius))
-    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
+    rooted = linked_prints(nodes, radius)
     classes = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
     named = materialize(join_split(rooted.select("root", "fp", F.col("n").alias("rows")), classes, ["root"], nodes.count()).select("fp", "component_id", F.col("rows").alias("n")), "named")
     discard(nodes)
@@ -280,15 +286,24 @@ def band_keys(hashes: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(row.tobytes(), i) - (1 << 63) for i, row in enumerate(rows)]
 
 
-def _band_keys(words: int):
+def _sketches(words: int):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            keys = [band_keys(shingle_set(t, words)) for t in as_bytes(batch)]
-            yield pa.array(keys, pa.list_(pa.int64()))
+            prints, keys = [], []
+            for t in as_bytes(batch):
+                hashes = shingle_set(t, words)
+                prints.append(int(set_print(hashes)) if len(hashes) else None)
+                keys.append(band_keys(hashes))
+            yield pa.StructArray.from_arrays([pa.array(prints, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["fp", "keys"])
 
     return run
 
 
+def set_print(hashes: np.ndarray) -> np.int64:
+    """The SimHash of distinct shingles, as a signed 64-bit number."""
+    return majority(hashes, np.zeros(1, np.int64), np.array([len(hashes)])).view(np.int64)[0]
+
+
 def shingle_set(text: bytes, words: int) -> np.ndarray:
     """The distinct shingle hashes in order."""
     return np.unique(np.array(shingle_hashes(text, words), np.uint64))
@@ -318,29 +333,35 @@ def open_pairs(keyed: DataFrame, roots: DataFrame) -> DataFrame:
     return left.join(right, ["key", "slice"]).filter("u > v and a <> b").select("u", "v").distinct()
 
 
-def similar_documents(docs: DataFrame, words: int = 5, least: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def similar_documents(docs: DataFrame, words: int = 5, least: float = 0.8, doc_id: str = "doc_id", text: str = "text", radius: int = 2) -> DataFrame:
     """(doc_id, same, component_id, kept): near-duplicate classes of the distinct texts, linked where the shingle sets'
     similarity is at least ``least``; component_id is the smallest doc_id of the class. ``same`` is the MD5 of the row's
     text; ``kept`` marks the rows of the class's first text under its first id.
 
-    Equal texts are one node, different texts of one id are several. Candidates are texts that share a band of min-hashes:
-    each is measured against the first of the band, then all pairs of a band that are still in different classes
-    are. Null and empty texts are equal to each other only. Texts shorter than a shingle count as one
-    shingle. Rows of a null doc_id take their text's class, which is null if no row with an id has one of its texts.
+    Equal texts are one node, different texts of one id are several. Candidates are texts whose SimHash fingerprints lie in
+    one component of links within ``radius``, found in the shards of BK-trees, and, as similar texts may differ in more
+    bits than a tree can pass by, texts that share a band of min-hashes. Each is measured against the first of the
+    component or band, then all pairs of one that are still in different classes are. Null and empty texts are equal to
+    each other only. Texts shorter than a shingle count as one shingle. Rows of a null doc_id take their text's class, which is
+    null if no row with an id has one of its texts.
     """
     digest = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), digest.alias("same"), F.col(text).alias("text"))
-    bands = materialize(rows.select("doc_id", "same", F.arrow_udf(_band_keys(words), "array<bigint>")("text").alias("keys")), "bands")
+    sketched = rows.select("doc_id", "same", F.arrow_udf(_sketches(words), "fp bigint, keys array<bigint>")("text").alias("sketch"))
+    bands = materialize(sketched.select("doc_id", "same", "sketch.fp", "sketch.keys"), "bands")
     # A node is named by the smallest id that has its text, or by a hash of the text where that id has several.
-    by_text = materialize(bands.groupBy("same").agg(F.min("doc_id").alias("first"), F.first("keys").alias("keys"), F.count("*").alias("n")), "first")
+    by_text = materialize(bands.groupBy("same").agg(F.min("doc_id").alias("first"), F.first("keys").alias("keys"), F.first("fp").alias("fp"), F.count("*").alias("n")), "first")
     clash = bands.select("doc_id", "same").distinct().groupBy("doc_id").agg(F.count("*").alias("m")).filter("m > 1 or doc_id is null").select(F.col("doc_id").alias("f"))
     clash = broadcast_if_small(materialize(clash, "clash"))
     named = by_text.join(clash, F.col("first").eqNullSafe(F.col("f")), "left").withColumn("id", F.when(F.col("f").isNotNull() | F.col("first").isNull(), F.xxhash64("same")).otherwise(F.col("first")))
-    first = materialize(named.select("same", "first", "n", "id", "keys"), "nodes")
+    first = materialize(named.select("same", "first", "n", "id", "keys", "fp"), "nodes")
     texts = rows.join(broadcast_if_small(clash.select(F.col("f").alias("c"))), F.col("doc_id") == F.col("c"), "left")
     texts = texts.select(F.when(F.col("c").isNotNull() | F.col("doc_id").isNull(), F.xxhash64("same")).otherwise(F.col("doc_id")).alias("doc_id"), "text")
-    keyed = materialize(first.select("id", F.explode("keys").alias("key")), "keyed")
-    discard(by_text)
+    prints = materialize(first.filter("fp is not null").groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n")), "prints")
+    trees = materialize(linked_prints(prints, radius).select("fp", "n", F.col("root").alias("key")), "trees")
+    near = join_split(first.filter("fp is not null").select("fp", "id"), trees, ["fp"], first.count()).select("id", "key")
+    keyed = materialize(first.select("id", F.explode("keys").alias("key")).unionByName(near), "keyed")
+    discard(by_text, prints, trees)
     shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first")).filter("n > 1")
     met = materialize(join_split(keyed, shared, ["key"], keyed.count()).select("key", "id", "first"), "met")
     discard(keyed)

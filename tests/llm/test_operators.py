@@ -468,6 +468,40 @@ def test_similar_documents_of_many_shingles(spark):
     assert {r.doc_id: r.component_id for r in got.collect()} == want
 
 
+def without_shared_band(rng, n, added):
+    """Words and a block to append such that both texts share no band of min-hashes, their fingerprints but for two bits."""
+    word = lambda: f"w{rng.randrange(10**9)}"
+    words, block = [word() for _ in range(n)], [word() for _ in range(added)]
+    own = simhash.shingle_set(" ".join(words).encode(), 5)
+
+    def cost(block):
+        other = simhash.shingle_set(" ".join(words + block).encode(), 5)
+        a, b = (simhash.majority(x, np.zeros(1, np.int64), np.array([len(x)]))[0] for x in (own, other))
+        return len(set(simhash.band_keys(own)) & set(simhash.band_keys(other))) + max(0, int(a ^ b).bit_count() - 2)
+
+    least = cost(block)
+    while least:
+        tried = list(block)
+        tried[rng.randrange(added)] = word()
+        if (c := cost(tried)) <= least:
+            block, least = tried, c
+    return words, block
+
+
+def test_similar_documents_that_share_no_band(spark):
+    """Texts of close fingerprints meet in the BK-trees though no band has both; they link only where their shingles are
+    similar enough."""
+    rows, want = [], {}
+    for i, added in enumerate((25, 25, 40)):
+        words, block = without_shared_band(random.Random(i), 104, added)
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words + block))]
+        want |= {2 * i: 2 * i, 2 * i + 1: 2 * i + (added > 25)}
+    rows += [(10, " "), (11, "\t"), (12, "Two words"), (13, "two  words")]
+    want |= {10: 10, 11: 11, 12: 12, 13: 12}
+    got = simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.component_id for r in got.collect()} == want
+
+
 # --- passages ---
 
 
