@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, hash_rank, hashed_share
+from .common import chunks, frugal, hash_rank, hashed_share
 
 BITS = 18
 ORDERS = (1, 2, 3, 4)
@@ -161,6 +161,7 @@ def identify(model: Model, text: Column) -> Column:
     scores, the first language by name. A pure function of the text, so repeated rows get equal results.
     """
 
+    @frugal
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         seen = np.zeros(1 << BITS, bool)
         for batch in batches:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_memory, materialize
+from .common import bound_memory, frugal, materialize
 
 CAPACITY = 2048
 UNIT = 4
@@ -76,6 +76,7 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text
     """Rows (doc_id, start, length, doc_tokens, ids_crc32, ids): each document's ids and the end id, cut at every full
     sequence. ``ids`` are little-endian unsigned 32-bit. Null text counts as empty: one piece of the end id alone."""
 
+    @frugal
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer_path)
         kinds = [pa.int64()] * 5 + [pa.binary()]

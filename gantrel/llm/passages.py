@@ -24,10 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bound_memory, broadcast_if_small, discard, join_split, materialize, release_shuffles, small_batches
+from .common import as_bytes, bound_memory, broadcast_if_small, discard, frugal, join_split, materialize, release_shuffles, small_batches
 
 WORDS = 5
 #: Shingles in the shortest subsequences that are signed.
@@ -38,6 +39,8 @@ WIDTH = 12
 RADII, BOTH = (4, 8, 12), 17
 #: Most subsequences in one window.
 SPAN = 32_768
+#: Bytes of texts that are hashed at once, as the arrays on the way take some forty times as many.
+HASHED = 256 << 10
 #: Runs whose shifts differ by no more than this from the next one are parts of one passage.
 DRIFT = 10
 #: Texts with passages up to which their spans are broadcast to all texts.
@@ -255,12 +258,22 @@ def distinct_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return once.unionByName(odd), copies, several
 
 
+def parts_of(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+    """All rows in order, in batches whose texts, in column ``text``, make up ``HASHED`` bytes besides the first's."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+        edge = np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) // HASHED)) + 1
+        for a, b in zip([0, *edge.tolist()], [*edge.tolist(), len(sizes)]):
+            yield batch.slice(a, b - a)
+
+
 def window_rows(texts: DataFrame, shortest: int) -> DataFrame:
     """(key, doc, tie, place) of all windows of all texts; ``place`` holds the first subsequence, how far behind it the
     center lies and the number of subsequences."""
 
+    @frugal
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts_of(batches, 2):
             of, keys, first, sizes, center = windows_of(list(as_bytes(batch.column(2))), shortest)
             doc, tie = (np.asarray(batch.column(i))[of] for i in (0, 1))
             place = first << 24 | (center - first) << 16 | sizes
@@ -280,6 +293,7 @@ def viable_texts(shared: DataFrame, shortest: int, similarity: float) -> DataFra
     parts = shortest - WIDTH + 1
     wanted = parts - spoilt(shortest, similarity)
 
+    @frugal
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 4]
         for doc, tie, place, key in _whole_groups(batches, 2):
@@ -318,9 +332,10 @@ REGIONS = "doc bigint, tie bigint, begin bigint, hashes array<int>, keys array<b
 def regions_of(texts: DataFrame, viable: DataFrame) -> DataFrame:
     """Rows of ``REGIONS``: each region's shingle hashes, of which 32 bits are enough along a shift, and shared windows."""
 
+    @frugal
     def slice_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), *[pa.list_(pa.int64())] * 2]
-        for batch in batches:
+        for batch in parts_of(batches, 2):
             hashes, counts = shingles(list(as_bytes(batch.column(2))))
             stops = np.cumsum(counts)
             rows = []
@@ -359,6 +374,7 @@ def verified(pairs: DataFrame, regions: DataFrame, shortest: int, similarity: fl
     named = regions.select(*[F.col(a).alias(b) for a, b in zip(_REGION, _SOURCE)], F.col("hashes").alias("other"))
     sources = materialize(named.join(counts, _SOURCE), "sources")
 
+    @frugal
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = lambda c: batch.column(batch.schema.get_field_index(c))

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bound_memory, broadcast_if_small, discard, join_split, materialize, small_batches
+from .common import as_bytes, bound_memory, broadcast_if_small, discard, frugal, join_split, materialize, small_batches
 
 SEED = 42
 #: Most fingerprints in one tree, and about how many a shard has.
@@ -56,6 +56,7 @@ def fingerprint(text: Column, words: int = 3) -> Column:
     """The SimHash of the whole text's shingles, repeats included, as a signed 64-bit number. Null, empty and wordless
     texts have fingerprint 0."""
 
+    @frugal
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             found, hashes, counts = [], [], []
@@ -191,6 +192,7 @@ def shard_links(keyed: DataFrame, radius: int) -> DataFrame:
         pair = np.array(out, np.int64).reshape(-1, 2)
         return pa.RecordBatch.from_arrays([pa.array(pair[:, 0], pa.int64()), pa.array(pair[:, 1], pa.int64())], ["u", "v"])
 
+    @frugal
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         for batch in batches:
@@ -287,6 +289,7 @@ def band_keys(hashes: np.ndarray) -> list[int]:
 
 
 def _sketches(words: int):
+    @frugal
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             prints, keys = [], []
@@ -366,6 +369,7 @@ def similar_documents(docs: DataFrame, words: int = 5, least: float = 0.8, doc_i
     met = materialize(join_split(keyed, shared, ["key"], keyed.count()).select("key", "id", "first"), "met")
     discard(keyed)
 
+    @frugal
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: tuple[int | None, np.ndarray] = (None, np.zeros(0, np.uint64))
         for batch in batches:

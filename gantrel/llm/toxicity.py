@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hash_rank, hashed_share
+from .common import frugal, hash_rank, hashed_share
 
 #: Bounds of the fitted sample, for each label, and of the voters.
 TRAIN_ROWS, VOTERS, CLEAN_VOTERS = 4000, 400, 40
@@ -202,6 +202,7 @@ def score(model: Model, text: Column) -> Column:
     """Probability that the whole text is toxic; null and empty texts, which raise no voter, get the classifier's bias.
     A pure function of the text, so repeated rows get equal scores."""
 
+    @frugal
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table = _Votes(model.voters)
         for batch in batches:

@@ -5,11 +5,13 @@ import hashlib
 import math
 import os
 import random
+import tracemalloc
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -515,6 +517,31 @@ def test_compact_windows_cover_once():
             assert len(holds) == 1 and values[holds[0][1]] == values[i : j + 1].min()
 
 
+def test_windows_are_cut_in_bounded_memory():
+    """A batch of many texts takes the memory of a few; its windows are those of all texts at once."""
+
+    class Taken:
+        select = lambda self, *columns: self
+        mapInArrow = lambda self, run, schema: run
+
+    rng = random.Random(4)
+    texts = [None, "", *(" ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.choice((20, 400, 600)))) for _ in range(1500)), None]
+    batch = pa.RecordBatch.from_pydict({"doc": list(range(len(texts))), "tie": [0] * len(texts), "text": texts})
+    tracemalloc.start()
+    got = pa.Table.from_batches(passages.window_rows(Taken(), 46)(iter([batch.slice(0, 0), batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert batch.nbytes > 3 << 20 and peak < 32 << 20
+
+    def subsequences(of, keys, first, sizes):  # however windows are split
+        behind = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        return np.stack((np.repeat(of, sizes), np.repeat(first, sizes) + behind, np.repeat(keys, sizes).view(np.int64)))
+
+    key, doc, place = (got.column(c).to_numpy() for c in ("key", "doc", "place"))
+    whole = passages.windows_of([(t or "").encode() for t in texts], 46)[:4]
+    assert (subsequences(doc, key, place >> 24, place & 65535) == subsequences(*whole)).all() and len(key) > 50_000
+
+
 def test_repeated_passages(spark, empty):
     rng = random.Random(11)
     stems = [f"w{i}x" for i in range(200)]
