@@ -325,15 +325,71 @@ def first_pairs(keyed: DataFrame) -> DataFrame:
     return keyed.filter("id <> first").select(F.col("id").alias("u"), F.col("first").alias("v")).distinct()
 
 
-def open_pairs(keyed: DataFrame, roots: DataFrame) -> DataFrame:
-    """(u, v): all pairs of equal key that ``roots`` leaves in different classes, but those that ``first_pairs`` has. A
-    large key is dealt by slices of its rows, each of which meets all of them."""
-    named = keyed.join(roots, keyed["id"] == roots["node"], "left").select("key", "id", "first", F.coalesce("root", "id").alias("class"))
-    several = named.groupBy("key").agg(F.ceil(F.count("*") / TREE).cast("int").alias("parts"), F.min("class").alias("a"), F.max("class").alias("b")).filter("a <> b")
+def group_links(sets: list[np.ndarray], classes: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Pairs of positions that link ``sets`` of similarity ``least`` or more, a spanning forest over the given classes:
+    each set is counted against all at once while any is in another class."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    _, at = np.unique(np.concatenate(sets), return_inverse=True)
+    starts, held = np.cumsum(sizes) - sizes, np.zeros(int(at.max()) + 1, np.int64)
+    classes, out = classes.copy(), []
+    for i, (start, size) in enumerate(zip(starts.tolist(), sizes.tolist())):
+        if (classes == classes[i]).all():
+            continue
+        own = at[start : start + size]
+        held[own] = 1
+        both = np.add.reduceat(held[at], starts)
+        held[own] = 0
+        for j in np.flatnonzero((classes != classes[i]) & (both / (sizes + size - both) >= least)).tolist():
+            if classes[j] != classes[i]:
+                out.append((i, j))
+                classes[classes == classes[j]] = classes[i]
+    return out
+
+
+#: Texts in one part of a key whose pairs are all measured; two parts meet in a task.
+PART = 512
+
+
+def open_links(keyed: DataFrame, roots: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
+    """(u, v): a spanning forest of the links among rows of equal key that ``roots`` leaves in different classes, but those
+    to the key's first, which ``first_pairs`` has. A text (doc_id, text) is sent to each pair of parts once, and pairs are
+    never rows."""
+    rest = keyed.filter("id <> first")
+    named = rest.join(roots, rest["id"] == roots["node"], "left").select("key", "id", F.coalesce("root", "id").alias("class"))
+    several = named.groupBy("key").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"), F.min("class").alias("a"), F.max("class").alias("b")).filter("a <> b")
     rows = materialize(named.join(several.select("key", "parts"), "key"), "open")
-    left = rows.filter("id <> first").select("key", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("slice"), F.col("id").alias("u"), F.col("class").alias("a"))
-    right = rows.filter("id <> first").select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("slice"), F.col("id").alias("v"), F.col("class").alias("b"))
-    return left.join(right, ["key", "slice"]).filter("u > v and a <> b").select("u", "v").distinct()
+    involved = materialize(rows.select(F.col("id").alias("doc_id")).distinct(), "involved")
+    held = materialize(texts.join(broadcast_if_small(involved), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    dealt = rows.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("key", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "id", "class")
+    dealt = dealt.join(held.select(F.col("doc_id").alias("id"), "text"), "id").select("key", "a", "b", "id", "class", "text")
+
+    @frugal
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, ids, classes, sets = None, [], [], []
+
+        def found() -> pa.RecordBatch:
+            pairs = group_links(sets, np.array(classes, np.int64), least) if len(set(classes)) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([ids[p[i]] for p in pairs], pa.int64()) for i in (0, 1)], ["u", "v"])
+
+        for batch in batches:
+            *keys, own, named = (batch.column(i).to_pylist() for i in range(5))
+            for at, i, c, t in zip(zip(*keys), own, named, as_bytes(batch.column(5))):
+                if at != group:
+                    yield found()
+                    group, ids, classes, sets = at, [], [], []
+                ids.append(i)
+                classes.append(c)
+                sets.append(shingle_set(t, words))
+        yield found()
+
+    bound_memory(keyed.sparkSession)
+    with small_batches(keyed.sparkSession, 128):
+        links = dealt.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "id").mapInArrow(search, "u bigint, v bigint")
+        links = materialize(links.distinct(), "links")
+    discard(rows, involved, held)
+    return links
 
 
 def similar_documents(docs: DataFrame, words: int = 5, least: float = 0.8, doc_id: str = "doc_id", text: str = "text", radius: int = 2) -> DataFrame:
@@ -344,7 +400,7 @@ def similar_documents(docs: DataFrame, words: int = 5, least: float = 0.8, doc_i
     Equal texts are one node, different texts of one id are several. Candidates are texts whose SimHash fingerprints lie in
     one component of links within ``radius``, found in the shards of BK-trees, and, as similar texts may differ in more
     bits than a tree can pass by, texts that share a band of min-hashes. Each is measured against the first of the
-    component or band, then all pairs of one that are still in different classes are. Null and empty texts are equal to
+    component or band, then all pairs of one that are still in different classes are, inside tasks. Null and empty texts are equal to
     each other only. Texts shorter than a shingle count as one shingle. Rows of a null doc_id take their text's class, which is
     null if no row with an id has one of its texts.
     """
@@ -393,7 +449,7 @@ def similar_documents(docs: DataFrame, words: int = 5, least: float = 0.8, doc_i
         return found
 
     near = links(first_pairs(met))
-    roots = components(near.unionByName(links(open_pairs(met, components(near)))))
+    roots = components(near.unionByName(open_links(met, components(near), texts, words, least)))
     discard(met, near)
     rooted = first.join(roots, first["id"] == roots["node"], "left").select("same", "first", "n", F.coalesce("root", "id").alias("root"))
     heads = rooted.groupBy("root").agg(F.min(F.when(F.col("first").isNotNull(), F.struct("first", "same"))).alias("head"), F.count("*").alias("n"))

@@ -504,6 +504,38 @@ def test_similar_documents_that_share_no_band(spark):
     assert {r.doc_id: r.component_id for r in got.collect()} == want
 
 
+def test_similar_documents_of_a_loose_group(spark, monkeypatch):
+    """Copies of one text, each with edits of its own, of which few are like the first: classes are those of all pairs, and
+    no pair is a row of a join."""
+    monkeypatch.setattr(simhash, "PART", 40)
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(160)]
+    rows = []
+    for i in range(150):
+        words = list(base)
+        for at in rng.sample(range(160), rng.choice((1, 2, 4, 5))):
+            words[at] = f"v{rng.randrange(10**9)}"
+        rows.append((i, " ".join(words)))
+    sets = [simhash.shingle_set(t.encode(), 5) for _, t in rows]
+    want = list(range(150))
+    for i in range(150):
+        for j in range(i):
+            if want[i] != want[j] and simhash.similarity(sets[i], sets[j]) >= 0.8:
+                a, b = sorted((want[i], want[j]))
+                want = [a if w == b else w for w in want]
+    joined = []
+    mapped = type(spark.range(1)).mapInArrow
+
+    def counted(df, run, *others, **named):
+        joined.append(df.count())
+        return mapped(df, run, *others, **named)
+
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", counted)
+    got = simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert [r.component_id for r in got.orderBy("doc_id").collect()] == want and 1 < len(set(want)) < 150
+    assert max(joined) < 26 * 150  # fewer than texts in bands and components; their pairs are 6,902
+
+
 # --- passages ---
 
 
