@@ -52,6 +52,8 @@ _FOLDED[65:91] += 32
 _CODES = _random.integers(0, 1 << 63, 256, np.uint64)[_FOLDED]
 _POWERS = np.cumprod(np.full(4096, np.uint64(0x9E3779B97F4A7C15)))
 _FACTORS = _random.integers(0, 1 << 63, WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
+#: Factors of hashes along a run, one the other's inverse.
+_STEP, _BACK = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _IN_WORD = ~np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
 
 
@@ -150,6 +152,24 @@ def spoilt(shortest: int, similarity: float) -> int:
     return lost + (WIDTH - 1) * max(1, lost // (WORDS - 1))
 
 
+def contexts_of(hashes: np.ndarray, sizes: np.ndarray, of: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number for each window, contexts of all) of windows centered at shingle ``at`` of region ``of``; the regions, of so
+    many ``sizes``, are laid end to end in ``hashes``. A context is the hash of a run and its kind, equal wherever the run
+    is; runs that leave the region are no contexts. Sums from the start give every run's hash by one difference."""
+    stops = np.cumsum(sizes)
+    low, high = (stops - sizes)[of], stops[of]
+    forth, back = (np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(len(hashes), f)))) for f in (_STEP, _BACK))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed(hashes.astype(np.uint64)) * forth[:-1])))
+    center = low + at
+    runs = [(center - BOTH, 2 * BOTH + 1), *[(center - r, r + 1) for r in RADII], *[(center, r + 1) for r in RADII]]
+    held, found = np.zeros((len(at), len(runs)), bool), np.zeros((len(at), len(runs)), np.uint64)
+    for i, (first, n) in enumerate(runs):
+        held[:, i] = inside = (first >= low) & (first + n <= high)
+        a = first[inside]
+        found[inside, i] = mixed((sums[a + n] - sums[a]) * back[a] + np.uint64(i))
+    return held.sum(axis=1), found[held]
+
+
 # --- passages of two regions ----------------------------------------------------------------------------------------
 
 
@@ -258,10 +278,11 @@ def distinct_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return once.unionByName(odd), copies, several
 
 
-def parts_of(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
-    """All rows in order, in batches whose texts, in column ``text``, make up ``HASHED`` bytes besides the first's."""
+def parts_of(batches: Iterator[pa.RecordBatch], text: int, length=pc.binary_length) -> Iterator[pa.RecordBatch]:
+    """All rows in order, in batches whose texts, in column ``text``, make up ``HASHED`` bytes besides the first's; lists
+    count as their ``length`` says."""
     for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+        sizes = pc.fill_null(length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
         edge = np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) // HASHED)) + 1
         for a, b in zip([0, *edge.tolist()], [*edge.tolist(), len(sizes)]):
             yield batch.slice(a, b - a)
@@ -329,8 +350,9 @@ def viable_texts(shared: DataFrame, shortest: int, similarity: float) -> DataFra
 REGIONS = "doc bigint, tie bigint, begin bigint, hashes array<int>, keys array<bigint>, places array<bigint>"
 
 
-def regions_of(texts: DataFrame, viable: DataFrame) -> DataFrame:
-    """Rows of ``REGIONS``: each region's shingle hashes, of which 32 bits are enough along a shift, and shared windows."""
+def regions_of(texts: DataFrame, viable: DataFrame, named: DataFrame) -> DataFrame:
+    """Rows of ``REGIONS``: each region's shingle hashes, of which 32 bits are enough along a shift, and shared windows.
+    ``named`` is (doc, tie) of ``viable``, materialised alone: as columns beside long lists they pass for far larger."""
 
     @frugal
     def slice_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,7 +370,7 @@ def regions_of(texts: DataFrame, viable: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], ["doc", "tie", "begin", "hashes", "keys", "places"])
 
-    some = texts.join(broadcast_if_small(viable.select("doc", "tie")), ["doc", "tie"], "left_semi")
+    some = texts.join(broadcast_if_small(named), ["doc", "tie"], "left_semi")
     return some.join(viable, ["doc", "tie"]).select("doc", "tie", "text", "begins", "ends", "keys", "places").mapInArrow(slice_up, REGIONS)
 
 
@@ -403,21 +425,29 @@ def first_pairs(windows: DataFrame) -> DataFrame:
     return join_split(windows, first, ["key"], first.agg(F.sum("n")).first()[0] or 0).filter(f"{_THERE} < {_HERE}").drop("key", "n")
 
 
-def context_rows(regions: DataFrame, spans: DataFrame) -> DataFrame:
-    """(key, _REGION, place, contexts, open) of all windows whose signature some open window has, which lies in none of its
-    text's ``spans`` (doc, tie, spans). ``contexts`` are hashes of runs of shingles, null where the region ends before."""
-    center = lambda p: F.shiftright(p, 24) + F.shiftright(p, 16).bitwiseAND(F.lit(255))
+CONTEXTS = "key bigint, doc bigint, tie bigint, begin bigint, place bigint, open boolean, contexts array<bigint>"
 
-    def contexts(p: Column) -> Column:
-        at = (center(p) - F.col("begin") + 1).cast("int")
-        runs = [(at - BOTH, 2 * BOTH + 1), *[(at - r, r + 1) for r in RADII], *[(at, r + 1) for r in RADII]]
-        return F.array(*[F.when((a >= 1) & (a + n - 1 <= F.size("hashes")), F.xxhash64(F.lit(i), F.slice("hashes", a, F.lit(n)))) for i, (a, n) in enumerate(runs)])
 
-    zipped = F.transform(F.arrays_zip("keys", "places"), lambda w: F.struct(w["keys"].alias("key"), w["places"].alias("place"), contexts(w["places"]).alias("contexts")))
-    rows = regions.select(*_REGION, F.inline(zipped)).join(spans, ["doc", "tie"], "left")
-    closed = F.exists("spans", lambda s: (s["start"] <= center(F.col("place"))) & (center(F.col("place")) + WORDS <= s["end"]))
-    rows = rows.withColumn("open", ~F.coalesce(closed, F.lit(False))).drop("spans")
-    wanted = materialize(rows.filter("open").select("key").distinct(), "signatures")
+def _window_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [c.split()[0] for c in CONTEXTS.split(", ")]
+    for batch in parts_of(batches, 3, pc.list_value_length):
+        (stops, hashes), (ends, keys), (_, places), (_, opens) = ((at, values[at[0] : at[-1]]) for at, values in map(_slices, batch.columns[3:]))
+        of = np.repeat(np.arange(len(batch)), np.diff(ends))
+        doc, tie, begin = (np.asarray(batch.column(i))[of] for i in range(3))
+        counts, found = contexts_of(hashes.view(np.uint32), np.diff(stops), of, center_of(places) - begin)
+        contexts = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(found.view(np.int64)))
+        yield pa.RecordBatch.from_arrays([*[pa.array(c) for c in (keys, doc, tie, begin, places, opens)], contexts], names)
+
+
+def context_rows(regions: DataFrame, spans: DataFrame) -> DataFrame:
+    """(key, _REGION, place, open, contexts) of all windows whose signature some open window has, which lies in none of its
+    text's ``spans`` (doc, tie, spans). ``contexts`` are hashes of those runs of shingles that lie in the region."""
+    center = lambda p: F.shiftright(p, 24) + F.shiftright(p, 16).bitwiseAND(F.lit(255))
+    closed = lambda p: F.exists("spans", lambda s: (s["start"] <= center(p)) & (center(p) + WORDS <= s["end"]))
+    marked = regions.join(spans, ["doc", "tie"], "left").withColumn("opens", F.transform("places", lambda p: ~F.coalesce(closed(p), F.lit(False))))
+    signed = marked.select(F.inline(F.arrays_zip("keys", "opens"))).filter("opens").select(F.col("keys").alias("key"))
+    wanted = materialize(signed.distinct(), "signatures")
+    rows = marked.select(*_REGION, "hashes", "keys", "places", "opens").mapInArrow(frugal(_window_contexts), CONTEXTS)
     return rows.join(broadcast_if_small(wanted), "key", "left_semi")
 
 
@@ -425,7 +455,7 @@ def open_pairs(regions: DataFrame, found: DataFrame) -> DataFrame:
     """Each open window with the first that has one of its contexts, for each of them."""
     spans = materialize(merged_spans(found.withColumnsRenamed({"doc": "doc_id", "tie": "text_key"})).select(F.col("doc_id").alias("doc"), F.col("text_key").alias("tie"), "spans"), "closed")
     rows = materialize(context_rows(regions, broadcast_if_small(spans, SPAN_ROWS)), "contexts")
-    each = rows.select(*_REGION, "place", "open", F.explode(F.filter("contexts", lambda c: c.isNotNull())).alias("key"))
+    each = rows.select(*_REGION, "place", "open", F.explode("contexts").alias("key"))
     first = each.groupBy("key").agg(F.count_if("open").alias("n"), F.count("*").alias("m"), F.min(F.struct("doc", "tie", "place", "begin")).alias("f")).filter("n > 0 and m > 1")
     first = first.select("key", "n", F.col("f.doc").alias("sdoc"), F.col("f.tie").alias("stie"), F.col("f.begin").alias("sbegin"), F.col("f.place").alias("splace"))
     first = materialize(first, "leaders")
@@ -455,8 +485,9 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, similarity: float =
     viable = materialize(viable_texts(join_split(windows, counts, ["key"], windows.count()), shortest, similarity), "viable")
     discard(windows, counts)
     release_shuffles(spark)
-    regions = materialize(regions_of(texts, viable), "regions")
-    discard(viable)
+    named = materialize(viable.select("doc", "tie"), "named")
+    regions = materialize(regions_of(texts, viable, named), "regions")
+    discard(viable, named)
     each = regions.select(*_REGION, F.explode(F.arrays_zip("keys", "places")).alias("w")).select(*_REGION, "w.*")
     first = verified(first_pairs(each.select(F.col("keys").alias("key"), *_REGION, F.col("places").alias("place"))), regions, shortest, similarity)
     more = verified(open_pairs(regions, first), regions, shortest, similarity)

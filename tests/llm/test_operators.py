@@ -618,6 +618,55 @@ def test_passages_behind_earlier_quotes(spark):
     assert {r.doc_id: (r.spans[0].start, r.spans[0].end) for r in found} == want
 
 
+def test_contexts_are_hashed_once(spark, monkeypatch):
+    """Contexts are equal just where the runs of shingles are, whole in the region; the plan takes no slice for each."""
+    rng = random.Random(22)
+    runs = [[rng.randrange(-(2**31), 2**31) for _ in range(60)] for _ in range(3)]
+    regions, want = [], {}
+    for doc, n in enumerate((70, 90, 12, 200, 70)):
+        hashes = [h for _ in range(9) for h in rng.choice(runs)[rng.randrange(9) :]][:n]
+        centers = sorted(rng.sample(range(n), n // 3))
+        regions.append((doc, doc % 2, 100, hashes, [7 if c % 3 else doc * 1000 + c for c in centers], [(100 + c - 5) << 24 | 5 << 16 | 1 for c in centers]))
+        for c in centers:
+            ends = [(c - 17, c + 18), *[(c - r, c + 1) for r in (4, 8, 12)], *[(c, c + r + 1) for r in (4, 8, 12)]]
+            want[doc, c + 100] = [(i, *hashes[a:b]) for i, (a, b) in enumerate(ends) if a >= 0 and b <= n]
+    df = spark.createDataFrame(regions, passages.REGIONS)
+    spans = spark.createDataFrame([(1, 1, [(100, 120), (150, 170)])], "doc long, tie long, spans array<struct<start:long,end:long>>")
+    monkeypatch.setattr(passages, "HASHED", 150)
+    got = passages.context_rows(df, spans)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "slice(" not in plan and "xxhash64(" not in plan
+    rows, known = got.collect(), {}
+    opens = lambda doc, c: not (doc == 1 and (100 <= c <= 115 or 150 <= c <= 165))
+    assert {(r.doc, c): r.open for r in rows if (c := (r.place >> 24) + 5)} == {k: opens(*k) for k in want if opens(*k) or (k[1] - 100) % 3}
+    for r in rows:
+        runs_here = want[r.doc, (r.place >> 24) + 5]
+        assert len(r.contexts) == len(runs_here) and (r.tie, r.begin) == (r.doc % 2, 100)
+        for run, key in zip(runs_here, r.contexts):
+            assert known.setdefault(run, key) == key
+    assert len(set(known.values())) == len(known) < sum(map(len, want.values()))
+
+
+def test_texts_without_regions_are_not_shuffled(spark, monkeypatch):
+    """The few names of texts with regions are broadcast, however long the lists of windows beside them."""
+    rng, plans = random.Random(23), {}
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    passage = fresh(5000)
+    rows = [(i, " ".join((passage if i < 20 else fresh(60)) + fresh(20))) for i in range(60)]
+    keep = passages.materialize
+
+    def held(df, tag):
+        plans[tag] = df._jdf.queryExecution().optimizedPlan().toString()
+        return keep(df, tag)
+
+    monkeypatch.setattr(passages, "materialize", held)
+    monkeypatch.setattr("gantrel.llm.common.BROADCAST_BYTES", 8 << 10)
+    found = passages.merged_spans(passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))).collect()
+    assert {(r.doc_id, *map(tuple, r.spans)) for r in found} == {(i, (0, 5000)) for i in range(1, 20)}
+    semi = [line for line in plans["regions"].splitlines() if "Join LeftSemi" in line]
+    assert semi and all("strategy=broadcast" in line for line in semi)
+
+
 # --- models ---
 
 
