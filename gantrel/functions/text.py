@@ -29,15 +29,19 @@ def width(text: Column) -> Column:
     return F.when(F.rlike(text, F.lit(JOINING)), F.size(clusters(text))).otherwise(F.length(text))
 
 
+#: What parts words.
+GAPS = r"\t-\r\x{1C}-\x{20}\x{85}\x{A0}"
+
+
 def words(text: Column) -> Column:
-    return F.filter(F.split(text, r"[\t-\r\x{1C}-\x{20}\x{85}\x{A0}]+"), lambda w: w != "")
+    return F.regexp_extract_all(text, F.lit(f"[^{GAPS}]+"), F.lit(0))
 
 
 def paragraphs(text: Column) -> Column:
     """Lines of the text; a final line end opens no further one, and an empty text is one empty line."""
-    parts = F.split(text, BREAKS)
-    trimmed = F.when((F.size(parts) > 1) & (F.element_at(parts, -1) == ""), F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
-    return trimmed
+    other = F.rlike(text, F.lit(r"[\r\x0B\x0C\x1C-\x1E\x85]")) | F.contains(text, F.lit("\u2028")) | F.contains(text, F.lit("\u2029"))
+    split = F.when(other, F.split(text, BREAKS)).otherwise(F.split(text, "\n"))
+    return once(split, lambda parts: F.when((F.size(parts) > 1) & (F.element_at(parts, -1) == ""), F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts))
 
 
 def wrap(units: Column, limit: Column, glue: str) -> Column:
@@ -90,55 +94,57 @@ def fit_size(text: Column, box_w: int, box_h: int, low: int, high: int, max_line
     """(size, lines, fit_mode) of the largest font size from ``high`` down whose text keeps to the box: a cluster is half
     the size wide, a line 1.12 of it high. Where ``single_low`` is not null and the text has no line end, sizes down to it
     are first tried on one line, unwrapped. All paragraphs are wrapped as ``mode`` says (auto by default). Null if no size
-    fits. The text is taken apart once; each size only folds widths."""
+    fits. The text is taken apart once, and lines are counted once for all sizes of one limit, up to ``max_lines``."""
     mode = F.lit("auto") if mode is None else mode
-    sizes = F.array(*[F.lit(s) for s in range(high, low - 1, -1)])
-    parts = F.transform(paragraphs(text), lambda p: F.struct(F.transform(words(p), lambda w: F.struct(width(w).alias("own"), width(F.concat(F.lit(" "), w)).alias("joined"))).alias("words"), F.transform(clusters(p), lambda c: F.rlike(c, F.lit(f"^{SPACES}+$"))).alias("blanks"), width(p).alias("whole")))
+    limits: dict[int, list[int]] = {}
+    for size in range(high, low - 1, -1):
+        limits.setdefault(2 * box_w // size, []).append(size)
+    tries = F.array(*[F.struct(F.lit(limit).alias("limit"), F.lit(sizes[0]).alias("high"), F.lit(sizes[-1]).alias("low")) for limit, sizes in limits.items()])
 
-    def folded(widths: Column, limit: Column) -> Column:
-        start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("wide"), F.lit(True).alias("ok"))
-
-        def step(acc: Column, w: Column) -> Column:
-            fits = (acc["n"] > 0) & (acc["wide"] + w["joined"] <= limit)
-            return F.struct((acc["n"] + F.when(fits, 0).otherwise(1)).alias("n"), F.when(fits, acc["wide"] + w["joined"]).otherwise(w["own"]).alias("wide"), (acc["ok"] & (w["own"] <= limit)).alias("ok"))
+    def measured(p: Column) -> Column:
+        """Words with their own width and that behind a space, their widest and their sum, clusters and the whole width."""
+        joins = F.rlike(p, F.lit(JOINING))
+        wide = F.when(joins, F.transform(words(p), lambda w: F.struct(width(w).alias("own"), width(F.concat(F.lit(" "), w)).alias("joined")))).otherwise(F.transform(words(p), lambda w: F.struct(F.length(w).alias("own"), (F.length(w) + 1).alias("joined"))))
+        parts = once(F.when(mode.isin("word", "auto"), wide), lambda w: F.struct(w.alias("words"), F.coalesce(F.array_max(w["own"]), F.lit(0)).alias("widest"), F.aggregate(w["joined"], F.lit(0), lambda a, x: a + x).alias("total")))
+        return F.struct(parts.alias("by_word"), F.when(mode.isin("word", "manual"), F.lit(None)).otherwise(clusters(p)).alias("clusters"), width(p).alias("whole"))
 
-        return F.aggregate(widths, start, step, lambda acc: F.struct(F.greatest(acc["n"], F.lit(1)).alias("n"), acc["ok"].alias("ok")))
+    def folded(p: Column, limit: Column) -> Column:
+        """Lines by word, none wider than the limit; of more text than ``max_lines`` hold, any greater number."""
 
-    def clustered(blanks: Column, limit: Column) -> Column:
-        start = F.struct(F.lit(1).alias("n"), F.lit(0).alias("wide"))
-
-        def step(acc: Column, blank: Column) -> Column:
-            return F.when(acc["wide"] + 1 <= limit, F.struct(acc["n"].alias("n"), (acc["wide"] + 1).alias("wide"))).otherwise(F.struct((acc["n"] + 1).alias("n"), F.when(blank, F.lit(0)).otherwise(F.lit(1)).alias("wide")))
-
-        return F.aggregate(blanks, start, step, lambda acc: F.struct(acc["n"].alias("n"), (limit >= 1).alias("ok")))
+        def step(acc: Column, w: Column) -> Column:
+            return F.when((acc["n"] > 0) & (acc["wide"] + w["joined"] <= limit), F.struct(acc["n"].alias("n"), (acc["wide"] + w["joined"]).alias("wide"))).otherwise(F.struct((acc["n"] + 1).alias("n"), w["own"].alias("wide")))
 
-    def lines(parts: Column, limit: Column) -> Column:
-        start = F.struct(F.lit(0).alias("n"), F.lit(True).alias("ok"))
+        n = F.aggregate(p["words"], F.struct(F.lit(0).alias("n"), F.lit(0).alias("wide")), step, lambda acc: F.greatest(acc["n"], F.lit(1)))
+        return F.when(p["total"] > max_lines * (limit + 1), F.lit(max_lines + 1)).otherwise(n)
 
-        def add(acc: Column, p: Column) -> Column:
-            by_word = (mode == "word") | ((mode == "auto") & (F.size(p["words"]) > 1) & F.forall(p["words"], lambda x: x["own"] <= limit))
-            got = F.when(mode == "manual", F.struct(F.lit(1).alias("n"), (p["whole"] <= limit).alias("ok"))).when(by_word, folded(p["words"], limit)).otherwise(clustered(p["blanks"], limit))
-            return F.struct((acc["n"] + got["n"]).alias("n"), (acc["ok"] & got["ok"]).alias("ok"))
+    def clustered(units: Column, limit: Column) -> Column:
+        """Lines by cluster, from each line's start to the next; white space at such a start takes no room."""
 
-        return F.aggregate(parts, start, add)
+        def step(acc: Column, _: Column) -> Column:
+            blank = F.when(F.rlike(F.get(units, acc["at"]), F.lit(f"^{SPACES}+$")), F.lit(1)).otherwise(F.lit(0))
+            return F.when(acc["at"] >= F.size(units), acc).otherwise(F.struct((acc["n"] + 1).alias("n"), (acc["at"] + limit + blank).alias("at")))
 
-    def tried(parts: Column, size: Column) -> Column:
-        got = lines(parts, F.floor(F.lit(2 * box_w) / size).cast("int"))
-        return F.struct(size.alias("size"), got["n"].alias("lines"), (got["ok"] & (got["n"] <= max_lines) & (got["n"] * size * 112 <= 100 * box_h)).alias("ok"))
+        start = F.struct(F.lit(1).alias("n"), limit.alias("at"))
+        turns = F.sequence(F.lit(1), F.least(F.lit(max_lines), F.floor(F.size(units) / limit)).cast("int"))
+        return F.when(F.size(units) <= limit, F.lit(1)).otherwise(F.aggregate(turns, start, step, lambda acc: acc["n"]))
 
-    def chosen(parts: Column) -> Column:
-        """Sizes are tried from the largest until one fits."""
-        start = F.struct(F.lit(0).alias("size"), F.lit(0).alias("lines"), F.lit(False).alias("ok"))
-        return F.aggregate(sizes, start, lambda acc, size: F.when(acc["ok"], acc).otherwise(tried(parts, size)))
+    def lines(p: Column, limit: Column) -> Column:
+        """Number of the paragraph's lines, null if one of them is wider than the limit."""
+        by_word = (mode == "word") | ((mode == "auto") & (F.size(p["by_word"]["words"]) > 1) & (p["by_word"]["widest"] <= limit))
+        return F.when(mode == "manual", F.when(p["whole"] <= limit, F.lit(1))).when(by_word, F.when(p["by_word"]["widest"] <= limit, folded(p["by_word"], limit))).otherwise(F.when(limit >= 1, clustered(p["clusters"], limit)))
 
-    def result(parts: Column) -> Column:
-        return once(chosen(parts), lambda c: F.when(c["ok"], F.struct(c["size"].alias("size"), c["lines"].alias("lines"), F.when(c["lines"] > 1, F.lit("wrapped")).otherwise(F.lit("single_line")).alias("fit_mode"))))
+    def tried(parts: Column, t: Column) -> Column:
+        """The largest size of one limit that keeps to the box, null if none does."""
+        n = F.aggregate(parts, F.lit(0), lambda acc, p: F.when(acc <= max_lines, acc + lines(p, t["limit"])))
+        return once(n, lambda n: once(F.least(t["high"], F.floor(F.lit(100 * box_h) / (112 * n)).cast("int")), lambda z: F.when((n <= max_lines) & (z >= t["low"]), F.struct(z.alias("size"), n.alias("lines"), F.when(n > 1, F.lit("wrapped")).otherwise(F.lit("single_line")).alias("fit_mode")))))
 
-    found = once(parts, result)
+    nothing = F.lit(None).cast("struct<size:int,lines:int,fit_mode:string>")
+    found = once(F.transform(paragraphs(text), measured), lambda parts: F.aggregate(tries, nothing, lambda acc, t: F.when(acc.isNotNull(), acc).otherwise(tried(parts, t))))
     if single_low is None:
         return found
-    single = once(width(text), lambda w: F.try_element_at(F.filter(sizes, lambda z: (z >= F.greatest(single_low, F.lit(low))) & (w * z <= 2 * box_w) & (z * 112 <= 100 * box_h)), F.lit(1)))
-    on_one = F.when(single_low.isNotNull() & ~F.contains(text, F.lit("\n")), once(single, lambda z: F.when(z.isNotNull(), F.struct(z.alias("size"), F.lit(1).alias("lines"), F.lit("single_line_preferred").alias("fit_mode")))))
+    widest = F.least(F.lit(high), F.floor(F.lit(100 * box_h) / 112).cast("int"))
+    single = once(width(text), lambda w: F.when(w > 0, F.least(widest, F.floor(F.lit(2 * box_w) / w).cast("int"))).otherwise(widest))
+    on_one = F.when(single_low.isNotNull() & ~F.contains(text, F.lit("\n")), once(single, lambda z: F.when(z >= F.greatest(single_low, F.lit(low)), F.struct(z.alias("size"), F.lit(1).alias("lines"), F.lit("single_line_preferred").alias("fit_mode")))))
     return F.coalesce(on_one, found)
 
 

@@ -108,12 +108,13 @@ one AS (SELECT k, (SELECT max(z.z) FROM z WHERE z.z >= single AND {_width('text'
 SELECT c.k AS c_custkey, coalesce(one.z, best.z) AS size, CASE WHEN one.z IS NOT NULL THEN 1 ELSE best.n END AS lines, CASE WHEN one.z IS NOT NULL THEN 'single_line_preferred' WHEN best.n > 1 THEN 'wrapped' WHEN best.n = 1 THEN 'single_line' END AS fit_mode
 FROM c LEFT JOIN one ON one.k = c.k LEFT JOIN best ON best.k = c.k""")
 def fit_text(spark: SparkSession, d: str) -> DataFrame:
-    """Size, lines and way of fitting, under all wrap modes, with line ends and with a preference for one line."""
+    """Size, lines and way of fitting, under all wrap modes, with line ends and with a preference for one line.
+    Customers are few bytes and much work, so they are dealt over all tasks, whatever files and row groups they lie in."""
     mark = F.lit(chr(769))
     text = F.concat("c_mktsegment", F.when(F.col("c_custkey") % 5 == 0, F.lit("\n")).otherwise(F.lit(" ")), "c_name", F.when(F.col("c_custkey") % 7 == 0, F.concat(F.lit(" é"), mark, F.lit(" "), mark, F.lit("x"))).otherwise(F.lit("")), F.repeat(F.lit(" word"), (F.col("c_custkey") % 9).cast("int")))
     single = F.when(F.col("c_custkey") % 3 == 0, F.lit(18))
     fit = T.fit_size(text, 240, 90, 12, 40, 3, F.expr(_FIT_MODE), single)
-    rows = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", fit.alias("f"))
+    rows = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", "c_mktsegment", "c_name").repartition("c_custkey").select("c_custkey", fit.alias("f"))
     return rows.select("c_custkey", F.col("f.size").cast("long").alias("size"), F.col("f.lines").cast("long").alias("lines"), "f.fit_mode")
 
 

@@ -2,6 +2,10 @@
 
 import base64
 import json
+import os
+import random
+import re
+import time
 
 import numpy as np
 import pytest
@@ -166,6 +170,72 @@ def test_wrapping_keeps_everything_but_spaces(spark, text, limit):
     assert all(len(s) <= limit or " " not in s for s in lines)
 
 
+def cluster_lines(text, limit):
+    """Lines by cluster, one cluster after the other."""
+    done, line, wide = [], "", 0
+    for c in re.findall(r"(?s)(?:\u200d+[^\u200d]?|[^\u200d])(?:\u0301|\u200d+[^\u200d]?)*", text):
+        if wide + 1 <= limit:
+            line, wide = line + c, wide + 1
+        else:
+            done, line = [*done, line.rstrip()], c.lstrip()
+            wide = 1 if line else 0
+    return [*done, line.rstrip()]
+
+
+def fitted(text, mode, single, box_w, box_h, low, high, max_lines):
+    """Every size from the largest down, every line one after the other."""
+    width = lambda t: len(re.findall(r"(?s)(?:\u200d+[^\u200d]?|[^\u200d])(?:\u0301|\u200d+[^\u200d]?)*", t))
+    for z in range(high, max(low, single or high + 1) - 1, -1):
+        if "\n" not in text and width(text) * z <= 2 * box_w and z * 112 <= 100 * box_h:
+            return (z, 1, "single_line_preferred")
+    parts = text.split("\n")
+    for z in range(high, low - 1, -1):
+        limit, n, ok = 2 * box_w // z, 0, True
+        for p in parts[:-1] if len(parts) > 1 and not parts[-1] else parts:
+            words = re.findall(r"[^\t \xa0]+", p)
+            if mode == "manual":
+                n, ok = n + 1, ok and width(p) <= limit
+            elif mode == "word" or (mode == "auto" and len(words) > 1 and all(width(w) <= limit for w in words)):
+                got, wide = 0, 0
+                for w in words:
+                    got, wide = (got, wide + width(" " + w)) if got and wide + width(" " + w) <= limit else (got + 1, width(w))
+                    ok = ok and width(w) <= limit
+                n += max(got, 1)
+            else:
+                n, ok = n + len(cluster_lines(p, limit)), ok and limit >= 1
+        if ok and n <= max_lines and n * z * 112 <= 100 * box_h:
+            return (z, n, "wrapped" if n > 1 else "single_line")
+    return None
+
+
+@pytest.mark.parametrize("box", [(240, 90, 12, 40, 3), (30, 200, 3, 40, 7), (4, 300, 2, 20, 40)])
+def test_sizes_are_the_largest_that_fit(spark, box):
+    rng = random.Random(box[0])
+    texts = ["", "\n", "\n\n", "a" * 300, "word " * 200, *("".join(rng.choices(signs, k=rng.randrange(1, 60))) for signs in ("abc ", "ab \t\xa0", "abcde \n", "abcd \u0301", "abc \u0301\u200d\u3000\n") for _ in range(40))]
+    rows = [(t, m, s) for t in texts for m, s in (("auto", None), ("word", None), ("grapheme", 5), ("manual", None), (None, 18))]
+    df = spark.createDataFrame(rows, "t string, m string, s int")
+    got = df.select("t", "m", "s", T.fit_size(F.col("t"), *box, F.col("m"), F.col("s")).alias("f")).collect()
+    assert [(r.t, r.m, r.s, r.f and tuple(r.f)) for r in got] == [(*r, fitted(*r, *box)) for r in rows]
+
+
+def test_sizes_are_tried_without_folding_again(spark):
+    """Lines are counted once a limit, and not at all where the text is too much for it; each of them was folded some
+    sixteen times."""
+    df = spark.range(20_000).select(F.concat(F.repeat(F.lit("word "), 100), F.col("id").cast("string")).alias("t"))
+    start = time.time()
+    got = df.select(T.fit_size(F.col("t"), 240, 90, 12, 40, 3).alias("f")).select(F.count("*"), F.count("f")).first()
+    assert time.time() - start < 30 and tuple(got) == (20_000, 0)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables here")
+def test_fitting_is_dealt_over_tasks(spark):
+    """One small file is many tasks' work."""
+    import gantrel.plans.text as plans
+
+    plan = plans.fit_text(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [c_custkey" in plan
+
+
 def test_merge_keeps_skipped_metrics(spark):
     schema = "k string, status string, metric long, ord long"
     base = spark.createDataFrame([("wide", "rendered", 1, 1), ("portrait", "rendered", 2, 2)], schema)
