@@ -20,6 +20,8 @@ def clusters(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(CLUSTER), F.lit(1))
 
 
+#: The characters of SPACES.
+_SPACES = "".join(map(chr, (*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 #: Signs that make a cluster of more than one character.
 JOINING = r"[\p{M}\x{200D}]"
 
@@ -37,6 +39,12 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"[^{GAPS}]+"), F.lit(0))
 
 
+def spaced(text: Column) -> Column:
+    """The words of the text, with one space between them; most texts have no other gaps and are left as they are."""
+    other = F.contains(text, F.lit("  ")) | F.contains(text, F.lit("\xa0")) | F.rlike(text, F.lit(r"\p{Cc}"))
+    return F.trim(F.when(other, F.regexp_replace(text, f"[{GAPS}]+", " ")).otherwise(text))
+
+
 def paragraphs(text: Column) -> Column:
     """Lines of the text; a final line end opens no further one, and an empty text is one empty line."""
     other = F.rlike(text, F.lit(r"[\r\x0B\x0C\x1C-\x1E\x85]")) | F.contains(text, F.lit("\u2028")) | F.contains(text, F.lit("\u2029"))
@@ -57,32 +65,55 @@ def wrap(units: Column, limit: Column, glue: str) -> Column:
     return F.aggregate(units, empty, step, lambda acc: F.when(acc["line"].isNull(), F.array(F.lit(""))).otherwise(F.concat(acc["done"], F.array(acc["line"]))))
 
 
-def wrap_clusters(text: Column, limit: Column) -> Column:
-    """Greedy lines by cluster; a line neither starts nor ends with white space."""
-    empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("line"), F.lit(0).alias("wide"))
+#: What joins the cluster before it, but for spaces; a space that does, after a joiner; and what starts a cluster.
+_JOINED, _JOINED_SPACE, _STARTS = r"(?:[\p{M}\x{200D}]|(?<=\x{200D})[^\x{200D} ])*+", r"(?<=\x{200D}) ", r"(?<!\x{200D})[^\p{M}\x{200D}]"
+#: Widest lines of joining signs that are matched, as a match goes as deep into the stack as its line has clusters.
+DEEPEST = 256
 
-    def step(acc: Column, unit: Column) -> Column:
-        opens = F.regexp_replace(unit, f"^{SPACES}+", "")
-        return F.when(acc["wide"] + 1 <= limit, F.struct(acc["done"].alias("done"), F.concat(acc["line"], unit).alias("line"), (acc["wide"] + 1).alias("wide"))).otherwise(
-            F.struct(F.concat(acc["done"], F.array(ends_trimmed(acc["line"]))).alias("done"), opens.alias("line"), F.when(opens == "", F.lit(0)).otherwise(F.lit(1)).alias("wide"))
-        )
 
-    return F.aggregate(clusters(text), empty, step, lambda acc: F.concat(acc["done"], F.array(ends_trimmed(acc["line"]))))
+def wrap_words(text: Column, limit: Column) -> Column:
+    """Lines of the words as ``wrap`` has them with a space as glue, matched one after the other."""
+    return once(spaced(text), lambda t: _wrap_spaced(t, limit))
+
+
+def _wrap_spaced(t: Column, limit: Column) -> Column:
+    number = lambda n: F.greatest(n, F.lit(0)).cast("string")
+    plain = F.concat(F.lit("(?s)(.{1,"), number(limit), F.lit("}(?![^ ])|[^ ]++) ?"))
+    joining = F.concat(F.lit(f"(?s)([^ ]{_JOINED}(?:(?:{_JOINED_SPACE}{_JOINED})*{_STARTS}{_JOINED}){{0,"), number(limit - 1), F.lit(f"}}(?:{_JOINED_SPACE}{_JOINED})*(?![^ ])|[^ ]++) ?"))
+    lines = lambda pattern: F.regexp_extract_all(t, pattern, F.lit(1))
+    joins = F.rlike(t, F.lit(JOINING))
+    return F.when(t == "", F.array(F.lit(""))).when((limit >= 1) & ~joins, lines(plain)).when((limit >= 1) & (limit <= DEEPEST), lines(joining)).otherwise(wrap(words(t), limit, " "))
+
+
+def wrap_clusters(text: Column, limit: Column) -> Column:
+    """Greedy lines by cluster; a line neither starts nor ends with white space, but for the start of the first. A cluster
+    of white space that would open a line is dropped and takes no room; of any other its leading white space is. At a limit
+    below one each cluster has a line to itself, after an empty one."""
+    cluster = r"(?:[^\p{M}\x{200D}](?![\p{M}\x{200D}])|(?:\x{200D}++[^\x{200D}]?+|[^\x{200D}])(?:\p{M}|\x{200D}++[^\x{200D}]?+)*+)"
+    number = F.greatest(limit, F.lit(1)).cast("string")
+    plain = F.concat(F.lit(f"(?s)(?:(?!\\A){SPACES}|(?=.))(.{{0,"), number, F.lit("})"))
+    joining = F.concat(F.lit(f"(?s)(?:(?!\\A){SPACES}(?!{JOINING})|(?=.)(?:(?!\\A){SPACES}(?={JOINING}))?)({cluster}{{0,"), number, F.lit("}+)"))
+    cut = F.when(F.rlike(text, F.lit(JOINING)), F.regexp_extract_all(text, joining, F.lit(1))).otherwise(F.regexp_extract_all(text, plain, F.lit(1)))
+    lines = F.when(text == "", F.array(F.lit(""))).otherwise(F.transform(cut, ends_trimmed))
+    return F.when(limit >= 1, lines).otherwise(F.concat(F.array(F.lit("")), F.transform(clusters(text), lambda c: ends_trimmed(F.regexp_replace(c, f"^{SPACES}+", "")))))
 
 
 def ends_trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, f"{SPACES}+$", "")
+    return F.rtrim(text, F.lit(_SPACES))
 
 
-def by_words(w: Column, limit: Column, mode: Column) -> Column:
-    """Whether a paragraph of these words is wrapped by word; auto does if there are several and each fits."""
-    return (mode == "word") | ((mode == "auto") & (F.size(w) > 1) & F.forall(w, lambda x: width(x) <= limit))
+def by_words(t: Column, limit: Column, mode: Column) -> Column:
+    """Whether a paragraph of these words, one space between them, is wrapped by word; auto does if there are several and
+    each fits."""
+    longer = F.concat(F.lit("(?<![^ ])[^ ]{"), (F.greatest(limit, F.lit(0)) + 1).cast("string"), F.lit("}"))
+    fits = F.when(F.rlike(t, F.lit(JOINING)), F.forall(words(t), lambda x: width(x) <= limit)).otherwise(~F.rlike(t, longer))
+    return (mode == "word") | ((mode == "auto") & F.contains(t, F.lit(" ")) & fits)
 
 
 def wrap_paragraph(text: Column, limit: Column, mode: Column) -> Column:
     """Lines under manual, word, grapheme or auto."""
-    w = words(text)
-    return F.when(mode == "manual", F.array(text)).when(by_words(w, limit, mode), wrap(w, limit, " ")).otherwise(wrap_clusters(text, limit))
+    wrapped = once(spaced(text), lambda t: F.when(by_words(t, limit, mode), _wrap_spaced(t, limit)).otherwise(wrap_clusters(text, limit)))
+    return F.when(mode == "manual", F.array(text)).when(mode == "grapheme", wrap_clusters(text, limit)).otherwise(wrapped)
 
 
 def wrap_text(text: Column, limit: Column, mode: Column) -> Column:

@@ -62,7 +62,7 @@ def _clustered(c: str, n: str) -> str:
 def wrap_units(spark: SparkSession, d: str) -> DataFrame:
     """Every paragraph wrapped by words at 40."""
     lines = _texts(spark, d).select("name", F.posexplode(T.paragraphs(F.col("text"))).alias("i", "line"))
-    return lines.select("name", F.col("i").cast("long").alias("i"), F.array_join(T.wrap(T.words(F.col("line")), F.lit(40), " "), "\n").alias("wrapped"))
+    return lines.select("name", F.col("i").cast("long").alias("i"), F.array_join(T.wrap_words(F.col("line"), F.lit(40)), "\n").alias("wrapped"))
 
 
 _MODE = "CASE length(name) % 4 WHEN 0 THEN 'manual' WHEN 1 THEN 'word' WHEN 2 THEN 'grapheme' ELSE 'auto' END"
@@ -81,7 +81,7 @@ def wrap_text(spark: SparkSession, d: str) -> DataFrame:
     """Number and width of the lines of whole documents at 60. Paragraphs are rows, so a long document is wrapped by many
     tasks and only its line widths come together."""
     lines = _texts(spark, d).select("name", F.explode(T.paragraphs(F.col("text"))).alias("line"))
-    wrapped = lines.select("name", T.wrap(T.words(F.col("line")), F.lit(60), " ").alias("w"))
+    wrapped = lines.select("name", T.wrap_words(F.col("line"), F.lit(60)).alias("w"))
     return wrapped.groupBy("name").agg(F.sum(F.size("w")).cast("long").alias("n"), F.max(F.array_max(F.transform("w", T.width))).cast("long").alias("widest"))
 
 

@@ -182,6 +182,31 @@ def cluster_lines(text, limit):
     return [*done, line.rstrip()]
 
 
+def test_wrapping_by_matches(spark):
+    """Lines are those of the folds over units, whatever signs join, and at any limit."""
+    rng = random.Random(7)
+    texts = ["", " ", "a\u200d b", "\u0301", *("".join(rng.choices(signs, k=rng.randrange(1, 40))) for signs in ("ab ", "ab \t\xa0", "a \u0301", "ab \u200d", "ab \u0301\u200d", "a\U0001f600 \u3000\u0301\u200d") for _ in range(60))]
+    df = spark.createDataFrame([(t, n) for t in texts for n in (0, 1, 2, 3, 7, 12, 300)], "t string, n int")
+    t, n = F.col("t"), F.col("n")
+    units = F.filter(F.split(t, f"[{T.GAPS}]+"), lambda w: w != "")
+    fits = F.size(units) > 1
+    rows = df.select("t", "n", T.wrap_words(t, n).alias("w"), T.wrap(units, n, " ").alias("w0"), T.wrap_clusters(t, n).alias("c"), *[T.by_words(T.spaced(t), n, F.lit(m)).alias(m) for m in ("auto", "word", "manual")], (fits & F.forall(units, lambda x: T.width(x) <= n)).alias("auto0")).collect()
+    assert [(r.t, r.n, r.w, r.auto, r.word, r.manual) for r in rows] == [(r.t, r.n, r.w0, r.auto0, True, False) for r in rows]
+    assert [(r.t, r.n, r.c) for r in rows] == [(r.t, r.n, cluster_lines(r.t, r.n)) for r in rows]
+
+
+@pytest.mark.parametrize("mode", ["word", "grapheme", "auto"])
+def test_wrapping_grows_with_the_text(spark, mode):
+    """A paragraph of many lines takes no longer than its characters ask for, joining signs or not; copying the lines so far
+    for each further one took minutes."""
+    words = ["lorem", "ipsum", "e\u0301te"]
+    for n in (2, 3):
+        df = spark.createDataFrame([(n,)], "n int").select(F.repeat(F.lit(" ".join(words[:n]) + " "), 150_000).alias("t"))
+        start = time.time()
+        got = df.select(T.wrap_paragraph(F.col("t"), F.lit(11), F.lit(mode)).alias("w")).select(F.size("w").alias("n"), F.array_max(F.transform("w", T.width)).alias("widest")).first()
+        assert time.time() - start < 30 and got.widest == 11 and got.n >= 130_000
+
+
 def fitted(text, mode, single, box_w, box_h, low, high, max_lines):
     """Every size from the largest down, every line one after the other."""
     width = lambda t: len(re.findall(r"(?s)(?:\u200d+[^\u200d]?|[^\u200d])(?:\u0301|\u200d+[^\u200d]?)*", t))
